@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from urlsieve.llm import mixing
+from urlsieve.llm import linededup, mixing, quality
 
 QUERIES = {
+    "op4_quality_rules": quality.op4_quality_rules,
     "op8_mixing": mixing.op8_mixing,
+    "op9_line_dedup": linededup.op9_line_dedup,
 }
 
 SQL = {
+    "op4_quality_rules": quality.SQL,
     "op8_mixing": mixing.SQL,
+    "op9_line_dedup": linededup.SQL,
 }
