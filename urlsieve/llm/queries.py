@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from urlsieve.llm import linededup, mixing, quality
+from urlsieve.llm import linededup, mixing, quality, tokenids, urlfilter
 
 QUERIES = {
+    "op1_token_ids": tokenids.op1_token_ids,
+    "op2_url_filters": urlfilter.op2_url_filters,
     "op4_quality_rules": quality.op4_quality_rules,
     "op8_mixing": mixing.op8_mixing,
     "op9_line_dedup": linededup.op9_line_dedup,
 }
 
 SQL = {
+    "op2_url_filters": urlfilter.SQL,
     "op4_quality_rules": quality.SQL,
     "op8_mixing": mixing.SQL,
     "op9_line_dedup": linededup.SQL,
