@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from urlsieve.llm import linededup, mixing, quality, simhash, tokenids, urlfilter
+from urlsieve.llm import linededup, media, mixing, quality, simhash, tokenids, urlfilter
 
 QUERIES = {
     "op1_token_ids": tokenids.op1_token_ids,
     "op2_url_filters": urlfilter.op2_url_filters,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_simhash": simhash.op5_simhash,
+    "op7_media": media.op7_media,
     "op8_mixing": mixing.op8_mixing,
     "op9_line_dedup": linededup.op9_line_dedup,
 }
