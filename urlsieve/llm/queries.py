@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from urlsieve.llm import linededup, media, mixing, quality, simhash, tokenids, urlfilter
+from urlsieve.llm import linededup, media, mixing, quality, simhash, tokencount, tokenids, urlfilter
 
 QUERIES = {
+    "op10_token_counts": tokencount.op10_token_counts,
     "op1_token_ids": tokenids.op1_token_ids,
     "op2_url_filters": urlfilter.op2_url_filters,
     "op4_quality_rules": quality.op4_quality_rules,
