@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from urlsieve.llm import linededup, media, mixing, quality, simhash, tokencount, tokenids, urlfilter
+from urlsieve.llm import linededup, media, mixing, pieces, quality, simhash, tokencount, tokenids, urlfilter
 
 QUERIES = {
     "op10_token_counts": tokencount.op10_token_counts,
     "op1_token_ids": tokenids.op1_token_ids,
     "op2_url_filters": urlfilter.op2_url_filters,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_simhash": simhash.op5_simhash,
     "op7_media": media.op7_media,
