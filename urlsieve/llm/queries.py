@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urlsieve.llm import linededup, media, mixing, pieces, quality, simhash, tokencount, tokenids, urlfilter
+from urlsieve.llm import chat, linededup, media, mixing, pieces, quality, simhash, tokencount, tokenids, urlfilter
 
 QUERIES = {
     "op10_token_counts": tokencount.op10_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_simhash": simhash.op5_simhash,
+    "op6_chat_format": chat.op6_chat_format,
     "op7_media": media.op7_media,
     "op8_mixing": mixing.op8_mixing,
     "op9_line_dedup": linededup.op9_line_dedup,
