@@ -387,7 +387,7 @@ def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "t
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sp = lattices(model).sp
         for ids in batches:
-            yield ids.map(lambda x: None if x is None else sp.decode([int(i) for i in x]))
+            yield ids.map(lambda x: None if x is None else sp.decode(np.asarray(x).tolist()))
 
     return docs.withColumn(text_col, F.pandas_udf(run, "string")(ids_col))
 

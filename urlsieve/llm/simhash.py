@@ -186,14 +186,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """docs with one row for each component: that of the smallest id; of several rows with that id, the least text hash.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """docs with one row for each component: that of the smallest id; of several rows with that id, the least by hash.
 
-    Documents whose ids are all null keep one row as well.
+    Documents whose ids are all null keep one row as well. Rows of equal id are combined on the map side.
     """
-    ids = near_duplicates(docs, id_col=id_col, **kw).select(F.col("component_id").alias("_keep")).distinct()
-    one = docs.join(ids, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    return one.dropDuplicates([id_col])
+    ids = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw).select(F.col("component_id").alias("_keep")).distinct()
+    kept = docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    best = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(text_col), F.xxhash64(*docs.columns)))
+    return kept.groupBy(F.col(id_col).alias("_id")).agg(best.alias("_row")).select("_row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
