@@ -19,7 +19,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +36,9 @@ MEMO = 400_000
 CHUNK, AT_ONCE = 1 << 19, 512
 #: Characters on whose classes all Unicode versions and both regular-expression libraries agree.
 SAFE = re.compile("[\t\n\r\x20-\x7e¡-ſΑ-ΡΣ-ωА-я–—‘’“”…ぁ-んァ-ヶ一-龥가-힣]*")
+#: The letters and numbers among them, and the byte-level pre-tokenizer's pattern for such texts.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſΑ-ΡΣ-ωА-яぁ-んァ-ヶ一-龥가-힣", "0-9²³¹¼-¾"
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,6 +48,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Seen(dict):
+    """Numbers the words that it is asked for, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = k = len(self)
+        return k
+
+
 class Encoder:
     """The tokenizers library's ids of whole texts; the model runs once per distinct pre-token while it is remembered.
 
@@ -54,24 +69,23 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split = PRE_TOKEN.findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = {b: c for b, c in _byte_letters().items()}
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Seen()
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        model, letters, at = self.tokenizer.model, self.letters, self.at
+    def _learn(self) -> None:
+        model, letters = self.tokenizer.model, self.letters
         new, ends, end = [], [], int(self.start[-1])
-        for w in words:
-            if w not in at:
-                at[w] = len(at)
-                found = [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))]
-                new += found
-                ends.append(end := end + len(found))
+        for w in self.at.new:
+            found = [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))]
+            new += found
+            ends.append(end := end + len(found))
+        self.at.new.clear()
         if ends:
             self.start = np.concatenate([self.start, np.array(ends, np.int64)])
             self.ids = np.concatenate([self.ids, np.array(new, np.uint32)])
@@ -88,8 +102,8 @@ class Encoder:
                 words += found
             else:
                 whole[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-        self._learn(words)
         which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        self._learn()
         n = self.start[which + 1] - self.start[which]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(self.start[which] - ends[:-1], n) + np.arange(ends[-1])]
