@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-SQL: dict = {}
+from urlsieve.plans import risk_queries, table_queries, text_queries
+
+QUERIES = text_queries.QUERIES | table_queries.QUERIES | risk_queries.QUERIES
+SQL = text_queries.SQL | table_queries.SQL | risk_queries.SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.count("*").alias("n_urls"))
+    return risk_queries.feature_table(spark, sf_dir)
