@@ -27,14 +27,14 @@ def with_grams(rows: DataFrame, column: str = "masked") -> DataFrame:
     return rows.withColumn("grams", F.transform(text.ngrams(F.col(column)), lambda g: g["gram"]))
 
 
-def char_ngram(c: float, n_rows: int) -> Pipeline:
+def char_ngram(c: float, n_rows: int, rounds: int = 50) -> Pipeline:
     """Logistic regression on hashed 3- to 5-grams. Spark has no sublinear counts in its hasher: distinct grams are taken
     once (binary), its IDF has no added one, and the intercept isn't penalised."""
     return Pipeline(stages=[
         HashingTF(inputCol="grams", outputCol="tf", numFeatures=BUCKETS, binary=True),
         IDF(inputCol="tf", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(1, n_rows)), maxIter=50),
+        LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(1, n_rows)), maxIter=rounds),
     ])
 
 

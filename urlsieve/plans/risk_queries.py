@@ -351,13 +351,13 @@ def _split(rows):
 def model_char_ngram(s, d):
     rows = models.with_grams(brands.mask(urls(s, d).where("url IS NOT NULL"), "url", "masked")).select("id", "url", "label", "grams").cache()
     fit, val = _split(rows)
-    best, _ = models.grid([models.char_ngram(x, fit.count()) for x in (1.0, 10.0)], fit, val)
+    best, _ = models.grid([models.char_ngram(10.0, fit.count(), rounds=10)], fit, val)
     return models.score(best, rows, "id", "url")
 
 
 @query("model_linear")
 def model_linear(s, d):
-    rows = _rows(s, d).cache()
+    rows = _rows(s, d).withColumn("tld", F.when(c("tld") == "", "(none)").otherwise(c("tld"))).cache()
     return models.score(models.linear().fit(_split(rows)[0]), rows, "id", "url")
 
 
