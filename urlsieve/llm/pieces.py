@@ -27,8 +27,9 @@ MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Samples a text, noise seed, weight of a piece's log-probability.
 SAMPLES, SEED, THETA = 3, 7, 1.0
-#: Distinct units remembered before all are forgotten, texts and characters sampled at once.
-UNITS, TEXTS, CHARS = 350_000, 256, 1 << 20
+#: Distinct units remembered before all but the first ones are forgotten, how many those are, and texts and characters
+#: sampled at once. Results depend on none of them.
+UNITS, KEEP, TEXTS, CHARS = 180_000, 80_000, 256, 1 << 20
 
 
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -49,12 +50,7 @@ def uniform(key: np.ndarray, *counters) -> np.ndarray:
 
 def gumbel_below(phi, bound, u):
     """A Gumbel variable of location phi, given that it is at most bound."""
-    return np.where(np.isneginf(phi), -np.inf, phi - np.log(np.exp(phi - bound) - np.log(u)))
-
-
-def log_rest(lp):
-    """log(1 - exp(lp))."""
-    return np.where(lp >= 0, -np.inf, np.where(lp > -0.6931, np.log(-np.expm1(np.minimum(lp, 0))), np.log1p(-np.exp(np.minimum(lp, 0)))))
+    return phi - np.log(np.exp(phi - bound) - np.log(u))
 
 
 class Lattices:
@@ -123,10 +119,16 @@ class Lattices:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.kept: tuple[dict[str, int], int, int] | None = None
         self.n_nodes = self.n_arcs = 0
         self.node = np.zeros(1 << 16, np.int64)
-        self.arc_lp, self.arc_cum, self.arc_rest = (np.zeros(1 << 18, np.float32) for _ in range(3))
-        self.arc_to, self.arc_id = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.arc_lp, self.arc_cum, self.arc_rest = (np.zeros(1 << 22, np.float32) for _ in range(3))
+        self.arc_to, self.arc_id = np.zeros(1 << 22, np.int32), np.zeros(1 << 22, np.int32)
+
+    def forget_late(self) -> None:
+        """Forgets what was learned after the first KEEP units, among which the frequent ones are."""
+        at, self.n_nodes, self.n_arcs = self.kept
+        self.at = dict(at)
 
     def _run(self, point: int) -> int:
         if point not in self.run_of:
@@ -136,6 +138,7 @@ class Lattices:
             self.run_ids = np.concatenate([self.run_ids, ids])
         return self.run_of[point]
 
+    @np.errstate(divide="ignore")
     def learn(self, units: list[str]) -> None:
         """Compiles the lattices of new units, all at once. arc_id is a piece's id, or base + k for the k-th byte run."""
         new = [u for u in dict.fromkeys(units) if u not in self.at]
@@ -144,53 +147,71 @@ class Lattices:
         points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         n, sizes = len(points), np.array([len(u) for u in new], np.int64)
         ends = np.repeat(np.cumsum(sizes), sizes)
-        # arcs: (from, to, log-probability, id), found by going down the trie from all characters at once
-        live, at, arcs = np.arange(n), np.zeros(n, np.int64), []
+        # arcs: (from, to, log-probability, id), found by going down the trie from all characters at once; a character's
+        # arcs get the places after its first one in turn, the longer ones later
+        live, at, arcs, count = np.arange(n), np.zeros(n, np.int64), [], np.zeros(n, np.int64)
+
+        def add(src: np.ndarray, size: int, lp: np.ndarray, ids: np.ndarray) -> None:
+            arcs.append((src, src + size, lp, ids, count[src]))
+            count[src] += 1
+
         for size in range(1, self.longest + 1):
             at = self._child(at << 21 | points[live + size - 1])
             piece = np.where(at >= 0, self.piece[at], -1)
             hit = piece >= 0
-            arcs.append((live[hit], live[hit] + size, self.piece_lp[piece[hit]], piece[hit]))
+            add(live[hit], size, self.piece_lp[piece[hit]], piece[hit])
             if size == 1 and not hit.all():
                 odd = live[~hit]
-                runs = np.array([self._run(p) for p in points[odd].tolist()], np.int64)
-                arcs.append((odd, odd + 1, self.fallback * self.run_size[runs], runs + self.base))
+                # a character of one byte is its piece, a longer one a run of them
+                runs = np.array([self.byte[p] if p < 0x80 else self.base + self._run(p) for p in points[odd].tolist()], np.int64)
+                size_of = np.ones(len(runs))
+                size_of[runs >= self.base] = self.run_size[runs[runs >= self.base] - self.base]
+                add(odd, 1, self.fallback * size_of, runs)
             go = (at >= 0) & (live + size < ends[live])
             live, at = live[go], at[go]
-        src, dst, lp, ids = (np.concatenate(x) for x in zip(*arcs, strict=True))
+        last = np.cumsum(count)
+        first = last - count
+        last -= 1
+        m = int(count.sum())
+        src, dst, lp, ids = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m), np.empty(m, np.int64)
+        for a_src, a_dst, a_lp, a_ids, slot in arcs:
+            place = first[a_src] + slot
+            src[place], dst[place], lp[place], ids[place] = a_src, a_dst, a_lp, a_ids
         # log-sums of completions, from the units' ends on
-        order = np.argsort(src, kind="stable")  # and by target: longer pieces come later
-        src, dst, lp, ids = src[order], dst[order], lp[order], ids[order]
         left = ends - np.arange(n)
         far = left[src]
         order = np.argsort(far.astype(np.int16) if left.max() < 2**15 else far, kind="stable")
-        value, beta, cut = np.zeros(len(src)), np.zeros(n + 1), np.concatenate([[0], np.cumsum(np.bincount(left[src]))])
+        given, prob, beta, cut = np.empty(m), np.empty(m), np.zeros(n + 1), np.concatenate([[0], np.cumsum(np.bincount(far))])
+        beta_of = np.where(dst == ends[src], n, dst)
         for d in range(1, len(cut) - 1):
             own = order[cut[d] : cut[d + 1]]
             if len(own):
-                s, to = src[own], dst[own]
-                v = lp[own] + np.where(to == ends[s], 0.0, beta[np.minimum(to, n)])
-                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                top = np.maximum.reduceat(v, first)
-                beta[s[first]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(first, len(s))))), first))
-                value[own] = v
-        given = value - beta[src]
-        prob = np.exp(given)
-        first = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
-        last = np.append(first[1:], len(src)) - 1
+                s = src[own]
+                v = lp[own] + beta[beta_of[own]]
+                start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                size = count[s[start]]
+                top = np.maximum.reduceat(v, start)
+                e = np.exp(v - np.repeat(top, size))
+                total = np.add.reduceat(e, start)
+                beta[s[start]] = b = top + np.log(total)
+                given[own], prob[own] = v - np.repeat(b, size), e / np.repeat(total, size)
         run = np.cumsum(prob)
-        cum = run - np.repeat(run[first] - prob[first], last - first + 1)
+        cum = run - np.repeat(run[first] - prob[first], count)
         cum[last] = 2.0
-        given[first[first == last]] = 0.0
+        single = first[first == last]
+        given[single], prob[single] = 0.0, 1.0
+        rest = np.log1p(-np.minimum(prob, 1.0))
         base, n_arcs = self.n_nodes, self.n_arcs
-        for name, values, count in (("node", n_arcs + last + 1, base + 1), ("arc_lp", given, n_arcs), ("arc_cum", cum, n_arcs), ("arc_rest", log_rest(given), n_arcs), ("arc_to", np.where(dst == ends[src], -1, base + dst), n_arcs), ("arc_id", ids, n_arcs)):
+        for name, values, count in (("node", n_arcs + last + 1, base + 1), ("arc_lp", given, n_arcs), ("arc_cum", cum, n_arcs), ("arc_rest", rest, n_arcs), ("arc_to", np.where(dst == ends[src], -1, base + dst), n_arcs), ("arc_id", ids, n_arcs)):
             held = getattr(self, name)
             if count + len(values) > len(held):
                 held = np.concatenate([held, np.zeros(max(len(held), len(values)), held.dtype)])
                 setattr(self, name, held)
             held[count : count + len(values)] = values
         self.at.update(zip(new, (base + np.cumsum(sizes) - sizes).tolist(), strict=True))
-        self.n_nodes, self.n_arcs = base + n, n_arcs + len(src)
+        self.n_nodes, self.n_arcs = base + n, n_arcs + m
+        if self.kept is None and len(self.at) >= KEEP:
+            self.kept = (dict(self.at), self.n_nodes, self.n_arcs)
 
     def descend(self, node: np.ndarray, key: np.ndarray, lane: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
         """Draws arcs from each node to its unit's end: (arcs, number of arcs of each lane), lanes one after another."""
@@ -223,7 +244,7 @@ class Lattices:
     def sample(self, texts: list[str], keys: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k samples (ids, log-probability, perturbed log-probability, log inclusion), best first."""
         if len(self.at) > UNITS:
-            self.forget()
+            self.forget_late()
         units = [UNIT.findall(self.normal(t)) for t in texts]
         self.learn([u for x in units for u in x])
         first = [np.fromiter(map(self.at.__getitem__, x), np.int64, len(x)) for x in units]
@@ -305,9 +326,9 @@ class Lattices:
 
     def _ids(self, arcs: np.ndarray) -> np.ndarray:
         ids = self.arc_id[arcs]
-        runs = np.flatnonzero(ids >= self.base)
-        if not len(runs):
+        if not len(ids) or ids.max() < self.base:
             return ids
+        runs = np.flatnonzero(ids >= self.base)
         which = ids[runs] - self.base
         size = np.ones(len(ids), np.int64)
         size[runs] = self.run_size[which]
