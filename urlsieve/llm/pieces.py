@@ -357,8 +357,8 @@ def row_keys(ids: list[int | None], seed: int) -> np.ndarray:
     return _mix(_mix(plain + np.uint64(seed)) + null)
 
 
-def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rank, ids, log_prob, perturbed, log_inclusion): up to k distinct segmentations of each text.
+def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, theta: float = THETA, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rank, ids, log_prob, perturbed, log_inclusion), and text, what the ids decode to, if `decoded`: up to k distinct segmentations of each text.
 
     rank 0 has the largest perturbed log-probability. log_inclusion is the log of the probability that a segmentation's
     noise lifts it above the threshold, the largest perturbed value not emitted. Decoding any of them gives the text
@@ -381,13 +381,14 @@ def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, thet
                 rows = [(d, r, *x) for d, xs in zip(doc[at:upto], found, strict=True) for r, x in enumerate(xs)]
                 flat = np.concatenate([np.zeros(0, np.int64), *[x[2] for x in rows]]).astype(np.int32)
                 ends = np.cumsum([0] + [len(x[2]) for x in rows]).astype(np.int32)
+                back = [pa.array(lattice.sp.decode([x[2].tolist() for x in rows], num_threads=1), pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.ListArray.from_arrays(ends, flat), *[pa.array([x[c] for x in rows], pa.float64()) for c in (3, 4, 5)]],
-                    ["doc_id", "rank", "ids", "log_prob", "perturbed", "log_inclusion"],
+                    [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.ListArray.from_arrays(ends, flat), *[pa.array([x[c] for x in rows], pa.float64()) for c in (3, 4, 5)], *back],
+                    ["doc_id", "rank", "ids", "log_prob", "perturbed", "log_inclusion", *["text"] * decoded],
                 )
                 at = upto
 
-    kind = "doc_id long, rank int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
+    kind = "doc_id long, rank int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", text string" * decoded
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kind)
 
 
