@@ -12,6 +12,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What operators remember in a Python worker, by operator.
+_CACHES: list[dict] = []
+
+
+def cache_of_worker() -> dict:
+    """A dictionary for what one operator remembers in a worker process; see take_worker()."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def take_worker(cache: dict | None = None) -> None:
+    """To be called as a task starts: a worker, which Spark reuses, keeps the memory of one operator at a time."""
+    for other in _CACHES:
+        if other is not cache:
+            other.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

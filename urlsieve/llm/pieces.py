@@ -23,6 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlsieve.llm.common import cache_of_worker, take_worker
+
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Samples a text, noise seed, weight of a piece's log-probability.
@@ -341,7 +343,7 @@ class Lattices:
         return out
 
 
-_lattices: dict[tuple[str, float], Lattices] = {}
+_lattices = cache_of_worker()
 
 
 def lattices(path: str, theta: float = THETA) -> Lattices:
@@ -368,6 +370,7 @@ def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, thet
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(_lattices)
         lattice = lattices(model, theta)
         for batch in batches:
             doc, text = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import WORD
+from urlsieve.llm.common import WORD, take_worker
 
 _WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -116,6 +116,7 @@ def verdict(column: str | Column, rules: tuple[Rule, ...], measures: tuple[str,
     """A struct: kept, rejected_by (the first rule in the order that rejects), and the measures asked for, as longs."""
 
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        take_worker()
         for texts in batches:
             rows = []
             for x in texts:

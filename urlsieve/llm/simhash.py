@@ -13,12 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import WORD, components, written
+from urlsieve.llm.common import WORD, components, take_worker, written
 
 #: Words a shingle, differing bits of a link, seed of the hash.
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Rounds over parts of the variants' space, each of which shuffles its part and frees it; fingerprints expanded at once.
-ROUNDS, AT_ONCE = 5, 1024
+ROUNDS, AT_ONCE = 5, 256
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 17
 
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -131,6 +132,7 @@ def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFra
 
     def emit(which: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            take_worker()
             for batch in batches:
                 for at in range(0, batch.num_rows, AT_ONCE):
                     fp = batch.column(0).slice(at, AT_ONCE).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -148,6 +150,7 @@ def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFra
         return run
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker()
         vs, ms = [], []
         for batch in batches:
             vs += [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]

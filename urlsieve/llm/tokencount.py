@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from urlsieve.llm.common import cache_of_worker, take_worker
 from urlsieve.llm.tokenids import SAFE, _byte_letters
 
 #: The limit above which a document is too long.
@@ -274,7 +275,7 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
+_counters = cache_of_worker()
 
 
 def counter(path: str) -> Counter:
@@ -292,6 +293,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(_counters)
         count = counter(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from urlsieve.llm.common import scratch, written
+from urlsieve.llm.common import cache_of_worker, scratch, take_worker, written
 
 MAGIC = int.from_bytes(b"PFORIDS1", "little")
 BLOCK = 1024
@@ -114,7 +114,7 @@ class Encoder:
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders = cache_of_worker()
 
 
 def encoder(path: str) -> Encoder:
@@ -230,6 +230,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None =
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(_encoders)
         k = TaskContext.get().partitionId()
         uri = f"{folder}/ids-{k:05d}-{uuid.uuid4().hex}.pfor"
         shard, encode = Shard(uri), encoder(tokenizer)
