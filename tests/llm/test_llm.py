@@ -272,6 +272,14 @@ def test_links_within_radius_are_found(spark):
     assert all(group[a] != group[b] for a, b in far)
 
 
+def test_null_and_repeated_ids_cost_no_row(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(8)]
+    rows = [(None, t, "a") for t in texts[:3]] + [(7, t, "a") for t in texts[3:6]] + [(8, texts[6], "a"), (None, texts[6], "a"), (9, texts[7], "a"), (9, texts[7], "b")]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted({r[:2] for r in rows} - {(None, texts[6])}, key=repr)
+
+
 # --- 6: chat ---
 
 

@@ -96,3 +96,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if last == seen:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each group: that of the least id (null last) and text hash; of rows equal in both, the least by hash.
+
+    groups is (doc_id, th, group), th being the text's xxhash64; rows equal in id and text are in one group. Both steps
+    are aggregates with map-side combining.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")
+    best = groups.groupBy("group").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("_keep"), F.col("k.th").alias("_th"))
+    kept = docs.join(best, docs[id_col].cast("long").eqNullSafe(F.col("_keep")) & (F.xxhash64(docs[text_col]) == F.col("_th")), "left_semi")
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
+    return kept.groupBy(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).agg(row.alias("_row")).select("_row.*")

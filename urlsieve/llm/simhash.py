@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import WORD, components, take_worker, written
+from urlsieve.llm.common import WORD, components, keep_least, take_worker, written
 
 #: Words a shingle, differing bits of a link, seed of the hash.
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -56,8 +56,9 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
     return np.packbits(2 * counts > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long. With `hashed`, (doc_id, th, fp): th is the text's hash."""
+    names = ["doc_id", *["th"] * hashed, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker()
@@ -65,9 +66,10 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 fp = majority([shingle_hashes(t, size) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(fp.view(np.int64))], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    th = [F.xxhash64(text_col).alias("th")] * hashed
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *th).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def masks(half: int) -> np.ndarray:
@@ -189,15 +191,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs with one row for each component: that of the smallest id; of several rows with that id, the least by hash.
+def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each component, the least by id (null last) and text hash.
 
-    Documents whose ids are all null keep one row as well. Rows of equal id are combined on the map side.
+    Components are told apart by their least fingerprint, which is never null, so null or repeated ids cost no row.
     """
-    ids = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw).select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    best = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(text_col), F.xxhash64(*docs.columns)))
-    return kept.groupBy(F.col(id_col).alias("_id")).agg(best.alias("_row")).select("_row.*")
+    prints = written(fingerprints(docs, size, id_col, text_col, hashed=True), "prints")
+    joined = components(links(prints.select("fp"), radius))
+    named = prints.join(joined, prints["fp"] == joined["node"], "left").select("doc_id", "th", F.coalesce("component", "fp").alias("group"))
+    return keep_least(docs, named, id_col, text_col)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
