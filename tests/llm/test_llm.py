@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from urlsieve.llm import chat, common, linededup, media, mixing, pieces, quality, queries, simhash, tokencount, tokenids, urlfilter
+from urlsieve.llm import chat, common, linededup, media, minhash, mixing, pieces, quality, queries, simhash, tokencount, tokenids, urlfilter
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -280,6 +280,41 @@ def test_null_and_repeated_ids_cost_no_row(spark):
     assert sorted(kept, key=repr) == sorted({r[:2] for r in rows} - {(None, texts[6])}, key=repr)
 
 
+def test_near_copies_go(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(500)]
+    rows = []
+    for base in range(30):
+        text = [rng.choice(words) for _ in range(rng.randrange(30, 200))]
+        rows.append((base, " ".join(text), "a"))
+        for k in range(6):
+            near = list(text)
+            for _ in range(rng.randrange(1, 5)):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            rows.append((100 + 10 * base + k, " ".join(near), "a"))
+    rows += [(None, None, "a"), (900, "", "a"), (901, "x", "a"), (902, "X", "a"), (None, "alone " * 9, "a")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t, _ in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    best = {}
+    for i, (doc, _, _) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), (True, 0)), (doc is None, doc or 0))
+    frame = docs(spark, rows)
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()]
+    assert len(best) < len(rows) - 60
+    assert sorted(kept, key=repr) == sorted((None if none else i for none, i in best.values()), key=repr)
+    assert minhash.keep_one(nothing(spark)).count() == 0
+
+
 # --- 6: chat ---
 
 
