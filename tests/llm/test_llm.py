@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from urlsieve.llm import chat, common, linededup, media, minhash, mixing, pieces, quality, queries, simhash, tokencount, tokenids, urlfilter
+from urlsieve.llm import chat, common, linededup, media, minhash, mixing, passages, pieces, quality, queries, simhash, tokencount, tokenids, urlfilter
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -436,6 +436,28 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame).count() == len(rows) and linededup.dedup_lines(nothing(spark)).count() == 0
 
 
+def test_passages_inside_lines_go(spark):
+    rng = random.Random(6)
+    some = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    shared, long_, short, line = some(51), some(300), some(50), some(60)
+    own = [some(40) for _ in range(12)]
+    rows = [
+        (1, [*own[0], *shared, *own[1]]), (2, [*own[2], *shared, *own[3]]), (3, [*long_, *own[4]]), (4, [*own[5], *long_[20:290]]), (5, [*short, *own[6]]), (6, [*own[7], *short]),
+        (7, line), (8, line), (9, [*own[8], *own[9], *own[8], *own[9]]), (10, ["r"] * 120), (None, [*own[10], *shared]), (None, [*own[11], *line]),
+    ]
+    frame = docs(spark, [(i, " ".join(w), "a") for i, w in rows] + [(11, None, "a"), (12, "", "a"), (2, " ".join(rows[1][1]).replace(" ", "\n", 3), "a")])
+    found = [(r.doc_id, None if r.text is None else r.text.split()) for r in passages.cut_passages(frame).collect()]
+    by = {i: w for i, w in found if i is not None and i != 2}
+    assert by[1] == [*own[0], *own[1]] and by[3] == rows[2][1] and by[4] == own[5] and by[5] == rows[4][1] and by[6] == rows[5][1]
+    assert by[7] == [] and by[8] == [] and by[9] == [*own[8], *own[9]] and by[10] == ["r"] * 51
+    assert by[11] is None and by[12] == []
+    assert sorted(len(w) for i, w in found if i is None) == [91, 100]
+    assert len(found) == len(rows) + 3
+    assert passages.cut_passages(nothing(spark)).count() == 0
+    kept = {r.doc_id for r in corpus_pipeline.line_dedup(spark, frame, "").collect()}
+    assert 7 not in kept and 8 not in kept and {1, 3, 4, 5, 6} <= kept
+
+
 # --- 10: token counts ---
 
 
