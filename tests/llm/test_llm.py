@@ -398,6 +398,56 @@ def test_shots_and_damaged_files(spark):
     assert all(r.error for r in found if r.doc_id in (3, 4))
 
 
+def java_jpeg(spark, pixels):
+    """A JPEG image of these pixels and what Java's decoder reads from it, as (bytes, RGB or grey)."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kind = jvm.java.awt.image.BufferedImage
+    high, wide = pixels.shape[:2]
+    image = kind(wide, high, kind.TYPE_BYTE_GRAY if pixels.ndim == 2 else kind.TYPE_INT_RGB)
+    flat = gateway.new_array(gateway.jvm.int, pixels.size)
+    for k, v in enumerate(pixels.ravel().tolist()):
+        flat[k] = v
+    image.getRaster().setPixels(0, 0, wide, high, flat)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(out.toByteArray())).getRaster()
+    bands = [list(back.getSamples(0, 0, wide, high, b, gateway.new_array(gateway.jvm.int, wide * high))) for b in range(back.getNumBands())]
+    return data, np.array(bands).T.reshape(pixels.shape)
+
+
+def test_frames_with_detail_colour_and_restarts(spark):
+    y, x = np.mgrid[0:20, 0:28]
+    grey = (128 + 60 * np.sin(x / 3) + 50 * np.cos(y / 2)).astype(int)
+    data, want = java_jpeg(spark, grey)
+    assert np.abs(media.decode_image(data) - want.astype(int)).max() <= 1
+    colour = np.stack([x * 8, y * 10, 200 - x * 4], axis=2).astype(int)
+    shown, want = java_jpeg(spark, colour)
+    assert np.abs(media.decode_image(shown) - want.astype(int)).mean() < 6 and media.decode_image(shown).shape == (20, 28, 3)
+    # two images of one block each as one image with a restart between them
+    a, b = (java_jpeg(spark, grey[:8, k : k + 8]) for k in (0, 8))
+    spot, size = a[0].index(b"\xff\xda"), a[0].index(b"\xff\xc0") + 5
+    body = [d[d.index(b"\xff\xda") + 10 : -2] for d, _ in (a, b)]
+    head = a[0][:size] + b"\0\x10\0\x08" + a[0][size + 4 : spot] + b"\xff\xdd\0\x04\0\x01" + a[0][spot : spot + 10]
+    both = head + body[0] + b"\xff\xd0" + body[1] + b"\xff\xd9"
+    assert np.abs(media.decode_image(both).astype(int) - np.concatenate([a[1], b[1]])).max() <= 1
+    dark = java_jpeg(spark, np.stack([x, y, x], axis=2).astype(int))[0]
+    film = media.write_avi([shown] * 3 + [dark] * 2, 3, 0)
+    flat = media.encode_frames([bytes([200]) * 64])[0]
+    mixed = media.write_avi([flat, flat, data, both], 3, 0)
+    broken = media.write_avi([shown[: len(shown) * 2 // 3]], 3, 0)
+    rows = spark.createDataFrame([(1, bytearray(film)), (2, bytearray(mixed)), (3, bytearray(broken))], "doc_id long, media binary")
+    found = media.clips(rows).collect()
+    assert [(r.start_ms, r.end_ms, r.error) for r in found if r.doc_id == 1] == [(0, 120, None), (120, 200, None)]
+    assert all(r.error is None for r in found if r.doc_id == 2) and all(r.error for r in found if r.doc_id == 3)
+    # frames that leave the tables out have the standard's
+    assert all(len(t) == 16 + sum(t[:16]) for t in media.STANDARD.values())
+    cut, at = b"", 0
+    while (k := shown.find(b"\xff\xc4", at)) >= 0:
+        cut, at = cut + shown[at:k], k + 2 + int.from_bytes(shown[k + 2 : k + 4], "big")
+    assert (media.decode_image(cut + shown[at:]) == media.decode_image(shown)).all()
+
+
 # --- 8: mixing ---
 
 

@@ -7,6 +7,7 @@ its AC coefficients are zero, so that baseline JPEG keeps it without loss. A fra
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -116,8 +117,29 @@ class Image:
     data: bytes
 
 
+#: The standard's tables, which motion-JPEG frames may leave out: by class and number.
+STANDARD = {
+    0x00: bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, *range(12)]),
+    0x01: bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, *range(12)]),
+    0x10: bytes.fromhex(
+        "0002010303020403050504040000017d01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a"
+        "434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9ca"
+        "d2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+    ),
+    0x11: bytes.fromhex(
+        "00020102040403040705040400010277000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a"
+        "434445464748494a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9ca"
+        "d2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"
+    ),
+}
+#: Where the k-th coefficient of a scan stands in its block.
+ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+_COSINES = np.array([[(0.5 if u else 0.5**1.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+_RESTART, _SCAN_END = re.compile(rb"\xff+[\xd0-\xd7]"), re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
 def parse_jpeg(data: bytes) -> Image:
-    """The parts of a baseline grey JPEG image; ValueError for others."""
+    """The parts of a baseline grey JPEG image of one scan without restarts; ValueError for others."""
     at, scale, size, tables = 2, 8, (0, 0), {}
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG image")
@@ -126,30 +148,207 @@ def parse_jpeg(data: bytes) -> Image:
         body = data[at + 4 : at + 2 + n]
         at += 2 + n
         if marker == 0xDB:
+            if len(body) != 65 or body[0]:
+                raise ValueError("not the one quantisation table of 8 bits")
             scale = body[1]
         elif marker == 0xC0:
-            if body[0] != 8 or body[5] != 1:
-                raise ValueError("only 8-bit grey images are decoded")
+            if body[0] != 8 or body[5] != 1 or body[8]:
+                raise ValueError("not an 8-bit grey image")
             size = struct.unpack(">HH", body[1:5])
         elif marker in (0xC1, 0xC2, 0xC3):
             raise ValueError("only baseline images are decoded")
+        elif marker == 0xDD and any(body):
+            raise ValueError("restarts")
         elif marker == 0xC4:
             while body:
                 m = 17 + sum(body[1:17])
                 tables[body[0]] = body[1:m]
                 body = body[m:]
         elif marker == 0xDA:
-            return Image(size[1], size[0], scale, (tables[0x00], tables[0x10]), data[at : data.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff"))
+            if body[2]:
+                raise ValueError("not the first tables")
+            end = data.rindex(b"\xff\xd9")
+            if _SCAN_END.search(data, at).start() != end:
+                raise ValueError("more than a scan")
+            return Image(size[1], size[0], scale, (tables[0x00], tables[0x10]), data[at:end].replace(b"\xff\x00", b"\xff"))
     raise ValueError("no scan in the image")
 
 
+@dataclass
+class Component:
+    wide: int
+    high: int
+    quant: int
+    blocks: np.ndarray
+
+
+_symbols: dict[bytes, list[int]] = {}
+
+
+def _by_bits(table: bytes) -> list[int]:
+    """By the next 16 bits: length of the code << 8 | its symbol; 0 for no code."""
+    if table not in _symbols:
+        found = np.zeros(1 << 16, np.int64)
+        for code, n, symbol in _table(table[:16], table[16:]):
+            found[code << (16 - n) : (code + 1) << (16 - n)] = n << 8 | symbol
+        _symbols[table] = found.tolist()
+    return _symbols[table]
+
+
+def _read_blocks(data: bytes, units: list[tuple[int, np.ndarray, list[int], list[int]]]) -> None:
+    """Fills blocks (component, its 64 coefficients in the scan's order, DC and AC lookups) from one stretch without restarts."""
+    raw = np.frombuffer(data.replace(b"\xff\x00", b"\xff") + b"\0" * 16, np.uint8).astype(np.int64)
+    window, end, at, before = (raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]).tolist(), 8 * (len(raw) - 16), 0, {}
+    for own, block, dc, ac in units:
+        k = 0
+        while k < 64:
+            if at > end:
+                raise ValueError("a frame is damaged")
+            hit = (ac if k else dc)[(window[at >> 3] >> (16 - (at & 7))) & 0xFFFF]
+            if not hit:
+                raise ValueError("a frame is damaged")
+            at += hit >> 8
+            size = hit & 15
+            if k:
+                if not size and hit & 0xFF != 0xF0:
+                    break
+                k += (hit >> 4) & 15
+            elif hit & 0xFF > 11:
+                raise ValueError("a frame is damaged")
+            if k > 63:
+                raise ValueError("a frame is damaged")
+            value = 0
+            if size:
+                bits = ((window[at >> 3] >> (16 - (at & 7))) & 0xFFFF) >> (16 - size) if at <= end else 0
+                value = bits if bits >> (size - 1) else bits - (1 << size) + 1
+                at += size
+            if k == 0:
+                before[own] = value = before.get(own, 0) + value
+            block[k] = value
+            k += 1
+    if at > end:
+        raise ValueError("a frame is damaged")
+
+
+def _planes(data: bytes) -> tuple[list[np.ndarray], list[tuple[int, int]], tuple[int, int], int | None, bytes]:
+    """Planes of a baseline image as they are coded, their sampling factors, (height, width), Adobe's transform and component names."""
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG image")
+    quant, tables, parts, size, restart, adobe, names, factors, seen, at = {}, dict(STANDARD), [], (0, 0), 0, None, b"", [], set(), 2
+    while at + 2 <= len(data):
+        if data[at] != 0xFF:
+            raise ValueError("a frame is damaged")
+        marker = data[at + 1]
+        if marker == 0xFF:
+            at += 1
+            continue
+        if marker == 0xD9:
+            break
+        n = int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + n]
+        if n < 2 or len(body) != n - 2:
+            raise ValueError("a frame is damaged")
+        at += 2 + n
+        if marker == 0xDB:
+            while body:
+                wide = 2 if body[0] >> 4 else 1
+                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else "u1").astype(np.int64)
+                body = body[1 + 64 * wide :]
+        elif marker in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise ValueError("only images of 8 bits are decoded")
+            size = struct.unpack(">HH", body[1:5])
+            names, factors = body[6::3], [(x >> 4, x & 15) for x in body[7::3]]
+            if len(factors) not in (1, 3) or not size[0] or not size[1] or not all(h and v for h, v in factors):
+                raise ValueError("only images of one or three components are decoded")
+            if len(factors) == 1:
+                factors = [(1, 1)]
+            top, low = max(h for h, _ in factors), max(v for _, v in factors)
+            across, down = -(-size[1] // (8 * top)), -(-size[0] // (8 * low))
+            for (h, v), q in zip(factors, body[8::3], strict=True):
+                parts.append(Component(-(-size[1] * h // top), -(-size[0] * v // low), q, np.zeros((down * v, across * h, 64), np.int64)))
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("only baseline images are decoded")
+        elif marker == 0xC4:
+            while body:
+                m = 17 + sum(body[1:17])
+                tables[body[0]] = body[1:m]
+                body = body[m:]
+        elif marker == 0xDD:
+            restart = int.from_bytes(body[:2], "big")
+        elif marker == 0xEE and body[:5] == b"Adobe":
+            adobe = body[11]
+        elif marker == 0xDA:
+            own = [(names.index(body[1 + 2 * k]), body[2 + 2 * k]) for k in range(body[0])]
+            looks = {c: (_by_bits(tables[t >> 4]), _by_bits(tables[0x10 | t & 15])) for c, t in own}
+            stop = _SCAN_END.search(data, at)
+            if not stop:
+                raise ValueError("a frame is cut off")
+            stretches = _RESTART.split(data[at : stop.start()])
+            at = stop.start()
+            if len(own) == 1:
+                c = own[0][0]
+                units = [[(c, b, *looks[c])] for line in parts[c].blocks[: -(-parts[c].high // 8)] for b in line[: -(-parts[c].wide // 8)]]
+            else:
+                units = [[(c, parts[c].blocks[y * factors[c][1] + j, x * factors[c][0] + i], *looks[c]) for c, _ in own for j in range(factors[c][1]) for i in range(factors[c][0])] for y in range(down) for x in range(across)]
+            step = restart or len(units)
+            if len(stretches) != -(-len(units) // step):
+                raise ValueError("a frame is damaged")
+            for k, stretch in enumerate(stretches):
+                _read_blocks(stretch, [u for unit in units[k * step : (k + 1) * step] for u in unit])
+            seen.update(c for c, _ in own)
+    if not parts or len(seen) != len(parts):
+        raise ValueError("no scan in the image")
+    out = []
+    for p in parts:
+        flat = np.zeros(p.blocks.shape, np.float64)
+        flat[..., ZIGZAG] = p.blocks * quant[p.quant]
+        pixels = np.einsum("ux,yzuv,vw->yxzw", _COSINES, flat.reshape(*flat.shape[:2], 8, 8), _COSINES, optimize=True)
+        high, wide = flat.shape[0] * 8, flat.shape[1] * 8
+        out.append(np.clip(np.rint(pixels.reshape(high, wide) + 128), 0, 255).astype(np.uint8))
+    return out, factors, size, adobe, names
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    """Pixels of a baseline JPEG image, (height, width) if grey, else (height, width, 3) in RGB; chroma is repeated, not smoothed."""
+    planes, factors, (high, wide), adobe, names = _planes(data)
+    top, low = max(h for h, _ in factors), max(v for _, v in factors)
+    full = []
+    for p, (h, v) in zip(planes, factors, strict=True):
+        rows, columns = np.arange(high) * v // low, np.arange(wide) * h // top
+        full.append(p[rows[:, None], columns[None, :]])
+    if len(full) == 1:
+        return full[0]
+    if adobe == 0 or adobe is None and names == b"RGB":
+        return np.stack(full, axis=2)
+    y, cb, cr = full[0].astype(np.float64), full[1] - 128.0, full[2] - 128.0
+    return np.clip(np.rint(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)), 0, 255).astype(np.uint8)
+
+
+def grey_values(data: bytes) -> np.ndarray:
+    """The brightness of each pixel of a baseline JPEG image, row by row."""
+    pixels = decode_image(data)
+    return pixels.ravel() if pixels.ndim == 2 else np.rint(pixels @ np.array([0.299, 0.587, 0.114])).astype(np.uint8).ravel()
+
+
 def decode_frames(images: list[bytes]) -> list[np.ndarray]:
-    """The samples of each image whose blocks are flat, decoded side by side, a block of every image at a time."""
-    parsed = [parse_jpeg(x) for x in images]
+    """The samples of each image whose blocks are flat, decoded side by side, a block of every image at a time.
+
+    Of any other baseline image, the brightness of each pixel.
+    """
+    parsed: list[Image | None] = []
+    for x in images:
+        try:
+            parsed.append(parse_jpeg(x))
+        except (ValueError, IndexError, KeyError, AttributeError):
+            parsed.append(None)
     out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(parsed)
     kinds: dict[tuple, list[int]] = {}
     for k, p in enumerate(parsed):
-        kinds.setdefault((p.tables, p.scale), []).append(k)
+        if p is None or not p.scale or not p.width or not p.height:
+            out[k] = grey_values(images[k])
+        else:
+            kinds.setdefault((p.tables, p.scale), []).append(k)
     for (tables, scale), own in kinds.items():
         if tables not in _lookups:
             _lookups[tables] = _lookup(*tables)
@@ -161,23 +360,22 @@ def decode_frames(images: list[bytes]) -> list[np.ndarray]:
         raw = np.frombuffer(b"".join(parsed[k].data + b"\0\0\0\0" for k in own), np.uint8).astype(np.int64)
         window = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
         at, value = starts[:-1] * 8, np.full(len(own), 128 * 8 // scale, np.int64)
-        samples = np.zeros((int(blocks[0]), len(own)), np.uint8)
+        samples, other = np.zeros((int(blocks[0]), len(own)), np.uint8), np.zeros(len(own), bool)
         live = np.searchsorted(-blocks, -np.arange(1, blocks[0] + 1), side="right")
         for step, m in enumerate(live.tolist()):
-            p = at[:m]
+            p = np.minimum(at[:m], 8 * len(window) - 8)
             hit = table[(window[p >> 3] >> (8 - (p & 7))) & 0xFFFF]
-            if step == 0 or step == blocks[0] - 1:
-                if not hit.all():
-                    raise ValueError("a frame has blocks that aren't flat")
+            if not hit.all():
+                other[:m] |= hit == 0
+                if other[:m].all():
+                    break
             at[:m] += hit >> 16
             value[:m] += (hit & 0xFFFF) - 32768
             samples[step, :m] = value[:m] * scale // 8
-        ends = starts[1:] - 4
-        if ((at + 7) // 8 != ends).any():
-            raise ValueError("a frame is damaged or has blocks that aren't flat")
+        other |= (at + 7) // 8 != starts[1:] - 4
         rows = np.ascontiguousarray(samples.T)
-        for k, row, n in zip(own, rows, blocks.tolist(), strict=True):
-            out[k] = row[:n]
+        for k, row, n, full in zip(own, rows, blocks.tolist(), other.tolist(), strict=True):
+            out[k] = grey_values(images[k]) if full else row[:n]
     return out
 
 
@@ -313,7 +511,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(doc_id, clip, first_frame, last_frame, start_ms, end_ms, error): a row per shot of each AVI file.
 
-    A null or damaged file, or one whose frames aren't flat-block grey baseline JPEG, gives one row with error set.
+    A null or damaged file, or one whose frames aren't grey or three-component baseline JPEG, gives one row with error set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
