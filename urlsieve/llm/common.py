@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +28,28 @@ def cache_of_worker() -> dict:
 
 
 def take_worker(cache: dict | None = None) -> None:
-    """To be called as a task starts: a worker, which Spark reuses, keeps the memory of one operator at a time."""
+    """To be called as a task starts: a worker, which Spark reuses, keeps the memory of one operator at a time.
+
+    What earlier tasks freed goes back to the system, as else it would count against the executor for as long as the
+    worker lives.
+    """
     for other in _CACHES:
         if other is not cache:
             other.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        _trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, each of so many rows and bytes of a string or binary column at most, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, n = 0, batch.num_rows
+    while at < n:
+        before = int(ends[at - 1]) if at else 0
+        upto = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding, with distinct sampled segmentations by Gumbel top-k without replacement.
 
-The lattice of a text has a node per character and an arc per piece. No piece has a space mark after another character, so
-the lattice is a chain of units (space marks and what follows), whose arcs' conditional probabilities are worked out once
-per distinct unit. A text's samples come from an A* search over sets of segmentations, each with the largest perturbed
-log-probability in it as its bound: a set is split at its best member, and the bounds of the parts are Gumbel variables
-cut off at the set's own. The sets popped in turn are the top k of all segmentations' perturbed log-probabilities. Going
-down to a set's best member is a draw by conditional probabilities, which runs for all units of many texts at once.
+The lattice of a text has a node per character and an arc per piece. Characters that no piece holds side by side are cut
+apart, and no piece has a space mark after another character, so the lattice is a chain of units, whose arcs' conditional
+probabilities are worked out once per distinct unit. A text's samples come from an A* search over sets of segmentations,
+each with the largest perturbed log-probability in it as its bound: a set is split at its best member, and the bounds of
+the parts are Gumbel variables cut off at the set's own. The sets popped in turn are the top k of all segmentations'
+perturbed log-probabilities. Going down to a set's best member is a draw by conditional probabilities, which runs for all
+units of many texts at once, and so does the search for the parts of a set that can still matter.
 """
 
 from __future__ import annotations
@@ -23,36 +24,38 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import cache_of_worker, take_worker
+from urlsieve.llm.common import cache_of_worker, slices, take_worker
+from urlsieve.llm.runs import Grown, Runs, code_points, mix, ranges
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Samples a text, noise seed, weight of a piece's log-probability.
 SAMPLES, SEED, THETA = 3, 7, 1.0
-#: Distinct units remembered before all but the first ones are forgotten, how many those are, and texts and characters
-#: sampled at once. Results depend on none of them.
-UNITS, KEEP, TEXTS, CHARS = 180_000, 80_000, 256, 1 << 20
-
+#: Arcs remembered before all but the first ones are forgotten, and how many those are. Results depend on neither.
+ARCS, KEEP = 3_000_000, 1_500_000
+#: Texts and bytes sampled at once, and characters of new units compiled at once. Results depend on none of them.
+TEXTS, BYTES, SLICE = 192, 1 << 19, 1 << 16
+#: Log-probabilities are added up as multiples of this, so that sums don't depend on what else is in a batch.
+GRAIN = 2.0**-32
+#: The farthest that two of uniform()'s Gumbel variables can be apart, and what a scaled sum may sink to.
+SPREAD, LOW = 42.0, 1e-150
 
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _share(key: np.ndarray) -> np.ndarray:
+    return ((mix(key) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 def uniform(key: np.ndarray, *counters) -> np.ndarray:
     """Numbers in (0, 1) that depend on the key and the counters alone."""
     for c, odd in zip(counters, ODD, strict=False):
         key = key + (np.uint64(c * int(odd) & 2**64 - 1) if isinstance(c, int) else c.astype(np.uint64) * odd)
-    return ((_mix(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return _share(key)
 
 
-def gumbel_below(phi, bound, u):
-    """A Gumbel variable of location phi, given that it is at most bound."""
-    return phi - np.log(np.exp(phi - bound) - np.log(u))
+def below(g, bound):
+    """A Gumbel variable g, made into one of the same location that is at most bound."""
+    return -np.logaddexp(-g, -bound)
 
 
 class Lattices:
@@ -74,10 +77,11 @@ class Lattices:
         self.run_of: dict[int, int] = {}
         self.run_size, self.run_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._trie()
+        self._parts()
         self.forget()
 
     def _trie(self) -> None:
-        """Nodes by (parent << 21 | code point) in an open hash table, and each node's piece or -1."""
+        """Nodes by (parent << 21 | code point) in an open hash table, the root's by code point, and each node's piece or -1."""
         nodes: dict[int, int] = {}
         piece = [-1]
         for p, i in self.id_of.items():
@@ -89,18 +93,22 @@ class Lattices:
                     piece.append(-1)
                 at = nodes[key]
             piece[at] = i
-        self.piece = np.array(piece, np.int64)
+        self.piece = np.array(piece, np.int32)
         self.longest = max(map(len, self.id_of))
-        self.bits = (4 * len(nodes)).bit_length()
-        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        self.bits = (8 * len(nodes)).bit_length()
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.top = np.full(0x110000, -1, np.int32)
         keys = np.fromiter(nodes, np.int64, len(nodes))
         for key, to, s in zip(nodes, nodes.values(), self._slot(keys).tolist(), strict=True):
+            if key < 1 << 21:
+                self.top[key] = to
+                continue
             while self.keys[s] >= 0:
                 s = (s + 1) & (len(self.keys) - 1)
             self.keys[s], self.to[s] = key, to
-        self.piece_lp = np.zeros(self.base)
+        self.piece_p = np.zeros(self.base)
         for i, v in self.lp.items():
-            self.piece_lp[i] = v
+            self.piece_p[i] = math.exp(v)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * ODD[0] >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -119,18 +127,43 @@ class Lattices:
             open_ = open_[~hit & (found >= 0)]
         return out
 
+    def _parts(self) -> None:
+        """By code point: 0 for the space mark, 1 for a character that stands with no other in a piece, else its part.
+
+        A part is a component of the characters that pieces hold side by side.
+        """
+        root: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
+        for p in self.id_of:
+            body = p.lstrip(MARK)
+            for a, b in zip(body, body[1:], strict=False):
+                if (a := find(a)) != (b := find(b)):
+                    root[a] = b
+        number: dict[str, int] = {}
+        self.part = np.ones(0x110000, np.uint16)
+        for c in list(root):
+            self.part[ord(c)] = number.setdefault(find(c), len(number) + 2)
+        self.part[ord(MARK)] = 0
+
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.kept: tuple[dict[str, int], int, int] | None = None
-        self.n_nodes = self.n_arcs = 0
-        self.node = np.zeros(1 << 16, np.int64)
-        self.arc_lp, self.arc_cum, self.arc_rest = (np.zeros(1 << 22, np.float32) for _ in range(3))
-        self.arc_to, self.arc_id = np.zeros(1 << 22, np.int32), np.zeros(1 << 22, np.int32)
+        self.node, self.arc_lp, self.arc_cum, self.arc_rest, self.arc_to, self.arc_id = Grown(np.int32), Grown(np.float32), Grown(np.float32), Grown(np.float32), Grown(np.int32), Grown(np.int32)
+        self.node.add(np.zeros(1, np.int32))
+        self.units, self.first = Runs(), Grown(np.int32)
+        self.kept: tuple[int, ...] | None = None
+
+    def _grown(self) -> list[Grown]:
+        return [self.node, self.arc_lp, self.arc_cum, self.arc_rest, self.arc_to, self.arc_id, self.first]
 
     def forget_late(self) -> None:
-        """Forgets what was learned after the first KEEP units, among which the frequent ones are."""
-        at, self.n_nodes, self.n_arcs = self.kept
-        self.at = dict(at)
+        """Forgets what was learned after the first KEEP arcs, among which the frequent units' are."""
+        for held, n in zip(self._grown(), self.kept, strict=True):
+            held.n = n
+        self.units.cut(self.first.n)
 
     def _run(self, point: int) -> int:
         if point not in self.run_of:
@@ -140,207 +173,260 @@ class Lattices:
             self.run_ids = np.concatenate([self.run_ids, ids])
         return self.run_of[point]
 
-    @np.errstate(divide="ignore")
-    def learn(self, units: list[str]) -> None:
-        """Compiles the lattices of new units, all at once. arc_id is a piece's id, or base + k for the k-th byte run."""
-        new = [u for u in dict.fromkeys(units) if u not in self.at]
-        if not new:
-            return
-        points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        n, sizes = len(points), np.array([len(u) for u in new], np.int64)
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        # arcs: (from, to, log-probability, id), found by going down the trie from all characters at once; a character's
-        # arcs get the places after its first one in turn, the longer ones later
-        live, at, arcs, count = np.arange(n), np.zeros(n, np.int64), [], np.zeros(n, np.int64)
-
-        def add(src: np.ndarray, size: int, lp: np.ndarray, ids: np.ndarray) -> None:
-            arcs.append((src, src + size, lp, ids, count[src]))
-            count[src] += 1
+    def units_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The first nodes of all units of the texts, and the number of units of each text; learns new units."""
+        joined = [self.normal(t) for t in texts]
+        sizes = np.fromiter(map(len, joined), np.int64, len(joined))
+        points = code_points("".join(joined))
+        if not len(points):
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        if self.arc_id.n > ARCS and self.kept:
+            self.forget_late()
+        part = self.part[points]
+        cut = np.ones(len(points), bool)
+        # marks go with what follows them
+        cut[1:] = (part[:-1] > 0) & ((part[1:] != part[:-1]) | (part[1:] == 1))
+        edges = np.cumsum(sizes) - sizes
+        cut[edges[sizes > 0]] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(np.append(start, len(points)))
+        n_units = np.searchsorted(start, edges + sizes) - np.searchsorted(start, edges)
+        unit, new = self.units.number(points, start, size)
+        self.learn(points, start[new], size[new])
+        return self.first.of[unit].astype(np.int64), n_units
+
+    def learn(self, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Compiles the lattices of new units, points[start : start + size], SLICE characters at a time."""
+        at, ends = 0, np.cumsum(size)
+        while at < len(size):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + SLICE, side="right")))
+            self._compile(points, start[at:upto], size[at:upto])
+            at = upto
+        if self.kept is None and self.arc_id.n >= KEEP:
+            self.kept = tuple(held.n for held in self._grown())
 
-        for size in range(1, self.longest + 1):
-            at = self._child(at << 21 | points[live + size - 1])
+    @np.errstate(divide="ignore")
+    def _compile(self, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Nodes are numbered by their distance from the unit's end, then by unit, the longest unit first.
+
+        Sums over completions go from the ends on, in plain numbers; those of a unit are scaled up when they get small,
+        since only their ratios count. arc_id is a piece's id, or base + k for the k-th byte run.
+        """
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        n, top = int(size.sum()), int(size[0])
+        levels = np.searchsorted(-size, -np.arange(1, top + 1), side="right")
+        off = np.concatenate([[0], np.cumsum(levels)])  # off[d - 1] + u: the node of unit u at distance d
+        far = np.repeat(np.arange(1, top + 1), levels)
+        unit = np.arange(n) - off[far - 1]
+        point = points[(start + size)[unit] - far].astype(np.int64)
+        live, at, arcs, count = np.arange(n), self.top[point], [], np.zeros(n, np.int64)
+        for step in range(1, self.longest + 1):
+            if step > 1:
+                at = self._child(at.astype(np.int64) << 21 | point[off[far - step] + unit])
             piece = np.where(at >= 0, self.piece[at], -1)
             hit = piece >= 0
-            add(live[hit], size, self.piece_lp[piece[hit]], piece[hit])
-            if size == 1 and not hit.all():
-                odd = live[~hit]
+            lacks = np.flatnonzero(~hit) if step == 1 else ()
+            ids, p = piece[hit], self.piece_p[piece[hit]]
+            src = live[hit]
+            if len(lacks):
                 # a character of one byte is its piece, a longer one a run of them
-                runs = np.array([self.byte[p] if p < 0x80 else self.base + self._run(p) for p in points[odd].tolist()], np.int64)
-                size_of = np.ones(len(runs))
-                size_of[runs >= self.base] = self.run_size[runs[runs >= self.base] - self.base]
-                add(odd, 1, self.fallback * size_of, runs)
-            go = (at >= 0) & (live + size < ends[live])
-            live, at = live[go], at[go]
-        last = np.cumsum(count)
-        first = last - count
-        last -= 1
-        m = int(count.sum())
-        src, dst, lp, ids = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m), np.empty(m, np.int64)
-        for a_src, a_dst, a_lp, a_ids, slot in arcs:
-            place = first[a_src] + slot
-            src[place], dst[place], lp[place], ids[place] = a_src, a_dst, a_lp, a_ids
-        # log-sums of completions, from the units' ends on
-        left = ends - np.arange(n)
-        far = left[src]
-        order = np.argsort(far.astype(np.int16) if left.max() < 2**15 else far, kind="stable")
-        given, prob, beta, cut = np.empty(m), np.empty(m), np.zeros(n + 1), np.concatenate([[0], np.cumsum(np.bincount(far))])
-        beta_of = np.where(dst == ends[src], n, dst)
-        for d in range(1, len(cut) - 1):
-            own = order[cut[d] : cut[d + 1]]
-            if len(own):
-                s = src[own]
-                v = lp[own] + beta[beta_of[own]]
-                start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                size = count[s[start]]
-                top = np.maximum.reduceat(v, start)
-                e = np.exp(v - np.repeat(top, size))
-                total = np.add.reduceat(e, start)
-                beta[s[start]] = b = top + np.log(total)
-                given[own], prob[own] = v - np.repeat(b, size), e / np.repeat(total, size)
+                runs = np.array([self.byte[x] if x < 0x80 else self.base + self._run(x) for x in point[lacks].tolist()], np.int64)
+                wide = np.ones(len(runs))
+                wide[runs >= self.base] = self.run_size[runs[runs >= self.base] - self.base]
+                src, ids, p = np.arange(n), piece.copy(), self.piece_p[piece]
+                ids[lacks], p[lacks] = runs, np.exp(self.fallback * wide)
+                hit = np.ones(n, bool)
+            left = far[hit] - step
+            arcs.append((src, np.where(left > 0, off[left - 1] + unit[hit], n + unit[hit]), ids, p, count[src]))
+            count[src] += 1
+            go = (at >= 0) & (far > step)
+            live, at, far, unit = live[go], at[go], far[go], unit[go]
+            if not len(live):
+                break
+        first = np.concatenate([[0], np.cumsum(count)])
+        m = int(first[-1])
+        dst, ids, p = np.empty(m, np.int64), np.empty(m, np.int32), np.empty(m)
+        for a_src, a_dst, a_ids, a_p, slot in arcs:
+            place = first[a_src + 1] - 1 - slot  # the longest first: it is the likeliest, and draws begin there
+            dst[place], ids[place], p[place] = a_dst, a_ids, a_p
+        del arcs
+        total, whole, v = np.ones(n + len(size)), np.empty(n), p
+        for d in range(1, top + 1):
+            a, z = int(off[d - 1]), int(off[d])
+            begin, end = int(first[a]), int(first[z])
+            v[begin:end] *= total[dst[begin:end]]
+            total[a:z] = whole[a:z] = sums = np.add.reduceat(v[begin:end], first[a:z] - begin)
+            if sums.min() < LOW:
+                for u in np.flatnonzero(sums < LOW).tolist():
+                    total[[off[x - 1] + u if x else n + u for x in range(d, max(d - self.longest, -1), -1)]] /= LOW
+        whole = np.repeat(whole, count)
+        prob = v / whole
         run = np.cumsum(prob)
-        cum = run - np.repeat(run[first] - prob[first], count)
+        cum = run - np.repeat(run[first[:-1]] - prob[first[:-1]], count)
+        last = first[1:] - 1
         cum[last] = 2.0
-        single = first[first == last]
-        given[single], prob[single] = 0.0, 1.0
-        rest = np.log1p(-np.minimum(prob, 1.0))
-        base, n_arcs = self.n_nodes, self.n_arcs
-        for name, values, count in (("node", n_arcs + last + 1, base + 1), ("arc_lp", given, n_arcs), ("arc_cum", cum, n_arcs), ("arc_rest", rest, n_arcs), ("arc_to", np.where(dst == ends[src], -1, base + dst), n_arcs), ("arc_id", ids, n_arcs)):
-            held = getattr(self, name)
-            if count + len(values) > len(held):
-                held = np.concatenate([held, np.zeros(max(len(held), len(values)), held.dtype)])
-                setattr(self, name, held)
-            held[count : count + len(values)] = values
-        self.at.update(zip(new, (base + np.cumsum(sizes) - sizes).tolist(), strict=True))
-        self.n_nodes, self.n_arcs = base + n, n_arcs + m
-        if self.kept is None and len(self.at) >= KEEP:
-            self.kept = (dict(self.at), self.n_nodes, self.n_arcs)
-
-    def descend(self, node: np.ndarray, key: np.ndarray, lane: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
+        single = first[:-1][count == 1]
+        prob[single] = 1.0
+        # what the others at the node have; where one arc has most, their sum is taken without it
+        big = prob > 0.5
+        others = np.where(big, np.repeat(np.add.reduceat(np.where(big, 0.0, v), first[:-1]), count), whole - v)
+        base, base_arc = self.node.n - 1, self.arc_id.n
+        self.node.add(first[1:] + base_arc)
+        self.arc_lp.add(np.log(prob))
+        self.arc_cum.add(cum)
+        self.arc_rest.add(np.log(others / whole))
+        self.arc_to.add(np.where(dst < n, base + dst, -1))
+        self.arc_id.add(ids)
+        node = np.empty(len(size), np.int64)
+        node[order] = base + off[size - 1] + np.arange(len(size))
+        self.first.add(node)
+
+    def descend(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws arcs from each node to its unit's end: (arcs, number of arcs of each lane), lanes one after another."""
-        live, count = np.arange(len(node)), np.zeros(len(node), np.int64)
-        taken, step = [], 0
-        node = node.copy()
-        while len(live):
-            u = uniform(key[live], draw, lane[live], step)
-            arc = self.node[node[live]]
-            late = np.flatnonzero(self.arc_cum[arc] <= u)
+        count, lane = np.zeros(len(node), np.int64), np.arange(len(node))
+        taken, first, cum, next_ = [], self.node.of, self.arc_cum.of, self.arc_to.of
+        while len(lane):
+            u = _share(key)
+            arc = first[node]
+            late = np.flatnonzero(cum[arc] <= u)
             while len(late):
-                arc[late] += 1
-                late = late[self.arc_cum[arc[late]] <= u[late]]
-            taken.append((live, arc))
-            count[live] += 1
-            to = self.arc_to[arc]
-            live, to = live[to >= 0], to[to >= 0]
-            node[live] = to
-            step += 1
-        first = np.cumsum(count) - count
+                arc[late] = more = arc[late] + 1
+                late = late[cum[more] <= u[late]]
+            taken.append((lane, arc))
+            to = next_[arc]
+            go = to >= 0
+            count[lane] += 1
+            lane, node, key = lane[go], to[go], key[go] + ODD[2]
+        begin = np.cumsum(count) - count
         out = np.zeros(int(count.sum()), np.int64)
         for step, (lanes, arc) in enumerate(taken):
-            out[first[lanes] + step] = arc
+            out[begin[lanes] + step] = arc
         return out, count
 
     def normal(self, text: str) -> str:
         return self.sp.normalize(text) if text else ""
 
-    @np.errstate(over="ignore", divide="ignore", invalid="ignore")
     def sample(self, texts: list[str], keys: np.ndarray, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k samples (ids, log-probability, perturbed log-probability, log inclusion), best first."""
-        if len(self.at) > UNITS:
-            self.forget_late()
-        units = [UNIT.findall(self.normal(t)) for t in texts]
-        self.learn([u for x in units for u in x])
-        first = [np.fromiter(map(self.at.__getitem__, x), np.int64, len(x)) for x in units]
-        size = len(texts)
-        bound = -np.log(-np.log(uniform(keys, 0, 0, 0)))
-        paths: list[list[tuple]] = [[] for _ in range(size)]
+        owner, ids, ends, *scores = self.samples(texts, keys, k)
+        out: list[list[tuple]] = [[] for _ in texts]
+        for d, a, z, *score in zip(owner.tolist(), ends[:-1].tolist(), ends[1:].tolist(), *(x.tolist() for x in scores), strict=True):
+            out[d].append((ids[a:z], *score))
+        return out
+
+    @np.errstate(over="ignore", divide="ignore", invalid="ignore")
+    def samples(self, texts: list[str], keys: np.ndarray, k: int = SAMPLES) -> tuple[np.ndarray, ...]:
+        """(text, ids of all rows, the rows' ends, log-probability, perturbed log-probability, log inclusion), by text, best first."""
+        first, n_units = self.units_of(texts)
+        size, unit_at = len(texts), np.cumsum(n_units) - n_units
+        arcs, owner, before = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        # of each path: its text, place in the arrays above and size, log-probability and perturbed one
+        paths: list[tuple[np.ndarray, ...]] = []
         heaps: list[list[tuple]] = [[] for _ in range(size)]
-        # what to go down from: (text, bound, parent path, arcs of it kept, arc taken there or -1)
-        todo = [(d, float(bound[d]), -1, 0, -1) for d in range(size)]
+        # what to go down from: text, bound, start of the parent path, arcs of it kept, arc taken there
+        d, bound, parent, at, arc = np.arange(size), -np.log(-np.log(uniform(keys, 0, 0, 0))), None, np.zeros(size, np.int64), None
         for draw in range(1, k + 1):
-            node, key, lane, lanes = [], [], [], []
-            for d, _, parent, at, arc in todo:
-                begun, unit = -1, 0
-                if parent >= 0:
-                    begun, unit = int(self.arc_to[arc]), int(paths[d][parent][1][at]) + 1
-                start = first[d][unit:]
-                own = np.concatenate([[begun], start]) if begun >= 0 else start
-                node.append(own)
-                lane.append(np.arange(len(first[d]) - len(own), len(first[d])))
-                key.append(np.full(len(own), keys[d], np.uint64))
-                lanes.append(len(own))
-            arcs, count = self.descend(np.concatenate(node), np.concatenate(key), np.concatenate(lane), draw)
-            unit_of = np.repeat(np.concatenate(lane), count)
+            begun, unit, head = np.full(len(d), -1), np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
+            if parent is not None:
+                begun, unit, head = self.arc_to.of[arc].astype(np.int64), owner[parent + at] + 1, at + 1
+            lanes = n_units[d] - unit + (begun >= 0)
+            lane = ranges(n_units[d] - lanes, lanes)
+            node = first[np.repeat(unit_at[d], lanes) + lane] if len(lane) else np.zeros(0, np.int64)
+            node[(np.cumsum(lanes) - lanes)[begun >= 0]] = begun[begun >= 0]
+            key = np.repeat(keys[d] + np.uint64(draw) * ODD[0], lanes) + lane.astype(np.uint64) * ODD[1]
+            tail, count = self.descend(node, key)
             edges = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(lanes)])]
-            for (d, value, parent, at, arc), a, z in zip(todo, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                tail, owner = arcs[a:z], unit_of[a:z]
-                if parent >= 0:
-                    old = paths[d][parent]
-                    tail, owner = np.concatenate([old[0][:at], [arc], tail]), np.concatenate([old[1][: at + 1], owner])
-                lps = self.arc_lp[tail].astype(np.float64)
-                before = np.concatenate([[0.0], np.cumsum(lps)])
-                paths[d].append((tail, owner, before, value))
-                fresh = at + 1 if parent >= 0 else 0
-                rest = before[fresh:-1] + self.arc_rest[tail[fresh:]]
-                spots = np.arange(fresh, len(tail))
-                value_at = gumbel_below(rest, value, uniform(keys[d : d + 1], 1000 + draw, spots))
-                # the frontier needs no more of this path's sets than are still to be popped, and one for the threshold
-                need = k + 1 - draw
-                best = np.argpartition(-value_at, need)[:need] if len(spots) > need else np.arange(len(spots))
-                for i in best.tolist():
-                    if value_at[i] > -np.inf:
-                        heapq.heappush(heaps[d], (-float(value_at[i]), len(paths[d]) - 1, fresh + i, (int(tail[fresh + i]),)))
+            tails = np.diff(edges)
+            sizes = head + tails
+            begin = np.cumsum(sizes) - sizes
+            spot = ranges(begin + head, tails)
+            new_arcs, new_owner = np.empty(int(sizes.sum()), np.int64), np.empty(int(sizes.sum()), np.int64)
+            new_arcs[spot], new_owner[spot] = tail, np.repeat(lane, count)
+            if parent is not None:
+                old, to = ranges(parent, at + 1), ranges(begin, at + 1)
+                new_arcs[to], new_owner[to] = arcs[old], owner[old]
+                new_arcs[begin + at] = arc
+            steps = np.rint(self.arc_lp.of[new_arcs] / GRAIN).astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(steps)])
+            new_before = (upto[:-1] - np.repeat(upto[begin], sizes)) * GRAIN
+            phi = (upto[begin + sizes] - upto[begin]) * GRAIN
+            base = len(arcs)
+            paths.append((d, base + begin, sizes, phi, bound))
+            # each later arc could be left out: a set with the rest of its node's probability. Of this path's sets the frontier
+            # needs no more than are still to be popped, and one for the threshold; among the first few sets so many are as
+            # large that far smaller ones can't be among them, whatever their noise
+            need = k + 1 - draw
+            rest = new_before[spot] + self.arc_rest.of[tail]
+            if len(rest):
+                few = np.arange(min(32, int(tails.max())) + need)
+                look = np.where(few < tails[:, None], rest[np.minimum(edges[:-1, None] + few, len(rest) - 1)], -np.inf)
+                floor = -np.partition(-look, need - 1, axis=1)[:, need - 1] - SPREAD
+                own = np.flatnonzero((rest >= np.repeat(floor, tails)) & (rest > -np.inf))
+                which = np.searchsorted(edges, own, side="right") - 1
+                place = head[which] + own - edges[which]
+                g = rest[own] - np.log(-np.log(uniform(keys[d[which]], 1000 + draw, place)))
+                for _ in range(need):
+                    if not len(own):
+                        break
+                    runs = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+                    best = np.repeat(np.maximum.reduceat(g, runs), np.diff(np.append(runs, len(g))))
+                    hit = np.flatnonzero(g == best)
+                    for i, x, p, a in zip(which[hit].tolist(), below(g[hit], bound[which[hit]]).tolist(), place[hit].tolist(), tail[own[hit]].tolist(), strict=True):
+                        heapq.heappush(heaps[int(d[i])], (-x, base + int(begin[i]), p, (a,)))
+                    left = g != best
+                    own, which, place, g = own[left], which[left], place[left], g[left]
+            arcs, owner, before = np.concatenate([arcs, new_arcs]), np.concatenate([owner, new_owner]), np.concatenate([before, new_before])
             if draw == k:
                 break
-            todo = []
-            for d in range(size):
-                if not heaps[d]:
-                    continue
-                value, parent, at, gone = heapq.heappop(heaps[d])
-                value = -value
-                arc = paths[d][parent][0][at]
-                # all arcs of the node at which the set branches off
-                n = int(np.searchsorted(self.node[: self.n_nodes + 1], arc, side="right")) - 1
-                open_ = [x for x in range(int(self.node[n]), int(self.node[n + 1])) if x not in gone]
-                lp = self.arc_lp[open_].astype(np.float64)
-                p = np.exp(lp - lp.max())
-                u = uniform(keys[d : d + 1], 2000 + draw, int(at))[0]
-                pick = min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(open_) - 1)
-                left = np.delete(lp, pick)
-                if len(left):
-                    phi = paths[d][parent][2][at] + left.max() + np.log(np.exp(left - left.max()).sum())
-                    v = float(gumbel_below(phi, value, uniform(keys[d : d + 1], 3000 + draw, int(at))[0]))
-                    if v > -np.inf:
-                        heapq.heappush(heaps[d], (-v, parent, at, (*gone, open_[pick])))
-                todo.append((d, value, parent, at, open_[pick]))
-            if not todo:
+            popped = [(x, *heapq.heappop(heaps[x])) for x in range(size) if heaps[x]]
+            if not popped:
                 break
-        out = []
-        for d in range(size):
-            kappa = -heaps[d][0][0] if heaps[d] else -math.inf
-            rows = []
-            for tail, _, before, value in paths[d]:
-                phi = float(before[-1])
-                x = phi - kappa
-                inclusion = 0.0 if x > 30 else x if x < -30 else math.log(-math.expm1(-math.exp(x)))
-                rows.append((self._ids(tail), phi, value, inclusion))
-            out.append(rows)
-        return out
-
-    def _ids(self, arcs: np.ndarray) -> np.ndarray:
-        ids = self.arc_id[arcs]
+            d, parent, at = (np.array([x[c] for x in popped], np.int64) for c in (0, 2, 3))
+            bound, arc = np.array([-x[1] for x in popped]), np.zeros(len(popped), np.int64)
+            # all arcs of the node at which the set branches off
+            n = np.searchsorted(self.node.of[: self.node.n], arcs[parent + at], side="right") - 1
+            picks, noise = uniform(keys[d], 2000 + draw, at).tolist(), uniform(keys[d], 3000 + draw, at).tolist()
+            rows = zip(popped, self.node.of[n].tolist(), self.node.of[n + 1].tolist(), picks, noise, before[parent + at].tolist(), strict=True)
+            for j, ((x, value, path, spot_of, gone), lo, hi, u, v, upon) in enumerate(rows):
+                open_ = [(a, lp) for a, lp in zip(range(lo, hi), self.arc_lp.of[lo:hi].tolist(), strict=True) if a not in gone]
+                top = max(lp for _, lp in open_)
+                open_ = [(a, math.exp(lp - top)) for a, lp in open_]
+                mark = u * math.fsum(p for _, p in open_)
+                pick = 0
+                while pick < len(open_) - 1 and mark >= open_[pick][1]:
+                    mark -= open_[pick][1]
+                    pick += 1
+                arc[j] = open_[pick][0]
+                left = math.fsum(p for y, (_, p) in enumerate(open_) if y != pick)
+                if left > 0:
+                    heapq.heappush(heaps[x], (-float(below(upon + top + math.log(left) - math.log(-math.log(v)), -value)), path, spot_of, (*gone, open_[pick][0])))
+        kappa = np.array([-h[0][0] if h else -math.inf for h in heaps])
+        text, start, sizes, phi, value = (np.concatenate(x) for x in zip(*paths, strict=True))
+        order = np.argsort(text, kind="stable")
+        text, start, sizes, phi, value = text[order], start[order], sizes[order], phi[order], value[order]
+        x = phi - kappa[text]
+        inclusion = np.where(x > 30, 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.clip(x, -30, 30))))))
+        ids, ends = self._ids(arcs[ranges(start, sizes)], np.concatenate([[0], np.cumsum(sizes)]))
+        return text, ids, ends, phi, value, inclusion
+
+    def _ids(self, arcs: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these arcs, byte runs spelled out, and where the rows end among them."""
+        ids = self.arc_id.of[arcs]
         if not len(ids) or ids.max() < self.base:
-            return ids
+            return ids, ends
         runs = np.flatnonzero(ids >= self.base)
         which = ids[runs] - self.base
         size = np.ones(len(ids), np.int64)
         size[runs] = self.run_size[which]
         out = np.repeat(ids, size)
-        start = (np.cumsum(size) - size)[runs]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        start = upto[runs]
         begin = (np.cumsum(self.run_size) - self.run_size)[which]
         for k in range(int(size.max())):
             some = self.run_size[which] > k
             out[start[some] + k] = self.run_ids[begin[some] + k]
-        return out
+        return out, upto[ends]
 
 
 _lattices = cache_of_worker()
@@ -356,7 +442,7 @@ def lattices(path: str, theta: float = THETA) -> Lattices:
 def row_keys(ids: list[int | None], seed: int) -> np.ndarray:
     plain = np.array([0 if x is None else x for x in ids], np.int64).view(np.uint64)
     null = np.array([x is None for x in ids], np.uint64)
-    return _mix(_mix(plain + np.uint64(seed)) + null)
+    return mix(mix(plain + np.uint64(seed)) + null)
 
 
 def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, theta: float = THETA, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,23 +459,15 @@ def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, thet
         take_worker(_lattices)
         lattice = lattices(model, theta)
         for batch in batches:
-            doc, text = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(text):
-                upto, n = at, 0
-                while upto < len(text) and upto - at < TEXTS and (upto == at or n + len(text[upto]) <= CHARS):
-                    n += len(text[upto])
-                    upto += 1
-                found = lattice.sample(text[at:upto], row_keys(doc[at:upto], seed), k)
-                rows = [(d, r, *x) for d, xs in zip(doc[at:upto], found, strict=True) for r, x in enumerate(xs)]
-                flat = np.concatenate([np.zeros(0, np.int64), *[x[2] for x in rows]]).astype(np.int32)
-                ends = np.cumsum([0] + [len(x[2]) for x in rows]).astype(np.int32)
-                back = [pa.array(lattice.sp.decode([x[2].tolist() for x in rows], num_threads=1), pa.string())] if decoded else []
+            for part in slices(batch, 1, TEXTS, BYTES):
+                doc = part.column(0).to_pylist()
+                text, ids, ends, *scores = lattice.samples([t or "" for t in part.column(1).to_pylist()], row_keys(doc, seed), k)
+                rank = np.arange(len(text)) - np.searchsorted(text, text)
+                back = [pa.array([lattice.sp.decode(ids[a:z].tolist()) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.ListArray.from_arrays(ends, flat), *[pa.array([x[c] for x in rows], pa.float64()) for c in (3, 4, 5)], *back],
+                    [part.column(0).take(pa.array(text)), pa.array(rank, pa.int32()), pa.ListArray.from_arrays(ends.astype(np.int32), ids.astype(np.int32)), *map(pa.array, scores), *back],
                     ["doc_id", "rank", "ids", "log_prob", "perturbed", "log_inclusion", *["text"] * decoded],
                 )
-                at = upto
 
     kind = "doc_id long, rank int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", text string" * decoded
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kind)
