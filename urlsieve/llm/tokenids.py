@@ -10,10 +10,12 @@ percentile of the block. All numbers are little-endian; bits are packed least fi
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -24,21 +26,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from urlsieve.llm.common import cache_of_worker, scratch, take_worker, written
+from urlsieve.llm.common import cache_of_worker, scratch, slices, take_worker, written
+from urlsieve.llm.runs import Grown, Runs, code_points, ranges
 
 MAGIC = int.from_bytes(b"PFORIDS1", "little")
 BLOCK = 1024
 PERCENTILE = 0.9
 END_ID = 0
-#: Pre-tokens whose ids a worker remembers; at this number it forgets them all. Results don't depend on it.
-MEMO = 400_000
+#: Pre-tokens whose ids a worker remembers; at this number it forgets them all. Texts and bytes encoded at once. Results
+#: don't depend on them.
+MEMO, TEXTS, BYTES = 400_000, 1024, 1 << 20
 #: Ids packed at once, and blocks unpacked at once.
 CHUNK, AT_ONCE = 1 << 19, 512
 #: Characters on whose classes all Unicode versions and both regular-expression libraries agree.
 SAFE = re.compile("[\t\n\r\x20-\x7e¡-ſΑ-ΡΣ-ωА-я–—‘’“”…ぁ-んァ-ヶ一-龥가-힣]*")
-#: The letters and numbers among them, and the byte-level pre-tokenizer's pattern for such texts.
+#: The letters and numbers among them.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſΑ-ΡΣ-ωА-яぁ-んァ-ヶ一-龥가-힣", "0-9²³¹¼-¾"
-PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+#: Classes of characters.
+OTHER, LETTER, NUMBER, BLANK, WHITE = range(5)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,69 +53,116 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Seen(dict):
-    """Numbers the words that it is asked for, and lists the new ones."""
+def _classes() -> np.ndarray:
+    kind = np.zeros(0x10000, np.uint8)
+    every = "".join(map(chr, range(0xD800)))
+    for number, chars in ((LETTER, _LETTERS), (NUMBER, _NUMBERS)):
+        for m in re.finditer(f"[{chars}]", every):
+            kind[ord(m[0])] = number
+    kind[[ord(c) for c in "\t\n\r"]] = WHITE
+    kind[ord(" ")] = BLANK
+    return kind
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = k = len(self)
-        return k
+_CLASS = _classes()
+
+
+def pre_tokens(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where the byte-level pre-tokens of SAFE texts start, the texts standing one after another, each from its edge on.
+
+    A pre-token is a contraction's end ('s 't 're 've 'm 'll 'd), or an optional blank and a run of letters, of numbers or
+    of others, or white space: a run of it leaves its last character to what follows.
+    """
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _CLASS[points]
+    space, fresh = kind >= BLANK, np.zeros(n + 1, bool)
+    fresh[edges] = fresh[n] = True
+    before, after = np.empty_like(kind), np.empty(n, bool)
+    before[0], before[1:] = WHITE, kind[:-1]
+    before[fresh[:n]] = WHITE
+    after[:-1], after[-1] = space[1:], True
+    after |= fresh[1:]  # so the end of a text is like white space
+    start = np.where(space, (before < BLANK) | ~after, (kind != before) & (before != BLANK))
+    start |= fresh[:n]
+    quote = np.flatnonzero((points == ord("'")) & start & (before != BLANK))
+    if len(quote):
+        edge = np.flatnonzero(fresh)
+        room = edge[np.searchsorted(edge, quote, side="right")] - quote
+        far = np.append(points, [0, 0])
+        a, b = np.where(room > 1, far[quote + 1], 0), np.where(room > 2, far[quote + 2], 0)
+        two = np.isin(a, [ord(c) for c in "stmd"])
+        three = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        start[quote[two] + 1] = start[quote[three] + 1] = start[quote[three] + 2] = False
+        ends = np.concatenate([quote[two] + 2, quote[three] + 3])
+        ends = ends[ends < n]
+        start[ends[~space[ends]]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
     """The tokenizers library's ids of whole texts; the model runs once per distinct pre-token while it is remembered.
 
-    A text with an added token's string or a character outside SAFE goes through the library as a whole.
+    A text with an added token's string or a character outside SAFE goes through the library as a whole, and so does any
+    text if the tokenizer is another than plain byte-level BPE.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = PRE_TOKEN.findall
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = {b: c for b, c in _byte_letters().items()}
+        kind = json.loads(self.tokenizer.to_str())
+        cut, model = kind["pre_tokenizer"] or {}, kind["model"]
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback") if model.get(k)]
+        tokens = [t for t in kind["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and kind["normalizer"]]
+        self.by_word = all(cut.get(k) == v for k, v in plain.items()) and model["type"] == "BPE" and not (odd or tokens or kind["normalizer"] or kind["post_processor"] or kind["truncation"] or kind["padding"])
+        self.added = [t["content"] for t in kind["added_tokens"]]
+        self.letters = _byte_letters()
+        self.words = Runs()
         self.forget()
 
     def forget(self) -> None:
-        self.at = _Seen()
-        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self) -> None:
-        model, letters = self.tokenizer.model, self.letters
-        new, ends, end = [], [], int(self.start[-1])
-        for w in self.at.new:
-            found = [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))]
-            new += found
-            ends.append(end := end + len(found))
-        self.at.new.clear()
-        if ends:
-            self.start = np.concatenate([self.start, np.array(ends, np.int64)])
-            self.ids = np.concatenate([self.ids, np.array(new, np.uint32)])
+        self.words.forget()
+        self.start, self.ids = Grown(np.int64), Grown(np.uint32)
+        self.start.add(np.zeros(1, np.int64))
+
+    def _learn(self, words: list[str]) -> None:
+        tokenize = self.tokenizer.model.tokenize
+        wide = np.array([len(w.encode()) for w in words], np.int64)
+        spelled, ends = "".join(words).encode().decode("latin-1").translate(self.letters), np.cumsum(wide)
+        found = [[t.id for t in tokenize(spelled[a:z])] for a, z in zip((ends - wide).tolist(), ends.tolist(), strict=True)]
+        self.start.add(self.ids.n + np.cumsum([len(x) for x in found]))
+        self.ids.add(np.fromiter(chain.from_iterable(found), np.uint32))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text's ids."""
-        if len(self.at) > MEMO:
+        if len(self.words) > MEMO:
             self.forget()
-        words, counts, whole = [], np.zeros(len(texts), np.int64), {}
+        whole, plain = {}, []
         for k, t in enumerate(texts):
-            if SAFE.fullmatch(t) and not any(a in t for a in self.added):
-                found = self.split(t)
-                counts[k] = len(found)
-                words += found
+            if self.by_word and SAFE.fullmatch(t) and not any(a in t for a in self.added):
+                plain.append(k)
             else:
                 whole[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-        which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        self._learn()
-        n = self.start[which + 1] - self.start[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(self.start[which] - ends[:-1], n) + np.arange(ends[-1])]
-        edges = ends[np.concatenate([[0], np.cumsum(counts)])]
+        flat = "".join(texts[k] for k in plain)
+        points = code_points(flat)
+        sizes = np.array([len(texts[k]) for k in plain], np.int64)
+        edges = np.cumsum(sizes) - sizes
+        start = pre_tokens(points, edges[sizes > 0])
+        size = np.diff(np.append(start, len(points)))
+        which, new = self.words.number(points, start, size)
+        if len(new):
+            self._learn([flat[a:z] for a, z in zip(start[new].tolist(), (start + size)[new].tolist(), strict=True)])
+        first = self.start.of[which]
+        n = self.start.of[which + 1] - first
+        ids = self.ids.of[ranges(first, n)]
+        counts = np.zeros(len(texts), np.int64)
+        cut = np.concatenate([[0], np.cumsum(n)])
+        counts[plain] = cut[np.searchsorted(start, edges + sizes)] - cut[np.searchsorted(start, edges)]
         if not whole:
-            return ids, np.diff(edges)
-        parts = [whole.get(k, ids[edges[k] : edges[k + 1]]) for k in range(len(texts))]
+            return ids, counts
+        upto = np.cumsum(counts)
+        parts = [whole[k] if k in whole else ids[upto[k] - counts[k] : upto[k]] for k in range(len(texts))]
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
@@ -124,6 +176,39 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _packed(rows: np.ndarray, w: int) -> np.ndarray:
+    """The low w bits of each row's numbers as the row's bytes: 64 numbers fill w words of 64 bits."""
+    k, n = rows.shape
+    groups = -(-n // 64)
+    x = np.zeros((k, groups * 64), np.uint64)
+    x[:, :n] = rows & np.uint32((1 << w) - 1)
+    x = np.ascontiguousarray(x.reshape(k * groups, 64).T)
+    out = np.zeros((w + 1, k * groups), np.uint64)
+    for j in range(64):
+        at, shift = divmod(j * w, 64)
+        out[at] |= x[j] << np.uint64(shift)
+        if shift + w > 64:
+            out[at + 1] |= x[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out[:w].T).astype("<u8").view(np.uint8).reshape(k, groups * w * 8)[:, : (n * w + 7) // 8]
+
+
+def _unpacked(rows: np.ndarray, n: int, w: int) -> np.ndarray:
+    """The n numbers of w bits that each row of bytes holds."""
+    k, groups = len(rows), -(-n // 64)
+    raw = np.zeros((k, groups * w * 8), np.uint8)
+    raw[:, : rows.shape[1]] = rows
+    words = np.zeros((w + 1, k * groups), np.uint64)
+    words[:w] = raw.view("<u8").reshape(k * groups, w).T
+    out = np.empty((64, k * groups), np.uint32)
+    for j in range(64):
+        at, shift = divmod(j * w, 64)
+        x = words[at] >> np.uint64(shift)
+        if shift + w > 64:
+            x |= words[at + 1] << np.uint64(64 - shift)
+        out[j] = x & np.uint64((1 << w) - 1)
+    return np.ascontiguousarray(out.T).reshape(k, groups * 64)[:, :n]
+
+
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     """The blocks of ids; all are full but perhaps the last."""
     out: list[bytes] = [b""] * (len(ids) // BLOCK + (len(ids) % BLOCK > 0))
@@ -138,8 +223,7 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
         for w in np.unique(width):
             own = np.flatnonzero(width == w)
             part = far[own]
-            bits = (part[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(own), n * int(w)), axis=1, bitorder="little")
+            packed = _packed(part, int(w))
             high = part >> np.uint32(w) if w < 32 else np.zeros_like(part)
             for k, b in enumerate(own):
                 spots = np.flatnonzero(high[k])
@@ -157,10 +241,7 @@ def unpack(data: bytes | memoryview, starts: np.ndarray) -> np.ndarray:
     for (w, n), own in kinds.items():
         size = (n * w + 7) // 8
         rows = np.stack([np.frombuffer(data, np.uint8, size, starts[k] + 10) for k in own])
-        bits = np.unpackbits(rows, axis=1, count=n * w, bitorder="little").reshape(len(own), n, w)
-        ids = np.zeros((len(own), n), np.uint32)
-        for j in range(w):
-            ids |= bits[:, :, j].astype(np.uint32) << np.uint32(j)
+        ids = _unpacked(rows, n, w)
         for row, k in zip(ids, own, strict=True):
             s = starts[k]
             m = int.from_bytes(data[s + 8 : s + 10], "little")
@@ -235,14 +316,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None =
         uri = f"{folder}/ids-{k:05d}-{uuid.uuid4().hex}.pfor"
         shard, encode = Shard(uri), encoder(tokenizer)
         for batch in batches:
-            doc = batch.column(0)
-            for at in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
-                ids, counts = encode(texts)
+            for part in slices(batch, 1, TEXTS, BYTES):
+                ids, counts = encode(part.column(1).to_pylist())
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
                     counts = counts + 1
-                own = doc.slice(at, 256)
+                own = part.column(0)
                 shard.add(ids, own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False), counts)
         n_docs, n_ids, size = shard.close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "path": [uri], "n_docs": [n_docs], "n_tokens": [n_ids], "bytes": [size]})
