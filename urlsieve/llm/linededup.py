@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import WORD, written
+from urlsieve.llm.common import WORD, free, quoted, scope, written
 
 SPAN = 3
 
@@ -15,8 +15,9 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
 
     h1 and h2 are 128 bits of hash of the lines; id and th (the text's hash) name the document, pos the first line.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), lines.alias("lines"))
+    text = F.col(quoted(text_col))
+    lines = F.split(text, "\n", -1)
+    rows = docs.where(text.isNotNull()).select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("th"), lines.alias("lines"))
     rows = rows.select("id", "th", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), x.rlike(WORD).alias("w"))).alias("l"))
 
     def window(i):
@@ -34,32 +35,37 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     document covers only what lies beyond it. First occurrences are aggregated on the map side; the join that finds the
     others has one row per window on one side, so that AQE splits a window that very many documents share.
     """
-    found = written(windows(docs, id_col, text_col, span), "windows")
-    at = F.struct("id", "th", "pos")
-    first = found.groupBy("h1", "h2").agg(F.min(at).alias("f"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "f")
-    later = found.join(first, ["h1", "h2"]).where(at > F.col("f"))
-    own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
-    start = F.when(own, F.greatest("pos", F.col("f.pos") + span)).otherwise(F.col("pos"))
-    spot = later.select("id", "th", F.explode(F.sequence(start, F.col("pos") + span - 1)).alias("at"))
-    return spot.groupBy("id", "th").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    with scope(docs.sparkSession) as keep:
+        found = written(windows(docs, id_col, text_col, span), "windows")
+        at = F.struct("id", "th", "pos")
+        first = found.groupBy("h1", "h2").agg(F.min(at).alias("f"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "f")
+        later = found.join(first, ["h1", "h2"]).where(at > F.col("f"))
+        own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
+        start = F.when(own, F.greatest("pos", F.col("f.pos") + span)).otherwise(F.col("pos"))
+        spot = later.select("id", "th", F.explode(F.sequence(start, F.col("pos") + span - 1)).alias("at"))
+        return keep(written(spot.groupBy("id", "th").agg(F.sort_array(F.collect_set("at")).alias("gone")), "covered"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """docs with text cleaned, and n_lines, n_removed, removed (the line positions, sorted); a row per row.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, names: tuple[str, str, str] = ("n_lines", "n_removed", "removed")) -> DataFrame:
+    """docs with text cleaned, and n_lines, n_removed, removed (the line positions, sorted), or under other names; a row per row.
 
     A null text stays null with 0 lines; an empty text is one line without a word and is kept. Windows without a word
     never count. A text that is wholly covered becomes empty. Rows equal in id and text count as one document and keep
-    the same lines. Columns of docs of the same names as the three new ones are replaced.
+    the same lines. Columns of docs of the same names as the three new ones are replaced; others may have any names. An
+    empty table gives no rows.
     """
-    gone = covered(docs, id_col, text_col, span).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    base = docs.drop("n_lines", "n_removed", "removed")
-    both = base.join(gone, base[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(base[text_col]) == F.col("_th")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    both = both.withColumn("_n", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
-    both = both.withColumn("_gone", F.filter("_gone", lambda x: x < F.col("_n")))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")), F.col("_gone")), lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("_gone").isNull() | (F.size("_gone") == 0), F.col(text_col)).otherwise(kept)
-    return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in base.columns], F.col("_n").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.col("_gone"), F.array().cast("array<int>")).alias("removed"))
+    base = docs.drop(*names)
+    one, th, lost, n = free(base, "_id", "_th", "_gone", "_n")
+    gone = covered(docs, id_col, text_col, span).select(F.col("id").alias(one), F.col("th").alias(th), F.col("gone").alias(lost))
+    text = F.col(quoted(text_col))
+    both = base.join(gone, base[quoted(id_col)].eqNullSafe(F.col(one)) & (F.xxhash64(base[quoted(text_col)]) == F.col(th)), "left")
+    lines = F.split(text, "\n", -1)
+    both = both.withColumn(n, F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
+    both = both.withColumn(lost, F.filter(lost, lambda x: x < F.col(n)))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")), F.col(lost)), lambda i: F.get(lines, i)), "\n")
+    clean = F.when(F.col(lost).isNull() | (F.size(lost) == 0), text).otherwise(kept)
+    new = F.col(n), F.coalesce(F.size(lost), F.lit(0)).cast("long"), F.coalesce(F.col(lost), F.array().cast("array<int>"))
+    return both.select(*[clean.alias(c) if c == text_col else F.col(quoted(c)) for c in base.columns], *[x.alias(name) for x, name in zip(new, names, strict=True)])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

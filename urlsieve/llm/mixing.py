@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import n_words, written
+from urlsieve.llm.common import free, n_words, quoted, scope, written
 
 #: Weights dealt to the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -18,7 +18,7 @@ SEED = "mix-1"
 
 def place(*key: str | Column) -> Column:
     """A 48-bit number from a document's key: what a null holds and what an empty text holds are told apart."""
-    parts = [F.coalesce(F.col(k).cast("string") if isinstance(k, str) else k, F.lit("\u0001")) for k in key]
+    parts = [F.coalesce(F.col(quoted(k)).cast("string") if isinstance(k, str) else k, F.lit("\u0001")) for k in key]
     return F.conv(F.substring(F.md5(F.concat_ws("\u0002", F.lit(SEED), *parts)), 1, 12), 16, 10).cast("long")
 
 
@@ -26,7 +26,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     """(source, source_size, target) from a row per source: target = min(most * size, rate * weight), one rate for all.
 
     That rate is what sharing the excess again and again ends in. Sources are filled up in order of size per weight:
-    rate = (budget - the limits of the sources filled) / (the weights of the others). Rows are sources, not documents.
+    rate = (budget - the limits of the sources filled) / (the weights of the others). Rows are sources, not documents: one
+    task sorts them, which holds for millions of sources, not for a source per document.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     deal = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -81,39 +82,43 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     no words. Rows equal in id and text share a place and thus the verdict. Empty input: no rows. Extra columns are
     ignored. The target of a source is size * times at most; whole rounds are taken by all, the rest below a cut.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), key(id_col, text_col).alias("place"))
-    slim = written(slim, "sizes")
-    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = written(targets(sums, weights, share, most), "targets")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    goals = goals.withColumn("whole", F.least(whole, F.lit(most))).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    cuts = thresholds(slim, goals).select(F.col("source").alias("s"), "cut")
-    goals = goals.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("_g"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    return slim, written(goals, "goals")
+    slim = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(source_col)).cast("string").alias("source"), n_words(quoted(text_col)).alias("size"), key(id_col, text_col).alias("place"))
+    with scope(docs.sparkSession) as keep:
+        slim = keep(written(slim, "sizes"))
+        sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+        goals = written(targets(sums, weights, share, most), "targets")
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+        goals = goals.withColumn("whole", F.least(whole, F.lit(most))).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+        cuts = thresholds(slim, goals).select(F.col("source").alias("s"), "cut")
+        goals = goals.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "target", "whole", "cut")
+        return slim, keep(written(goals, "goals"))
 
 
 def key(id_col: str, text_col: str) -> Column:
-    return place(id_col, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("\u0001"))))
+    return place(id_col, F.md5(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("\u0001"))))
 
 
 def mix(docs: DataFrame, most: int = MOST, **kw) -> DataFrame:
     """doc_id, source, size, source_size, target, times (how often the mix takes the document), taken; a row per row."""
     slim, goals = plan(docs, most=most, **kw)
-    times = F.least(F.col("_whole") + (F.col("place") < F.col("_cut")).cast("long"), F.lit(most))
-    rows = slim.join(goals, F.col("source").eqNullSafe(F.col("_g")))
-    return rows.select("doc_id", "source", "size", "place", F.col("_size").alias("source_size"), F.col("_target").alias("target"), times.alias("times"), (times * F.col("size")).alias("taken"))
+    times = F.least(F.col("whole") + (F.col("place") < F.col("cut")).cast("long"), F.lit(most))
+    rows = slim.join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    return rows.select("doc_id", "source", "size", "place", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, most: int = MOST, **kw) -> DataFrame:
     """The documents of the mix, with the columns of docs, a row taken twice standing twice.
 
     Only the small table of cuts is joined, by source: documents aren't shuffled as long as that table is under
-    Spark's broadcast threshold, which Spark checks.
+    Spark's broadcast threshold, which Spark checks. Nulls, ties and repeated rows are as in plan(); other columns may
+    have any names.
     """
     _, goals = plan(docs, most=most, **kw)
-    times = F.least(F.col("_whole") + (key(kw.get("id_col", "doc_id"), kw.get("text_col", "text")) < F.col("_cut")).cast("long"), F.lit(most))
-    rows = docs.join(goals, F.col(kw.get("source_col", "source")).cast("string").eqNullSafe(F.col("_g"))).where(times > 0)
-    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*docs.columns)
+    of, whole, cut, copy = free(docs, "_of", "_whole", "_cut", "_copy")
+    goals = goals.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("cut").alias(cut))
+    times = F.least(F.col(whole) + (key(kw.get("id_col", "doc_id"), kw.get("text_col", "text")) < F.col(cut)).cast("long"), F.lit(most))
+    rows = docs.join(goals, F.col(quoted(kw.get("source_col", "source"))).cast("string").eqNullSafe(F.col(of))).where(times > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*[quoted(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
