@@ -13,12 +13,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import WORD, components, keep_least, take_worker, written
+from urlsieve.llm.common import WORD, components, keep_least, scope, slices, take_worker, written
 
 #: Words a shingle, differing bits of a link, seed of the hash.
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Rounds over parts of the variants' space, each of which shuffles its part and frees it; fingerprints expanded at once.
 ROUNDS, AT_ONCE = 5, 256
+#: Variants that a task of a round sorts, 10 bytes each, as their hash deals them: tasks grow in number, not in size.
+TASK = 1_200_000
+#: Texts and bytes hashed at once.
+TEXTS, BYTES = 512, 1 << 20
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 17
 
@@ -63,8 +67,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, TEXTS, BYTES):
                 fp = majority([shingle_hashes(t, size) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(fp.view(np.int64))], names)
 
@@ -119,60 +122,65 @@ def collisions(variants: np.ndarray, owners: np.ndarray, radius: int = RADIUS) -
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS, task: int = TASK) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp), enough to join all that differ in `radius` bits or fewer.
 
     Each fingerprint emits every variant within radius / 2 bits; variants are dealt out by their hash as packed rows, and
-    equal ones meet. A round takes one part of the hash's range, so that only that part is on disk at a time. Each task
-    reduces its links to a forest.
+    equal ones meet. A round takes one part of the hash's range, so that only that part is on disk at a time; the number
+    of its tasks follows from the number of fingerprints, so that each has about `task` variants. Each task reduces its
+    links to a forest.
     """
     spark = fps.sparkSession
     ball = masks(radius // 2)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = written(fps.select("fp").distinct().repartition(parts, "fp"), "fps")
-    spread = spread.repartition(parts, "fp")
-
-    def emit(which: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with scope(spark) as keep:
+        spread = written(fps.select("fp").distinct(), "fps")
+        parts = max(few, -(-spread.count() * len(ball) // (rounds * task)))
+        # expanded by about as many tasks as there are to sort, each a share of the fingerprints
+        spread = spread.repartition(parts, "fp")
+
+        def emit(which: int):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                take_worker()
+                for batch in batches:
+                    for at in range(0, batch.num_rows, AT_ONCE):
+                        fp = batch.column(0).slice(at, AT_ONCE).to_numpy(zero_copy_only=False).view(np.uint64)
+                        v = (fp[:, None] ^ ball[None, :]).ravel()
+                        h = _mixed(v)
+                        own = np.flatnonzero(h % np.uint64(rounds) == which)
+                        to = ((h[own] >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+                        order = np.argsort(to, kind="stable")
+                        own, to = own[order], to[order]
+                        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+                        packed, mask = v[own].astype("<u8"), (own % len(ball)).astype("<u2")
+                        ends = np.append(cut[1:], len(own))
+                        yield pa.RecordBatch.from_pydict({"part": to[cut], "variants": pa.array([packed[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary()), "masks": pa.array([mask[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary())})
+
+            return run
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take_worker()
+            vs, ms = [], []
             for batch in batches:
-                for at in range(0, batch.num_rows, AT_ONCE):
-                    fp = batch.column(0).slice(at, AT_ONCE).to_numpy(zero_copy_only=False).view(np.uint64)
-                    v = (fp[:, None] ^ ball[None, :]).ravel()
-                    h = _mixed(v)
-                    own = np.flatnonzero(h % np.uint64(rounds) == which)
-                    to = ((h[own] >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
-                    order = np.argsort(to, kind="stable")
-                    own, to = own[order], to[order]
-                    cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
-                    packed, mask = v[own].astype("<u8"), (own % len(ball)).astype("<u2")
-                    ends = np.append(cut[1:], len(own))
-                    yield pa.RecordBatch.from_pydict({"part": to[cut], "variants": pa.array([packed[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary()), "masks": pa.array([mask[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary())})
-
-        return run
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_worker()
-        vs, ms = [], []
-        for batch in batches:
-            vs += [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]
-            ms += [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(2)]
-        if vs:
-            v = np.concatenate(vs)
-            del vs
-            owner = v ^ ball[np.concatenate(ms)]
-            del ms
-            a, b = forest(*collisions(v, owner, radius))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    found = None
-    for k in range(rounds):
-        part = spread.mapInArrow(emit(k), "part int, variants binary, masks binary").repartition(parts, "part").mapInArrow(meet, "a long, b long")
-        part = written(part.distinct(), "links")
-        found = part if found is None else found.union(part)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop this round's shuffle files
-    return found
+                vs += [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]
+                ms += [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(2)]
+            if vs:
+                v = np.concatenate(vs)
+                del vs
+                owner = v ^ ball[np.concatenate(ms)]
+                del ms
+                a, b = forest(*collisions(v, owner, radius))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        found = None
+        for k in range(rounds):
+            # a part is a partition: none has two of them
+            part = spread.mapInArrow(emit(k), "part int, variants binary, masks binary").repartitionById(parts, "part").mapInArrow(meet, "a long, b long")
+            part = written(part.distinct(), "links")
+            found = part if found is None else found.union(part)
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop this round's shuffle files
+        return keep(written(found.distinct(), "links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,13 +189,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     Texts without a word, null or empty, have fingerprint zero and are linked like any other. Equal fingerprints are one
     node. Null ids are kept, and are a component's id only if all its ids are null. Repeated rows each get a row. Empty
     input gives no rows. Extra columns are ignored.
+
+    A node's name begins with its smallest id, so that the smallest name in a component holds the component's: nothing is
+    dealt out by component, of which one may hold most nodes.
     """
-    prints = written(fingerprints(docs, size, id_col, text_col), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = components(links(nodes, radius))
-    named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(named.join(ids, "component").select("fp", "component_id"), "named")
+    spark = docs.sparkSession
+    with scope(spark) as keep:
+        prints = keep(written(fingerprints(docs, size, id_col, text_col), "prints"))
+        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        name = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
+        near = links(nodes, radius)
+        ends = nodes.select(F.col("fp").alias("a"), name.alias("x")), nodes.select(F.col("fp").alias("b"), name.alias("y"))
+        joined = components(near.join(ends[0], "a").join(ends[1], "b"), "x", "y")
+        named = nodes.join(joined.select(F.col("node.fp").alias("fp"), "component"), "fp", "left")
+        named = keep(written(named.select("fp", F.coalesce("component", name)["least"].alias("component_id")), "named"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -196,9 +211,11 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, id_col:
 
     Components are told apart by their least fingerprint, which is never null, so null or repeated ids cost no row.
     """
-    prints = written(fingerprints(docs, size, id_col, text_col, hashed=True), "prints")
-    joined = components(links(prints.select("fp"), radius))
-    named = prints.join(joined, prints["fp"] == joined["node"], "left").select("doc_id", "th", F.coalesce("component", "fp").alias("group"))
+    with scope(docs.sparkSession) as keep:
+        prints = written(fingerprints(docs, size, id_col, text_col, hashed=True), "prints")
+        joined = components(links(prints.select("fp"), radius))
+        named = prints.join(joined, prints["fp"] == joined["node"], "left").select("doc_id", "th", F.coalesce("component", "fp").alias("group"))
+        named = keep(written(named, "groups"))
     return keep_least(docs, named, id_col, text_col)
 
 
