@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import components
+from urlsieve.llm.common import components, free, quoted
 
 #: (host, path prefix, verdict)
 RULES = (
@@ -17,10 +17,13 @@ RULES = (
 )
 #: Query parameters that don't change what a URL shows.
 TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|ref)=[^&#]*"
-LINK = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"']?[^>]*>"
-REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[\"']?[^>]*>"
-HREF = r"(?i)\bhref\s*=\s*[\"']([^\"']+)[\"']"
-TARGET = r"(?i)\burl\s*=\s*[\"']?([^\"'>]+)"
+#: Tags that name another URL of a page, and their attributes, quoted or not.
+LINK = r"""(?i)<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b[^">]*"|'[^'>]*\bcanonical\b[^'>]*'|canonical\b)[^>]*>"""
+REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+HREF = r"""(?i)\bhref\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^\s"'>]+))"""
+CONTENT = r"""(?i)\bcontent\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^\s"'>]+))"""
+TARGET = r"""(?i)\burl\s*=\s*["']?([^"']+)"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host_of(url: Column) -> Column:
@@ -48,19 +51,41 @@ def spelling(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(F.lit("https://"), host_of(url), F.regexp_replace(rest, r"/*[?&]*$", "")))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from / on, without . and .. segments."""
+    parts = F.split(path, "/", -1)
+
+    def step(before: Column, part: Column) -> Column:
+        up = F.when(F.size(before) > 1, F.slice(before, 1, F.size(before) - 1)).otherwise(before)
+        return F.when(part == "..", up).when(part == ".", before).otherwise(F.concat(before, F.array(part)))
+
+    left = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.array_join(left, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+
+
 def resolved(url: Column, link: Column) -> Column:
-    """A link of the page at url as an absolute URL; null for one that is relative to the page's folder or empty."""
+    """A link of the page at url as an absolute URL; null for an empty one, a mere fragment and schemes without ://."""
     link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    return F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link))
+    scheme, path = F.regexp_extract(url, r"(?s)^(.*?)://", 1), path_of(url)
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    body, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    inside = F.when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(site, _without_dots(body), rest))
+    inside = inside.when(link.startswith("?"), F.concat(site, path, link)).when((link != "") & ~link.startswith("#"), F.concat(site, _without_dots(F.concat(folder, body)), rest))
+    return F.when(link.rlike(SCHEME), F.when(link.contains("://"), link)).when(url.contains("://"), inside)
 
 
 def edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): each URL and its canonical spelling, its canonical link and the target of its refresh, as spelled there."""
-    url, html = F.col(url_col), F.col(html_col)
-    link = resolved(url, F.regexp_extract(F.regexp_extract(html, LINK, 0), HREF, 1))
-    moved = resolved(url, F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1))
-    rows = pages.where(url.isNotNull()).select(url.alias("a"), F.explode(F.array_distinct(F.array(spelling(url), link, spelling(link), moved, spelling(moved)))).alias("b"))
+    """(a, b): each URL and its canonical spelling, its canonical links and the targets of its refreshes, as spelled there."""
+    url, html = F.col(quoted(url_col)), F.col(quoted(html_col))
+
+    def value(tag: Column, attribute: str) -> Column:
+        return F.concat(*[F.regexp_extract(tag, attribute, k) for k in (1, 2, 3)])
+
+    links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda t: resolved(url, value(t, HREF)))
+    moves = F.transform(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), lambda t: resolved(url, F.regexp_extract(value(t, CONTENT), TARGET, 1)))
+    both = F.concat(F.coalesce(links, F.array().cast("array<string>")), F.coalesce(moves, F.array().cast("array<string>")))
+    rows = pages.where(url.isNotNull()).select(url.alias("a"), F.explode(F.array_distinct(F.concat(F.array(spelling(url)), both, F.transform(both, spelling)))).alias("b"))
     return rows.where("b IS NOT NULL AND a != b")
 
 
@@ -70,7 +95,8 @@ def judge(pages: DataFrame, rules=RULES, more_edges: DataFrame | None = None, de
     A page that a rule fits has the rule's verdict. Another has that of its component of URLs that redirects and
     canonical links join: allow if a rule allows any of them, else block if a rule blocks any, else default. More edges
     (a, b) may be given, such as a crawler's redirects. Null URLs or URLs without :// have empty host and path, no rule
-    and no alias but themselves. Columns of pages of the same names as the new ones are replaced.
+    and no alias but themselves. Repeated pages each get a row, an empty table none. Columns of pages of the same names
+    as the new ones are replaced; others may have any names.
     """
     new = ["host", "path", "rule", "verdict", "alias"]
     pages = pages.drop(*new)
@@ -80,11 +106,13 @@ def judge(pages: DataFrame, rules=RULES, more_edges: DataFrame | None = None, de
     parts = components(found)
     fit = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)
     decided = parts.select("component", fit["verdict"].alias("v")).where("v IS NOT NULL").groupBy("component").agg(F.min("v").alias("from_alias"))  # allow sorts before block
-    alias = parts.join(decided, "component", "left").select(F.col("node").alias("_node"), F.col("component").alias("_component"), "from_alias")
-    url = F.col(url_col)
-    rows = pages.join(alias, url == F.col("_node"), "left")
+    node, group, carried = free(pages, "_node", "_component", "_carried")
+    alias = parts.join(decided, "component", "left").select(F.col("node").alias(node), F.col("component").alias(group), F.col("from_alias").alias(carried))
+    url = F.col(quoted(url_col))
+    rows = pages.join(alias, url == F.col(node), "left")
     own = rule_of(host_of(url), path_of(url), rules)
-    return rows.select(*[F.col(c) for c in pages.columns], host_of(url).alias("host"), path_of(url).alias("path"), own["rule"].alias("rule"), F.coalesce(own["verdict"], "from_alias", F.lit(default)).alias("verdict"), F.coalesce("_component", url).alias("alias"))
+    found = host_of(url), path_of(url), own["rule"], F.coalesce(own["verdict"], F.col(carried), F.lit(default)), F.coalesce(F.col(group), url)
+    return rows.select(*[quoted(c) for c in pages.columns], *[x.alias(name) for x, name in zip(found, new, strict=True)])
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,16 +135,32 @@ def _sql() -> str:
         query = f"array_to_string(list_filter(string_split(split_part({rest}, '?', 2), '&'), lambda q: NOT regexp_full_match(q, '(utm_[a-z]+|gclid|fbclid|ref)=[^&#]*')), '&')"
         return f"CASE WHEN contains({u}, '://') THEN 'https://' || {_HOST.format(u)} || regexp_replace(split_part({rest}, '?', 1) || '?' || {query}, '/*[?&]*$', '') END"
 
-    def absolute(u: str, x: str) -> str:
-        return f"CASE WHEN contains({x}, '://') THEN {x} WHEN starts_with({x}, '//') THEN split_part({u}, '://', 1) || ':' || {x} WHEN starts_with({x}, '/') THEN split_part({u}, '://', 1) || '://' || {_HOST.format(u)} || {x} END"
-
-    def found(outer: str, inner: str) -> str:
-        return "replace(trim(regexp_extract(regexp_extract(html, '{}', 0), '{}', 1)), '&amp;', '&')".format(outer.replace("'", "''"), inner.replace("'", "''"))
+    def dotless(p: str) -> str:
+        fold = f"list_reduce(list_transform(string_split({p}, '/'), lambda s: [s]), lambda q, s: CASE WHEN s[1] = '..' THEN CASE WHEN len(q) > 1 THEN q[:-2] ELSE q END WHEN s[1] = '.' THEN q ELSE q || s END)"
+        return f"array_to_string({fold}, '/') || CASE WHEN regexp_matches({p}, '(^|/)[.][.]?$') THEN '/' ELSE '' END"
 
+    def absolute(u: str, x: str) -> str:
+        site, path = f"split_part({u}, '://', 1) || '://' || {_HOST.format(u)}", _PATH.format(u)
+        body, rest = f"regexp_extract({x}, '(?s)^([^?#]*)', 1)", f"regexp_extract({x}, '(?s)^[^?#]*(.*)$', 1)"
+        folder = f"CASE WHEN {path} = '' THEN '/' ELSE regexp_replace({path}, '[^/]*$', '') END"
+        return (
+            f"CASE WHEN regexp_matches({x}, '{SCHEME}') THEN CASE WHEN contains({x}, '://') THEN {x} END WHEN NOT contains({u}, '://') THEN NULL"
+            f" WHEN starts_with({x}, '//') THEN split_part({u}, '://', 1) || ':' || {x} WHEN starts_with({x}, '/') THEN {site} || {dotless(body)} || {rest}"
+            f" WHEN starts_with({x}, '?') THEN {site} || {path} || {x} WHEN {x} != '' AND NOT starts_with({x}, '#') THEN {site} || {dotless(f'(({folder}) || {body})')} || {rest} END"
+        )
+
+    def text(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    def value(tag: str, attribute: str) -> str:
+        return " || ".join(f"regexp_extract({tag}, {text(attribute)}, {k})" for k in (1, 2, 3))
+
+    link, move = value("t", HREF), f"regexp_extract({value('t', CONTENT)}, {text(TARGET)}, 1)"
+    found = " || ".join(f"list_transform(regexp_extract_all(coalesce(html, ''), {text(tag)}, 0), lambda t: replace(trim({x}), '&amp;', '&'))" for tag, x in ((LINK, link), (REFRESH, move)))
     return f"""
-WITH RECURSIVE l AS (SELECT page_id, url, {found(LINK, HREF)} AS x, {found(REFRESH, TARGET)} AS y FROM pages),
-r AS (SELECT page_id, url, {absolute('url', 'x')} AS x, {absolute('url', 'y')} AS y FROM l),
-e0 AS (SELECT url AS a, unnest([{spelled('url')}, x, {spelled('x')}, y, {spelled('y')}]) AS b FROM r WHERE url IS NOT NULL),
+WITH RECURSIVE l AS (SELECT url, unnest({found}) AS x FROM pages WHERE url IS NOT NULL),
+r AS (SELECT url, {absolute('url', 'x')} AS x FROM l),
+e0 AS (SELECT url AS a, x AS b FROM r UNION SELECT url, {spelled('x')} FROM r UNION SELECT url, {spelled('url')} FROM pages WHERE url IS NOT NULL),
 e AS (SELECT a, b FROM e0 WHERE b IS NOT NULL AND a != b UNION SELECT b, a FROM e0 WHERE b IS NOT NULL AND a != b),
 c AS (SELECT DISTINCT a AS node, a AS far FROM e UNION SELECT c.node, e.b FROM c JOIN e ON c.far = e.a),
 v AS (SELECT node, min(far) AS alias, min({fit(_HOST.format('far'), _PATH.format('far'), 1)}) AS verdict FROM c GROUP BY node),
