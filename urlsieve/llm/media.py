@@ -18,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlsieve.llm.common import slices, take_worker
+
 #: Samples in a row of a frame, and rows in a frame at most.
 WIDTH, ROWS = 64, 16
 #: Microseconds that a frame is shown.
 FRAME_US = 40_000
-#: Frames coded at once.
-AT_ONCE = 4096
+#: Frames coded at once; texts or files, and bytes of them, taken at once.
+AT_ONCE, TEXTS, BYTES = 4096, 512, 1 << 21
+#: Bytes of the largest file: what a cell of a binary column holds.
+LARGEST = 2**31 - 1
 #: Bins of a histogram; a cut is a change above this much and above the mean of the shot's changes by so many deviations.
 BINS, LEAST_CHANGE, DEVIATIONS, MEMORY = 16, 0.25, 2.5, 8
 
@@ -397,6 +401,8 @@ def write_avi(images: list[bytes], rows: int, payload: int) -> bytes:
         parts.append(_chunk(b"00dc", x))
         at += len(parts[-1])
     body = b"AVI " + hdrl + _chunk(b"plen", struct.pack("<Q", payload)) + _chunk(b"LIST", b"".join(parts)) + _chunk(b"idx1", b"".join(index))
+    if len(body) + 9 > LARGEST:
+        raise ValueError("the file is too large for a cell of a binary column")
     return _chunk(b"RIFF", body)
 
 
@@ -494,13 +500,14 @@ def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): the text as UTF-8, with bytes 0 up to a positive multiple of WIDTH, as an AVI file.
 
-    A null text is stored as an empty one, WIDTH bytes 0. A row per row; extra columns are ignored.
+    A null text is stored as an empty one, WIDTH bytes 0. A row per row, equal texts to equal files; an empty table gives no
+    rows; extra columns are ignored. A text whose file would be over 2 GB, which no cell holds, raises an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, TEXTS, BYTES):
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 media = encode_payloads([r.ljust(max(1, -(-len(r) // WIDTH)) * WIDTH, b"\0") for r in raw])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -512,13 +519,15 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     """(doc_id, clip, first_frame, last_frame, start_ms, end_ms, error): a row per shot of each AVI file.
 
     A null or damaged file, or one whose frames aren't grey or three-component baseline JPEG, gives one row with error set.
+    Repeated rows each give theirs, a file without frames and an empty table none. Extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker()
         kind = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("error", pa.string())])
         for batch in batches:
             out = []
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, data in (x for part in slices(batch, 1, TEXTS, BYTES) for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 try:
                     if data is None:
                         raise ValueError("no file")
@@ -533,12 +542,12 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What reading the stored files back gives: payload, sums of payload and file, and the shots as a string."""
+    """What reading the stored files back gives: payload, sums of payload and file, and the shots as a string; a row per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 2, TEXTS, BYTES):
                 files, rows = part.column(2).to_pylist(), []
                 for data, (movie, frames) in zip(files, decode_movies(files), strict=True):
                     payload = b"".join(f.tobytes() for f in frames)[: movie.payload]
