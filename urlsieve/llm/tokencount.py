@@ -5,6 +5,8 @@ compose in a parallel prefix scan, which gives each chunk's true entry state. Th
 side by side. Its state is what BPE can still change: the longest end of the input that starts a token, and for each cut
 in it the last token before the cut and how many tokens there are. A transition carries the number of tokens by which
 the count grows (it may shrink: two tokens become one). Its states and transitions are compiled when they are first met.
+A long word is cut into chunks, too, whose maps from entry state to exit state and count are worked out for the states
+that can come in, all chunks side by side, and compose in a scan by doubling.
 """
 
 from __future__ import annotations
@@ -20,14 +22,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from urlsieve.llm.common import cache_of_worker, take_worker
+from urlsieve.llm.common import cache_of_worker, slices, take_worker
 from urlsieve.llm.tokenids import SAFE, _byte_letters
 
 #: The limit above which a document is too long.
 LIMIT = 2048
-#: Characters in a chunk of the first transducer; characters taken at once; states kept before all are compiled anew.
-CHUNK, AT_ONCE, STATES = 64, 1 << 21, 120_000
+#: Characters in a chunk of the first transducer; states kept before all are compiled anew.
+CHUNK, STATES = 64, 120_000
+#: Texts and bytes taken at once.
+TEXTS, BYTES = 4096, 1 << 21
+#: Bytes in a chunk of a long word, and of the run-up that guesses a chunk's entry state.
+PIECE, RUN_UP = 256, 32
 END = "</w>"
+#: How the file must say that texts are normalised and cut into words, which the first transducer does.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # The first transducer. Characters: white space, letter, digit, other, and apostrophes that two or three characters of a
 # contraction start with. States: outside a word, in letters, in others, one or two letters before a contraction's end.
@@ -74,9 +83,14 @@ class Counter:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        if model["type"] != "BPE" or model["end_of_word_suffix"] != END:
-            raise ValueError(f"{path} is not BPE with the end-of-word suffix {END}")
+            kind = json.load(f)
+        model, (split, spell) = kind["model"], (kind["pre_tokenizer"] or {}).get("pretokenizers") or ({}, {})
+        if model["type"] != "BPE" or model.get("end_of_word_suffix") != END or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path} is not plain BPE with the end-of-word suffix {END}")
+        if kind["normalizer"] != NORMALIZER or split.get("pattern") != {"Regex": WORDS} or (split.get("behavior"), split.get("invert")) != ("Removed", True) or spell.get("type") != "ByteLevel" or spell.get("add_prefix_space") or spell.get("use_regex"):
+            raise ValueError(f"{path} cuts words in another way")
+        if kind["post_processor"] or kind["truncation"] or kind["padding"] or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in kind["added_tokens"]):
+            raise ValueError(f"{path} adds tokens in another way")
         # a symbol is a character: a byte, or 256 more for a word's last byte
         symbol = {c: chr(b) for b, c in _byte_letters().items()}
 
@@ -223,7 +237,7 @@ class Counter:
             self.forget()
         total, parts, owner = np.zeros(len(texts), np.int64), [], []
         for k, text in enumerate(texts):
-            cut = self.added.split(text) if "<" in text else [text]
+            cut = self.added.split(text)
             total[k] += len(cut) - 1
             for x in cut:
                 if x:
@@ -246,34 +260,61 @@ class Counter:
         total += np.bincount(which, self.words(raw, begin, end - begin), len(texts)).astype(np.int64)
         return total
 
-    def words(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The number of tokens of each word raw[begin : begin + size], a byte of every word at a time."""
+    def run(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray, entry: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and counts of stretches raw[begin : begin + size] from their entry states, a byte of each at a time.
+
+        ends: whether the stretch's last byte is its word's.
+        """
         order = np.argsort(-size, kind="stable")
-        at, n = begin[order], size[order]
-        state, count = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        step, top = 0, int(n[0]) if len(n) else 0
-        live = np.searchsorted(-n, -np.arange(1, min(top, 1 << 12) + 1), side="right")
-        while step < top and step < len(live):
-            m = int(live[step])
+        at, n, state, last = begin[order], size[order], entry[order], ends[order]
+        count = np.zeros(len(n), np.int64)
+        live = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), side="right") if len(n) else np.zeros(0, np.int64)
+        for step, m in enumerate(live.tolist()):
             sym = raw[at[:m] + step].astype(np.int64)
-            sym[np.searchsorted(-n[:m], -(step + 1), side="left") :] += 256
+            done = int(np.searchsorted(-n[:m], -(step + 1), side="left"))
+            sym[done:] += 256 * last[done:m]
             state[:m], grown = self.step(state[:m], sym)
             count[:m] += grown
-            step += 1
-        for k in range(int(np.searchsorted(-n, -step, side="left"))):  # very long words, one by one
-            s, data = int(state[k]), raw[at[k] + step : at[k] + n[k]].tolist()
-            known: dict[int, tuple[int, int]] = {}
-            data[-1] += 256
-            for c in data:
-                key = s << 9 | c
-                if key not in known:
-                    known[key] = self.move(s, c)
-                s, grown = known[key]
-                count[k] += grown
-        out = np.zeros(len(n), np.int64)
-        out[order] = count
+        out, counts = np.empty_like(state), np.empty_like(count)
+        out[order], counts[order] = state, count
+        return out, counts
+
+    def words(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of tokens of each word raw[begin : begin + size]."""
+        out, long_ = np.zeros(len(size), np.int64), size > PIECE
+        short = np.flatnonzero(~long_)
+        out[short] = self.run(raw, begin[short], size[short], np.zeros(len(short), np.int64), np.ones(len(short), bool))[1]
+        if long_.any():
+            out[long_] = self.long_words(raw, begin[long_], size[long_])
         return out
 
+    def long_words(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        chunks = -(-size // PIECE)
+        first = np.cumsum(chunks) - chunks
+        word = np.repeat(np.arange(len(size)), chunks)
+        k = np.arange(len(word)) - first[word]
+        at = begin[word] + PIECE * k
+        n = np.minimum(PIECE, begin[word] + size[word] - at)
+        last = k == chunks[word] - 1
+        # the maps, as far as they are needed: chunk << 32 | entry state, exit state, count
+        entry, later = np.zeros(len(word), np.int64), np.flatnonzero(k)
+        entry[later] = self.run(raw, at[later] - RUN_UP, np.full(len(later), RUN_UP), np.zeros(len(later), np.int64), np.zeros(len(later), bool))[0]
+        keys, exits, counts = (np.zeros(0, np.int64) for _ in range(3))
+        new = np.arange(len(word)) << 32 | entry
+        while len(new):
+            c = new >> 32
+            out, count = self.run(raw, at[c], n[c], new & 0xFFFFFFFF, last[c])
+            keys, exits, counts = np.concatenate([keys, new]), np.concatenate([exits, out]), np.concatenate([counts, count])
+            # what comes out of a chunk comes into the next one
+            new = np.setdiff1d((c[~last[c]] + 1) << 32 | out[~last[c]], keys)
+        order = np.argsort(keys)
+        keys, exits, total = keys[order], exits[order], np.append(counts[order], 0)
+        c = keys >> 32
+        next_ = np.append(np.where(last[c], len(keys), np.searchsorted(keys, (c + 1) << 32 | exits)), len(keys))
+        while (next_ < len(keys)).any():
+            total, next_ = total + total[next_], next_[next_]
+        return total[np.searchsorted(keys, first << 32)]
+
 
 _counters = cache_of_worker()
 
@@ -289,24 +330,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
     """(doc_id, n_bytes, n_tokens, over_limit), a row per row, no shuffle.
 
     Null and empty texts have no bytes and no tokens. A special token's string inside a text is one token, as it is for
-    the library by default. Extra columns are ignored.
+    the library by default. Extra columns are ignored, an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker(_counters)
         count = counter(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                upto, n = at, 0
-                while upto < len(texts) and (upto == at or n + len(texts[upto]) <= AT_ONCE):
-                    n += len(texts[upto])
-                    upto += 1
-                tokens = count(texts[at:upto])
-                size = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts[at:upto]], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at), size, pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-                at = upto
+            for part in slices(batch, 1, TEXTS, BYTES):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                tokens = count(texts)
+                size = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
