@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -15,11 +17,12 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from urlsieve.llm import chat, common, linededup, media, minhash, mixing, passages, pieces, quality, queries, simhash, tokencount, tokenids, urlfilter
+from urlsieve.llm import chat, common, linededup, media, minhash, mixing, passages, pieces, quality, queries, runs, simhash, tokencount, tokenids, urlfilter
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,6 +112,25 @@ def test_components_of_chains_and_hubs(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_of_all_forms_are_followed(spark):
+    here = "http://S.test/a/b.html?q=1"
+    links = {"7.html": "http://s.test/a/7.html", "?id=2": "http://s.test/a/b.html?id=2", "../x": "http://s.test/x", "../../../x/./y/..": "http://s.test/x/", "/r/../s?u=http://z": "http://s.test/s?u=http://z", "//t.test/u": "http://t.test/u", "HTTPS://v.test": "HTTPS://v.test", "w/?a=1&amp;b=2#c": "http://s.test/a/w/?a=1&b=2#c", "mailto:a@b": None, "#top": None, "": None, " /t ": "http://s.test/t", ".": "http://s.test/a/"}
+    rows = spark.createDataFrame([(here, x) for x in links] + [("no scheme", "x"), ("http://bare.test", "p")], "url string, link string").withColumn("to", urlfilter.resolved(F.col("url"), F.col("link"))).collect()
+    assert {r.link: r.to for r in rows if r.url == here} == links
+    assert [r.to for r in rows if r.url != here] == [None, "http://bare.test/p"]
+    html = """<LINK rel='x canonical' href=one.html><link href="two.html" rel=canonical><link rel=stylesheet href=no.css>
+        <meta content="3; URL='three.html'" http-equiv=Refresh><meta http-equiv="refresh" content=0;url=four.html><link rel="canonical"><link href='five.html' rel="canonical">"""
+    found = urlfilter.edges(spark.createDataFrame([(here, html), (None, html), ("https://x.test/", None)], "url string, html string")).collect()
+    assert {r.b for r in found if r.a == here and r.b.startswith("http:")} == {f"http://s.test/a/{x}.html" for x in ("one", "two", "three", "four", "five")}
+    assert {r.b for r in found if r.a == here and r.b.startswith("https:")} == {"https://s.test/a/b.html?q=1"} | {f"https://s.test/a/{x}.html" for x in ("one", "two", "three", "four", "five")}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    pages = [(k, here.replace("b.html", f"{k}.html"), html.replace("five.html", x.replace("'", ""))) for k, x in enumerate(links)] + [(90, "https://e.example.com/en/7", "<link rel=canonical href=../../a/3.html>"), (91, "http://s.test/a/five.html", None), (92, None, html)]
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    frame = urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).select("page_id", "host", "path", "rule", "verdict", "alias")
+    assert sorted(map(tuple, frame.collect())) == sorted(con.sql(urlfilter.SQL).fetchall())
+
+
 def test_verdicts_go_to_aliases(spark):
     link = '<LINK href="{}" rel=canonical>'
     rows = [
@@ -132,7 +154,7 @@ def test_verdicts_go_to_aliases(spark):
 
 
 def segmentations(lattice, text):
-    """All segmentations of a text and their log-probabilities, up to a constant."""
+    """All segmentations of a text and their log-probabilities; a character that is no piece is its bytes' pieces."""
     norm, out = lattice.normal(text), []
 
     def go(i, ids, lp):
@@ -142,6 +164,9 @@ def segmentations(lattice, text):
             if norm[i:j] in lattice.id_of:
                 k = lattice.id_of[norm[i:j]]
                 go(j, [*ids, k], lp + lattice.lp[k])
+        if i < len(norm) and norm[i] not in lattice.id_of:
+            run = [lattice.byte[b] for b in norm[i].encode()]
+            go(i + 1, [*ids, *run], lp + len(run) * lattice.fallback)
 
     go(0, [], 0.0)
     z = math.log(sum(math.exp(lp) for _, lp in out))
@@ -181,19 +206,60 @@ def test_samples_of_edge_cases(spark):
     assert [r.text for r in both.orderBy("doc_id").collect()] == [EDGE, None]
 
 
-def test_late_units_are_forgotten(monkeypatch):
-    monkeypatch.setattr(pieces, "UNITS", 40)
-    monkeypatch.setattr(pieces, "KEEP", 10)
-    lattice, other = pieces.Lattices(PIECES), pieces.Lattices(PIECES)
-    rng = random.Random(3)
-    for k in range(12):
-        texts = [" ".join("".join(rng.choice("abcdé") for _ in range(4)) for _ in range(9)) for _ in range(3)]
-        key = pieces.row_keys([k, k + 1, k + 2], 1)
-        a = lattice.sample(texts, key)
-        monkeypatch.setattr(pieces, "UNITS", 10**9)
-        b = other.sample(texts, key)
-        monkeypatch.setattr(pieces, "UNITS", 40)
-        assert [[x[0].tolist() for x in r] for r in a] == [[x[0].tolist() for x in r] for r in b]
+@pytest.mark.parametrize("text", ["a", "", "so\n𝔘, on.", "aᚠb Я", "no no  no"])
+def test_samples_are_drawn_without_replacement(text):
+    lattice, n, k = pieces.lattices(PIECES), 4000, 3
+    want = segmentations(lattice, text)
+    found = [[tuple(r[0].tolist()) for r in x] for x in lattice.sample([text] * n, pieces.row_keys(list(range(n)), 2), k)]
+    assert all(len(x) == len(set(x)) == min(k, len(want)) and set(x) <= set(want) for x in found)
+    pairs, singles = Counter(tuple(x[:2]) for x in found), Counter(x[0] for x in found)
+    assert all(abs(singles[a] / n - math.exp(lp)) < 0.04 for a, lp in want.items())
+    for a, b in (x for x in pairs if len(x) == 2):
+        p = math.exp(want[a]) * math.exp(want[b]) / (1 - math.exp(want[a]))
+        assert abs(pairs[a, b] / n - p) < 0.04
+    if len(want) <= k:  # all are given, whatever their noise
+        assert all(r[3] == 0 for x in lattice.sample([text], pieces.row_keys([1], 2), k) for r in x)
+
+
+def test_rare_alternatives_are_drawn_too():
+    """Where a likely piece leaves the others under 2^-53 of the probability, further samples still come."""
+    lattice = pieces.Lattices(PIECES, theta=12.0)
+    for text in ("information", "the international organisation", "ᚠ" * 70, "x" * 900 + "ᚠy"):
+        found = lattice.sample([text], pieces.row_keys([5], 1), 4)[0]
+        assert len({tuple(r[0].tolist()) for r in found}) == 4
+        assert all(lattice.sp.decode(r[0].tolist()) == text for r in found)
+
+
+def test_samples_do_not_depend_on_what_is_remembered(monkeypatch):
+    rng, other = random.Random(3), pieces.Lattices(PIECES)
+    word = lambda: "".join(rng.choice("abcdé\n.") for _ in range(rng.randrange(1, 9)))
+    batches = [[" ".join(word() for _ in range(9)) for _ in range(3)] for _ in range(12)]
+    keys = [pieces.row_keys([k, k + 1, None], 1) for k in range(12)]
+    want = [other.sample(t, key) for t, key in zip(batches, keys, strict=True)]
+    monkeypatch.setattr(pieces, "ARCS", 300)
+    monkeypatch.setattr(pieces, "KEEP", 80)
+    monkeypatch.setattr(pieces, "SLICE", 20)
+    lattice = pieces.Lattices(PIECES)
+    found = [lattice.sample(t, key) for t, key in zip(batches, keys, strict=True)]
+    assert lattice.kept
+    assert [[[(x[0].tolist(), *x[1:]) for x in r] for r in b] for b in found] == [[[(x[0].tolist(), *x[1:]) for x in r] for r in b] for b in want]
+
+
+def test_runs_of_equal_hashes_get_numbers_of_their_own(monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(400)]
+    found, plain = runs.Runs(), runs.mix
+    # hashes of three bits until others are taken
+    monkeypatch.setattr(runs, "mix", lambda x: plain(x) if found.salt > 1 else plain(x) & np.uint64(7 << 61))
+    numbers: dict[str, int] = {}
+    for part in (["b", "a"], words[:150], words, ["ccccc"], words):
+        size = np.array([len(w) for w in part])
+        got, fresh = found.number(runs.code_points("".join(part)), np.cumsum(size) - size, size)
+        assert {part[i] for i in fresh} == set(part) - set(numbers)
+        assert all(numbers.setdefault(w, n) == n for w, n in zip(part, got.tolist(), strict=True))
+    assert found.salt > 1 and sorted(numbers.values()) == list(range(len(found)))
+    found.cut(2)
+    assert len(found) == 2 and found.number(runs.code_points("ba"), np.array([0, 1]), np.array([1, 1]))[0].tolist() == [numbers["b"], numbers["a"]]
 
 
 # --- 4: quality rules ---
@@ -211,10 +277,24 @@ def test_verdicts_do_not_depend_on_order(spark):
     assert quality.keep_good(nothing(spark)).count() == 0
 
 
-def test_rules_that_reject_more_per_second_come_first(spark):
-    slow = quality.Rule("slow", lambda t: sum(range(20_000)) < 0)
-    fast = quality.Rule("fast", lambda t: True)
-    assert [r.name for r in quality.ordered(corpus(spark), (slow, fast))] == ["fast", "slow"]
+def test_rules_that_reject_more_for_their_cost_come_first(spark):
+    slow = quality.Rule("slow", lambda t: t.n_repeat_words < 0)
+    fast = quality.Rule("fast", lambda t: not t.text)
+    dear = quality.Rule("dear", lambda t: not t.text, 1e9)
+    assert [r.name for r in quality.ordered(corpus(spark), (slow, dear, fast))] == ["fast", "slow", "dear"]
+    # what one rule has measured costs the next one nothing, and it is judged by what is left to it
+    a, b, c = (quality.Rule(n, f) for n, f in (("a", lambda t: t.n_words < 5), ("b", lambda t: t.n_words < 4), ("c", lambda t: t.n_symbols > 3)))
+    texts = ["x y z " * k + "%" * (k % 5) for k in range(1, 40)]
+    found = quality.estimated(texts, (c, b, a))
+    assert [x[0] for x in found if x[0] != "c"] == ["a", "b"] and found == quality.estimated(texts, (c, b, a))
+    assert {x[0]: x[1] for x in found}["b"] == 0 and {x[0]: x[2] for x in found}["b"] == 100.0
+
+
+def test_samples_come_from_the_whole_table(spark):
+    rows = spark.range(0, 4000, 1, 40).select("id", F.col("id").cast("string").alias("text"))
+    found = [int(x) for x in quality.sampled(rows, rows=64)]
+    assert len(found) == 64 and {x // 500 for x in found} == set(range(8)) and found == [int(x) for x in quality.sampled(rows, rows=64)]
+    assert len(quality.sampled(rows, rows=64, chars=0)) == 32 and quality.sampled(nothing(spark)) == []
 
 
 @pytest.mark.parametrize("text", ["a b c d e a b c d e", "a b c d e f", "a a a a a a a", "", "x y z a b c d e q a b c d e w a b c d e"])
@@ -318,55 +398,114 @@ def test_near_copies_go(spark):
 # --- 6: chat ---
 
 
-def cheapest(roles, costs):
-    """Least cost over all labels, merges and insertions, by exhaustion."""
-    fix, best = chat.Repair(costs), math.inf
+def legal(roles, done=True):
+    if done and roles and roles[-1] != "assistant":
+        return False
+    roles = roles[1:] if roles[:1] == ["system"] else roles
+    return all(r == ("user", "assistant")[k % 2] for k, r in enumerate(roles))
+
+
+def cheapest(roles, merge=1.0, insert=1.5, relabel=2.0, unknown=0.25):
+    """Least cost over all labels, merges and insertions of up to three empty turns anywhere, by exhaustion; only the rule of legal sequences is known here."""
+    every, best = ("system", "user", "assistant"), math.inf
 
-    def go(i, state, cost):
+    def go(i, seq, cost, gap):
         nonlocal best
-        if i == len(roles):
-            best = min(best, cost + fix.end[state])
+        if cost >= best:
             return
-        for label in (chat.SYSTEM, chat.USER, chat.ASSISTANT):
-            step = fix.steps.get((state, roles[i], label))
-            if step:
-                go(i + 1, label, cost + step.cost)
-
-    go(0, chat.START, 0.0)
+        if i == len(roles) and legal(seq):
+            best = cost
+        if gap < 3:
+            for x in every:
+                if legal([*seq, x], False) and not ("system" in seq and x == "system"):
+                    go(i, [*seq, x], cost + insert, gap + 1)
+        if i < len(roles):
+            for x in every:
+                price = cost + (0 if roles[i] == x else relabel if roles[i] in every else unknown)
+                if legal([*seq, x], False):
+                    go(i + 1, [*seq, x], price, 0)
+                if i and gap == 0 and seq[-1] == x:
+                    go(i + 1, seq, price + merge, 0)
+
+    go(0, [], 0.0, 0)
     return best
 
 
-def legal(roles):
-    roles = roles[1:] if roles[:1] == ["system"] else roles
-    return len(roles) % 2 == 0 and all(r == ("user", "assistant")[k % 2] for k, r in enumerate(roles))
-
-
-@pytest.mark.parametrize("block", [1, 3, 256])
-def test_repairs_are_cheapest_and_legal(spark, block):
+def rebuilt(part):
+    """The rendering and the cost of a conversation that its rows' actions give, put together anew."""
+    turns, cost = [], 0.0
+    for r in part:
+        empty = r.inserted.split(",") if r.inserted else []
+        turns += [[x, ""] for x in empty]
+        known = (r.role or "").strip().lower()
+        cost += 1.5 * len(empty) + (0.25 if known not in ("system", "user", "assistant") else 0.0 if known == r.new_role else 2.0)
+        if "merge" in r.action:
+            assert turns[-1][0] == r.new_role and not empty
+            turns[-1][1] += "\n" + r.text
+            cost += 1.0
+        else:
+            turns.append([r.new_role, r.text])
+        assert ("relabel" in r.action) == (known != r.new_role)
+    for x in {"system": ["user", "assistant"], "user": ["assistant"]}.get(turns[-1][0], []):
+        turns.append([x, ""])
+        cost += 1.5
+    assert legal([x for x, _ in turns])
+    return "".join(f"<|im_start|>{x}\n{t}<|im_end|>\n" for x, t in turns), cost
+
+
+def repaired(turns, rows, **kw):
+    """The conversations of a repair, rows in order, each with the text it came from."""
+    h = {t: n for t, n in ((r.t, r.h) for r in turns.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect())}
+    want = sorted({(r[0], r[1], r[2], r[3] or "") for r in rows}, key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", h[r[3]]))
+    by: dict = {}
+    for r in want:
+        by.setdefault(r[0], []).append(r)
+    found: dict = {}
+    for r in chat.repair(turns, **kw).collect():
+        found.setdefault(r.conv_id, []).append(r)
+    out = {}
+    for conv, part in by.items():
+        left, line = found.pop(conv), []
+        for _, turn, role, text in part:
+            k = next(k for k, r in enumerate(left) if (r.turn, r.role) == (turn, role) and "\n" + text in r.rendered)
+            r = left.pop(k)
+            line.append(Row(**r.asDict(), text=text))
+        assert not left
+        out[conv] = line
+    assert not found
+    return out
+
+
+@pytest.mark.parametrize(("block", "many"), [(1, 4096), (3, 2), (256, 4096), (256, 3)])
+def test_repairs_are_cheapest_and_legal(spark, block, many):
     rng = random.Random(11)
     rows = []
-    for conv in range(40):
-        for turn in range(rng.randrange(1, 8)):
-            rows.append((conv, turn, rng.choice(["user", "assistant", "system", "tool", None]), rng.choice(["hi", "", None, "line\nbreak"]), "extra"))
+    for conv in range(30):
+        for turn in range(rng.randrange(1, 6)):
+            rows.append((conv, turn, rng.choice(["user", "assistant", "system", "Tool", " USER", None]), rng.choice(["hi", "", None, "line\nbreak"]), "extra"))
     rows += [(None, 0, "user", "a", "x"), (7, None, "assistant", "first", "x"), rows[0], rows[0]]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, action string")
-    found = chat.repair(turns, block=block).collect()
-    assert len(found) == len({r[:3] + (r[3] or "",) for r in rows})
-    hashes = {(r.conv_id, r.turn, r.role): r for r in found}
-    del hashes
-    by: dict = {}
-    for r in found:
-        by.setdefault(r.conv_id, []).append(r)
-    for part in by.values():
-        part.sort(key=lambda r: (r.turn is not None, r.turn or 0))
-        text = "".join(r.rendered for r in part)
-        assert legal(re.findall(r"<\|im_start\|>(\w+)\n", text)), text
-        assert text.count("<|im_start|>") == text.count("<|im_end|>")
-        if len({r.turn for r in part}) == len(part):
-            assert part[0].cost == pytest.approx(cheapest([chat.role_code(r.role) for r in part], chat.Costs()))
+    rows += [(50, 3, role, text, "x") for role in ("user", None, "assistant") for text in ("p", "q", "rr")] + [(51, None, "user", t, "x") for t in "abcdefg"]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, key string")
+    for part in repaired(turns, rows, block=block, many=many).values():
+        text, cost = rebuilt(part)
+        assert "".join(r.rendered for r in part) == text
+        assert all(r.cost == pytest.approx(cost) for r in part)
+        if len(part) <= 5:
+            assert cost == pytest.approx(cheapest([(r.role or "").strip().lower() for r in part]))
     assert chat.repair(turns.limit(0)).count() == 0
 
 
+def test_a_conversation_of_one_turn_number_is_cut(spark):
+    n = 100_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    copies = turns.where("text = 't5'").crossJoin(spark.range(50_000)).select("conv_id", "turn", "role", "text")
+    found = chat.repair(turns.union(copies)).select("action", "new_role", "cost", F.length("rendered").alias("n")).collect()
+    # the last turn is relabelled, which costs less than a merge and an empty turn
+    assert Counter((r.action, r.new_role) for r in found) == {("keep", "user"): 1, ("merge", "user"): n - 2, ("relabel", "assistant"): 1}
+    assert {r.cost for r in found} == {n - 2 + 2.0}
+    assert sum(r.n for r in found) == sum(len(f"\nt{k}") for k in range(n)) - 2 + len("<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n")
+
+
 # --- 7: media ---
 
 
@@ -375,14 +514,59 @@ def test_media_round_trip(spark):
     payloads = [bytes(rng.randrange(256) for _ in range(64 * k)) for k in (1, 2, 15, 16, 17, 100)] + [b"\0" * 64, b"\xff" * 1024, bytes([0, 255]) * 32]
     for p, (movie, frames) in zip(payloads, media.decode_movies(media.encode_payloads(payloads)), strict=True):
         assert b"".join(f.tobytes() for f in frames)[: movie.payload] == p
-    rows = media.digests(media.to_media(corpus(spark)))
-    import hashlib
-
-    for r in rows.collect():
-        assert r.payload_bytes == max(64, -(-r.n_bytes // 64) * 64)
-    null = rows.where("doc_id = 2").first()
-    assert (null.n_bytes, null.payload_sha256) == (0, hashlib.sha256(b"\0" * 64).hexdigest())
-    assert media.to_media(nothing(spark)).count() == 0
+    assert media.to_media(nothing(spark)).count() == 0 and media.digests(media.to_media(nothing(spark))).count() == 0
+
+
+def avi_frames(data):
+    """Frames of an AVI file as any reader finds them: by walking its chunks, each entry of the index checked on the way."""
+    assert data[:4] == b"RIFF" and struct.unpack("<I", data[4:8])[0] == len(data) - 8 and data[8:12] == b"AVI "
+    at, top = 12, {}
+    while at < len(data):
+        n = struct.unpack("<I", data[at + 4 : at + 8])[0]
+        top[data[at + 8 : at + 12] if data[at : at + 4] == b"LIST" else data[at : at + 4]] = at, n
+        at += 8 + n + n % 2
+    start, size = top[b"movi"]
+    index, n = top[b"idx1"]
+    entries = [struct.unpack("<4sIII", data[index + 8 + k : index + 24 + k]) for k in range(0, n, 16)]
+    frames, at = [], start + 12
+    while at < start + 8 + size:
+        n = struct.unpack("<I", data[at + 4 : at + 8])[0]
+        assert entries[len(frames)] == (data[at : at + 4], 0x10, at - start - 8, n) and data[at : at + 4] == b"00dc"
+        frames.append(data[at + 8 : at + 8 + n])
+        at += 8 + n + n % 2
+    assert len(frames) == len(entries)
+    return frames
+
+
+def test_media_digests_against_other_readers(spark):
+    rows = media.to_media(corpus(spark).where("doc_id IS NULL OR doc_id < 50")).collect()
+    texts = {}
+    for r in corpus(spark).collect():
+        texts.setdefault(r.doc_id, (r.text or "").encode())
+    found = {r.doc_id: r for r in media.digests(media.to_media(corpus(spark))).collect()}
+    image = spark.sparkContext._jvm.javax.imageio.ImageIO
+    for r in rows:
+        raw, d = texts[r.doc_id], found[r.doc_id]
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (d.n_bytes, d.payload_bytes, d.payload_sha256, d.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (d.media_bytes, d.media_sha256) == (len(r.media), hashlib.sha256(bytes(r.media)).hexdigest())
+        frames, back = avi_frames(bytes(r.media)), b""
+        assert d.feature.startswith(f"frames={len(frames)};")
+        if len(frames) > 4:
+            continue
+        for f in frames:  # Java's decoder: the value of each block's first pixel
+            shown = image.read(spark.sparkContext._jvm.java.io.ByteArrayInputStream(f)).getRaster()
+            wide, high = shown.getWidth(), shown.getHeight()
+            pixels = np.array(list(shown.getSamples(0, 0, wide, high, 0, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.int, wide * high)))).reshape(high, wide)
+            assert (pixels == np.repeat(np.repeat(pixels[::8, ::8], 8, 0), 8, 1)).all()
+            back += pixels[::8, ::8].astype(np.uint8).tobytes()
+        assert back[: len(payload)] == payload and not any(back[len(payload) :])
+
+
+def test_large_texts_go_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(media, "LARGEST", 10_000)
+    with pytest.raises(ValueError, match="too large"):
+        media.encode_payloads([b"a" * 64 * 500])
 
 
 def test_shots_and_damaged_files(spark):
@@ -530,6 +714,20 @@ def test_chunk_maps_compose():
     assert tokencount.word_starts(kinds).tolist() == want
 
 
+def test_long_words_are_counted_in_chunks():
+    count, tok, rng = tokencount.counter(WORD_BPE), Tokenizer.from_file(WORD_BPE), random.Random(4)
+    some = lambda n, of="abcdefghinorst": "".join(rng.choice(of) for _ in range(n))
+    texts = [some(n) for n in (255, 256, 257, 512, 513, 5000)] + ["a" * 3000, "ab" * 2000, "é" * 700, "!" * 2000, "abc" * 400 + " x " + "hello" * 300, "_-" * 600, "𝔘" * 300, "abcde" * 333]
+    texts.append("".join(rng.choice(("the", "ing", "ation", "er", "st", "of", "wind")) for _ in range(300_000)))
+    assert len(texts[-1]) > 890_000
+    assert count(texts).tolist() == [len(x.ids) for x in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_files_are_refused():
+    with pytest.raises(ValueError, match="plain BPE"):
+        tokencount.Counter(BYTE_BPE)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_counts_of_random_words(seed):
     count, tok, rng = tokencount.counter(WORD_BPE), Tokenizer.from_file(WORD_BPE), random.Random(seed)
@@ -537,6 +735,60 @@ def test_counts_of_random_words(seed):
     assert count(texts).tolist() == [len(x.ids) for x in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+# --- what all operators share ---
+
+
+NAMES = ("_id", "_th", "_GONE", "_n", "_g", "_cut", "_whole", "_c", "_of", "_copy", "_keep", "_hash", "_row", "_node", "_component", "from_alias", "_carried", "_quality", "n_removed", "cut", "node", "part", "a.b", "x`y")
+
+
+def test_columns_may_have_any_names(spark):
+    odd = corpus(spark).select("*", *[F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(n) for n in NAMES], F.create_map(F.lit("k"), "doc_id").alias("m"))
+    own = lambda r: all(r[n] == f"{n} {'null' if r.doc_id is None else r.doc_id}" for n in NAMES)
+    plain = corpus(spark)
+    for step in (quality.keep_good, passages.cut_passages, mixing.mixed, simhash.keep_one, minhash.keep_one, *[lambda d, f=f: f(spark, d, "") for _, f in corpus_pipeline.STAGES[:4]]):
+        rows = step(odd).collect()
+        assert rows and all(map(own, rows)) and rows[0].__fields__ == odd.columns
+        assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(((r.doc_id, r.text) for r in step(plain).collect()), key=repr)
+    lines = linededup.dedup_lines(odd.drop("n_removed"), names=("k1", "k2", "k3"))
+    assert lines.columns[-3:] == ["k1", "k2", "k3"] and lines.count() == plain.count()
+    pages = odd.select(F.lit("https://e.test/").alias("url"), F.lit("").alias("html"), *[F.col(common.quoted(n)) for n in NAMES])
+    assert urlfilter.judge(pages).count() == plain.count()
+
+
+def test_intermediate_tables_go(spark, tmp_path):
+    import glob
+
+    left = lambda: set(glob.glob(common.shared_dir(spark).removeprefix("file:") + "/urlsieve/*"))
+    before = left()
+    with common.scope(spark) as keep:
+        a = common.written(spark.range(3), "a")
+        with common.scope(spark) as inner:
+            common.written(spark.range(4), "b")
+            c = inner(common.written(a.where("id > 0"), "c"))
+        d = keep(common.written(c.where("id > 1"), "d"))
+    assert d.count() == 1 and len(left() - before) == 1
+    simhash.near_duplicates(corpus(spark)).count()
+    assert {p.rpartition("/")[2].partition("-")[0] for p in left() - before} == {"d", "prints", "named"}
+    minhash.groups(corpus(spark)).count()
+    assert len(left() - before) == 4
+
+
+def test_the_other_queries_do_without_these(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    everything = set(entry.queries())
+    for gone in ("tokenizers", "urlsieve.llm.queries", "corpus_pipeline"):
+        with monkeypatch.context() as m:
+            for name in [n for n in sys.modules if n.startswith("urlsieve.llm") or n == "corpus_pipeline"]:
+                m.delitem(sys.modules, name)
+            m.setitem(sys.modules, gone, None)
+            left = set(entry.queries())
+            assert left and not any(re.match(r"op\d|pipeline", n) for n in left) and set(entry.oracle_sql()) <= left
+    assert {f"op{k}" for k in range(1, 11)} | {"pipeline"} <= {n.partition("_")[0] for n in everything}
+
+
 # --- the pipeline ---
 
 

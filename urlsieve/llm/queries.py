@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from urlsieve.llm import chat, linededup, media, mixing, pieces, quality, simhash, tokencount, tokenids, urlfilter
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op7_media": media.op7_media,
     "op8_mixing": mixing.op8_mixing,
     "op9_line_dedup": linededup.op9_line_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
