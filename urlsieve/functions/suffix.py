@@ -34,13 +34,15 @@ def attach(rows: DataFrame, host: Column, rules: tuple[str, ...] = V.SUFFIX_RULE
     A host without a known suffix has an empty one and its last label as its name; domain is then the host itself. The
     steps are columns of their own, so that Spark works each out once.
     """
-    known = F.array(*[F.lit(r) for r in rules])
+    free, below = ([r[len(sign) :] for r in rules if r.startswith(sign)] for sign in ("!", "*."))
+    plain = [r for r in rules if r[:1] not in "!*"]
     rows = rows.withColumn("_h", clean(host)).withColumn("_labels", F.split("_h", r"\."))
     labels, n = F.col("_labels"), F.size("_labels")
     rows = rows.withColumn("_tails", F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), ".")))
-    last = F.array_position(F.transform("_tails", lambda t: F.array_contains(known, t) | F.array_contains(known, F.concat(F.lit("!"), t)) | F.array_contains(known, F.concat(F.lit("*."), F.when(t.contains("."), F.regexp_replace(t, r"^[^.]*\.", "")).otherwise("")))), True)
+    # lists of literals are hash sets to Spark
+    last = F.array_position(F.transform("_tails", lambda t: t.isin(plain) | t.isin(free) | F.when(t.contains("."), F.regexp_replace(t, r"^[^.]*\.", "").isin(below)).otherwise(False)), True)
     rows = rows.withColumn("_k", F.when(F.col("_h") != "", F.nullif(last, F.lit(0).cast("long")).cast("int")))
-    rows = rows.withColumn("_at", F.when(F.array_contains(known, F.concat(F.lit("!"), F.get("_tails", F.col("_k") - 1))), F.col("_k") + 1).otherwise(F.col("_k")))
+    rows = rows.withColumn("_at", F.when(F.get("_tails", F.col("_k") - 1).isin(free), F.col("_k") + 1).otherwise(F.col("_k")))
     found = _named(F.col("_h"), labels, F.col("_at"))
     return rows.withColumns(dict(zip(names, found, strict=True))).drop("_h", "_labels", "_tails", "_k", "_at")
 

@@ -10,7 +10,8 @@ from urlsieve.functions import values as V
 #: White space as Python's str.strip knows it.
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://"
-IP = r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"
+IP = r"^(?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}$"
+PORT = r":\p{Nd}+$"
 
 
 def strip(x: Column) -> Column:
@@ -75,13 +76,18 @@ def host_span(url: Column) -> Column:
 
 
 def host_for_sanity(url: Column) -> Column:
-    """The host as a URL parser sees it, http:// assumed; empty where there is none."""
-    full = F.when(url.rlike(SCHEME), url).otherwise(F.concat(F.lit("http://"), url))
-    return F.coalesce(F.lower(F.try_parse_url(full, F.lit("HOST"))), F.lit(""))
+    """The host as a URL parser sees it, http:// assumed, without user, port and brackets; empty where there is none or brackets don't pair."""
+    clean = F.regexp_replace(url, "[\\t\\r\\n]", "")
+    full = F.when(clean.contains("://"), clean).otherwise(F.concat(F.lit("http://"), clean))
+    place = F.regexp_extract(full, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)
+    host = after_at(place)
+    inside = F.regexp_extract(host, r"^\[([^\]]*)\]", 1)
+    odd = place.contains("[") != place.contains("]")
+    return F.lower(F.when(odd, F.lit("")).when(host.startswith("["), inside).otherwise(until(host, ":")))
 
 
 def without_port(host: Column) -> Column:
-    return F.regexp_replace(host, ":[0-9]+$", "")
+    return F.regexp_replace(host, PORT, "")
 
 
 def after_host(rest: Column, host: Column) -> Column:
@@ -163,7 +169,11 @@ def hash_prefix(x: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(x), 1, digits), 16, 10).cast("long")
 
 
-def bucket(gram: Column, size: int = 1 << 20) -> Column:
+#: Buckets that n-grams are hashed into.
+BUCKETS = 1 << 20
+
+
+def bucket(gram: Column, size: int = BUCKETS) -> Column:
     return hash_prefix(gram) % size
 
 
@@ -227,17 +237,21 @@ def decide(p: Column, threshold: float | Column = 0.5) -> Column:
     )
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters the two texts begin with alike."""
+    chars = [F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)) for x in (a, b)]
+    first = F.array_position(F.zip_with(*chars, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(first == 0, F.length(a)).otherwise(first - 1).cast("int")
+
+
 def aligned_span(analysed: Column, model_input: Column, start: Column, end: Column) -> Column:
     """(start, end) in analysed of [start, end) of model_input, null if any of it has no place there.
 
     The two texts share a prefix and a suffix; a middle that is just the brand mask stands for what it replaced.
     """
     a, m = analysed, model_input
-    limit = F.least(F.length(a), F.length(m))
-    upto = F.sequence(F.lit(0), limit)
-    prefix = F.array_max(F.filter(upto, lambda k: F.substring(a, F.lit(1), k) == F.substring(m, F.lit(1), k)))
-    room = F.sequence(F.lit(0), limit - prefix)
-    suffix = F.array_max(F.filter(room, lambda k: F.substring(a, F.length(a) - k + 1, k) == F.substring(m, F.length(m) - k + 1, k)))
+    prefix = common_prefix(a, m)
+    suffix = F.least(common_prefix(F.reverse(a), F.reverse(m)), F.least(F.length(a), F.length(m)) - prefix)
     middle_end, shift = F.length(m) - suffix, F.length(a) - F.length(m)
     masked = (F.substring(m, prefix + 1, F.greatest(middle_end - prefix, F.lit(0))) == V.BRAND_MASK) & (F.length(a) - suffix > prefix)
     from_ = F.when(start < prefix, start).when(start >= middle_end, start + shift).otherwise(prefix)

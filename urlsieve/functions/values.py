@@ -96,9 +96,21 @@ RISKY_SUFFIXES = {
 MAX_URL_LENGTH = 2048
 BUCKET_REQUESTS, BUCKET_SECONDS = 30, 60.0
 
-#: A small public-suffix list for use without a file; a full list's path can be given instead.
+#: Registries that take names under these second-level labels only, for use without a file; a full list's path can be given instead.
+SECOND_LEVEL = {
+    "ac.be ac.id ac.il ac.in ac.jp ac.ke ac.kr ac.nz ac.th ac.uk ac.za": "", "ae": "co net org gov ac sch", "ar": "com edu gob gov int mil net org tur", "au": "com net org edu gov asn id", "bd": "com net org edu gov",
+    "br": "com net org gov edu mil art blog eco ind inf jus leg adv eng med", "cn": "com net org gov edu mil ac", "co": "com net org edu gov mil nom", "cy": "com net org gov ac", "eg": "com net org edu gov",
+    "gr": "com net org edu gov", "hk": "com net org edu gov idv", "id": "co net or go sch mil web my", "il": "co net org gov muni", "in": "co net org gov edu firm gen ind nic res", "jp": "co ne or go ad ed gr lg",
+    "ke": "co ne or go sc", "kr": "co ne or go pe re", "mx": "com net org edu gob", "my": "com net org edu gov mil name", "ng": "com net org edu gov", "nz": "co net org govt school gen geek iwi kiwi maori",
+    "pe": "com net org edu gob mil nom", "ph": "com net org edu gov mil", "pk": "com net org edu gov", "pl": "com net org edu gov info", "pt": "com org edu gov", "ru": "", "sa": "com net org edu gov med sch",
+    "sg": "com net org edu gov per", "th": "co net or go in mi", "tr": "com net org edu gov bel pol k12 gen web av dr", "tw": "com net org edu gov mil idv", "ua": "com net org edu gov in",
+    "uk": "co net org gov ltd me nhs plc police sch", "uy": "com net org edu gub mil", "ve": "co com net org edu gob", "vn": "com net org edu gov ac", "za": "co net org gov edu law web",
+}
 SUFFIX_RULES = (
     "com", "net", "org", "info", "biz", "edu", "gov", "mil", "int", "io", "co", "me", "tv", "us", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk",
     "de", "fr", "es", "it", "nl", "eu", "ru", "pl", "ch", "at", "be", "se", "jp", "co.jp", "ne.jp", "au", "com.au", "br", "com.br", "in", "co.in",
     "ck", "*.ck", "!www.ck", "support", "cc", *RISKY_SUFFIXES,
+    "cz", "dk", "fi", "hu", "ie", "il", "is", "lt", "lu", "lv", "no", "nu", "ro", "rs", "si", "sk", "tw", "ca", "mobi", "name", "pro", "aero", "coop", "museum", "jobs", "travel", "tel", "cat", "blog", "store", "tech", "space",
+    *[r for names, below in SECOND_LEVEL.items() for name in names.split() for r in (name, *[f"{b}.{name}" for b in below.split()])],
 )
+SUFFIX_RULES = tuple(dict.fromkeys(SUFFIX_RULES))

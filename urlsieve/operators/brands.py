@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,33 +22,44 @@ def brand_table(spark: SparkSession, ranking: DataFrame | None = None) -> DataFr
     return found.select(F.lower(text.strip(F.col("brand"))).alias("brand")).where("brand != ''").distinct()
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a column of bits at a time."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def closest(label: str, brands: list[str]) -> tuple[float, str]:
-    """The best ratio of 2 * common subsequence to total length, and its brand, the first in order among equals.
-
-    A brand whose length alone keeps it under the best is skipped.
-    """
-    best, name = -1.0, ""
-    for b in brands:
-        total = len(label) + len(b)
-        if 2 * min(len(label), len(b)) <= best * total:
-            continue
-        score = 2 * lcs(label, b) / total if total else 1.0
-        if score > best:
-            best, name = score, b
-    return best, name
+class Matcher:
+    """The closest of many brands to a label: longest common subsequences with all brands at once, a bit per character."""
+
+    def __init__(self, brands: Iterable[str]):
+        self.brands = sorted(set(brands))
+        self.place = {c: k for k, c in enumerate(sorted(set("".join(self.brands))), 1)}
+        self.sizes = np.array([len(b) for b in self.brands], np.int64)
+        self.steps = np.zeros((max(map(len, self.brands), default=0), len(self.brands)), np.int64)
+        for k, b in enumerate(self.brands):
+            self.steps[: len(b), k] = [self.place[c] for c in b]
+
+    def common(self, label: str) -> np.ndarray:
+        """The length of the longest common subsequence with each brand, 63 characters of the label in a word."""
+        words = -(-len(label) // 63)
+        where = np.zeros((max(1, words), len(self.place) + 1), np.uint64)
+        for i, c in enumerate(label):
+            if c in self.place:
+                where[i // 63, self.place[c]] |= np.uint64(1 << i % 63)
+        low = np.uint64((1 << 63) - 1)
+        rows = [np.full(len(self.brands), low) for _ in range(words)]
+        for step in self.steps:
+            carry = np.zeros(len(self.brands), np.uint64)
+            for w, row in enumerate(rows):
+                hit = row & where[w, step]
+                total = row + hit + carry
+                carry = total >> np.uint64(63)
+                rows[w] = (total | (row - hit)) & low
+        left = sum((63 - np.bitwise_count(row).astype(np.int64) for row in rows), np.zeros(len(self.brands), np.int64))
+        return left
+
+    def __call__(self, label: str) -> tuple[float, str]:
+        """The best ratio of 2 * common subsequence to total length, and its brand, the first in order among equals."""
+        if not self.brands:
+            return -1.0, ""
+        total = self.sizes + len(label)
+        score = np.where(total > 0, 2 * self.common(label) / np.maximum(total, 1), 1.0)
+        k = int(score.argmax())
+        return float(score[k]), self.brands[k]
 
 
 def similarity(rows: DataFrame, label: str, brands: list[str]) -> DataFrame:
@@ -60,10 +72,12 @@ def similarity(rows: DataFrame, label: str, brands: list[str]) -> DataFrame:
 
     @F.pandas_udf("score double, brand string")
     def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        closest = Matcher(ordered)
         for raw, folded in batches:
             out = []
             for a, b in zip(raw, folded, strict=True):
-                x, y = closest(a, ordered), closest(b, ordered)
+                x = closest(a)
+                y = x if a == b else closest(b)
                 out.append(y if y[0] > x[0] else x)
             yield pd.DataFrame(out, columns=["score", "brand"])
 
@@ -74,15 +88,15 @@ def similarity(rows: DataFrame, label: str, brands: list[str]) -> DataFrame:
 
 
 def fold(x: Column) -> Column:
-    """NFKC, lower case, look-alikes as Latin letters. ASCII texts take the built-in path within the batch."""
+    """NFKC, lower case, look-alikes as Latin letters. Only texts that aren't ASCII are sent to Python."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = str.maketrans(V.CONFUSABLES)
         for texts in batches:
-            yield texts.map(lambda t: t if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).lower().translate(table))
+            yield texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t).lower().translate(table))
 
-    return run(x)
+    return F.coalesce(run(F.when(~text.is_ascii(x), x)), F.lower(x))
 
 
 def mask(rows: DataFrame, column: str, out: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,14 +83,67 @@ def internal(rows: DataFrame, cluster: str = "cluster", vector: str = "embedding
 
 
 def silhouette(rows: DataFrame, sample: int = 10_000, seed: str = "42", id_col: str = "vec_id", cluster: str = "cluster", vector: str = "embedding") -> DataFrame:
-    """Mean silhouette of a bounded sample, whose pairs are compared; the sample is the feature's own bound."""
-    pick = rows.where(F.col(cluster) != -1).orderBy(F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))).limit(sample).select(F.col(id_col).alias("i"), F.col(cluster).alias("c"), F.col(vector).alias("v"))
-    pick = pick.repartition("i")
-    a, b = pick.alias("a"), pick.alias("b")
-    mean = a.join(b, F.col("a.i") != F.col("b.i")).groupBy("a.i", "a.c", F.col("b.c").alias("o")).agg(F.avg(F.sqrt(squared(F.col("a.v"), F.col("b.v")))).alias("d"))
-    pair = mean.groupBy("i").agg(F.max(F.when(F.col("c") == F.col("o"), F.col("d"))).alias("own"), F.min(F.when(F.col("c") != F.col("o"), F.col("d"))).alias("other"))
-    s = F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
-    return pair.agg(F.avg(s).alias("silhouette"))
+    """Mean silhouette of a bounded sample, whose pairs are compared by blocks of matrix products; the sample is the feature's own bound."""
+    pick = rows.where(F.col(cluster) != -1).orderBy(F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))).limit(sample).select(F.col(cluster).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    held = pick.toPandas()
+    points, names = _matrix(held.v), held.c.to_numpy()
+    groups, at = np.unique(names, return_inverse=True)
+    member = np.eye(len(groups))[at] if len(groups) else np.zeros((0, 0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = batch.i.to_numpy()
+            for k in range(0, len(own), BLOCK):
+                part = own[k : k + BLOCK]
+                far = np.sqrt(np.maximum(((points[part, None, :] - points[None, :, :]) ** 2).sum(axis=2) if len(points) * len(part) <= EXACT else _squares(points[part], points), 0.0))
+                far[np.arange(len(part)), part] = 0.0
+                sums, sizes = far @ member, member.sum(axis=0)
+                mine = np.arange(len(part)), at[part]
+                inner = sums[mine] / np.maximum(sizes[at[part]] - 1, 1)
+                means = sums / sizes
+                means[mine] = np.inf
+                outer = means.min(axis=1)
+                alone = (sizes[at[part]] < 2) | ~np.isfinite(outer)
+                yield pd.DataFrame({"s": np.where(alone, 0.0, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300))})
+
+    return rows.sparkSession.range(len(points)).select(F.col("id").alias("i")).mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
+
+
+#: Rows compared at once, and distances up to which they are taken without the shortcut by products.
+BLOCK, EXACT = 256, 1 << 17
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)[None, :]
+
+
+def nearest_labelled(points: DataFrame, labelled: DataFrame, most: int = 30_000, id_col: str = "vec_id", vector: str = "embedding", label: str = "cluster") -> DataFrame:
+    """(id, label, distance) of each point's nearest labelled one, ties to the least id: a clustering of a sample, carried to all rows.
+
+    The labelled sample has at most `most` rows, which bounds what is sent to each task; more are an error. Points are
+    compared with it by blocks of matrix products; nothing is shuffled.
+    """
+    held = labelled.select(F.col(id_col).cast("long").alias("i"), F.col(label).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v")).limit(most + 1).toPandas().sort_values("i")
+    if len(held) > most:
+        raise ValueError(f"at most {most} labelled points are compared with all others")
+    known, names = _matrix(held.v), held.c.to_numpy()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), BLOCK):
+                part = batch.iloc[k : k + BLOCK]
+                own = _matrix(part.v)
+                best = np.argmin(_squares(own, known).round(9), axis=1)
+                yield pd.DataFrame({"i": part.i, "label": names[best], "distance": np.sqrt(((own - known[best]) ** 2).sum(axis=1))})
+
+    rows = points.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    if not len(held):
+        return rows.select(F.col("i").alias(id_col), F.lit(None).cast("long").alias(label), F.lit(None).cast("double").alias("distance"))
+    return rows.mapInPandas(run, "i long, label long, distance double").select(F.col("i").alias(id_col), F.col("label").alias(label), "distance")
 
 
 def profile(rows: DataFrame, features: list[str], cluster: str = "cluster", label: str = "label", top: int = 15) -> DataFrame:

@@ -10,28 +10,32 @@ from urlsieve.functions import text
 CANDIDATES, LEAST_SHARE, LEAST_WEIGHT = 12, 0.1, 0.1
 
 
-def made_up_coefficient(bucket: Column) -> Column:
-    """A stand-in for a model's coefficients, from -1 to 1 by bucket, for checks without a model."""
-    return (bucket * 7919 % 2001 - 1000) / 250.0
-
-
-def occurrences(rows: DataFrame, coefficients: DataFrame | None = None, key: str = "id", column: str = "rest") -> DataFrame:
-    """(key, start, end, gram, bucket, share): each n-gram's share of the score.
-
-    A bucket's value, sublinear count over the row's length, times its coefficient is dealt evenly to the occurrences
-    that fall into it. coefficients has bucket and coef; without it the stand-in is used. All windows run within a row's
-    n-grams.
+def occurrences(rows: DataFrame, coefficients: DataFrame, key: str = "id", column: str = "rest", counts: str | None = None) -> DataFrame:
+    """(key, start, end, gram, bucket, share): each n-gram's share of the score of a linear model.
+
+    A bucket's value, sublinear count times idf over the row's length, times its coefficient is dealt evenly to the
+    occurrences that fall into it. coefficients: bucket, coef and perhaps idf, at most one row for each of text.BUCKETS
+    buckets, which bounds what is broadcast; bucket -1 holds the idf of buckets that aren't there. counts names a column
+    with the model's own counts (bucket: count, a map) of the row: where they differ from those found here, all its shares
+    are null. Rows are dealt out once, by key; all windows run within a row's n-grams.
     """
-    grams = rows.select(key, F.inline(text.ngrams(F.col(column)))).withColumn("bucket", text.bucket(F.col("gram")))
-    hits = grams.groupBy(key, "bucket").agg(F.count("*").alias("hits")).withColumn("x", 1 + F.ln("hits"))
-    norm = hits.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    if coefficients is None:
-        hits = hits.withColumn("coef", made_up_coefficient(F.col("bucket")))
-    else:
-        hits = hits.join(coefficients.select("bucket", "coef"), "bucket", "left").withColumn("coef", F.coalesce("coef", F.lit(0.0)))
-    share = F.col("coef") * F.col("x") / F.col("norm") / F.col("hits")
-    each = hits.join(norm, key).select(key, "bucket", share.alias("share"))
-    return grams.join(each, [key, "bucket"]).select(key, "start", (F.col("start") + F.length("gram")).alias("end"), "gram", "bucket", "share")
+    own = [F.col(counts).alias("_counts")] if counts else []
+    grams = rows.select(key, F.col(column).alias("_x"), *own).repartition(F.col(key)).select(key, *["_counts"] * bool(counts), F.inline(text.ngrams(F.col("_x"))))
+    grams = grams.withColumn("bucket", text.bucket(F.col("gram")))
+    hits = F.count("*").over(Window.partitionBy(key, "bucket"))
+    found = grams.withColumn("hits", hits).join(F.broadcast(coefficients.where("bucket >= 0")), "bucket", "left")
+    idf = F.lit(1.0)
+    if "idf" in coefficients.columns:
+        found = found.crossJoin(F.broadcast(coefficients.where("bucket = -1").agg(F.max("idf").alias("_rare"))))
+        idf = F.coalesce("idf", "_rare", F.lit(1.0))
+    found = found.withColumn("x", (1 + F.ln("hits")) * idf)
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x") / F.col("hits")).over(Window.partitionBy(key)))
+    share = F.coalesce("coef", F.lit(0.0)) * F.col("x") / norm / F.col("hits")
+    if counts:
+        right = F.coalesce(F.try_element_at("_counts", F.col("bucket")) == F.col("hits"), F.lit(False)).cast("int")
+        whole = F.sum(F.lit(1.0) / F.col("hits")).over(Window.partitionBy(key))  # the number of buckets
+        share = F.when((F.min(right).over(Window.partitionBy(key)) == 1) & (F.round(whole) == F.size("_counts")), share)
+    return found.select(key, "start", (F.col("start") + F.length("gram")).alias("end"), "gram", "bucket", share.alias("share"))
 
 
 def candidates(found: DataFrame, key: str = "id") -> DataFrame:
@@ -49,13 +53,26 @@ def merge_spans(spans: DataFrame, *keys: str) -> DataFrame:
 
 
 def segments(found: DataFrame, key: str = "id", limit: int = 5) -> DataFrame:
-    """(key, rank, start, end, weight): merged spans of one sign with the sum of all shares inside them."""
-    top = candidates(found, key).withColumn("sign", F.signum("share").cast("int")).where("sign != 0")
-    merged = merge_spans(top.select(key, "sign", "start", "end"), key, "sign")
-    f, m = found.alias("f"), merged.alias("m")
-    inside = (F.col(f"f.{key}") == F.col(f"m.{key}")) & (F.col("f.start") >= F.col("m.start")) & (F.col("f.end") <= F.col("m.end"))
-    weight = m.join(f, inside).groupBy(F.col(f"m.{key}").alias(key), F.col("m.sign").alias("sign"), F.col("m.start").alias("start"), F.col("m.end").alias("end")).agg(F.sum("f.share").alias("weight"))
-    weight = weight.where(F.col("weight") * F.col("sign") >= LEAST_WEIGHT)
+    """(key, rank, start, end, weight): merged spans of one sign with the sum of all shares inside them.
+
+    A row's few candidate spans are gathered and merged beside each of its n-grams, so nothing is joined.
+    """
+    best = Window.partitionBy(key).orderBy(F.desc(F.round(F.abs("share"), 9)), "start", "end")
+    sign = F.signum("share").cast("int")
+    span = F.when((F.row_number().over(best) <= CANDIDATES) & (F.abs("share") >= LEAST_SHARE) & (sign != 0), F.struct(sign.alias("sign"), "start", "end"))
+    every = found.withColumn("_span", span).withColumn("_spans", F.sort_array(F.collect_list("_span").over(Window.partitionBy(key)))).where(F.size("_spans") > 0)
+
+    def merge(done, x):
+        last = F.element_at(done, -1)
+        grown = F.struct(last["sign"].alias("sign"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((last["sign"] == x["sign"]) & (x["start"] < last["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(x)))
+
+    rest = F.slice("_spans", 2, F.size("_spans"))
+    merged = F.aggregate(rest, F.slice("_spans", 1, 1), merge)
+    inside = F.filter(merged, lambda m: (F.col("start") >= m["start"]) & (F.col("end") <= m["end"]))
+    inside = F.transform(inside, lambda m: F.struct(m["sign"].alias("sign"), m["start"].alias("from"), m["end"].alias("to")))
+    weight = every.select(key, "share", F.inline(inside)).groupBy(key, "sign", "from", "to").agg(F.sum("share").alias("weight"))
+    weight = weight.where(F.col("weight") * F.col("sign") >= LEAST_WEIGHT).select(key, F.col("from").alias("start"), F.col("to").alias("end"), "weight")
     order = Window.partitionBy(key).orderBy(F.desc(F.round(F.abs("weight"), 9)), "start", "end")
     return weight.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(key, "rank", "start", "end", "weight")
 

@@ -2,40 +2,96 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urlsieve.functions import text
 from urlsieve.operators import clusters, metrics
+from urlsieve.sources import files
 
 NUMERIC = (
     "url_length", "hostname_length", "path_length", "query_length", "dot_count", "hyphen_count", "digit_count", "at_count", "underscore_count", "percent_count", "equals_count", "ampersand_count",
     "digit_ratio", "subdomain_count", "path_depth", "is_ip_hostname", "has_port", "has_punycode", "suspicious_keyword_count", "hostname_entropy",
 )
 BRAND = ("brand_similarity_score", "is_exact_brand_match")
-BUCKETS = 1 << 20
+BUCKETS = text.BUCKETS
 
 
-def with_grams(rows: DataFrame, column: str = "masked") -> DataFrame:
-    return rows.withColumn("grams", F.transform(text.ngrams(F.col(column)), lambda g: g["gram"]))
+def log_odds(rows: DataFrame, column: str = "rest", key: str = "id", label: str = "label") -> DataFrame:
+    """(bucket, coef) of a naive Bayes model of n-gram presence: log-odds of a bucket, positive rows against others, each by (n + 1) / (N + 2)."""
+    seen = rows.select(key, F.col(label).cast("double").alias("y"), F.explode(F.array_distinct(F.transform(text.ngrams(F.col(column)), lambda g: text.bucket(g["gram"])))).alias("bucket"))
+    every = rows.agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1 - F.col(label).cast("double")).alias("q"))
+    n = seen.groupBy("bucket").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).crossJoin(F.broadcast(every))
+    return n.select("bucket", (F.ln((F.col("a") + 1) / (F.col("p") + 2)) - F.ln((F.col("b") + 1) / (F.col("q") + 2))).alias("coef"))
 
 
-def char_ngram(c: float, n_rows: int, rounds: int = 50) -> Pipeline:
-    """Logistic regression on hashed 3- to 5-grams. Spark has no sublinear counts in its hasher: distinct grams are taken
-    once (binary), its IDF has no added one, and the intercept isn't penalised."""
-    return Pipeline(stages=[
-        HashingTF(inputCol="grams", outputCol="tf", numFeatures=BUCKETS, binary=True),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(1, n_rows)), maxIter=rounds),
-    ])
+def gram_counts(rows: DataFrame, column: str = "masked", key: str = "id", keep: Sequence[str] = ("label",)) -> DataFrame:
+    """(key, keep, bucket, tf): how often each bucket of n-grams occurs in a row. Rows of under three characters have none."""
+    grams = rows.select(key, *keep, F.explode(F.transform(text.ngrams(F.col(column)), lambda g: text.bucket(g["gram"]))).alias("bucket"))
+    return grams.groupBy(key, *keep, "bucket").agg(F.count("*").alias("tf"))
+
+
+def idf(counts: DataFrame, n_rows: int) -> DataFrame:
+    """(bucket, idf, pos) with smoothed frequencies, ln((1 + n) / (1 + df)) + 1; bucket -1 stands for all that no row has.
+
+    pos numbers the buckets that rows have, at most BUCKETS of them, which one task sorts.
+    """
+    seen = counts.groupBy("bucket").agg(F.count("*").alias("df")).select("bucket", (F.ln(F.lit(1.0 + n_rows) / (1 + F.col("df"))) + 1).alias("idf"))
+    seen = seen.withColumn("pos", F.row_number().over(Window.orderBy("bucket")) - 1)
+    return seen.union(counts.sparkSession.range(1).select(F.lit(-1).cast("long").alias("bucket"), F.lit(math.log(1.0 + n_rows) + 1).alias("idf"), F.lit(-1).alias("pos")))
+
+
+def tfidf(rows: DataFrame, counts: DataFrame, weights: DataFrame, key: str = "id") -> DataFrame:
+    """rows with features, a sparse vector by pos of (1 + ln tf) * idf over its length; weights is idf(), broadcast: at most BUCKETS rows.
+
+    A bucket that weights lacks has no place in the vector, but counts in its length.
+    """
+    rare = weights.where("bucket = -1").agg(F.max("idf").alias("_rare"))
+    x = counts.join(F.broadcast(weights.where("bucket >= 0")), "bucket", "left").crossJoin(F.broadcast(rare)).select(key, F.struct(F.col("pos").alias("i"), ((1 + F.ln("tf")) * F.coalesce("idf", "_rare")).alias("v")).alias("e"))
+    packed = x.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("e"))
+    both = rows.join(packed, key, "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<i:int,v:double>>")))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, e: s + e["v"] * e["v"]))
+    both = both.withColumn("_norm", norm).withColumn("e", F.filter("e", lambda e: e["i"].isNotNull()))
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(max(1, weights.count() - 1)).alias("size"), F.transform("e", lambda e: e["i"]).alias("indices"), F.transform("e", lambda e: e["v"] / F.col("_norm")).alias("values"))
+    # the vector type can't be cast to, but it can be parsed
+    kind = T.StructType([T.StructField("features", VectorUDT())])
+    return both.withColumn("features", F.from_json(F.to_json(F.struct(vector.alias("features"))), kind)["features"]).drop("e", "_norm")
+
+
+def char_ngram(c: float, n_rows: int, rounds: int = 50) -> LogisticRegression:
+    """Logistic regression on tfidf() of 3- to 5-grams in 2^20 buckets. The intercept isn't penalised, unlike in liblinear."""
+    return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(1, n_rows)), maxIter=rounds, standardization=False)
+
+
+def stored_coefficients(spark: SparkSession, model, weights: DataFrame) -> DataFrame:
+    """(bucket, coef, idf) of a fitted char_ngram model: buckets that some row had, and -1 with the intercept and the idf of the others."""
+    vector = model.coefficients.toArray()
+    coef = spark.createDataFrame(pd.DataFrame({"pos": np.arange(-1, len(vector), dtype="int32"), "coef": np.append(model.intercept, vector)}))
+    return weights.join(coef, "pos").select("bucket", "coef", "idf")
+
+
+def linear_scores(rows: DataFrame, coefficients: DataFrame, key: str = "id", column: str = "masked") -> DataFrame:
+    """(key, logit, probability) of rows by stored coefficients, for texts that are preprocessed already."""
+    counts = gram_counts(rows, column, key, ())
+    rare = coefficients.where("bucket = -1").agg(F.max("idf").alias("_rare"), F.max("coef").alias("_b"))
+    x = counts.join(F.broadcast(coefficients.where("bucket >= 0")), "bucket", "left").crossJoin(F.broadcast(rare)).withColumn("x", (1 + F.ln("tf")) * F.coalesce("idf", "_rare"))
+    sums = x.groupBy(key).agg((F.sum(F.coalesce("coef", F.lit(0.0)) * F.col("x")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("_dot"))
+    out = rows.select(key).join(sums, key, "left").crossJoin(F.broadcast(rare)).withColumn("logit", F.coalesce("_dot", F.lit(0.0)) + F.col("_b"))
+    return out.select(key, "logit", (1 / (1 + F.exp(-F.col("logit")))).alias("probability"))
 
 
 def log_features(rows: DataFrame, names: Sequence[str] = NUMERIC) -> DataFrame:
@@ -53,9 +109,27 @@ def linear(names: Sequence[str] = (*NUMERIC, *BRAND)) -> Pipeline:
     ])
 
 
-def trees(names: Sequence[str] = (*NUMERIC, *BRAND), rounds: int = 10) -> Pipeline:
-    """Gradient-boosted trees, Spark's own; leaf-wise growth and early stopping by validation loss aren't in it."""
-    return Pipeline(stages=[VectorAssembler(inputCols=[f"log_{n}" for n in names], outputCol="features"), GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, seed=42)])
+def trees(names: Sequence[str] = (*NUMERIC, *BRAND), rounds: int = 10, depth: int = 5, early: str | None = None) -> Pipeline:
+    """Gradient-boosted trees, Spark's own, not leaf-wise ones; `early` names the column that marks validation rows, on which growth stops."""
+    boost = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, seed=42, validationTol=0.001)
+    if early:
+        boost = boost.setValidationIndicatorCol(early)
+    return Pipeline(stages=[VectorAssembler(inputCols=[f"log_{n}" for n in names], outputCol="features"), boost])
+
+
+def grown_trees(fit: DataFrame, val: DataFrame, depths: Sequence[int] = (3, 5), rounds: int = 20, names: Sequence[str] = (*NUMERIC, *BRAND)):
+    """The best depth by average precision on val, each grown until val's loss stops falling, then refitted on all with that many trees."""
+    both = fit.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
+    tried = [trees(names, rounds, d, "_val").fit(both) for d in depths]
+    values = [average_precision(m, val) for m in tried]
+    best = max(range(len(depths)), key=lambda k: (values[k] or 0.0, -k))
+    return trees(names, max(1, tried[best].stages[-1].getNumTrees), depths[best]).fit(fit.unionByName(val))
+
+
+def importances(model, names: Sequence[str] = (*NUMERIC, *BRAND)) -> list[tuple[str, float]]:
+    """Each feature's share of the trees' gain in percent, most first."""
+    share = model.stages[-1].featureImportances.toArray()
+    return sorted(zip(names, (100 * share / max(share.sum(), 1e-300)).tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
 def kmeans(k: int, names: Sequence[str] = NUMERIC) -> Pipeline:
@@ -99,14 +173,100 @@ def cluster_scores(fitted, train: DataFrame, rows: DataFrame, *keep: str) -> Dat
     return out.select(*keep, "cluster", F.coalesce("proba", "_prior").alias("phishing_probability"))
 
 
-def grid(makers: list, fit: DataFrame, val: DataFrame, key: str = "id"):
+def average_precision(model, val: DataFrame) -> float | None:
+    scored = score(model, val, "label").select("label", F.round("phishing_probability", 9).alias("score"))
+    return metrics.average_precision(metrics.tally(scored)).first()[0]
+
+
+def grid(makers: list, fit: DataFrame, val: DataFrame):
     """The model of the highest average precision on val, the first one among equals, and all values."""
-    best, values = None, []
-    for make in makers:
-        model = make.fit(fit)
-        scored = score(model, val, key, "label").select("label", F.round("phishing_probability", 9).alias("score"))
-        value = metrics.average_precision(metrics.tally(scored)).first()[0]
-        values.append(value)
-        if best is None or (value or 0.0) > (best[0] or 0.0):
-            best = (value, model)
-    return best[1], values
+    models = [make.fit(fit) for make in makers]
+    values = [average_precision(m, val) for m in models]
+    best = max(range(len(models)), key=lambda k: (values[k] or 0.0, -k))
+    return models[best], values
+
+
+def best_clusters(fit: DataFrame, val: DataFrame, ks: Sequence[int] = (2, 5, 10, 20, 50, 100)):
+    """The K-means model whose cluster probabilities have the highest average precision on val, and all values."""
+    ks = [k for k in ks if k <= max(2, fit.count() // 2)]
+    models, values = [kmeans(k).fit(fit) for k in ks], []
+    for m in models:
+        scored = cluster_scores(m, fit, val, "label").select("label", F.round("phishing_probability", 9).alias("score"))
+        values.append(metrics.average_precision(metrics.tally(scored)).first()[0])
+    best = max(range(len(ks)), key=lambda k: (values[k] or 0.0, -k))
+    return models[best], dict(zip(ks, values, strict=True))
+
+
+def kinds_of_phishing(rows: DataFrame, ks: Sequence[int] = (4, 5, 6, 7, 8), seeds: Sequence[int] = (1, 2, 3), names: Sequence[str] = NUMERIC) -> tuple[int, dict[int, float], DataFrame]:
+    """K by silhouette, the first among equals; all silhouettes; and (seed, ari, jaccard) of refits with other seeds.
+
+    ari compares a refit's clusters with the first fit's; jaccard is the least of the clusters' best overlaps.
+    """
+    scaled = Pipeline(stages=kmeans(2, names).getStages()[:-1]).fit(rows).transform(rows)
+    judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
+
+    def fitted(k: int, seed: int):
+        return KMeans(featuresCol="features", predictionCol="cluster", k=k, seed=seed).fit(scaled)
+
+    found = {k: judge.evaluate(fitted(k, 42).transform(scaled)) for k in ks}
+    best = max(found, key=lambda k: (found[k], -k))
+    first = fitted(best, 42).transform(scaled).withColumnRenamed("cluster", "_first").drop("prediction")
+    out = None
+    for seed in seeds:
+        cells = clusters.contingency(fitted(best, seed).transform(first), "cluster", "_first")
+        row = clusters.external(cells).select(F.lit(seed).alias("seed"), "ari").crossJoin(clusters.jaccard(cells).agg(F.min("best").alias("jaccard")))
+        out = row if out is None else out.union(row)
+    return best, found, out
+
+
+#: How a stored bundle of each kind gives (keep, phishing_probability): a pipeline, or clusters with the training rows' shares.
+BUNDLES = ("linear", "trees", "kmeans", "reconstruction", "char_ngram")
+
+
+def save_bundle(kind: str, path: str, model, extra: DataFrame | None = None, threshold: float = 0.5) -> None:
+    """A model folder: the pipeline or the coefficients, a table that goes with it, and what kind it is."""
+    if kind not in BUNDLES:
+        raise ValueError(f"no such kind of model: {kind}")
+    spark = model.sparkSession if isinstance(model, DataFrame) else SparkSession.active()
+    if isinstance(model, DataFrame):
+        model.write.mode("overwrite").parquet(f"{path}/coefficients")
+        made = files.manifest(spark.read.parquet(f"{path}/coefficients"), "bucket").first()
+        spark.createDataFrame([(kind, threshold, made.n, made.digest)], "kind string, threshold double, n long, digest string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+        return
+    model.write().overwrite().save(f"{path}/pipeline")
+    if extra is not None:
+        extra.write.mode("overwrite").parquet(f"{path}/extra")
+    spark.createDataFrame([(kind, threshold)], "kind string, threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_bundle(spark: SparkSession, path: str) -> dict | None:
+    """What save_bundle() wrote, or None where nothing is. Coefficients that differ from their manifest are an error."""
+    try:
+        about = spark.read.schema("kind string, threshold double, n long, digest string").json(f"{path}/about").first()
+    except AnalysisException:
+        return None
+    found = {"kind": about.kind, "threshold": about.threshold}
+    if about.kind == "char_ngram":
+        found["model"] = files.verified(spark.read.parquet(f"{path}/coefficients"), "bucket", about.n, about.digest)
+    else:
+        found["model"] = PipelineModel.load(f"{path}/pipeline")
+        if about.kind in ("kmeans", "reconstruction"):
+            found["extra"] = spark.read.parquet(f"{path}/extra")
+    return found
+
+
+def predict(bundle: dict, rows: DataFrame, *keep: str, threshold: float | None = None) -> DataFrame:
+    """(keep, phishing_probability, is_phishing) by a bundle of any kind, with its own threshold or another; no rows give none."""
+    cut = bundle["threshold"] if threshold is None else threshold
+    if bundle["kind"] == "kmeans":
+        known = bundle["extra"]
+        prior = known.agg(F.max("prior").alias("_prior"))
+        p = bundle["model"].transform(rows).join(F.broadcast(known.select("cluster", "proba")), "cluster", "left").crossJoin(F.broadcast(prior)).withColumn("phishing_probability", F.coalesce("proba", "_prior"))
+    elif bundle["kind"] == "reconstruction":
+        p = reconstruction_error(bundle["model"], rows).crossJoin(F.broadcast(bundle["extra"].limit(1)))
+        p = p.withColumn("phishing_probability", 1 / (1 + F.exp(-(F.col("slope") * F.ln(F.col("error") + 1e-12) + F.col("shift")))))
+    elif bundle["kind"] == "char_ngram":
+        p = rows.join(linear_scores(rows, bundle["model"]).select("id", F.col("probability").alias("phishing_probability")), "id")
+    else:
+        p = bundle["model"].transform(rows).withColumn("phishing_probability", vector_to_array("probability")[1])
+    return p.select(*keep, "phishing_probability", (F.col("phishing_probability") >= cut).alias("is_phishing"))

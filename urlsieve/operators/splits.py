@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlsieve.functions import text
@@ -36,3 +36,23 @@ def leave_out(rows: DataFrame, source: str, cap: int = 600_000, source_col: str
     """Training rows for testing on one source: other sources' rows, without its groups, at most cap of them."""
     held = rows.where(F.col(source_col) == source).select(group).distinct()
     return sample(rows.where(F.col(source_col) != source).join(held, group, "left_anti"), cap, key)
+
+
+def outside(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of rows that known lacks: none if rows are a subset."""
+    return rows.select(key).distinct().join(known.select(key).distinct(), key, "left_anti")
+
+
+def even_sample(rows: DataFrame, n: int, key: str, width: int = 1 << 16) -> DataFrame:
+    """Every k-th row in order of an integer key, n of them: row i * total div n for each i.
+
+    Ordinals come from the sizes of key ranges, so that no task numbers all rows.
+    """
+    part = rows.withColumn("_part", F.floor(F.col(key) / width))
+    sizes = part.groupBy("_part").agg(F.count("*").alias("m"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_before"), F.sum("m").over(Window.partitionBy(F.lit(1))).alias("_total"))
+    i = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1 + F.col("_before")
+    spot = f"(({n} * _i + _total - 1) div _total)"  # the least k with k * total div n >= i
+    out = part.join(sizes, "_part").withColumn("_i", i)
+    return out.where(f"_total <= {n} OR {spot} < {n} AND ({spot} * _total) div {n} = _i").drop("_part", "_before", "_total", "_i")

@@ -37,6 +37,11 @@ EDGES = (
     (900025, "https://amaz0n.com.example.ck/q%20r@s", 1, "p3"),
     (900026, "http://www.ck/", 0, "p0"),
     (900027, "www.paypal.com", 0, "p1"),
+    (900028, "http://１.２.３.４:８０/x", 1, "p2"),
+    (900029, "\t http://ｅxample.org/tab\u00a0", 0, "p3"),
+    (900030, "https://shop.example.co.nz/a?b=http://c", 0, "p0"),
+    (900031, "http://stats.gov.br:99/", 1, "p1"),
+    (900032, "http://user:pw@paypa1.com.au./login", 1, "p2"),
 )
 
 
@@ -101,17 +106,17 @@ _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://"
 PARTS = rf"""{URLS},
 p0 AS (SELECT *, coalesce(url, '') AS u, regexp_replace(coalesce(url, ''), '{_SCHEME}', '') AS rest FROM urls),
 p1 AS (SELECT *, regexp_replace(regexp_extract(rest, '^[^/?#]*'), '(?s)^.*@', '') AS host_raw FROM p0),
-p2 AS (SELECT *, regexp_replace(lower(host_raw), ':[0-9]+$', '') AS host, CASE WHEN starts_with(rest, host_raw) THEN substr(rest, length(host_raw) + 1) ELSE rest END AS after FROM p1),
+p2 AS (SELECT *, regexp_replace(lower(host_raw), ':\p{{Nd}}+$', '') AS host, CASE WHEN starts_with(rest, host_raw) THEN substr(rest, length(host_raw) + 1) ELSE rest END AS after FROM p1),
 p AS (SELECT *, regexp_extract(after, '^[^?#]*') AS path, regexp_extract(after, '(?s)^[^?]*\?([^#]*)', 1) AS query FROM p2)"""
 #: d adds suffix, label_name, subdomain and domain to p.
 DOMAINS = f"""{PARTS}, rules AS (SELECT {sql_list(V.SUFFIX_RULES)} AS r),
 s0 AS (SELECT p.*, rtrim(host, '.') AS h, string_split(rtrim(host, '.'), '.') AS l FROM p),
 s1 AS (SELECT s0.*, list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '.')) AS c FROM s0),
 s2 AS (SELECT s1.*, list_filter(range(1, len(l) + 1), lambda i: list_contains(r, c[i]) OR list_contains(r, '!' || c[i]) OR list_contains(r, '*.' || array_to_string(l[i + 1:], '.')))[1] AS k, r FROM s1, rules),
-s3 AS (SELECT *, CASE WHEN h = '' OR regexp_matches(h, '^(?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}$') THEN NULL WHEN k IS NOT NULL AND list_contains(r, '!' || c[k]) THEN k + 1 ELSE k END AS pos FROM s2),
+s3 AS (SELECT *, CASE WHEN h = '' OR regexp_matches(h, '^(?:\\p{{Nd}}{{1,3}}\\.){{3}}\\p{{Nd}}{{1,3}}$') THEN NULL WHEN k IS NOT NULL AND list_contains(r, '!' || c[k]) THEN k + 1 ELSE k END AS pos FROM s2),
 s4 AS (SELECT *, CASE WHEN pos IS NULL THEN '' ELSE c[pos] END AS suffix,
-  CASE WHEN regexp_matches(h, '^(?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}$') THEN h WHEN pos = 1 THEN '' ELSE l[coalesce(pos - 1, len(l))] END AS label_name,
-  CASE WHEN regexp_matches(h, '^(?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}$') THEN '' ELSE array_to_string(l[1 : coalesce(pos - 1, len(l)) - 1], '.') END AS subdomain FROM s3),
+  CASE WHEN regexp_matches(h, '^(?:\\p{{Nd}}{{1,3}}\\.){{3}}\\p{{Nd}}{{1,3}}$') THEN h WHEN pos = 1 THEN '' ELSE l[coalesce(pos - 1, len(l))] END AS label_name,
+  CASE WHEN regexp_matches(h, '^(?:\\p{{Nd}}{{1,3}}\\.){{3}}\\p{{Nd}}{{1,3}}$') THEN '' ELSE array_to_string(l[1 : coalesce(pos - 1, len(l)) - 1], '.') END AS subdomain FROM s3),
 d AS (SELECT *, CASE WHEN suffix <> '' AND label_name <> '' THEN label_name || '.' || suffix ELSE host END AS domain FROM s4)""".replace("\\\\.", "\\.")
 SCORED = """scored AS (SELECT (l_returnflag = 'R')::INT AS label, round(l_discount * 10, 6) AS score, round(l_extendedprice % 1000 / 1000, 6) AS fine, l_linestatus AS source FROM lineitem)"""
 LABELLED = "labelled AS (SELECT d.doc_id, d.text, d.source, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"

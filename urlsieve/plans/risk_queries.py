@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from urlsieve.functions import text
 from urlsieve.functions import values as V
-from urlsieve.operators import brands, explain, models, rules
+from urlsieve.operators import brands, explain, models, rules, splits
 from urlsieve.plans.inputs import DOMAINS, URLS, domains, parts, sql_list, table, urls
-from urlsieve.plans.text_queries import GRAMS, WS, _tr, names
+from urlsieve.plans.text_queries import GRAMS, NAMES_SQL, WS, _tr, names
 from urlsieve.plans.text_queries import SQL as TEXT_SQL
 from urlsieve.sources import files
 from urlsieve.streaming import limiter
@@ -43,7 +43,7 @@ def features(rows):
         n(u, r"\.").alias("dot_count"), n(u, "-").alias("hyphen_count"), n(u, r"\p{Nd}").alias("digit_count"), n(u, "@").alias("at_count"), n(u, "_").alias("underscore_count"), n(u, "%").alias("percent_count"), n(u, "=").alias("equals_count"), n(u, "&").alias("ampersand_count"),
         F.round(F.coalesce(F.try_divide(n(u, r"\p{Nd}"), F.length("rest")), F.lit(0.0)), 6).alias("digit_ratio"),
         F.when(c("subdomain") != "", n(c("subdomain"), r"\.") + 1).otherwise(0).alias("subdomain_count"), n(c("path"), "[^/]+").alias("path_depth"),
-        c("host").rlike(text.IP).cast("int").alias("is_ip_hostname"), c("host_raw").rlike(":[0-9]+$").cast("int").alias("has_port"), (text.scheme(u) == "https").cast("int").alias("uses_https"), (text.scheme(u) != "").cast("int").alias("has_protocol"),
+        c("host").rlike(text.IP).cast("int").alias("is_ip_hostname"), c("host_raw").rlike(text.PORT).cast("int").alias("has_port"), (text.scheme(u) == "https").cast("int").alias("uses_https"), (text.scheme(u) != "").cast("int").alias("has_protocol"),
         c("host").contains("xn--").cast("int").alias("has_punycode"), text.keyword_count(u).alias("suspicious_keyword_count"), c("suffix").alias("tld"), F.round(text.entropy(c("host")), 6).alias("hostname_entropy"), "label_name",
     )
 
@@ -60,30 +60,57 @@ def hosts(s, d):
     return domains(parts(urls(s, d))).groupBy("domain").agg(F.count("*").alias("n"), F.countDistinct("host").alias("hosts"), F.round(F.avg(F.length("rest")), 6).alias("mean_length"), F.sum("label").alias("bad"))
 
 
-@query("brand_similarity")
+def lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence in SQL, a bit per character of a."""
+    masks = f"list_transform(string_split({b}, ''), lambda ch: list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substr({a}, i + 1, 1) = ch THEN 1::HUGEINT << i::HUGEINT ELSE 0::HUGEINT END))::HUGEINT)"
+    full = f"((1::HUGEINT << length({a})::HUGEINT) - 1)"
+    return f"(length({a}) - bit_count(list_reduce({masks}, lambda r, h: ((r + (r & coalesce(h, 0))) | (r - (r & coalesce(h, 0)))) & {full}, {full})))"
+
+
+#: The labels of the domains that most URLs have, a ranking, besides the curated ones.
+RANKING = 1000
+BRANDS = f"rk AS (SELECT any_value(label_name) AS x FROM d WHERE domain <> '' GROUP BY domain ORDER BY count(*) DESC, domain LIMIT {RANKING}), brands AS (SELECT DISTINCT brand FROM (SELECT lower(regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')) AS brand FROM (SELECT unnest({sql_list(V.CURATED_BRANDS)}) AS x UNION ALL SELECT x FROM rk)) WHERE brand <> '')"
+
+
+def ranked_brands(s, d):
+    """(brand): the curated labels and those of the most frequent domains."""
+    ranking = domains(parts(urls(s, d))).where("domain != ''").groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(RANKING)
+    return brands.brand_table(s, ranking)
+
+
+def closest_sql(labels: str, known: str) -> str:
+    """CTEs: the closest of the brands (known) to each label of a table (column label_name), raw or folded."""
+    fold = f"replace({_tr(_tr('label_name', V.HOMOGLYPHS), V.LEETSPEAK)}, 'rn', 'm')"
+    return f"""lb AS (SELECT DISTINCT label_name FROM {labels} WHERE label_name IS NOT NULL), lv AS (SELECT label_name, 0 AS folded, label_name AS x FROM lb UNION ALL SELECT label_name, 1, {fold} FROM lb),
+sc AS (SELECT lv.*, brand, CASE WHEN length(x) + length(brand) = 0 THEN 1.0 ELSE 2.0 * {lcs_sql('x', 'brand')} / (length(x) + length(brand)) END::DOUBLE AS score FROM lv, {known}),
+bs AS (SELECT *, row_number() OVER (PARTITION BY label_name, folded ORDER BY score DESC, brand) AS r FROM sc), cl AS (SELECT label_name, brand, score FROM bs WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY label_name ORDER BY score DESC, folded) = 1)"""
+
+
+@query("brand_similarity", f"WITH {DOMAINS}, {BRANDS}, {closest_sql('d', 'brands')} SELECT d.id, d.label_name, round(cl.score, 6) AS score, cl.brand AS matched_brand, (d.label_name IN (SELECT brand FROM brands))::INT AS is_exact_brand_match FROM d LEFT JOIN cl USING (label_name)")
 def brand_similarity(s, d):
     rows = domains(parts(urls(s, d))).select("id", "label_name")
-    return brands.similarity(rows, "label_name", list(V.CURATED_BRANDS)).select("id", "label_name", F.round("brand_similarity_score", 6).alias("score"), "matched_brand", "is_exact_brand_match")
+    known = [r.brand for r in ranked_brands(s, d).collect()]  # at most RANKING and the curated ones
+    return brands.similarity(rows, "label_name", known).select("id", "label_name", F.round("brand_similarity_score", 6).alias("score"), "matched_brand", "is_exact_brand_match")
 
 
-@query("brand_argmax")
+@query("brand_argmax", f"WITH {NAMES_SQL}, nm AS (SELECT name AS label_name FROM names UNION ALL SELECT lower(p_brand) FROM part), kn AS (SELECT unnest({sql_list(V.CURATED_BRANDS)}) AS brand), {closest_sql('nm', 'kn')} SELECT nm.label_name, round(score, 6) AS score, brand AS matched_brand FROM nm LEFT JOIN cl USING (label_name)")
 def brand_argmax(s, d):
-    rows = names(s).select(c("name").alias("label_name"))
+    rows = names(s).select(c("name").alias("label_name")).union(table(s, d, "part", "p_brand").select(F.lower("p_brand")))
     return brands.similarity(rows, "label_name", list(V.CURATED_BRANDS)).select("label_name", F.round("brand_similarity_score", 6).alias("score"), "matched_brand")
 
 
-PAIRS = (("fida", "fda"), ("paypal", "paypa1"), ("google", "gogle"), ("", "abc"), ("abc", "abc"), ("amazon", "arnazon"), ("chase", "visa"))
+PAIRS = (("fida", "fda"), ("paypal", "paypa1"), ("google", "gogle"), ("", "abc"), ("abc", "abc"), ("amazon", "arnazon"), ("chase", "visa"), ("", ""))
 
 
-@query("indel_ratio")
+@query("indel_ratio", f"WITH q AS (SELECT * FROM (VALUES {', '.join(f'({sql_list([a])[1:-1]}, {sql_list([b])[1:-1]})' for a, b in PAIRS)}) t(a, b) UNION ALL SELECT c_name, c_mktsegment FROM customer) SELECT a, b, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * {lcs_sql('a', 'b')} / (length(a) + length(b)) END::DOUBLE, 6) AS ratio FROM q")
 def indel_ratio(s, d):
-    rows = s.createDataFrame(list(PAIRS), "a string, b string")
+    rows = s.createDataFrame(list(PAIRS), "a string, b string").union(table(s, d, "customer", "c_name", "c_mktsegment"))
     return rows.select("a", "b", F.round(text.indel_ratio(c("a"), c("b")), 6).alias("ratio"))
 
 
-@query("brand_list", f"SELECT DISTINCT lower(x) AS brand FROM (SELECT unnest({sql_list(V.CURATED_BRANDS)}) AS x)")
+@query("brand_list", f"WITH {DOMAINS}, {BRANDS} SELECT brand FROM brands")
 def brand_list(s, d):
-    return brands.brand_table(s)
+    return ranked_brands(s, d)
 
 
 @query("fold_nfkc")
@@ -121,14 +148,14 @@ def _rules_sql() -> str:
     tld = "CASE suffix " + " ".join(f"WHEN '{x}' THEN '.{x}: {t}'" for x, t in rules.SUFFIX_TEXT.items()) + " END"
     base = rf"""{DOMAINS}, a0 AS (SELECT *, lower(regexp_replace(regexp_replace(u, '^{WS}+|{WS}+$', '', 'g'), '^([a-zA-Z][a-zA-Z0-9+.\-]*)://', '')) AS t FROM d),
 a1 AS (SELECT *, regexp_extract(t, '^[^/?#]*') AS au, regexp_replace(regexp_extract(t, '^[^/?#]*'), '(?s)^.*@', '') AS hp FROM a0),
-a AS (SELECT *, regexp_replace(hp, ':[0-9]+$', '') AS hh, (length(au) - length(hp))::INT AS hs FROM a1)"""
+a AS (SELECT *, regexp_replace(hp, ':\p{{Nd}}+$', '') AS hh, (length(au) - length(hp))::INT AS hs FROM a1)"""
 
     def row(name: str, when: str, start: str, part: str, why: str) -> str:
         ok = f"({part}) <> '' AND substr(t, ({start}) + 1, length({part})) = ({part})" if part else "false"
         return f"SELECT id, '{name}' AS rule, '{rules.TITLES[name]}' AS title, CASE WHEN {ok} THEN ({start})::INT END AS start, CASE WHEN {ok} THEN (({start}) + length({part or repr('')}))::INT END AS stop, CASE WHEN {ok} THEN {part or 'NULL'} END AS text, {why} AS explanation FROM a WHERE {when}"
 
     return f"WITH {base} " + " UNION ALL ".join([
-        row("rule-ip-host", r"hh <> '' AND regexp_matches(hh, '^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$')", "hs", "hh", f"'{rules.RULE_TEXT['ip_host']}'"),
+        row("rule-ip-host", r"hh <> '' AND regexp_matches(hh, '^(?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}$')", "hs", "hh", f"'{rules.RULE_TEXT['ip_host']}'"),
         row("rule-punycode", "contains(hh, 'xn--')", "hs", "hh", f"'{rules.RULE_TEXT['punycode_host']}'"),
         row("rule-unusual-tld", f"hh <> '' AND {tld} IS NOT NULL", "hs + length(hh) - length(suffix)", "suffix", tld),
         row("rule-brand-lookalike", f"hh <> '' AND length(label_name) >= 5 AND NOT list_contains({known}, label_name) AND {plain} <> label_name AND list_contains({known}, {plain})", "hs + CASE WHEN subdomain <> '' THEN length(subdomain) + 1 ELSE 0 END", "label_name", f"'reads as \"' || {plain} || '\"; {rules.RULE_TEXT['brand_lookalike']}'"),
@@ -141,12 +168,25 @@ def rule_signals(s, d):
     return rules.signal_rows(urls(s, d), text.preprocess(F.coalesce("url", F.lit("")))).withColumnRenamed("end", "stop")
 
 
-SHARES = f"{GRAMS}, h AS (SELECT id, bucket, count(*) AS hits, 1 + ln(count(*)) AS x FROM g GROUP BY ALL), n AS (SELECT id, sqrt(sum(x * x)) AS norm FROM h GROUP BY id), o AS (SELECT g.*, ((g.bucket * 7919 % 2001 - 1000) / 250.0)::DOUBLE * x / norm / hits AS share FROM g JOIN h USING (id, bucket) JOIN n USING (id))"
+#: The coefficients of a naive Bayes model of all rows, which the explanations below are of.
+MODEL = f"{GRAMS}, cf AS (SELECT bucket, (ln((sum(label) + 1.0) / ((SELECT sum(label) FROM p) + 2.0)) - ln((sum(1 - label) + 1.0) / ((SELECT sum(1 - label) FROM p) + 2.0)))::DOUBLE AS coef FROM (SELECT DISTINCT g.id, p.label, g.bucket FROM g JOIN p USING (id)) GROUP BY bucket)"
+SHARES = f"{MODEL}, h AS (SELECT id, bucket, count(*) AS hits, 1 + ln(count(*)) AS x FROM g GROUP BY ALL), n AS (SELECT id, sqrt(sum(x * x)) AS norm FROM h GROUP BY id), o AS (SELECT g.*, cf.coef * x / norm / hits AS share FROM g JOIN h USING (id, bucket) JOIN n USING (id) JOIN cf USING (bucket))"
 CANDS = f"{SHARES}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(abs(share), 9) DESC, start, stop) AS rank FROM o), kk AS (SELECT * FROM k WHERE rank <= 12 AND abs(share) >= 0.1)"
 
 
 def occurrences(s, d):
-    return explain.occurrences(parts(urls(s, d)).select("id", "rest"))
+    rows = parts(urls(s, d)).select("id", "rest", "label")
+    return explain.occurrences(rows, models.log_odds(rows))
+
+
+@query("explain_checked", f"WITH {SHARES} SELECT id, start, stop, gram, round(CASE WHEN id % 5 = 0 THEN NULL ELSE share END, 6) AS share FROM o")
+def explain_checked(s, d):
+    """No shares where the model's own counts differ from those found: here one too many for every fifth row."""
+    rows = parts(urls(s, d)).select("id", "rest", "label")
+    counts = models.gram_counts(rows, "rest", keep=()).withColumn("tf", c("tf") + ((c("id") % 5 == 0) & (c("bucket") == F.min("bucket").over(Window.partitionBy("id")))).cast("int"))
+    held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "tf"))).alias("counts"))
+    found = explain.occurrences(rows.join(held, "id"), models.log_odds(rows), counts="counts")
+    return found.select("id", "start", c("end").alias("stop"), "gram", F.round("share", 6).alias("share"))
 
 
 @query("explain_occurrences", f"WITH {SHARES} SELECT id, start, stop, gram, round(share, 6) AS share FROM o")
@@ -173,18 +213,21 @@ def explain_segments(s, d):
     return explain.segments(occurrences(s, d)).select("id", "rank", "start", c("end").alias("stop"), F.round("weight", 6).alias("weight"))
 
 
-@query("top_ngrams", f"WITH {GRAMS}, w AS (SELECT gram, ((any_value(bucket) * 7919 % 2001 - 1000) / 250.0)::DOUBLE AS coef, count(*) AS n FROM g GROUP BY gram), r AS (SELECT *, row_number() OVER (ORDER BY coef DESC, gram) AS up, row_number() OVER (ORDER BY coef, gram) AS down FROM w) SELECT gram, coef, n FROM r WHERE up <= 15 OR down <= 15")
+@query("top_ngrams", f"WITH {MODEL}, w AS (SELECT gram, round(any_value(coef), 9) AS coef, count(*) AS n FROM g JOIN cf USING (bucket) GROUP BY gram), r AS (SELECT *, row_number() OVER (ORDER BY coef DESC, gram) AS up, row_number() OVER (ORDER BY coef, gram) AS down FROM w) SELECT gram, round(coef, 6) AS coef, n FROM r WHERE up <= 15 OR down <= 15")
 def top_ngrams(s, d, k: int = 15):
-    w = parts(urls(s, d)).select(F.inline(text.ngrams(c("rest")))).groupBy("gram").agg(F.count("*").alias("n"))
-    w = w.select("gram", explain.made_up_coefficient(text.bucket(c("gram"))).alias("coef"), "n")
-    return w.orderBy(F.desc("coef"), "gram").limit(k).union(w.orderBy("coef", "gram").limit(k)).distinct()
+    rows = parts(urls(s, d)).select("id", "rest", "label")
+    w = rows.select(F.inline(text.ngrams(c("rest")))).groupBy("gram").agg(F.count("*").alias("n")).withColumn("bucket", text.bucket(c("gram")))
+    w = w.join(F.broadcast(models.log_odds(rows)), "bucket").select("gram", F.round("coef", 9).alias("coef"), "n")
+    top = w.orderBy(F.desc("coef"), "gram").limit(k).union(w.orderBy("coef", "gram").limit(k)).distinct()
+    return top.select("gram", F.round("coef", 6).alias("coef"), "n")
 
 
-@query("brand_word_weight", f"WITH b AS (SELECT unnest({sql_list(V.CURATED_BRANDS)}) AS brand), n AS (SELECT brand, unnest([3, 4, 5]) AS n FROM b), g AS (SELECT brand, n, unnest(range(greatest(length(brand) - n + 1, 0))) AS i FROM n) SELECT b.brand, round(coalesce(sum(((('0x' || substr(md5(substr(g.brand, i + 1, n)), 1, 8))::BIGINT % 1048576 * 7919 % 2001 - 1000) / 250.0)::DOUBLE), 0), 6) AS weight FROM b LEFT JOIN g USING (brand) GROUP BY b.brand")
+@query("brand_word_weight", f"WITH {MODEL}, b AS (SELECT unnest({sql_list(V.CURATED_BRANDS)}) AS brand), bn AS (SELECT brand, unnest([3, 4, 5]) AS n FROM b), bg AS (SELECT brand, n, unnest(range(greatest(length(brand) - n + 1, 0))) AS i FROM bn), bb AS (SELECT brand, ('0x' || substr(md5(substr(brand, i + 1, n)), 1, 8))::BIGINT % 1048576 AS bucket FROM bg) SELECT b.brand, round(coalesce(sum(coef), 0), 6) AS weight FROM b LEFT JOIN (SELECT * FROM bb JOIN cf USING (bucket)) x USING (brand) GROUP BY b.brand")
 def brand_word_weight(s, d):
-    rows = s.createDataFrame([(b,) for b in V.CURATED_BRANDS], "brand string").withColumn("g", text.ngrams(c("brand")))
-    weight = F.aggregate("g", F.lit(0.0), lambda a, g: a + explain.made_up_coefficient(text.bucket(g["gram"])))
-    return rows.select("brand", F.round(weight, 6).alias("weight"))
+    rows = s.createDataFrame([(b,) for b in V.CURATED_BRANDS], "brand string")
+    grams = rows.select("brand", F.explode(F.transform(text.ngrams(c("brand")), lambda g: text.bucket(g["gram"]))).alias("bucket"))
+    weight = grams.join(models.log_odds(parts(urls(s, d)).select("id", "rest", "label")), "bucket").groupBy("brand").agg(F.sum("coef").alias("w"))
+    return rows.join(weight, "brand", "left").select("brand", F.round(F.coalesce("w", F.lit(0.0)), 6).alias("weight"))
 
 
 @query("brand_fp", f"WITH {DOMAINS} SELECT coalesce(domain, '(all)') AS domain, count(*) AS n, sum((length(rest) > 20)::INT)::BIGINT AS flagged FROM d WHERE label = 0 AND list_contains({sql_list(V.OFFICIAL_DOMAINS)}, domain) GROUP BY GROUPING SETS ((domain), ())")
@@ -211,7 +254,7 @@ def segment_url(s, d):
     return owned(s, d).withColumnRenamed("end", "stop")
 
 
-@query("mark_selected")
+@query("mark_selected", f"WITH ow AS ({OWN}), ab AS (SELECT *, greatest(start, least(3, stop)) AS a, least(stop, greatest(9, start)) AS b FROM ow), pt AS (SELECT id, signal, unnest([{{'s': start, 'e': a, 'm': false}}, {{'s': a, 'e': greatest(a, b), 'm': true}}, {{'s': greatest(a, b), 'e': stop, 'm': false}}]) AS p FROM ab) SELECT id, p.s AS start, p.e AS stop, signal, p.m AS selected FROM pt WHERE p.s < p.e")
 def mark_selected(s, d):
     return explain.cut_at(owned(s, d), F.lit(3), F.lit(9)).withColumnRenamed("end", "stop")
 
@@ -221,28 +264,75 @@ def weight_chart(s, d):
     return explain.segments(occurrences(s, d), limit=1 << 30).select("id", c("rank").alias("bar"), F.round("weight", 4).alias("weight"))
 
 
-@query("signals")
-def signals(s, d, limit: int = 10):
-    """N-gram signals first, then rules, at most `limit`; offsets refer to the analysed text."""
-    rows = brands.model_inputs(urls(s, d).where("url IS NOT NULL")).select("id", text.preprocess(c("url")).alias("analysed"), "baseline")
-    seg = explain.segments(explain.occurrences(rows, column="baseline")).join(rows, "id")
-    at = text.aligned_span(c("analysed"), c("baseline"), c("start"), c("end"))
-    grams = seg.withColumn("at", at).select("id", F.concat(F.lit("ngram-"), "rank").alias("signal"), F.lit("ngram").alias("kind"), F.when(c("weight") > 0, "phishing").otherwise("legitimate").alias("direction"), F.round("weight", 4).alias("weight"), c("at.start").alias("start"), c("at.end").alias("stop"), c("rank").alias("place"))
-    found = rule_signals(s, d).select("id", c("rule").alias("signal"), F.lit("rule").alias("kind"), F.lit("phishing").alias("direction"), F.lit(None).cast("double").alias("weight"), "start", "stop", F.lit(1000).alias("place"))
+def _parted(rows):
+    """rows with part: test, val or fit, by domain, so that no domain is in two of them."""
+    rows = splits.by_group(splits.by_group(domains(parts(rows)), "domain"), "domain", 10, "val:", "inner")
+    return rows.withColumn("part", F.when(c("part") == "test", "test").when(c("inner") == "test", "val").otherwise("fit")).drop("inner")
+
+
+#: Inverse strengths of the penalty that validation chooses from.
+STRENGTHS = (1.0, 3.0, 10.0, 30.0)
+
+
+def fitted_ngrams(s, rows, strengths=STRENGTHS, rounds: int = 50):
+    """The char n-gram model of rows with a domain split, chosen by average precision, as stored and verified coefficients."""
+    rows = _parted(rows).select("id", "url", "label", "part", "masked")
+    path = folder(s, "rows")
+    rows.write.parquet(path)
+    rows = s.read.parquet(path)
+    fit = rows.where("part = 'fit'")
+    n = fit.count()
+    path = folder(s, "idf")
+    models.idf(models.gram_counts(fit), n).write.parquet(path)
+    weights = s.read.parquet(path)
+    made = models.tfidf(rows.where("part != 'test'"), models.gram_counts(rows.where("part != 'test'")), weights).select("id", "label", "part", "features").cache()
+    best, values = models.grid([models.char_ngram(x, n, rounds) for x in strengths], made.where("part = 'fit'"), made.where("part = 'val'"))
+    made.unpersist()
+    path = folder(s, "ngrams")
+    models.save_bundle("char_ngram", path, models.stored_coefficients(s, best, weights))
+    return models.load_bundle(s, path), values
+
+
+def _masked(s, d):
+    return brands.mask(urls(s, d).where("url IS NOT NULL"), "url", "masked")
+
+
+def _signals(s, d, coefficients, rows, limit: int = 10):
+    """N-gram signals first, then rules, at most `limit`. Offsets refer to the analysed text; where the model reads a folded
+    text, n-grams have no place in it and their text is the model's."""
+    seg = explain.segments(explain.occurrences(rows, coefficients, column="model_input")).join(rows, "id")
+    at = F.when(~c("folded"), text.aligned_span(c("analysed"), c("model_input"), c("start"), c("end")))
+    seg = seg.withColumn("at", at)
+    shown = F.when(c("at").isNotNull(), F.substring(c("analysed"), c("at.start") + 1, c("at.end") - c("at.start"))).otherwise(F.substring(c("model_input"), c("start") + 1, c("end") - c("start")))
+    why = F.concat(F.when(c("weight") > 0, F.lit("raises the score by ")).otherwise(F.lit("lowers the score by ")), F.format_string("%.4f", F.abs("weight")), F.when(c("folded"), F.lit(", in the text with look-alikes replaced")).otherwise(F.lit("")))
+    grams = seg.select("id", F.concat(F.lit("ngram-"), "rank").alias("signal"), F.lit("ngram").alias("kind"), F.when(c("weight") > 0, "phishing").otherwise("legitimate").alias("direction"), F.round("weight", 4).alias("weight"), c("at.start").alias("start"), c("at.end").alias("stop"), shown.alias("text"), why.alias("explanation"), c("rank").alias("place"))
+    titles = F.create_map(*[F.lit(x) for k, n in enumerate(rules.TITLES) for x in (n, 1000 + k)])
+    found = rules.signal_rows(rows, c("analysed")).select("id", c("rule").alias("signal"), F.lit("rule").alias("kind"), F.lit("phishing").alias("direction"), F.lit(None).cast("double").alias("weight"), "start", c("end").alias("stop"), "text", "explanation", titles[c("rule")].alias("place"))
     order = Window.partitionBy("id").orderBy("place", "signal")
     return grams.union(found).withColumn("n", F.row_number().over(order)).where(c("n") <= limit).drop("place")
 
 
+def _inputs(s, d):
+    """The texts of each URL: analysed, and what the model reads, folded where that changes it."""
+    rows = brands.model_inputs(urls(s, d).where(text.check_url(c("url")).isNull()))
+    return rows.select("id", c("url").alias("submitted_url"), text.preprocess(c("url")).alias("analysed"), c("defended").alias("model_input"), (c("defended") != c("baseline")).alias("folded"))
+
+
+@query("signals")
+def signals(s, d):
+    bundle, _ = fitted_ngrams(s, _masked(s, d), (10.0,), 20)
+    return _signals(s, d, bundle["model"], _inputs(s, d))
+
+
 @query("analyze")
 def analyze(s, d):
-    """One row per URL that passes the checks: texts, decision by the stand-in model, and how many signals it has."""
-    rows = urls(s, d).where(text.check_url(c("url")).isNull())
-    rows = brands.model_inputs(rows).select("id", c("url").alias("submitted_url"), text.preprocess(c("url")).alias("analysed_url"), c("baseline").alias("model_input"))
-    total = explain.occurrences(rows, column="model_input").groupBy("id").agg(F.sum("share").alias("logit"))
-    p = 1 / (1 + F.exp(-F.coalesce("logit", F.lit(0.0))))
-    out = rows.join(total, "id", "left").withColumn("phishing_probability", p).withColumn("x", text.decide(c("phishing_probability")))
-    n = signals(s, d).groupBy("id").agg(F.count("*").alias("n_signals"))
-    return out.join(n, "id", "left").select("id", "submitted_url", "analysed_url", "model_input", "phishing_probability", c("x.label").alias("verdict"), c("x.confidence").alias("confidence"), c("x.trust").alias("trust_score"), F.coalesce("n_signals", F.lit(0)).alias("n_signals"))
+    """One row per URL that passes the checks: texts, decision by the fitted n-gram model, and its signals."""
+    bundle, _ = fitted_ngrams(s, _masked(s, d), (10.0,), 20)
+    rows = _inputs(s, d)
+    p = models.linear_scores(rows, bundle["model"], column="model_input").select("id", c("probability").alias("phishing_probability"))
+    out = rows.join(p, "id").withColumn("x", text.decide(c("phishing_probability"), bundle["threshold"]))
+    found = _signals(s, d, bundle["model"], rows).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "signal"))), lambda x: x["signal"]).alias("signals"))
+    return out.join(found, "id", "left").select("id", "submitted_url", c("analysed").alias("analysed_url"), "model_input", "folded", "phishing_probability", c("x.label").alias("verdict"), c("x.confidence").alias("confidence"), c("x.trust").alias("trust_score"), F.coalesce("signals", F.array().cast("array<string>")).alias("signals"))
 
 
 # --- sessions and the limiter ---
@@ -277,7 +367,7 @@ def token_bucket(s, d):
 # --- files ---
 
 
-def _folder(s, name: str) -> str:
+def folder(s, name: str) -> str:
     """A path under the shared folder, or under the warehouse where none is set."""
     base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/urlsieve-{name}-{uuid.uuid4().hex}"
@@ -285,111 +375,161 @@ def _folder(s, name: str) -> str:
 
 @query("src_csv", f"WITH {URLS} SELECT nullif(url, '') AS url, label FROM urls")
 def src_csv(s, d):
-    path = _folder(s, "csv")
+    path = folder(s, "csv")
     files.write_csv(urls(s, d).select("url", "label"), path)
     return files.read_csv(s, path)
 
 
 @query("snk_parquet", f"WITH {URLS} SELECT source, count(*) AS n, count(url) AS urls FROM urls GROUP BY source")
 def snk_parquet(s, d):
-    path = _folder(s, "parquet")
+    path = folder(s, "parquet")
     files.write_parquet(urls(s, d), path, "source")
     return s.read.schema("id long, url string, label int, source string").parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.count("url").alias("urls"))
 
 
 @query("snk_json", f"WITH {URLS} SELECT id, url, label FROM urls")
 def snk_json(s, d):
-    path = _folder(s, "json")
+    path = folder(s, "json")
     files.write_json(urls(s, d).select("id", "url", "label"), path)
     return s.read.schema("id long, url string, label int").json(path)
 
 
-@query("src_text", f"WITH {URLS} SELECT DISTINCT trim(url) AS url FROM urls WHERE trim(coalesce(url, '')) <> ''")
+@query("src_text", f"WITH {URLS} SELECT DISTINCT regexp_replace(url, '^{WS}+|{WS}+$', '', 'g') AS url FROM urls WHERE regexp_replace(coalesce(url, ''), '^{WS}+|{WS}+$', '', 'g') <> ''")
 def src_text(s, d):
-    path = _folder(s, "text")
+    path = folder(s, "text")
     urls(s, d).where("url IS NOT NULL").select("url").write.text(path)
     return files.read_lines(s, path).distinct()
 
 
 @query("src_tranco", f"SELECT row_number() OVER (ORDER BY x)::INT AS rank, x AS domain FROM (SELECT unnest({sql_list(V.OFFICIAL_DOMAINS)}) AS x)")
 def src_tranco(s, d):
-    path = _folder(s, "ranking")
+    path = folder(s, "ranking")
     s.createDataFrame([(i, x) for i, x in enumerate(sorted(V.OFFICIAL_DOMAINS), 1)], "rank int, domain string").write.csv(path, header=False)
     return files.read_ranking(s, path)
 
 
 @query("src_json", "SELECT u.suffix, u.rows::BIGINT AS rows FROM (VALUES " + ", ".join(f"('{k}', {n})" for k, (n, _) in V.RISKY_SUFFIXES.items()) + ") u(suffix, rows)")
 def src_json(s, d):
-    path = _folder(s, "stats")
+    path = folder(s, "stats")
     stats = F.struct(F.create_map(*[x for k, (n, p) in V.RISKY_SUFFIXES.items() for x in (F.lit(k), F.struct(F.lit(n).alias("rows"), F.lit(p).alias("phishing_share")))]).alias("suffixes"))
     s.range(1).select(stats.alias("tld")).write.json(path)
     return files.read_json(s, path).select(F.explode("tld.suffixes").alias("suffix", "x")).select("suffix", "x.rows")
 
 
-@query("model_manifest")
+@query("model_manifest", f"WITH {MODEL} SELECT count(*) AS n, round(sum(coef), 6) AS total FROM cf")
 def model_manifest(s, d):
-    coef = s.range(1000).select(c("id").alias("bucket"), explain.made_up_coefficient(c("id")).alias("coef"))
-    made = files.manifest(coef, "bucket").first()
-    return files.manifest(files.verified(coef, "bucket", made.n, made.digest), "bucket")
+    """Coefficients stored, then loaded only if they are those of their manifest."""
+    path = folder(s, "coefficients")
+    models.save_bundle("char_ngram", path, models.log_odds(parts(urls(s, d)).select("id", "rest", "label")))
+    return models.load_bundle(s, path)["model"].agg(F.count("*").alias("n"), F.round(F.sum("coef"), 6).alias("total"))
+
+
+@query("snk_csv", f"WITH {URLS} SELECT count(*) AS n, count(nullif(url, '')) AS urls, sum(label)::BIGINT AS bad FROM urls")
+def snk_csv(s, d):
+    path = folder(s, "sink")
+    files.write_csv(urls(s, d).select("url", "label"), path)
+    return s.read.schema("url string, label int").option("header", True).option("multiLine", True).option("escape", '"').csv(path).agg(F.count("*").alias("n"), F.count("url").alias("urls"), F.sum("label").alias("bad"))
 
 
 # --- models ---
 
 
-def _rows(s, d):
+def _rows(s, d, ranking=False):
+    """The numeric features of each URL with its part, written once."""
     rows = models.log_features(features(urls(s, d)))
     rows = brands.similarity(rows, "label_name", list(V.CURATED_BRANDS)).fillna({"brand_similarity_score": 0.0, "is_exact_brand_match": 0})
-    return models.log_features(rows, models.BRAND)
+    rows = splits.by_group(splits.by_group(models.log_features(rows, models.BRAND), "domain"), "domain", 10, "val:", "inner")
+    rows = rows.withColumn("part", F.when(c("part") == "test", "test").when(c("inner") == "test", "val").otherwise("fit")).drop("inner")
+    kept = rows.where("part = 'fit'").groupBy("tld").agg(F.count("*").alias("m")).where("m >= 100").select("tld", F.lit(True).alias("often"))
+    rows = rows.join(kept, "tld", "left").withColumn("tld", F.when(c("tld") == "", "(none)").when(c("often"), c("tld")).otherwise("(other)")).drop("often")
+    path = folder(s, "features")
+    rows.write.parquet(path)
+    return s.read.parquet(path)
 
 
-def _split(rows):
-    test = text.hash_prefix(F.concat(F.lit("42:"), c("id").cast("string"))) % 100 < 20
-    return rows.where(~test), rows.where(test)
+def _of(rows, *names):
+    return rows.where(c("part").isin(*names))
 
 
 @query("model_char_ngram")
 def model_char_ngram(s, d):
-    rows = models.with_grams(brands.mask(urls(s, d).where("url IS NOT NULL"), "url", "masked")).select("id", "url", "label", "grams").cache()
-    fit, val = _split(rows)
-    best, _ = models.grid([models.char_ngram(10.0, fit.count(), rounds=10)], fit, val)
-    return models.score(best, rows, "id", "url")
+    rows = _masked(s, d)
+    bundle, _ = fitted_ngrams(s, rows)
+    return models.predict(bundle, rows, "id", "url")
 
 
 @query("model_linear")
 def model_linear(s, d):
-    rows = _rows(s, d).withColumn("tld", F.when(c("tld") == "", "(none)").otherwise(c("tld"))).cache()
-    return models.score(models.linear().fit(_split(rows)[0]), rows, "id", "url")
+    rows = _rows(s, d)
+    return models.score(models.linear().fit(_of(rows, "fit", "val")), rows, "id", "url")
 
 
 @query("model_trees")
 def model_trees(s, d):
-    rows = _rows(s, d).cache()
-    return models.score(models.trees().fit(_split(rows)[0]), rows, "id", "url")
+    rows = _rows(s, d)
+    return models.score(models.grown_trees(_of(rows, "fit"), _of(rows, "val")), rows, "id", "url")
+
+
+@query("model_importance")
+def model_importance(s, d):
+    rows = _rows(s, d)
+    found = models.importances(models.trees(rounds=5).fit(_of(rows, "fit", "val")))
+    return s.createDataFrame([(k, n, round(x, 4)) for k, (n, x) in enumerate(found, 1)], "rank int, feature string, percent double")
 
 
 @query("model_kmeans")
 def model_kmeans(s, d):
-    rows = models.log_features(features(urls(s, d))).cache()
-    fit = _split(rows)[0]
-    return models.cluster_scores(models.kmeans(4).fit(fit), fit, rows, "id", "url")
+    rows = _rows(s, d)
+    fit = _of(rows, "fit")
+    best, _ = models.best_clusters(fit, _of(rows, "val"))
+    return models.cluster_scores(best, fit, rows, "id", "url")
+
+
+@query("model_phishing_kinds")
+def model_phishing_kinds(s, d):
+    best, found, stable = models.kinds_of_phishing(_of(_rows(s, d), "fit", "val").where("label = 1"))
+    return stable.select(F.lit(best).alias("k"), F.lit(found[best]).alias("silhouette"), "seed", "ari", "jaccard")
+
+
+def _reconstruction(rows):
+    """Projection fitted on legitimate rows, and the line that makes its error's logarithm a probability."""
+    fit = _of(rows, "fit")
+    model = models.reconstruction().fit(fit.where("label = 0"))
+    line = models.platt(models.reconstruction_error(model, _of(rows, "fit", "val")))
+    return model, rows.sparkSession.createDataFrame([(float(line.coefficients[0]), float(line.intercept))], "slope double, shift double")
 
 
 @query("model_reconstruction")
 def model_reconstruction(s, d):
-    """Projection fitted on legitimate rows, its error calibrated to a probability. A stand-in for an autoencoder."""
-    rows = models.log_features(features(urls(s, d))).cache()
-    fit = _split(rows)[0]
-    model = models.reconstruction().fit(fit.where("label = 0"))
-    calibrated = models.platt(models.reconstruction_error(model, fit))
-    return models.score(calibrated, models.error_feature(models.reconstruction_error(model, rows)), "id", "url", "error")
+    """A stand-in for an autoencoder."""
+    rows = _rows(s, d)
+    model, line = _reconstruction(rows)
+    return models.predict({"kind": "reconstruction", "threshold": 0.5, "model": model, "extra": line}, rows, "id", "url")
+
+
+@query("model_dispatch")
+def model_dispatch(s, d):
+    """Stored bundles of several kinds, loaded by what they say they are; a missing one is skipped."""
+    rows, base = _rows(s, d), folder(s, "bundles")
+    fit = _of(rows, "fit")
+    clusters_ = models.kmeans(4).fit(fit)
+    models.save_bundle("linear", f"{base}/linear", models.linear().fit(fit))
+    models.save_bundle("kmeans", f"{base}/kmeans", clusters_, models.clusters.probabilities(clusters_.transform(fit)))
+    models.save_bundle("reconstruction", f"{base}/reconstruction", *_reconstruction(rows), threshold=0.6)
+    out = None
+    for name in ("linear", "trees", "kmeans", "reconstruction"):
+        if bundle := models.load_bundle(s, f"{base}/{name}"):
+            one = models.predict(bundle, rows, "id").withColumn("kind", F.lit(bundle["kind"]))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("scoring_conditions")
 def scoring_conditions(s, d):
-    """One scorer over three texts of each URL, a row per URL and condition."""
+    """One fitted scorer over three texts of each URL, a row per URL and condition."""
+    bundle, _ = fitted_ngrams(s, _masked(s, d), (10.0,), 20)
     rows = brands.model_inputs(urls(s, d).where("url IS NOT NULL"))
     long_ = rows.select("id", F.stack(F.lit(3), *[x for n in ("baseline", "naive_fold", "defended") for x in (F.lit(n), c(n))]).alias("condition", "input"))
     long_ = long_.withColumn("key", F.concat_ws(":", "id", "condition"))
-    total = explain.occurrences(long_, key="key", column="input").groupBy("key").agg(F.sum("share").alias("logit"))
-    return long_.join(total, "key", "left").select("id", "condition", "input", F.round(1 / (1 + F.exp(-F.coalesce("logit", F.lit(0.0)))), 6).alias("p"))
-
+    p = models.linear_scores(long_, bundle["model"], "key", "input")
+    return long_.join(p, "key").select("id", "condition", "input", F.round("probability", 6).alias("p"))

@@ -131,7 +131,7 @@ def long_cutoff(s, d):
     return parts(urls(s, d)).where("label = 0").agg(F.floor(F.percentile(F.length("rest"), F.lit(0.99))).cast("int").alias("cutoff"))
 
 
-@query("rule_stats", f"WITH {DOMAINS} SELECT count(*) AS n, round(avg(label), 4) AS share, " + ", ".join(f"count_if({p})::BIGINT AS {n}_rows, round(avg(CASE WHEN {p} THEN label END), 4) AS {n}_share" for n, p in (("ip", r"regexp_matches(host, '^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$')"), ("puny", "contains(host, 'xn--')"), ("long", "length(rest) > 136"))) + " FROM d")
+@query("rule_stats", f"WITH {DOMAINS} SELECT count(*) AS n, round(avg(label), 4) AS share, " + ", ".join(f"count_if({p})::BIGINT AS {n}_rows, round(avg(CASE WHEN {p} THEN label END), 4) AS {n}_share" for n, p in (("ip", r"regexp_matches(host, '^(?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}$')"), ("puny", "contains(host, 'xn--')"), ("long", "length(rest) > 136"))) + " FROM d")
 def rule_stats(s, d):
     rules = {"ip": c("host").rlike(text.IP), "puny": c("host").contains("xn--"), "long": F.length("rest") > V.LONG_URL}
     aggs = [x for n, p in rules.items() for x in (F.count_if(p).alias(f"{n}_rows"), F.round(F.avg(F.when(p, c("label"))), 4).alias(f"{n}_share"))]
@@ -305,7 +305,7 @@ def hist_length(s, d):
     return parts(urls(s, d)).where(n <= 200).groupBy("label", F.least(F.floor(n / 4), F.lit(49)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("shape_share", f"WITH {PARTS} SELECT label, " + ", ".join(f"round(avg(({p})::INT), 6) AS {n}" for n, p in (("has_path", "length(path) > 1"), ("has_query", "query <> ''"), ("starts_www", "starts_with(host, 'www.')"), ("short_host", "length(host) <= 12"), ("ip_host", r"regexp_matches(host, '^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$')"), ("has_digits", "regexp_matches(host, '[0-9]')"), ("long_url", "length(rest) > 75"), ("com_tld", "ends_with(host, '.com')"))) + " FROM p GROUP BY label")
+@query("shape_share", f"WITH {PARTS} SELECT label, " + ", ".join(f"round(avg(({p})::INT), 6) AS {n}" for n, p in (("has_path", "length(path) > 1"), ("has_query", "query <> ''"), ("starts_www", "starts_with(host, 'www.')"), ("short_host", "length(host) <= 12"), ("ip_host", r"regexp_matches(host, '^(?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}$')"), ("has_digits", "regexp_matches(host, '[0-9]')"), ("long_url", "length(rest) > 75"), ("com_tld", "ends_with(host, '.com')"))) + " FROM p GROUP BY label")
 def shape_share(s, d):
     flags = {"has_path": F.length("path") > 1, "has_query": c("query") != "", "starts_www": c("host").startswith("www."), "short_host": F.length("host") <= 12, "ip_host": c("host").rlike(text.IP), "has_digits": c("host").rlike("[0-9]"), "long_url": F.length("rest") > 75, "com_tld": c("host").endswith(".com")}
     return parts(urls(s, d)).groupBy("label").agg(*[F.round(F.avg(f.cast("int")), 6).alias(n) for n, f in flags.items()])
@@ -355,11 +355,6 @@ def group_kfold(s, d):
     return splits.folds(domains(parts(urls(s, d))), "domain").select("id", "fold")
 
 
-@query("assert_disjoint", "SELECT NULL::VARCHAR AS domain WHERE false")
-def assert_disjoint(s, d):
-    return splits.overlap(splits.by_group(domains(parts(urls(s, d))), "domain"), "domain")
-
-
 @query("sample_n", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey::VARCHAR), o_orderkey LIMIT 500")
 def sample_n(s, d):
     return splits.sample(table(s, d, "orders", "o_orderkey"), 500, "o_orderkey")
@@ -370,10 +365,10 @@ def topk(s, d):
     return table(s, d, "orders", "o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
 
 
-@query("stratified_sample", f"WITH {URLS}, u AS (SELECT url, min(id) AS id FROM urls WHERE url IS NOT NULL GROUP BY url), a AS (SELECT id, url FROM u WHERE regexp_matches(url, '[^a-zA-Z:/.0-9]')), b AS (SELECT id, url FROM u WHERE NOT regexp_matches(url, '[^a-zA-Z:/.0-9]') ORDER BY md5('42:' || id::VARCHAR), id LIMIT 40) SELECT * FROM a UNION ALL SELECT * FROM b")
+@query("stratified_sample", f"WITH {URLS}, u AS (SELECT url, min(id) AS id FROM urls WHERE url IS NOT NULL GROUP BY url), a AS (SELECT id, url FROM u WHERE regexp_matches(url, '[^\x00-\x7F]')), b AS (SELECT id, url FROM u WHERE NOT regexp_matches(url, '[^\x00-\x7F]') ORDER BY md5('42:' || id::VARCHAR), id LIMIT 40) SELECT * FROM a UNION ALL SELECT * FROM b")
 def stratified_sample(s, d):
     first = urls(s, d).where("url IS NOT NULL").groupBy("url").agg(F.min("id").alias("id")).select("id", "url")
-    odd = c("url").rlike("[^a-zA-Z:/.0-9]")
+    odd = ~text.is_ascii(c("url"))
     return first.where(odd).unionByName(splits.sample(first.where(~odd), 40, "id"))
 
 

@@ -61,8 +61,8 @@ simple(
 simple("url_parts", lambda: [F.col("host_raw"), F.col("host"), F.col("path"), F.col("query"), text.count(c("path"), "[^/]+").alias("path_depth")], "host_raw, host, path, query, len(regexp_extract_all(path, '[^/]+'))::INT AS path_depth", PARTS, "p", parts)
 simple(
     "url_flags",
-    lambda: [c("host").rlike(text.IP).cast("int").alias("is_ip_hostname"), c("host_raw").rlike(":[0-9]+$").cast("int").alias("has_port"), (text.scheme(c("u")) == "https").cast("int").alias("uses_https"), (text.scheme(c("u")) != "").cast("int").alias("has_protocol"), c("host").contains("xn--").cast("int").alias("has_punycode")],
-    r"regexp_matches(host, '^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$')::INT AS is_ip_hostname, regexp_matches(host_raw, ':[0-9]+$')::INT AS has_port, (lower(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.\-]*)://', 1)) = 'https')::INT AS uses_https, (regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.\-]*)://', 1) <> '')::INT AS has_protocol, contains(host, 'xn--')::INT AS has_punycode",
+    lambda: [c("host").rlike(text.IP).cast("int").alias("is_ip_hostname"), c("host_raw").rlike(text.PORT).cast("int").alias("has_port"), (text.scheme(c("u")) == "https").cast("int").alias("uses_https"), (text.scheme(c("u")) != "").cast("int").alias("has_protocol"), c("host").contains("xn--").cast("int").alias("has_punycode")],
+    r"regexp_matches(host, '^(?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}$')::INT AS is_ip_hostname, regexp_matches(host_raw, ':\p{Nd}+$')::INT AS has_port, (lower(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.\-]*)://', 1)) = 'https')::INT AS uses_https, (regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.\-]*)://', 1) <> '')::INT AS has_protocol, contains(host, 'xn--')::INT AS has_punycode",
     PARTS, "p", parts,
 )
 simple("keyword_count", lambda: [text.keyword_count(c("u")).alias("n")], f"len(regexp_extract_all(lower(u), '{'|'.join(V.KEYWORDS)}'))::INT AS n", PARTS, "p", parts)
@@ -75,7 +75,7 @@ simple("host_features", lambda: [F.col("host_raw").alias("host")], "host_raw AS
 simple(
     "host_rules",
     lambda: [text.host_for_rules(text.preprocess(c("u"))).alias("h")],
-    f"CASE WHEN regexp_replace(regexp_replace(au, '(?s)^.*@', ''), ':[0-9]+$', '') <> '' THEN struct_pack(\"start\" := (length(au) - length(regexp_replace(au, '(?s)^.*@', '')))::INT, \"end\" := (length(au) - length(regexp_replace(au, '(?s)^.*@', '')) + length(regexp_replace(regexp_replace(au, '(?s)^.*@', ''), ':[0-9]+$', '')))::INT, \"text\" := regexp_replace(regexp_replace(au, '(?s)^.*@', ''), ':[0-9]+$', '')) END AS h",
+    f"CASE WHEN regexp_replace(regexp_replace(au, '(?s)^.*@', ''), ':\\p{{Nd}}+$', '') <> '' THEN struct_pack(\"start\" := (length(au) - length(regexp_replace(au, '(?s)^.*@', '')))::INT, \"end\" := (length(au) - length(regexp_replace(au, '(?s)^.*@', '')) + length(regexp_replace(regexp_replace(au, '(?s)^.*@', ''), ':\\p{{Nd}}+$', '')))::INT, \"text\" := regexp_replace(regexp_replace(au, '(?s)^.*@', ''), ':\\p{{Nd}}+$', '')) END AS h",
     f"{PARTS}, q AS (SELECT *, regexp_extract(lower(regexp_replace(regexp_replace(u, '^{WS}+|{WS}+$', '', 'g'), '^([a-zA-Z][a-zA-Z0-9+.\\-]*)://', '')), '^[^/?#]*') AS au FROM p)", "q", parts,
 )
 _host_rules = QUERIES["host_rules"]
@@ -83,6 +83,9 @@ QUERIES["host_rules"] = lambda s, d: _host_rules(s, d).select("id", F.col("h.sta
 SQL["host_rules"] = f"SELECT id, h.\"start\" AS h_start, h.\"end\" AS h_end, h.\"text\" AS h_text FROM ({SQL['host_rules']})"
 simple("host_span", lambda: [text.host_span(c("u"))["start"].alias("h_start"), text.host_span(c("u"))["end"].alias("h_end")], "length(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.\\-]*)://'))::INT AS h_start, (length(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.\\-]*)://')) + length(regexp_extract(rest, '^[^/?#]*')))::INT AS h_end", PARTS, "p", parts)
 QUERIES["host_urlparse"] = lambda s, d: urls(s, d).select("id", text.host_for_sanity(text.strip(F.coalesce("url", F.lit("")))).alias("host"))
+SQL["host_urlparse"] = f"""WITH {URLS}, a AS (SELECT id, regexp_replace(regexp_replace(coalesce(url, ''), '^{WS}+|{WS}+$', '', 'g'), '[\\t\\r\\n]', '', 'g') AS x FROM urls),
+b AS (SELECT id, regexp_extract(CASE WHEN contains(x, '://') THEN x ELSE 'http://' || x END, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1) AS n FROM a), h AS (SELECT id, n, regexp_replace(n, '(?s)^.*@', '') AS h FROM b)
+SELECT id, lower(CASE WHEN contains(n, '[') <> contains(n, ']') THEN '' WHEN starts_with(h, '[') THEN regexp_extract(h, '^\\[([^\\]]*)\\]', 1) ELSE regexp_extract(h, '^[^:]*') END) AS host FROM h"""
 simple("is_ascii", lambda: [text.is_ascii(c("u")).alias("ascii")], r"NOT regexp_matches(u, '[^\x00-\x7F]') AS ascii", PARTS, "p", parts)
 simple("filter_blank", lambda: [(c("url").isNull() | (text.strip(c("url")) == "")).alias("blank")], f"(url IS NULL OR regexp_replace(url, '^{WS}+|{WS}+$', '', 'g') = '') AS blank")
 HOSTA = f"regexp_extract(regexp_replace(regexp_extract(lower({STRIPPED}), '^[^/?]*'), '(?s)^.*@', ''), '^[^:]*')"
@@ -178,14 +181,14 @@ def psl_split(spark, d):
 
 MASKED = f"""{DOMAINS}, k AS (SELECT *, regexp_extract(t, '^[^/?#]*') AS au FROM (SELECT *, lower(regexp_replace(regexp_replace(u, '^{WS}+|{WS}+$', '', 'g'), '^([a-zA-Z][a-zA-Z0-9+.\\-]*)://', '')) AS t FROM d)),
 k1 AS (SELECT *, regexp_replace(au, '(?s)^.*@', '') AS hh FROM k),
-m AS (SELECT *, CASE WHEN list_contains({sql_list(V.OFFICIAL_DOMAINS)}, domain) THEN left(t, length(au) - length(hh)) || CASE WHEN subdomain <> '' THEN subdomain || '.' ELSE '' END || '§.' || suffix || substr(hh, length(regexp_replace(hh, ':[0-9]+$', '')) + 1) || substr(t, length(au) + 1) ELSE t END AS masked FROM k1)"""
+m AS (SELECT *, CASE WHEN list_contains({sql_list(V.OFFICIAL_DOMAINS)}, domain) THEN left(t, length(au) - length(hh)) || CASE WHEN subdomain <> '' THEN subdomain || '.' ELSE '' END || '§.' || suffix || substr(hh, length(regexp_replace(hh, ':\\p{{Nd}}+$', '')) + 1) || substr(t, length(au) + 1) ELSE t END AS masked FROM k1)"""
 
 
 def masked(rows):
     """rows with t, the preprocessed URL, and masked, in which an official domain's label is the mask."""
     rows = domains(parts(rows)).withColumn("t", text.preprocess(c("u")))
     rows = rows.withColumn("au", text.until(c("t"), "/?#")).withColumn("hh", text.after_at(c("au")))
-    port = F.expr("substr(hh, length(regexp_replace(hh, ':[0-9]+$', '')) + 1)")
+    port = F.substr(c("hh"), F.length(text.without_port(c("hh"))) + 1)
     host = F.concat(F.when(c("subdomain") != "", F.concat("subdomain", F.lit("."))).otherwise(""), F.lit(V.BRAND_MASK + "."), "suffix", port)
     text_ = F.concat(F.expr("left(t, length(au) - length(hh))"), host, F.expr("substr(t, length(au) + 1)"))
     return rows.withColumn("masked", F.when(c("domain").isin(*V.OFFICIAL_DOMAINS), text_).otherwise(c("t")))
@@ -196,9 +199,39 @@ def brand_mask(spark, d):
     return masked(urls(spark, d)).select("id", "masked")
 
 
-@query("align_spans", None)
+def _alike(a: str, b: str) -> str:
+    return f"coalesce(list_filter(range(least(length({a}), length({b}))), lambda i: substr({a}, i + 1, 1) <> substr({b}, i + 1, 1))[1], least(length({a}), length({b})))"
+
+
+#: al: each URL's prefix and suffix that t and masked share, the masked middle's end, and by how much the texts' lengths differ.
+ALIGNED = f"""{MASKED}, al0 AS (SELECT id, t, masked, {_alike('t', 'masked')} AS pre FROM m WHERE masked <> ''), al1 AS (SELECT *, least({_alike('reverse(t)', 'reverse(masked)')}, least(length(t), length(masked)) - pre) AS suf FROM al0),
+al AS (SELECT *, length(masked) - suf AS fin, length(t) - length(masked) AS shift FROM al1)"""
+
+
+def aligned_sql(start: str, stop: str) -> tuple[str, str]:
+    """Start and end in t of [start, stop) of masked, in a query over al."""
+    ok = f"{stop} > {start} AND {start} >= 0 AND {stop} <= length(masked)"
+    lost = f"{start} < fin AND {stop} > pre AND NOT (substr(masked, pre + 1, greatest(fin - pre, 0)) = '{V.BRAND_MASK}' AND length(t) - suf > pre)"
+    one = lambda same, moved: f"CASE WHEN NOT ({ok}) THEN NULL WHEN t = masked THEN {same} WHEN {lost} THEN NULL ELSE {moved} END"
+    return one(start, f"CASE WHEN {start} < pre THEN {start} WHEN {start} >= fin THEN {start} + shift ELSE pre END"), one(stop, f"CASE WHEN {stop} <= pre THEN {stop} WHEN {stop} > fin THEN {stop} + shift ELSE length(t) - suf END")
+
+
+_whole = aligned_sql("0", "length(masked)")
+
+
+@query("align_spans", f'WITH {ALIGNED} SELECT id, t, masked, ({_whole[0]})::INT AS "from", ({_whole[1]})::INT AS "to" FROM al')
 def align_spans(spark, d):
     rows = masked(urls(spark, d)).where("masked != ''")
     whole = text.aligned_span(c("t"), c("masked"), F.lit(0), F.length("masked"))
     return rows.select("id", "t", "masked", whole["start"].alias("from"), whole["end"].alias("to"))
 
+
+#: Spans of every third character and five long, most of them aligned through the shared prefix or suffix.
+_piece = aligned_sql("s", "e")
+
+
+@query("align_pieces", f"WITH {ALIGNED}, pc AS (SELECT *, unnest(range(0, length(masked), 3)) AS s FROM al), pd AS (SELECT *, s + 5 AS e FROM pc) SELECT id, s::INT AS s, ({_piece[0]})::INT AS a, ({_piece[1]})::INT AS z FROM pd")
+def align_pieces(spark, d):
+    rows = masked(urls(spark, d)).where("masked != ''").select("id", "t", "masked", F.explode(F.sequence(F.lit(0), F.length("masked") - 1, F.lit(3))).alias("s"))
+    at = text.aligned_span(c("t"), c("masked"), c("s"), c("s") + 5)
+    return rows.select("id", "s", at["start"].alias("a"), at["end"].alias("z"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from urlsieve.functions import text
+
 URL_SCHEMA = "url string, label int"
 RANKING_SCHEMA = "rank int, domain string"
 STATS_SCHEMA = "source string, rows long, phishing_share double, ip_host struct<rows:long,phishing_share:double>, punycode_host struct<rows:long,phishing_share:double>, long_url struct<legit_quantile:double,max_typical_length:int,rows:long,phishing_share:double>, tld struct<min_rows:long,min_phishing_share:double,suffixes:map<string,struct<rows:long,phishing_share:double>>>, brand_lookalike struct<min_label_length:int,rows:long,phishing_share:double>"
@@ -24,7 +26,7 @@ def read_ranking(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(url): one URL per line, without byte-order mark, outer space and blank lines."""
-    line = F.trim(F.regexp_replace("value", "^﻿", ""))
+    line = text.strip(F.regexp_replace("value", "^﻿", ""))
     return spark.read.text(path).select(line.alias("url")).where("url != ''")
 
 

@@ -50,8 +50,11 @@ def batch(events: DataFrame, client: str = "user_id", capacity: int = V.BUCKET_R
     return rows.mapInArrow(run, OUT)
 
 
-def stream(events: DataFrame, client: str = "user_id", capacity: int = V.BUCKET_REQUESTS, seconds: float = V.BUCKET_SECONDS) -> DataFrame:
-    """The same over a stream. A bucket idle for a whole window is full again, so its state is dropped then, without loss."""
+def stream(events: DataFrame, client: str = "user_id", capacity: int = V.BUCKET_REQUESTS, seconds: float = V.BUCKET_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """The same over a stream with a watermark on ts. A bucket idle for a whole window of event time is full again, so its
+    state is dropped once the watermark says so, without loss; this bounds the number of buckets where a service would
+    drop the least recently used. A request later than another counts at the other's time: time never runs back.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     rate = capacity / seconds
@@ -61,17 +64,20 @@ def stream(events: DataFrame, client: str = "user_id", capacity: int = V.BUCKET_
             state.remove()
             return
         tokens, at = state.get if state.exists else (float(capacity), None)
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        allowed, wait = [], []
-        for ts in pdf.ts:
-            now = ts.timestamp()
-            tokens, ok, retry = step(tokens, now if at is None else at, now, capacity, rate)
-            at = now
-            allowed.append(ok)
-            wait.append(retry)
+        for pdf in frames:
+            pdf = pdf.sort_values(["ts", "event_id"])
+            allowed, wait = [], []
+            for us in pdf.us:
+                now = us / 1e6 if at is None else max(at, us / 1e6)
+                tokens, ok, retry = step(tokens, now if at is None else at, now, capacity, rate)
+                at = now
+                allowed.append(ok)
+                wait.append(retry)
+            yield pd.DataFrame({"client": key[0], "event_id": pdf.event_id, "ts": pdf.ts, "allowed": allowed, "retry_after": pd.array(wait, "Int32")})
         state.update((tokens, at))
-        state.setTimeoutDuration(int(seconds * 1000))
-        yield pd.DataFrame({"client": key[0], "event_id": pdf.event_id, "ts": pdf.ts, "allowed": allowed, "retry_after": pd.array(wait, "Int32")})
+        state.setTimeoutTimestamp(max(int((at + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
 
-    rows = events.select(F.col(client).cast("string").alias("client"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("client").applyInPandasWithState(run, OUT, "tokens double, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    ts = F.col("ts").cast("timestamp")
+    rows = events.select(F.col(client).cast("string").alias("client"), "event_id", ts.alias("ts")).withWatermark("ts", delay)
+    rows = rows.withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("client").applyInPandasWithState(run, OUT, "tokens double, at double", "append", GroupStateTimeout.EventTimeTimeout)
