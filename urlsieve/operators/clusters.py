@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urlsieve.operators import quantiles
+
 
 def contingency(rows: DataFrame, cluster: str = "cluster", label: str = "label") -> DataFrame:
     return rows.groupBy(F.col(cluster).alias("cluster"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
@@ -148,8 +150,10 @@ def nearest_labelled(points: DataFrame, labelled: DataFrame, most: int = 30_000,
 
 def profile(rows: DataFrame, features: list[str], cluster: str = "cluster", label: str = "label", top: int = 15) -> DataFrame:
     """(cluster, size, share, medians) of the largest clusters."""
-    out = rows.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("size"), F.avg(label).alias("share"), *[F.median(f).alias(f"median_{f}") for f in features])
-    return out.orderBy(F.desc("size"), "cluster").limit(top)
+    out = rows.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("size"), F.avg(label).alias("share")).orderBy(F.desc("size"), "cluster").limit(top)
+    for f in features:
+        out = out.join(quantiles.exact(rows.withColumn("cluster", F.col(cluster)), ["cluster"], f, {f"median_{f}": (0.5, "linear")}), "cluster", "left")
+    return out
 
 
 def z_scores(rows: DataFrame, features: list[str], cluster: str = "cluster", top: int = 3) -> DataFrame:

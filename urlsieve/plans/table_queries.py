@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from urlsieve.functions import text
 from urlsieve.functions import values as V
-from urlsieve.operators import clusters, dedup, metrics, splits
+from urlsieve.operators import clusters, dedup, metrics, quantiles, splits
 from urlsieve.plans.inputs import DOMAINS, LABELLED, PARTS, SCORED, URLS, domains, labelled, parts, scored, sql_list, table, urls
 from urlsieve.plans.text_queries import CANON
 
@@ -100,8 +100,14 @@ def class_balance(s, d):
     return n.select("quality", "n", F.round(100.0 * c("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 2).alias("pct"))
 
 
+def linear(*shares):
+    return {f"p{round(q * 100)}": (q, "linear") for q in shares}
+
+
 def described(x, by, rows):
-    return rows.groupBy(by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("least"), *[F.round(F.percentile(x, F.lit(q)), 6).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.max(x).alias("most"))
+    ps = quantiles.exact(rows, [by], x, linear(0.25, 0.5, 0.75))
+    plain = rows.groupBy(by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+    return plain.join(ps, by).select(by, "n", "mean", "std", "least", *[F.round(p, 6).alias(p) for p in ("p25", "p50", "p75")], "most")
 
 
 @query("length_describe", f"WITH {PARTS} SELECT label, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS least, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.75), 6) AS p75, max(x) AS most FROM (SELECT label, length(rest)::INT AS x FROM p) GROUP BY label")
@@ -112,7 +118,8 @@ def length_describe(s, d):
 @query("error_describe", "SELECT count(*) AS n, round(avg(e), 6) AS mean, " + ", ".join(f"round(quantile_cont(e, {q}), 6) AS p{int(q * 100)}" for q in (0.25, 0.5, 0.75, 0.95)) + " FROM (SELECT round(abs(l_discount * 10 - (l_returnflag = 'R')::INT), 6) AS e FROM lineitem)")
 def error_describe(s, d):
     e = scored(s, d).select(F.round(F.abs(c("score") - c("label")), 6).alias("e"))
-    return e.agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("mean"), *[F.round(F.percentile("e", F.lit(q)), 6).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.95)])
+    ps = quantiles.exact(e, [], "e", linear(0.25, 0.5, 0.75, 0.95))
+    return e.agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("mean")).crossJoin(ps).select("n", "mean", *[F.round(p, 6).alias(p) for p in ps.columns])
 
 
 @query("mean_by_label", f"WITH {PARTS} SELECT label, round(avg(length(rest)), 6) AS mean_length, round(avg((path <> '')::INT), 6) AS has_path, round(avg(contains(u, 'www')::INT), 6) AS has_www FROM p GROUP BY label")
@@ -153,7 +160,8 @@ def top_tld(s, d):
 
 @query("proba_quantiles", f"WITH {SCORED} SELECT label, " + ", ".join(f"round(quantile_cont(fine, {q}), 3) AS q{int(q * 10)}" for q in (0.1, 0.5, 0.9)) + " FROM scored GROUP BY label")
 def proba_quantiles(s, d):
-    return scored(s, d).groupBy("label").agg(*[F.round(F.percentile("fine", F.lit(q)), 3).alias(f"q{int(q * 10)}") for q in (0.1, 0.5, 0.9)])
+    ps = quantiles.exact(scored(s, d), ["label"], "fine", {f"q{int(q * 10)}": (q, "linear") for q in (0.1, 0.5, 0.9)})
+    return ps.select("label", *[F.round(q, 3).alias(q) for q in ps.columns[1:]])
 
 
 @query("error_by_source", f"WITH {SCORED} SELECT source, round(avg(CASE WHEN label = 1 THEN (score < 0.5)::INT END), 6) AS miss_rate, round(avg(CASE WHEN label = 0 THEN (score >= 0.5)::INT END), 6) AS alarm_rate FROM scored GROUP BY source")
@@ -180,23 +188,30 @@ def source_lift(s, d):
 
 @query("rate_dist", "SELECT event_type, round(avg(value), 4) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS most, round(median(value), 4) AS median FROM events GROUP BY event_type")
 def rate_dist(s, d):
-    return table(s, d, "events", "event_type", "value").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"), F.round(F.median("value"), 4).alias("median"))
+    rows = table(s, d, "events", "event_type", "value")
+    plain = rows.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"))
+    middle = quantiles.exact(rows, ["event_type"], "value", {"median": (0.5, "linear")})
+    return plain.join(middle, "event_type").select("event_type", "mean", "least", "most", F.round("median", 4).alias("median"))
 
 
 @query("latency_p95", "SELECT event_type, quantile_disc(value, 0.95) AS nearest_rank, round(quantile_cont(value, 0.95), 6) AS linear FROM events GROUP BY event_type")
 def latency_p95(s, d):
-    return table(s, d, "events", "event_type", "value").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("nearest_rank"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("linear"))
+    ps = quantiles.exact(table(s, d, "events", "event_type", "value"), ["event_type"], "value", {"nearest_rank": (0.95, "nearest"), "linear": (0.95, "linear")})
+    return ps.select("event_type", "nearest_rank", F.round("linear", 6).alias("linear"))
 
 
 @query("status_stats", "SELECT event_type AS status, count(*) AS n, round(median(value), 6) AS median, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY event_type")
 def status_stats(s, d):
-    return table(s, d, "events", "event_type", "value").groupBy(c("event_type").alias("status")).agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("most"))
+    rows = table(s, d, "events", c("event_type").alias("status"), "value")
+    ps = quantiles.exact(rows, ["status"], "value", {"median": (0.5, "linear"), "p95": (0.95, "nearest")})
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.max("value").alias("most")).join(ps, "status").select("status", "n", F.round("median", 6).alias("median"), "p95", "most")
 
 
 @query("latency_ratio", "SELECT round(CASE WHEN b <> 0 THEN a / b END, 6) AS median_ratio FROM (SELECT median(CASE WHEN event_type = 'click' THEN value END) AS a, median(CASE WHEN event_type <> 'click' THEN value END) AS b FROM events)")
 def latency_ratio(s, d):
-    e = table(s, d, "events", "event_type", "value").agg(F.median(F.when(c("event_type") == "click", c("value"))).alias("a"), F.median(F.when(c("event_type") != "click", c("value"))).alias("b"))
-    return e.select(F.round(F.try_divide("a", "b"), 6).alias("median_ratio"))
+    rows = table(s, d, "events", "event_type", "value").select((c("event_type") == "click").alias("click"), "value")
+    e = quantiles.exact(rows, ["click"], "value", {"m": (0.5, "linear")})
+    return e.agg(F.max(F.when(c("click"), c("m"))).alias("a"), F.max(F.when(~c("click"), c("m"))).alias("b")).select(F.round(F.try_divide("a", "b"), 6).alias("median_ratio"))
 
 
 @query("first_denied", "SELECT user_id, min(CASE WHEN value > 90 THEN n END) AS first_high FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) GROUP BY user_id")
@@ -256,7 +271,8 @@ def paired_diff(s, d):
     e = table(s, d, "events", "user_id", "event_type", "value")
     mean = lambda kind, name: e.where(c("event_type") == kind).groupBy("user_id").agg(F.avg("value").alias(name))
     x = mean("click", "a").join(mean("view", "b"), "user_id").select(F.round(c("a") - c("b"), 9).alias("x"))
-    return x.agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.min("x"), 4).alias("least"), F.round(F.max("x"), 4).alias("most"), F.round(F.median("x"), 4).alias("median"), F.count_if(c("x") > 0).alias("helped"), F.count_if(c("x") == 0).alias("equal"), F.count_if(c("x") < 0).alias("hurt"))
+    middle = quantiles.exact(x, [], "x", {"median": (0.5, "linear")}).select(F.round("median", 4).alias("median"))
+    return middle.crossJoin(x.agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.min("x"), 4).alias("least"), F.round(F.max("x"), 4).alias("most"), F.count_if(c("x") > 0).alias("helped"), F.count_if(c("x") == 0).alias("equal"), F.count_if(c("x") < 0).alias("hurt")))
 
 
 @query("variants_by_base", "SELECT o_custkey AS base, list_sort(list(o_orderkey)) AS keys FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
