@@ -204,6 +204,9 @@ def test_samples_of_edge_cases(spark):
     assert pieces.sample(nothing(spark), PIECES).count() == 0
     both = pieces.decode(pieces.encode(docs(spark, [(1, EDGE, "a"), (2, None, "a")]), PIECES), PIECES)
     assert [r.text for r in both.orderBy("doc_id").collect()] == [EDGE, None]
+    assert pieces.decode(pieces.encode(nothing(spark), PIECES), PIECES).count() == 0
+    again = pieces.encode(docs(spark, [(1, GOOD, "a"), (1, GOOD, "a"), (2, "", "b")]).withColumn("ids", F.lit("old")), PIECES).collect()
+    assert [list(r.ids) for r in again] == [sp.encode(GOOD), sp.encode(GOOD), []]
 
 
 @pytest.mark.parametrize("text", ["a", "", "so\n𝔘, on.", "aᚠb Я", "no no  no"])

@@ -474,7 +474,10 @@ def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, thet
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with the library's best segmentation as ids; null text: null ids."""
+    """docs with the library's best segmentation as ids; null text: null ids, empty text: none.
+
+    A column of that name is replaced. A row per row; equal texts get equal ids, an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sp = lattices(model).sp
@@ -485,7 +488,10 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """docs with the text that the ids stand for; null ids: null text."""
+    """docs with the text that the ids stand for; null ids: null text, none: an empty one.
+
+    A column of that name is replaced. A row per row, an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sp = lattices(model).sp
