@@ -83,10 +83,10 @@ _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: later reads need no lineage, and survive lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     for own in _SCOPES.get()[-1:]:
         own.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -97,12 +97,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes written tables, through Hadoop's file system, that nothing will read again."""
     gone = {_PATHS[t] for t in tables}
-    _remove(spark, gone)
+    remove(spark, gone)
     for own in _SCOPES.get():
         own[:] = [p for p in own if p not in gone]
 
 
-def _remove(spark: SparkSession, paths: Iterable[str]) -> None:
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes files or folders through Hadoop's file system."""
     for path in paths:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
@@ -127,7 +128,7 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         _SCOPES.reset(token)
-    _remove(spark, [p for p in own if p not in kept])
+    remove(spark, [p for p in own if p not in kept])
     for around in outer[-1:]:
         around += kept
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from urlsieve.llm import chat, linededup, media, mixing, pieces, quality, simhash, tokencount, tokenids, urlfilter
+from urlsieve.llm import alignment, chat, linededup, media, mixing, pieces, quality, simhash, tokencount, tokenids, urlfilter
 
 QUERIES = {
     "op10_token_counts": tokencount.op10_token_counts,
+    "op11_cross_tokenizer": alignment.op11_cross_tokenizer,
     "op1_token_ids": tokenids.op1_token_ids,
     "op2_url_filters": urlfilter.op2_url_filters,
     "op3_sentencepiece": pieces.op3_sentencepiece,

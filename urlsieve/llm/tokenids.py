@@ -105,18 +105,19 @@ class Encoder:
     """The tokenizers library's ids of whole texts; the model runs once per distinct pre-token while it is remembered.
 
     A text with an added token's string or a character outside SAFE goes through the library as a whole, and so does any
-    text if the tokenizer is another than plain byte-level BPE.
+    text if the tokenizer is another than plain byte-level BPE. With `plain` those strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         kind = json.loads(self.tokenizer.to_str())
         cut, model = kind["pre_tokenizer"] or {}, kind["model"]
-        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback") if model.get(k)]
         tokens = [t for t in kind["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and kind["normalizer"]]
-        self.by_word = all(cut.get(k) == v for k, v in plain.items()) and model["type"] == "BPE" and not (odd or tokens or kind["normalizer"] or kind["post_processor"] or kind["truncation"] or kind["padding"])
-        self.added = [t["content"] for t in kind["added_tokens"]]
+        self.by_word = all(cut.get(k) == v for k, v in usual.items()) and model["type"] == "BPE" and not (odd or tokens or kind["normalizer"] or kind["post_processor"] or kind["truncation"] or kind["padding"])
+        self.added = [] if plain else [t["content"] for t in kind["added_tokens"]]
+        self.tokenizer.encode_special_tokens = plain
         self.letters = _byte_letters()
         self.words = Runs()
         self.forget()
