@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from urlsieve.llm import alignment, chat, linededup, media, mixing, pieces, quality, simhash, structure, tokencount, tokenids, urlfilter
+from urlsieve.llm import alignment, chat, linededup, media, mixing, pieces, quality, repeats, simhash, structure, tokencount, tokenids, urlfilter
 
 QUERIES = {
     "op10_token_counts": tokencount.op10_token_counts,
     "op11_cross_tokenizer": alignment.op11_cross_tokenizer,
     "op12_conversation_repair": structure.op12_conversation_repair,
+    "op13_suffix_dedup": repeats.op13_suffix_dedup,
     "op1_token_ids": tokenids.op1_token_ids,
     "op2_url_filters": urlfilter.op2_url_filters,
     "op3_sentencepiece": pieces.op3_sentencepiece,
