@@ -94,6 +94,18 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return out
 
 
+@contextmanager
+def dealt(df: DataFrame, key: str, parts: int) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, in so many buckets by key: joins on the key don't shuffle it. It goes at the end."""
+    spark, path, name = df.sparkSession, scratch(df.sparkSession, "dealt"), f"urlsieve_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(parts, key).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove(spark, [path])
+
+
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes written tables, through Hadoop's file system, that nothing will read again."""
     gone = {_PATHS[t] for t in tables}

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import remove, scope, scratch, take_worker, written
+from urlsieve.llm.common import dealt, remove, scope, scratch, take_worker, written
 from urlsieve.llm.runs import mix, ranges
 
 #: Bytes of a window and of a seed; bytes on either side of a seed that a string of its windows can have; columns of a string.
@@ -275,19 +275,27 @@ def repeated_seeds(chunks: DataFrame, bits: int, hot: int) -> DataFrame:
 
 
 class Files:
-    """A collection's columns, each in a file of its own that a round reads and writes from end to end."""
+    """A collection's columns, each in a file that a round reads from end to end; what it writes is a new file, and the old one goes."""
 
     def __init__(self, folder: str):
         self.fs, self.base = pafs.FileSystem.from_uri(f"{folder}/{uuid.uuid4().hex}")
         self.fs.create_dir(self.base, recursive=True)
+        self.round: dict[str, int] = {}
+
+    def _path(self, name: str) -> str:
+        return f"{self.base}/{name}-{self.round[name]}"
 
     def write(self, name: str, values: np.ndarray) -> None:
-        with self.fs.open_output_stream(f"{self.base}/{name}", compression=None) as f:
+        old = self._path(name) if name in self.round else None
+        self.round[name] = self.round.get(name, 0) + 1
+        with self.fs.open_output_stream(self._path(name), compression=None, buffer_size=0) as f:
             f.write(values)
+        if old:
+            self.fs.delete_file(old)
 
     def read(self, name: str, kind: str) -> np.ndarray:
-        with self.fs.open_input_file(f"{self.base}/{name}") as f:
-            return np.frombuffer(f.read(), kind)
+        with self.fs.open_input_file(self._path(name)) as f:
+            return np.frombuffer(f.read_buffer(), kind)
 
     def close(self) -> None:
         self.fs.delete_dir(self.base)
@@ -433,9 +441,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     folder = scratch(spark, "columns")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    with scope(spark) as keep:
-        kinds = "chunk long, docs binary, n_docs int, text binary, seeds binary, n_seeds int"
-        chunks = written(rows.mapInArrow(lambda batches: _pack(batches, chunk), kinds), "chunks", "uncompressed")
+    kinds = "chunk long, docs binary, n_docs int, text binary, seeds binary, n_seeds int"
+    packed = rows.mapInArrow(lambda batches: _pack(batches, chunk), kinds)
+    # texts are never shuffled: what is found of a chunk goes to where it is
+    with scope(spark) as keep, dealt(packed, "chunk", parts) as chunks:
         n_seeds = chunks.agg(F.sum("n_seeds")).first()[0] or 0
         found = written(repeated_seeds(chunks, _bits(n_seeds, SEEDS), hot), "seeds")
         n_again = found.agg(F.sum("n_again")).first()[0] or 0
