@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from urlsieve.llm.common import cache_of_worker, remove, scope, scratch, slices, take_worker, written
 from urlsieve.llm.pieces import MARK, Lattices
-from urlsieve.llm.runs import Grown, Runs, code_points, ranges
+from urlsieve.llm.runs import STRETCH, Grown, Runs, code_points, ranges, stretches
 from urlsieve.llm.tokenids import Encoder
 
-#: Characters in a stretch of a long text; texts, and bytes of them, encoded at once. Results depend on none of these.
-STRETCH, TEXTS, BYTES = 1 << 19, 2048, 1 << 20
+#: Texts, and bytes of them, encoded at once. Results depend on neither.
+TEXTS, BYTES = 2048, 1 << 20
 #: Pairs that a task holds before it gives their counts, pairs in a shard, units remembered.
 HELD, SHARD, MEMO = 6_000_000, 2_000_000, 400_000
 #: A character that no piece holds beside another, put before a unit so that the library adds no mark to the unit itself.
@@ -116,20 +116,6 @@ def sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return upto[ends] - upto[ends - n]
 
 
-def stretches(text: str, size: int = STRETCH) -> list[str]:
-    """The text in parts of about `size` characters, cut before a blank between two characters other than white space."""
-    out, at = [], 0
-    while len(text) - at > size:
-        cut = text.find(" ", at + size)
-        while cut > 0 and (cut + 1 >= len(text) or text[cut - 1].isspace() or text[cut - 1] == MARK or text[cut + 1].isspace() or text[cut + 1] == MARK):
-            cut = text.find(" ", cut + 1)
-        if cut < 0:
-            break
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
-
-
 class Links:
     """Tokens of both side by side: where both end, and which overlap. n_a and n_b are tokens by part; parts' bytes agree."""
 

@@ -137,12 +137,13 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple]
     """Runs of rows of equal first column, whatever batches they come in."""
     key, rows = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row[0], []
-            rows.append(row)
+        for s in range(0, batch.num_rows, 64):
+            for row in zip(*(c.to_pylist() for c in batch.slice(s, 64).columns), strict=True):
+                if row[0] != key:
+                    if rows:
+                        yield key, rows
+                    key, rows = row[0], []
+                rows.append(row)
     if rows:
         yield key, rows
 
@@ -249,14 +250,16 @@ def note(batches: Iterator[pa.RecordBatch], kinds: dict) -> Iterator[pa.RecordBa
         yield batch
 
 
-def batches_of(found: Iterator[tuple[str, list[tuple]]], rows: int = 4096) -> Iterator[list[list[tuple]]]:
-    held, n = [], 0
+def batches_of(found: Iterator[tuple[str, list[tuple]]], rows: int = 4096, size: int = 4 << 20) -> Iterator[list[list[tuple]]]:
+    """Groups of about so many rows, or characters of text (their sixth column), at once."""
+    held, n, long = [], 0, 0
     for _, group in found:
         held.append(group)
         n += len(group)
-        if n >= rows:
+        long += sum(len(row[5]) for row in group)
+        if n >= rows or long >= size:
             yield held
-            held, n = [], 0
+            held, n, long = [], 0, 0
     if held:
         yield held
 

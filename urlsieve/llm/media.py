@@ -542,19 +542,38 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What reading the stored files back gives: payload, sums of payload and file, and the shots as a string; a row per row."""
+    """What reading the stored files back gives: payload, sums of payload and file, and the shots as a string; a row per row.
+
+    A null or damaged file has null in the columns of its payload, and `error: ` with the reason as its feature. Repeated
+    rows each give theirs, an empty table none. Extra columns are ignored.
+    """
+
+    def told(data: bytes | None) -> tuple:
+        if data is None:
+            return None, None, None, None, None, "error: no file"
+        try:
+            movie, frames = decode_movies([data])[0]
+        except (ValueError, IndexError, KeyError, struct.error) as e:
+            return None, None, None, len(data), hashlib.sha256(data).hexdigest(), f"error: {e}"
+        return read(data, movie, frames)
+
+    def read(data: bytes, movie, frames) -> tuple:
+        payload = b"".join(f.tobytes() for f in frames)[: movie.payload]
+        cut = shots(frames)
+        ms = movie.frame_us // 1000
+        feature = f"frames={len(frames)};shots={len(cut)};" + ",".join(f"{a * ms}-{(b + 1) * ms}" for a, b in cut)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker()
         for batch in batches:
             for part in slices(batch, 2, TEXTS, BYTES):
-                files, rows = part.column(2).to_pylist(), []
-                for data, (movie, frames) in zip(files, decode_movies(files), strict=True):
-                    payload = b"".join(f.tobytes() for f in frames)[: movie.payload]
-                    cut = shots(frames)
-                    ms = movie.frame_us // 1000
-                    feature = f"frames={len(frames)};shots={len(cut)};" + ",".join(f"{a * ms}-{(b + 1) * ms}" for a, b in cut)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                files = part.column(2).to_pylist()
+                try:
+                    rows = [read(data, *found) for data, found in zip(files, decode_movies(files), strict=True)]
+                except (TypeError, ValueError, IndexError, KeyError, struct.error):
+                    # one of them can't be read: each by itself
+                    rows = [told(data) for data in files]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 

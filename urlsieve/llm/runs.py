@@ -18,6 +18,24 @@ def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+#: Characters in a stretch of a long text, and the mark that piece models take for a blank.
+STRETCH, MARK = 1 << 19, "▁"
+
+
+def stretches(text: str, size: int = STRETCH) -> list[str]:
+    """The text in parts of about `size` characters, cut before a blank between two characters other than white space."""
+    out, at = [], 0
+    while len(text) - at > size:
+        cut = text.find(" ", at + size)
+        while cut > 0 and (cut + 1 >= len(text) or text[cut - 1].isspace() or text[cut - 1] == MARK or text[cut + 1].isspace() or text[cut + 1] == MARK):
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 

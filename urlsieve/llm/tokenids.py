@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from urlsieve.llm.common import cache_of_worker, scratch, slices, take_worker, written
-from urlsieve.llm.runs import Grown, Runs, code_points, ranges
+from urlsieve.llm.runs import STRETCH, Grown, Runs, code_points, ranges, stretches
 
 MAGIC = int.from_bytes(b"PFORIDS1", "little")
 BLOCK = 1024
@@ -136,7 +136,16 @@ class Encoder:
         self.ids.add(np.fromiter(chain.from_iterable(found), np.uint32))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of each text's ids."""
+        """All ids one after another, and the number of each text's ids.
+
+        A long text is encoded by stretches that end where a pre-token does, so that of it only the ids are held at once.
+        """
+        if not self.by_word or any(" " in a for a in self.added) or max(map(len, texts), default=0) <= STRETCH:
+            return self._encoded(texts)
+        found = [[self._encoded([s])[0] for s in stretches(t)] for t in texts]
+        return np.concatenate([x for f in found for x in f]), np.array([sum(map(len, f)) for f in found], np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > MEMO:
             self.forget()
         whole, plain = {}, []

@@ -17,11 +17,11 @@ RULES = (
 )
 #: Query parameters that don't change what a URL shows.
 TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|ref)=[^&#]*"
-#: Tags that name another URL of a page, and their attributes, quoted or not.
-LINK = r"""(?i)<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b[^">]*"|'[^'>]*\bcanonical\b[^'>]*'|canonical\b)[^>]*>"""
-REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?i)\bhref\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^\s"'>]+))"""
-CONTENT = r"""(?i)\bcontent\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^\s"'>]+))"""
+#: What is no markup; whole tags that may name another URL of a page; their attributes, in turn, with values as written.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script[\s>].*?</script[\s>]|<style[\s>].*?</style[\s>]"
+TAG = r"""(?i)<(?:link|meta)[ \t\n\f\r/](?:[^>"']|"[^"]*"|'[^']*')*>"""
+ATTRIBUTE = r"""[ \t\n\f\r/]([^ \t\n\f\r"'>/=]+)(?:[ \t\n\f\r]*=[ \t\n\f\r]*("[^"]*"|'[^']*'|[^ \t\n\f\r"'>]+))?"""
+CANONICAL = r"(?i)(?:^|[ \t\n\f\r])canonical(?:[ \t\n\f\r]|$)"
 TARGET = r"""(?i)\burl\s*=\s*["']?([^"']+)"""
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
@@ -75,15 +75,24 @@ def resolved(url: Column, link: Column) -> Column:
     return F.when(link.rlike(SCHEME), F.when(link.contains("://"), link)).when(url.contains("://"), inside)
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name without its quotes, empty if it has none; null without the attribute."""
+    every = F.zip_with(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)), lambda n, v: F.struct(n.alias("n"), v.alias("v")))
+    value = F.get(F.filter(every, lambda x: F.lower(x["n"]) == name), 0)["v"]
+    return F.when(value.rlike("(?s)^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
 def edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): each URL and its canonical spelling, its canonical links and the targets of its refreshes, as spelled there."""
-    url, html = F.col(quoted(url_col)), F.col(quoted(html_col))
+    """(a, b): each URL and its canonical spelling, its canonical links and the targets of its refreshes, as spelled there.
 
-    def value(tag: Column, attribute: str) -> Column:
-        return F.concat(*[F.regexp_extract(tag, attribute, k) for k in (1, 2, 3)])
+    Tags in comments, scripts and styles don't count; an attribute stands behind white space, and a quoted value is one unit.
+    """
+    url, html = F.col(quoted(url_col)), F.col(quoted(html_col))
 
-    links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda t: resolved(url, value(t, HREF)))
-    moves = F.transform(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), lambda t: resolved(url, F.regexp_extract(value(t, CONTENT), TARGET, 1)))
+    tags = F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "), F.lit(TAG), F.lit(0))
+    links = F.transform(F.filter(tags, lambda t: attribute(t, "rel").rlike(CANONICAL)), lambda t: resolved(url, attribute(t, "href")))
+    moves = F.filter(tags, lambda t: F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh")
+    moves = F.transform(moves, lambda t: resolved(url, F.regexp_extract(attribute(t, "content"), TARGET, 1)))
     both = F.concat(F.coalesce(links, F.array().cast("array<string>")), F.coalesce(moves, F.array().cast("array<string>")))
     rows = pages.where(url.isNotNull()).select(url.alias("a"), F.explode(F.array_distinct(F.concat(F.array(spelling(url)), both, F.transform(both, spelling)))).alias("b"))
     return rows.where("b IS NOT NULL AND a != b")
@@ -152,13 +161,19 @@ def _sql() -> str:
     def text(pattern: str) -> str:
         return "'" + pattern.replace("'", "''") + "'"
 
-    def value(tag: str, attribute: str) -> str:
-        return " || ".join(f"regexp_extract({tag}, {text(attribute)}, {k})" for k in (1, 2, 3))
+    def value(name: str) -> str:
+        both = f"list_zip(regexp_extract_all(t, {text(ATTRIBUTE)}, 1), regexp_extract_all(t, {text(ATTRIBUTE)}, 2))"
+        v = f"list_filter({both}, lambda x: lower(x[1]) = '{name}')[1][2]"
+        return f"(CASE WHEN regexp_matches({v}, '(?s)^[\"'']') THEN substr({v}, 2, length({v}) - 2) ELSE {v} END)"
 
-    link, move = value("t", HREF), f"regexp_extract({value('t', CONTENT)}, {text(TARGET)}, 1)"
-    found = " || ".join(f"list_transform(regexp_extract_all(coalesce(html, ''), {text(tag)}, 0), lambda t: replace(trim({x}), '&amp;', '&'))" for tag, x in ((LINK, link), (REFRESH, move)))
+    tags = f"regexp_extract_all(regexp_replace(coalesce(html, ''), {text(HIDDEN)}, ' ', 'g'), {text(TAG)}, 0)"
+    links = f"list_transform(list_filter(tags, lambda t: regexp_matches({value('rel')}, {text(CANONICAL)})), lambda t: {value('href')})"
+    target = f"regexp_extract({value('content')}, {text(TARGET)}, 1)"
+    moves = f"list_transform(list_filter(tags, lambda t: lower(trim({value('http-equiv')})) = 'refresh'), lambda t: {target})"
     return f"""
-WITH RECURSIVE l AS (SELECT url, unnest({found}) AS x FROM pages WHERE url IS NOT NULL),
+WITH RECURSIVE g AS (SELECT url, {tags} AS tags FROM pages WHERE url IS NOT NULL),
+l0 AS (SELECT url, unnest({links} || {moves}) AS x FROM g),
+l AS (SELECT url, replace(trim(x), '&amp;', '&') AS x FROM l0),
 r AS (SELECT url, {absolute('url', 'x')} AS x FROM l),
 e0 AS (SELECT url AS a, x AS b FROM r UNION SELECT url, {spelled('x')} FROM r UNION SELECT url, {spelled('url')} FROM pages WHERE url IS NOT NULL),
 e AS (SELECT a, b FROM e0 WHERE b IS NOT NULL AND a != b UNION SELECT b, a FROM e0 WHERE b IS NOT NULL AND a != b),
