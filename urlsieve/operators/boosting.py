@@ -9,11 +9,9 @@ are dealt to tasks. A lost executor makes Spark run the stage anew.
 
 from __future__ import annotations
 
-import base64
 import heapq
 import json
 import math
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, replace
 
@@ -23,11 +21,9 @@ from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlsieve.operators import metrics
+from urlsieve.operators import gang, metrics
 
 BINS, GRAIN = 256, 28
-#: Rows from which more than one task grows a model, and the most tasks: each sends each split's histograms to all others.
-ROWS, TASKS = 500_000, 32
 
 
 @dataclass(frozen=True)
@@ -237,7 +233,7 @@ def fit(rows: DataFrame, made: dict, p: Params = Params(), label: str = "label",
     names = _features(made)
     mark = F.col(held) if held else F.lit(False)
     rows = rows.where(F.col(label).isNotNull()).select(F.xxhash64(key).alias("_key"), F.col(label).cast("int").alias("_y"), mark.alias("_held"), *[F.col(c).cast("double") for c in made["numeric"]], *made["categories"])
-    n = tasks or min(TASKS, spark.sparkContext.defaultParallelism, rows.count() // ROWS + 1)
+    n = tasks or min(gang.TASKS, spark.sparkContext.defaultParallelism, rows.count() // gang.ROWS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), binned(made, [c.to_numpy(zero_copy_only=False) if k < len(made["numeric"]) else c.to_pylist() for k, c in enumerate(b.columns[3:])])) for b in batches]
@@ -246,13 +242,7 @@ def fit(rows: DataFrame, made: dict, p: Params = Params(), label: str = "label",
             keys, y, out, x = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool), np.zeros((0, len(names)), np.uint8)
         context = BarrierTaskContext.get()
 
-        def add(numbers: np.ndarray) -> np.ndarray:
-            if n == 1:
-                return numbers
-            every = context.allGather(base64.b64encode(zlib.compress(numbers.tobytes(), 1)).decode())
-            return np.sum([np.frombuffer(zlib.decompress(base64.b64decode(e)), np.int64).reshape(numbers.shape) for e in every], axis=0)
-
-        model = grow(x, y, out.astype(bool), keys, len(made["numeric"]), p, add, n == 1)
+        model = grow(x, y, out.astype(bool), keys, len(made["numeric"]), p, gang.summing(context, n), n == 1)
         if context.partitionId() == 0:
             yield pa.RecordBatch.from_pydict({"model": [json.dumps(model)]})
 
