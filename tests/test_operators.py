@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urlsieve.functions import suffix, text
-from urlsieve.operators import brands, clusters, explain, models, quantiles, reports, splits
+from urlsieve.operators import brands, bundles, clusters, explain, models, quantiles, reports, splits
 from urlsieve.streaming import limiter
 
 
@@ -116,24 +116,17 @@ def test_ngram_model_learns_and_its_stored_form_scores_alike(spark, labelled_url
     best, values = models.grid([models.char_ngram(c, n, 30) for c in (0.01, 1.0, 10.0)], made.where("id % 4 > 0"), made.where("id % 4 = 0"))
     assert len(values) == 3 and max(values) > 0.9
     coef = models.stored_coefficients(spark, best, weights)
-    models.save_bundle("char_ngram", str(tmp_path / "m"), coef, threshold=0.6)
-    bundle = models.load_bundle(spark, str(tmp_path / "m"))
+    bundles.save(spark, "char_ngram", str(tmp_path / "m"), 0.6, coefficients=coef)
+    bundle = bundles.load(spark, str(tmp_path / "m"))
     direct = {r.id: r.phishing_probability for r in models.score(best, made, "id").collect()}
-    stored = {r.id: r for r in models.predict(bundle, rows, "id").collect()}
+    stored = {r.id: r for r in bundles.predict(bundle, rows, "id").collect()}
     assert stored.keys() == direct.keys()
     assert all(stored[i].phishing_probability == pytest.approx(p, abs=1e-9) and stored[i].is_phishing == (stored[i].phishing_probability >= 0.6) for i, p in direct.items())
-    assert models.predict(bundle, rows.limit(0), "id").count() == 0
+    assert bundles.predict(bundle, rows.limit(0), "id").count() == 0
     # the shares of a text's n-grams and the intercept make up its logit
-    shares = explain.occurrences(val, bundle["model"], column="masked").groupBy("id").agg(F.sum("share").alias("s"))
-    logit = {r.id: r.logit for r in models.linear_scores(val, bundle["model"]).collect()}
+    shares = explain.occurrences(val, bundle["coefficients"], column="masked").groupBy("id").agg(F.sum("share").alias("s"))
+    logit = {r.id: r.logit for r in models.linear_scores(val, bundle["coefficients"]).collect()}
     assert all(r.s + best.intercept == pytest.approx(logit[r.id], abs=1e-9) for r in shares.collect())
-    # a table that was touched since is refused
-    spark.createDataFrame([(7, 1.0, 1.0)], "bucket long, coef double, idf double").write.mode("append").parquet(str(tmp_path / "m/coefficients"))
-    with pytest.raises(ValueError, match="differs from its manifest"):
-        models.load_bundle(spark, str(tmp_path / "m"))
-    assert models.load_bundle(spark, str(tmp_path / "nothing")) is None
-    with pytest.raises(ValueError, match="no such kind"):
-        models.save_bundle("other", str(tmp_path / "x"), coef)
 
 
 def test_log_odds_lean_to_the_labels(labelled_urls):

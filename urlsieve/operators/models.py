@@ -7,8 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -20,8 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urlsieve.functions import text
-from urlsieve.operators import clusters, metrics
-from urlsieve.sources import files
+from urlsieve.operators import autoencoder, clusters, density, metrics, minibatch, splits
 
 NUMERIC = (
     "url_length", "hostname_length", "path_length", "query_length", "dot_count", "hyphen_count", "digit_count", "at_count", "underscore_count", "percent_count", "equals_count", "ampersand_count",
@@ -219,54 +217,67 @@ def kinds_of_phishing(rows: DataFrame, ks: Sequence[int] = (4, 5, 6, 7, 8), seed
     return best, found, out
 
 
-#: How a stored bundle of each kind gives (keep, phishing_probability): a pipeline, or clusters with the training rows' shares.
-BUNDLES = ("linear", "trees", "kmeans", "reconstruction", "char_ngram")
-
-
-def save_bundle(kind: str, path: str, model, extra: DataFrame | None = None, threshold: float = 0.5) -> None:
-    """A model folder: the pipeline or the coefficients, a table that goes with it, and what kind it is."""
-    if kind not in BUNDLES:
-        raise ValueError(f"no such kind of model: {kind}")
-    spark = model.sparkSession if isinstance(model, DataFrame) else SparkSession.active()
-    if isinstance(model, DataFrame):
-        model.write.mode("overwrite").parquet(f"{path}/coefficients")
-        made = files.manifest(spark.read.parquet(f"{path}/coefficients"), "bucket").first()
-        spark.createDataFrame([(kind, threshold, made.n, made.digest)], "kind string, threshold double, n long, digest string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
-        return
-    model.write().overwrite().save(f"{path}/pipeline")
-    if extra is not None:
-        extra.write.mode("overwrite").parquet(f"{path}/extra")
-    spark.createDataFrame([(kind, threshold)], "kind string, threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/about")
-
-
-def load_bundle(spark: SparkSession, path: str) -> dict | None:
-    """What save_bundle() wrote, or None where nothing is. Coefficients that differ from their manifest are an error."""
-    try:
-        about = spark.read.schema("kind string, threshold double, n long, digest string").json(f"{path}/about").first()
-    except AnalysisException:
-        return None
-    found = {"kind": about.kind, "threshold": about.threshold}
-    if about.kind == "char_ngram":
-        found["model"] = files.verified(spark.read.parquet(f"{path}/coefficients"), "bucket", about.n, about.digest)
-    else:
-        found["model"] = PipelineModel.load(f"{path}/pipeline")
-        if about.kind in ("kmeans", "reconstruction"):
-            found["extra"] = spark.read.parquet(f"{path}/extra")
-    return found
-
-
-def predict(bundle: dict, rows: DataFrame, *keep: str, threshold: float | None = None) -> DataFrame:
-    """(keep, phishing_probability, is_phishing) by a bundle of any kind, with its own threshold or another; no rows give none."""
-    cut = bundle["threshold"] if threshold is None else threshold
-    if bundle["kind"] == "kmeans":
-        known = bundle["extra"]
-        prior = known.agg(F.max("prior").alias("_prior"))
-        p = bundle["model"].transform(rows).join(F.broadcast(known.select("cluster", "proba")), "cluster", "left").crossJoin(F.broadcast(prior)).withColumn("phishing_probability", F.coalesce("proba", "_prior"))
-    elif bundle["kind"] == "reconstruction":
-        p = reconstruction_error(bundle["model"], rows).crossJoin(F.broadcast(bundle["extra"].limit(1)))
-        p = p.withColumn("phishing_probability", 1 / (1 + F.exp(-(F.col("slope") * F.ln(F.col("error") + 1e-12) + F.col("shift")))))
-    elif bundle["kind"] == "char_ngram":
-        p = rows.join(linear_scores(rows, bundle["model"]).select("id", F.col("probability").alias("phishing_probability")), "id")
-    else:
-        p = bundle["model"].transform(rows).withColumn("phishing_probability", vector_to_array("probability")[1])
-    return p.select(*keep, "phishing_probability", (F.col("phishing_probability") >= cut).alias("is_phishing"))
+def scaler(names: Sequence[str] = NUMERIC) -> Pipeline:
+    """Logarithms of the features less their means, in deviations."""
+    return Pipeline(stages=[VectorAssembler(inputCols=[f"log_{n}" for n in names], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)])
+
+
+def scaled(fitted, rows: DataFrame) -> DataFrame:
+    """rows with vector, what a fitted scaler makes of them as an array."""
+    return fitted.transform(rows).withColumn("vector", vector_to_array("scaled")).drop("raw", "scaled")
+
+
+def _judged(rows: DataFrame, shares: DataFrame) -> float:
+    """Average precision of rows (cluster, label) by their clusters' shares."""
+    prior = shares.agg(F.max("prior").alias("_prior"))
+    p = rows.join(shares.select("cluster", "proba"), "cluster", "left").crossJoin(prior)
+    return metrics.average_precision(metrics.tally(p.select("label", F.round(F.coalesce("proba", "_prior"), 9).alias("score")))).first()[0] or 0.0
+
+
+def best_minibatch(fit: DataFrame, val: DataFrame, ks: Sequence[int] = (2, 5, 10, 20, 50, 100), names: Sequence[str] = NUMERIC) -> tuple[dict, dict[int, float]]:
+    """The mini-batch K-means whose cluster shares judge val best, the first among equals: scaler, centres, shares; and all values.
+
+    One pass over fit gives the centres of all numbers of clusters.
+    """
+    made = scaler(names).fit(fit)
+    fit, val = scaled(made, fit), scaled(made, val)
+    ks = [k for k in ks if k <= max(2, fit.count() // 2)]
+    centres = minibatch.fit(fit, ks, "vector")
+    placed, judged = (minibatch.assign(x, centres, "vector").select("label", "clusters") for x in (fit, val))
+    values, shares = {}, {}
+    for j, k in enumerate(sorted(centres)):
+        shares[k] = clusters.probabilities(placed.select("label", F.col("clusters")[j].alias("cluster")))
+        values[k] = _judged(judged.select("label", F.col("clusters")[j].alias("cluster")), shares[k])
+    best = max(values, key=lambda k: (values[k], -k))
+    return {"scaler": made, "centres": centres[best].tolist(), "shares": shares[best]}, values
+
+
+def best_density(fit: DataFrame, val: DataFrame, leasts: Sequence[int] = (25, 50, 100), neighbours: int = 10, most: int = density.MOST, names: Sequence[str] = NUMERIC) -> tuple[dict, dict[int, float]]:
+    """The density clusters of a sample of fit whose shares judge val best, the first among equals: scaler, points, shares; and all values.
+
+    The sample, of `most` rows by hash of id, is the operator's own bound; all other rows take the cluster of their nearest point.
+    """
+    made = scaler(names).fit(fit)
+    fit, val = scaled(made, fit), scaled(made, val)
+    sample = splits.sample(fit, most, "id").select("id", "label", "vector")
+    held = density.Sample(sample, neighbours, most, "id", "vector")
+    found, values = {}, {}
+    for least in leasts:
+        points = held.clusters(least).select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding"), "cluster")
+        own = sample.select("id", "label").join(points.select(F.col("vec_id").alias("id"), "cluster"), "id")
+        shares = clusters.probabilities(own)
+        near = clusters.nearest_labelled(val.select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding")), points, most)
+        values[least] = _judged(val.select(F.col("id").alias("vec_id"), "label").join(near, "vec_id").select("label", "cluster"), shares)
+        found[least] = {"scaler": made, "points": points, "shares": shares}
+    best = max(values, key=lambda k: (values[k], -k))
+    return found[best], values
+
+
+def best_autoencoder(fit: DataFrame, val: DataFrame, p: autoencoder.Params = autoencoder.Params(), names: Sequence[str] = NUMERIC) -> dict:
+    """scaler, model and line: an autoencoder of fit's legitimate rows that stops by val's, and a logistic line on val's errors, all labels."""
+    good = fit.where("label = 0")
+    made = scaler(names).fit(good)
+    both = scaled(made, good.withColumn("_held", F.lit(False)).unionByName(val.where("label = 0").withColumn("_held", F.lit(True))))
+    model = autoencoder.fit(both, "vector", held="_held", p=p)
+    line = platt(autoencoder.errors(model, scaled(made, val), "vector"))
+    return {"scaler": made, "model": model, "line": {"slope": float(line.coefficients[0]), "shift": float(line.intercept)}}

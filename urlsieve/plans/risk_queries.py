@@ -1,19 +1,17 @@
-"""Features, rules, explanations, attacks, sessions, limiter, files and models."""
+"""Features, rules, explanations, attacks, sessions, limiter and files."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from urlsieve.functions import text
 from urlsieve.functions import values as V
-from urlsieve.operators import brands, explain, models, rules, splits
+from urlsieve.operators import brands, explain, models, rules
 from urlsieve.plans.inputs import DOMAINS, URLS, domains, parts, sql_list, table, urls
 from urlsieve.plans.text_queries import GRAMS, NAMES_SQL, WS, _tr, names
 from urlsieve.plans.text_queries import SQL as TEXT_SQL
-from urlsieve.sources import files
+from urlsieve.sources import files, folders
 from urlsieve.streaming import limiter
 
 QUERIES: dict = {}
@@ -264,77 +262,6 @@ def weight_chart(s, d):
     return explain.segments(occurrences(s, d), limit=1 << 30).select("id", c("rank").alias("bar"), F.round("weight", 4).alias("weight"))
 
 
-def _parted(rows):
-    """rows with part: test, val or fit, by domain, so that no domain is in two of them."""
-    rows = splits.by_group(splits.by_group(domains(parts(rows)), "domain"), "domain", 10, "val:", "inner")
-    return rows.withColumn("part", F.when(c("part") == "test", "test").when(c("inner") == "test", "val").otherwise("fit")).drop("inner")
-
-
-#: Inverse strengths of the penalty that validation chooses from.
-STRENGTHS = (1.0, 3.0, 10.0, 30.0)
-
-
-def fitted_ngrams(s, rows, strengths=STRENGTHS, rounds: int = 50):
-    """The char n-gram model of rows with a domain split, chosen by average precision, as stored and verified coefficients."""
-    rows = _parted(rows).select("id", "url", "label", "part", "masked")
-    path = folder(s, "rows")
-    rows.write.parquet(path)
-    rows = s.read.parquet(path)
-    fit = rows.where("part = 'fit'")
-    n = fit.count()
-    path = folder(s, "idf")
-    models.idf(models.gram_counts(fit), n).write.parquet(path)
-    weights = s.read.parquet(path)
-    made = models.tfidf(rows.where("part != 'test'"), models.gram_counts(rows.where("part != 'test'")), weights).select("id", "label", "part", "features").cache()
-    best, values = models.grid([models.char_ngram(x, n, rounds) for x in strengths], made.where("part = 'fit'"), made.where("part = 'val'"))
-    made.unpersist()
-    path = folder(s, "ngrams")
-    models.save_bundle("char_ngram", path, models.stored_coefficients(s, best, weights))
-    return models.load_bundle(s, path), values
-
-
-def _masked(s, d):
-    return brands.mask(urls(s, d).where("url IS NOT NULL"), "url", "masked")
-
-
-def _signals(s, d, coefficients, rows, limit: int = 10):
-    """N-gram signals first, then rules, at most `limit`. Offsets refer to the analysed text; where the model reads a folded
-    text, n-grams have no place in it and their text is the model's."""
-    seg = explain.segments(explain.occurrences(rows, coefficients, column="model_input")).join(rows, "id")
-    at = F.when(~c("folded"), text.aligned_span(c("analysed"), c("model_input"), c("start"), c("end")))
-    seg = seg.withColumn("at", at)
-    shown = F.when(c("at").isNotNull(), F.substring(c("analysed"), c("at.start") + 1, c("at.end") - c("at.start"))).otherwise(F.substring(c("model_input"), c("start") + 1, c("end") - c("start")))
-    why = F.concat(F.when(c("weight") > 0, F.lit("raises the score by ")).otherwise(F.lit("lowers the score by ")), F.format_string("%.4f", F.abs("weight")), F.when(c("folded"), F.lit(", in the text with look-alikes replaced")).otherwise(F.lit("")))
-    grams = seg.select("id", F.concat(F.lit("ngram-"), "rank").alias("signal"), F.lit("ngram").alias("kind"), F.when(c("weight") > 0, "phishing").otherwise("legitimate").alias("direction"), F.round("weight", 4).alias("weight"), c("at.start").alias("start"), c("at.end").alias("stop"), shown.alias("text"), why.alias("explanation"), c("rank").alias("place"))
-    titles = F.create_map(*[F.lit(x) for k, n in enumerate(rules.TITLES) for x in (n, 1000 + k)])
-    found = rules.signal_rows(rows, c("analysed")).select("id", c("rule").alias("signal"), F.lit("rule").alias("kind"), F.lit("phishing").alias("direction"), F.lit(None).cast("double").alias("weight"), "start", c("end").alias("stop"), "text", "explanation", titles[c("rule")].alias("place"))
-    order = Window.partitionBy("id").orderBy("place", "signal")
-    return grams.union(found).withColumn("n", F.row_number().over(order)).where(c("n") <= limit).drop("place")
-
-
-def _inputs(s, d):
-    """The texts of each URL: analysed, and what the model reads, folded where that changes it."""
-    rows = brands.model_inputs(urls(s, d).where(text.check_url(c("url")).isNull()))
-    return rows.select("id", c("url").alias("submitted_url"), text.preprocess(c("url")).alias("analysed"), c("defended").alias("model_input"), (c("defended") != c("baseline")).alias("folded"))
-
-
-@query("signals")
-def signals(s, d):
-    bundle, _ = fitted_ngrams(s, _masked(s, d), (10.0,), 20)
-    return _signals(s, d, bundle["model"], _inputs(s, d))
-
-
-@query("analyze")
-def analyze(s, d):
-    """One row per URL that passes the checks: texts, decision by the fitted n-gram model, and its signals."""
-    bundle, _ = fitted_ngrams(s, _masked(s, d), (10.0,), 20)
-    rows = _inputs(s, d)
-    p = models.linear_scores(rows, bundle["model"], column="model_input").select("id", c("probability").alias("phishing_probability"))
-    out = rows.join(p, "id").withColumn("x", text.decide(c("phishing_probability"), bundle["threshold"]))
-    found = _signals(s, d, bundle["model"], rows).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "signal"))), lambda x: x["signal"]).alias("signals"))
-    return out.join(found, "id", "left").select("id", "submitted_url", c("analysed").alias("analysed_url"), "model_input", "folded", "phishing_probability", c("x.label").alias("verdict"), c("x.confidence").alias("confidence"), c("x.trust").alias("trust_score"), F.coalesce("signals", F.array().cast("array<string>")).alias("signals"))
-
-
 # --- sessions and the limiter ---
 
 
@@ -367,169 +294,51 @@ def token_bucket(s, d):
 # --- files ---
 
 
-def folder(s, name: str) -> str:
-    """A path under the shared folder, or under the warehouse where none is set."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/urlsieve-{name}-{uuid.uuid4().hex}"
-
-
 @query("src_csv", f"WITH {URLS} SELECT nullif(url, '') AS url, label FROM urls")
 def src_csv(s, d):
-    path = folder(s, "csv")
+    path = folders.fresh(s, "csv")
     files.write_csv(urls(s, d).select("url", "label"), path)
     return files.read_csv(s, path)
 
 
 @query("snk_parquet", f"WITH {URLS} SELECT source, count(*) AS n, count(url) AS urls FROM urls GROUP BY source")
 def snk_parquet(s, d):
-    path = folder(s, "parquet")
+    path = folders.fresh(s, "parquet")
     files.write_parquet(urls(s, d), path, "source")
     return s.read.schema("id long, url string, label int, source string").parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.count("url").alias("urls"))
 
 
 @query("snk_json", f"WITH {URLS} SELECT id, url, label FROM urls")
 def snk_json(s, d):
-    path = folder(s, "json")
+    path = folders.fresh(s, "json")
     files.write_json(urls(s, d).select("id", "url", "label"), path)
     return s.read.schema("id long, url string, label int").json(path)
 
 
 @query("src_text", f"WITH {URLS} SELECT DISTINCT regexp_replace(url, '^{WS}+|{WS}+$', '', 'g') AS url FROM urls WHERE regexp_replace(coalesce(url, ''), '^{WS}+|{WS}+$', '', 'g') <> ''")
 def src_text(s, d):
-    path = folder(s, "text")
+    path = folders.fresh(s, "text")
     urls(s, d).where("url IS NOT NULL").select("url").write.text(path)
     return files.read_lines(s, path).distinct()
 
 
 @query("src_tranco", f"SELECT row_number() OVER (ORDER BY x)::INT AS rank, x AS domain FROM (SELECT unnest({sql_list(V.OFFICIAL_DOMAINS)}) AS x)")
 def src_tranco(s, d):
-    path = folder(s, "ranking")
+    path = folders.fresh(s, "ranking")
     s.createDataFrame([(i, x) for i, x in enumerate(sorted(V.OFFICIAL_DOMAINS), 1)], "rank int, domain string").write.csv(path, header=False)
     return files.read_ranking(s, path)
 
 
 @query("src_json", "SELECT u.suffix, u.rows::BIGINT AS rows FROM (VALUES " + ", ".join(f"('{k}', {n})" for k, (n, _) in V.RISKY_SUFFIXES.items()) + ") u(suffix, rows)")
 def src_json(s, d):
-    path = folder(s, "stats")
+    path = folders.fresh(s, "stats")
     stats = F.struct(F.create_map(*[x for k, (n, p) in V.RISKY_SUFFIXES.items() for x in (F.lit(k), F.struct(F.lit(n).alias("rows"), F.lit(p).alias("phishing_share")))]).alias("suffixes"))
     s.range(1).select(stats.alias("tld")).write.json(path)
     return files.read_json(s, path).select(F.explode("tld.suffixes").alias("suffix", "x")).select("suffix", "x.rows")
 
 
-@query("model_manifest", f"WITH {MODEL} SELECT count(*) AS n, round(sum(coef), 6) AS total FROM cf")
-def model_manifest(s, d):
-    """Coefficients stored, then loaded only if they are those of their manifest."""
-    path = folder(s, "coefficients")
-    models.save_bundle("char_ngram", path, models.log_odds(parts(urls(s, d)).select("id", "rest", "label")))
-    return models.load_bundle(s, path)["model"].agg(F.count("*").alias("n"), F.round(F.sum("coef"), 6).alias("total"))
-
-
 @query("snk_csv", f"WITH {URLS} SELECT count(*) AS n, count(nullif(url, '')) AS urls, sum(label)::BIGINT AS bad FROM urls")
 def snk_csv(s, d):
-    path = folder(s, "sink")
+    path = folders.fresh(s, "sink")
     files.write_csv(urls(s, d).select("url", "label"), path)
     return s.read.schema("url string, label int").option("header", True).option("multiLine", True).option("escape", '"').csv(path).agg(F.count("*").alias("n"), F.count("url").alias("urls"), F.sum("label").alias("bad"))
-
-
-# --- models ---
-
-
-def _rows(s, d, ranking=False):
-    """The numeric features of each URL with its part, written once."""
-    rows = models.log_features(features(urls(s, d)))
-    rows = brands.similarity(rows, "label_name", list(V.CURATED_BRANDS)).fillna({"brand_similarity_score": 0.0, "is_exact_brand_match": 0})
-    rows = splits.by_group(splits.by_group(models.log_features(rows, models.BRAND), "domain"), "domain", 10, "val:", "inner")
-    rows = rows.withColumn("part", F.when(c("part") == "test", "test").when(c("inner") == "test", "val").otherwise("fit")).drop("inner")
-    kept = rows.where("part = 'fit'").groupBy("tld").agg(F.count("*").alias("m")).where("m >= 100").select("tld", F.lit(True).alias("often"))
-    rows = rows.join(kept, "tld", "left").withColumn("tld", F.when(c("tld") == "", "(none)").when(c("often"), c("tld")).otherwise("(other)")).drop("often")
-    path = folder(s, "features")
-    rows.write.parquet(path)
-    return s.read.parquet(path)
-
-
-def _of(rows, *names):
-    return rows.where(c("part").isin(*names))
-
-
-@query("model_char_ngram")
-def model_char_ngram(s, d):
-    rows = _masked(s, d)
-    bundle, _ = fitted_ngrams(s, rows)
-    return models.predict(bundle, rows, "id", "url")
-
-
-@query("model_linear")
-def model_linear(s, d):
-    rows = _rows(s, d)
-    return models.score(models.linear().fit(_of(rows, "fit", "val")), rows, "id", "url")
-
-
-@query("model_trees")
-def model_trees(s, d):
-    rows = _rows(s, d)
-    return models.score(models.grown_trees(_of(rows, "fit"), _of(rows, "val")), rows, "id", "url")
-
-
-@query("model_importance")
-def model_importance(s, d):
-    rows = _rows(s, d)
-    found = models.importances(models.trees(rounds=5).fit(_of(rows, "fit", "val")))
-    return s.createDataFrame([(k, n, round(x, 4)) for k, (n, x) in enumerate(found, 1)], "rank int, feature string, percent double")
-
-
-@query("model_kmeans")
-def model_kmeans(s, d):
-    rows = _rows(s, d)
-    fit = _of(rows, "fit")
-    best, _ = models.best_clusters(fit, _of(rows, "val"))
-    return models.cluster_scores(best, fit, rows, "id", "url")
-
-
-@query("model_phishing_kinds")
-def model_phishing_kinds(s, d):
-    best, found, stable = models.kinds_of_phishing(_of(_rows(s, d), "fit", "val").where("label = 1"))
-    return stable.select(F.lit(best).alias("k"), F.lit(found[best]).alias("silhouette"), "seed", "ari", "jaccard")
-
-
-def _reconstruction(rows):
-    """Projection fitted on legitimate rows, and the line that makes its error's logarithm a probability."""
-    fit = _of(rows, "fit")
-    model = models.reconstruction().fit(fit.where("label = 0"))
-    line = models.platt(models.reconstruction_error(model, _of(rows, "fit", "val")))
-    return model, rows.sparkSession.createDataFrame([(float(line.coefficients[0]), float(line.intercept))], "slope double, shift double")
-
-
-@query("model_reconstruction")
-def model_reconstruction(s, d):
-    """A stand-in for an autoencoder."""
-    rows = _rows(s, d)
-    model, line = _reconstruction(rows)
-    return models.predict({"kind": "reconstruction", "threshold": 0.5, "model": model, "extra": line}, rows, "id", "url")
-
-
-@query("model_dispatch")
-def model_dispatch(s, d):
-    """Stored bundles of several kinds, loaded by what they say they are; a missing one is skipped."""
-    rows, base = _rows(s, d), folder(s, "bundles")
-    fit = _of(rows, "fit")
-    clusters_ = models.kmeans(4).fit(fit)
-    models.save_bundle("linear", f"{base}/linear", models.linear().fit(fit))
-    models.save_bundle("kmeans", f"{base}/kmeans", clusters_, models.clusters.probabilities(clusters_.transform(fit)))
-    models.save_bundle("reconstruction", f"{base}/reconstruction", *_reconstruction(rows), threshold=0.6)
-    out = None
-    for name in ("linear", "trees", "kmeans", "reconstruction"):
-        if bundle := models.load_bundle(s, f"{base}/{name}"):
-            one = models.predict(bundle, rows, "id").withColumn("kind", F.lit(bundle["kind"]))
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("scoring_conditions")
-def scoring_conditions(s, d):
-    """One fitted scorer over three texts of each URL, a row per URL and condition."""
-    bundle, _ = fitted_ngrams(s, _masked(s, d), (10.0,), 20)
-    rows = brands.model_inputs(urls(s, d).where("url IS NOT NULL"))
-    long_ = rows.select("id", F.stack(F.lit(3), *[x for n in ("baseline", "naive_fold", "defended") for x in (F.lit(n), c(n))]).alias("condition", "input"))
-    long_ = long_.withColumn("key", F.concat_ws(":", "id", "condition"))
-    p = models.linear_scores(long_, bundle["model"], "key", "input")
-    return long_.join(p, "key").select("id", "condition", "input", F.round("probability", 6).alias("p"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from urlsieve.operators import clusters, reports, splits
 from urlsieve.plans.inputs import DOMAINS, domains, parts, table, urls
-from urlsieve.plans.risk_queries import folder
 from urlsieve.plans.table_queries import CL, HASH, SQD, clustered
+from urlsieve.sources import files, folders
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -54,6 +54,19 @@ def beside_columns(s, d):
     return reports.beside(table(s, d, "orders", "o_orderkey", "o_totalprice"), table(s, d, "orders", "o_orderkey", "o_orderstatus"), "o_orderkey")
 
 
+@query("beside_places", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def beside_places(s, d):
+    """Features and targets in files of their own, without a key and cut in other places, side by side again by place."""
+    rows, paths = table(s, d, "orders", "o_orderkey", "o_totalprice", "o_orderstatus"), []
+    for parts_, names in ((3, ("o_orderkey", "o_totalprice")), (5, ("o_orderstatus",))):
+        paths.append(folders.fresh(s, "beside"))
+        rows.repartitionByRange(parts_, "o_orderkey").sortWithinPartitions("o_orderkey").select(*names).write.csv(paths[-1])
+    price = rows.schema["o_totalprice"].dataType.simpleString()
+    key = rows.schema["o_orderkey"].dataType.simpleString()
+    left, right = s.read.schema(f"o_orderkey {key}, o_totalprice {price}").csv(paths[0]), s.read.schema("o_orderstatus string").csv(paths[1])
+    return files.beside(left, right)
+
+
 RESPONSES = """r AS (SELECT event_id, 'r' || event_id AS request_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '0' WHEN 2 THEN '007' ELSE (event_id % 60 + 1)::VARCHAR END AS retry_after,
   CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '{"error":{"code":"busy","message":"m","details":null,"request_id":"r' || event_id || '"}}' WHEN 2 THEN '{"error":{"code":"rate_limited","message":"m","request_id":"r' || event_id || '"}}'
   WHEN 3 THEN '{"error":{"code":"rate_limited","message":"m","details":null,"request_id":"x"}}' ELSE '{"error":{"request_id":"r' || event_id || '","details":[],"code":"rate_limited","message":"m"}}' END AS body FROM events)"""
@@ -108,7 +121,7 @@ def header_findings(s, d):
 def report_markdown(s, d):
     """A report file's lines, read back."""
     rows = table(s, d, "events", "event_type", "value").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean")).orderBy("event_type")
-    path = folder(s, "report")
+    path = folders.fresh(s, "report")
     reports.write_report(rows, "Events", path, digits={"mean": 3})
     return s.read.text(path).select(c("value").alias("line")).where("line != ''")
 

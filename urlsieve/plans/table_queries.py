@@ -371,6 +371,25 @@ def group_kfold(s, d):
     return splits.folds(domains(parts(urls(s, d))), "domain").select("id", "fold")
 
 
+BALANCED = f"""WITH RECURSIVE {DOMAINS},
+g AS (SELECT domain, count(*) AS n FROM d GROUP BY domain),
+o AS (SELECT domain, n, row_number() OVER (ORDER BY n DESC, domain) AS i FROM g),
+r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS n, 0 AS f, [0, 0, 0]::BIGINT[] AS loads
+  UNION ALL SELECT o.i, o.n, list_position(loads, list_min(loads)),
+    list_transform([1, 2, 3], lambda j: loads[j] + CASE WHEN j = list_position(loads, list_min(loads)) THEN o.n ELSE 0 END)
+  FROM r JOIN o ON o.i = r.i + 1),
+b AS (SELECT n, f, sum(count(*)) OVER (PARTITION BY n ORDER BY f) AS upto FROM r WHERE i > 0 GROUP BY n, f),
+s AS (SELECT domain, n, row_number() OVER (PARTITION BY n ORDER BY {HASH.format('domain')} % 4096, domain) AS spot FROM g),
+x AS (SELECT s.domain, min(b.f) - 1 AS fold FROM s JOIN b ON s.n = b.n AND s.spot <= b.upto GROUP BY s.domain)
+SELECT id, fold::INT AS fold FROM d JOIN x USING (domain)"""
+
+
+@query("group_kfold_balanced", BALANCED)
+def group_kfold_balanced(s, d):
+    """Folds of about as many rows each, whatever the sizes of domains."""
+    return splits.balanced_folds(domains(parts(urls(s, d))), "domain").select("id", "fold")
+
+
 @query("sample_n", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey::VARCHAR), o_orderkey LIMIT 500")
 def sample_n(s, d):
     return splits.sample(table(s, d, "orders", "o_orderkey"), 500, "o_orderkey")

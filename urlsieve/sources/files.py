@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,32 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def numbered(rows: DataFrame, column: str = "_ordinal") -> DataFrame:
+    """rows, as a reader gives them, with their numbers from 0 in order of file name and place in the file.
+
+    Each stretch of a file that is read at once keeps its order; its first number is the count of the rows before it, and
+    within it Spark's own increasing numbers give the places, so nothing is sorted.
+    """
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    parts = rows.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return rows.join(parts, ["_file", "_start"]).withColumn(column, F.col("_id") - F.col("_least") + F.col("_before")).drop("_file", "_start", "_id", "_least", "_before")
+
+
+def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The columns of two readers' rows side by side, by place alone: files without a key. Other numbers of rows are an error.
+
+    Columns of one name would be ambiguous and are an error, too.
+    """
+    if same := {c.lower() for c in left.columns} & {c.lower() for c in right.columns}:
+        raise ValueError(f"both sides have columns {', '.join(sorted(same))}")
+    sizes = left.count(), right.count()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"the sides have {sizes[0]} and {sizes[1]} rows")
+    return numbered(left).join(numbered(right), "_ordinal").drop("_ordinal")
+
+
 def manifest(rows: DataFrame, key: str) -> DataFrame:
     """(n, digest): a table's row count and a digest that no order or partitioning changes, to check a stored model."""
     h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
