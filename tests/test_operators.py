@@ -129,6 +129,30 @@ def test_ngram_model_learns_and_its_stored_form_scores_alike(spark, labelled_url
     assert all(r.s + best.intercept == pytest.approx(logit[r.id], abs=1e-9) for r in shares.collect())
 
 
+def test_pruned_brand_search_is_exact():
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abcdefé") for _ in range(rng.randrange(1, 14))) for _ in range(300)] + [""]
+    matcher = brands.Matcher(names)
+    for label in ["", "zzz", "a" * 150, *("".join(rng.choice("abcdefgé") for _ in range(rng.randrange(1, 90))) for _ in range(120)), *names[:20]]:
+        total = matcher.sizes + len(label)
+        score = np.where(total > 0, 2 * matcher.common(label) / np.maximum(total, 1), 1.0)
+        assert matcher(label) == (float(score.max()), matcher.brands[int(score.argmax())])
+
+
+def test_described_equals_exact_quantiles(spark):
+    rng = random.Random(10)
+    rows = spark.createDataFrame([(rng.choice("ab") if rng.random() < 0.9 else None, rng.choice([None, *range(9)])) for _ in range(500)] + [("c", 4), ("d", None)], "g string, x int")
+    wanted = {"p10": (0.1, "linear"), "p50": (0.5, "linear"), "p95": (0.95, "nearest")}
+    for by in (["g"], []):
+        found = {tuple(r[b] for b in by): r for r in quantiles.described(rows, by, "x", wanted).collect()}
+        want = {tuple(r[b] for b in by): r for r in quantiles.exact(rows, by, "x", wanted).collect()}
+        plain = {tuple(r[b] for b in by): r for r in rows.where("x IS NOT NULL").groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")).collect()}
+        assert found.keys() == want.keys() == plain.keys()
+        for k, r in found.items():
+            assert all(r[p] == pytest.approx(want[k][p]) for p in wanted) and r.n == plain[k].n and r["mean"] == pytest.approx(plain[k]["mean"])
+            assert r["std"] == (None if plain[k]["std"] is None else pytest.approx(plain[k]["std"]))
+
+
 def test_log_odds_lean_to_the_labels(labelled_urls):
     coef = {r.bucket: r.coef for r in models.log_odds(labelled_urls, "masked").collect()}
     of = lambda gram: next(r.b for r in labelled_urls.limit(1).select(text.bucket(F.lit(gram)).alias("b")).collect())

@@ -15,10 +15,11 @@ from urlsieve.functions import values as V
 
 
 def brand_table(spark: SparkSession, ranking: DataFrame | None = None) -> DataFrame:
-    """(brand): the curated labels and, if given, those of a ranking's domains (column domain), distinct and lower case."""
+    """(brand): the curated labels and, if given, those of a ranking's domains (column domain, or label_name), distinct and lower case."""
     found = spark.createDataFrame([(b,) for b in V.CURATED_BRANDS], "brand string")
     if ranking is not None:
-        found = found.union(suffix.attach(ranking.where("domain != ''").select("domain"), F.lower("domain")).select("label_name"))
+        known = "label_name" in ranking.columns
+        found = found.union((ranking if known else suffix.attach(ranking.where("domain != ''").select("domain"), F.lower("domain"))).select("label_name"))
     return found.select(F.lower(text.strip(F.col("brand"))).alias("brand")).where("brand != ''").distinct()
 
 
@@ -32,34 +33,56 @@ class Matcher:
         self.steps = np.zeros((max(map(len, self.brands), default=0), len(self.brands)), np.int64)
         for k, b in enumerate(self.brands):
             self.steps[: len(b), k] = [self.place[c] for c in b]
+        #: How often each character is in each brand; place 0 is for all others.
+        self.letters = np.zeros((len(self.brands), len(self.place) + 1), np.int16)
+        for k, b in enumerate(self.brands):
+            np.add.at(self.letters[k], self.steps[: len(b), k], 1)
 
-    def common(self, label: str) -> np.ndarray:
-        """The length of the longest common subsequence with each brand, 63 characters of the label in a word."""
+    def common(self, label: str, some: np.ndarray | None = None) -> np.ndarray:
+        """The length of the longest common subsequence with each brand, or some of them, 63 characters of the label in a word."""
+        steps = self.steps if some is None else self.steps[: self.sizes[some].max(initial=0), some]
+        n = steps.shape[1]
         words = -(-len(label) // 63)
         where = np.zeros((max(1, words), len(self.place) + 1), np.uint64)
         for i, c in enumerate(label):
             if c in self.place:
                 where[i // 63, self.place[c]] |= np.uint64(1 << i % 63)
         low = np.uint64((1 << 63) - 1)
-        rows = [np.full(len(self.brands), low) for _ in range(words)]
-        for step in self.steps:
-            carry = np.zeros(len(self.brands), np.uint64)
+        rows = [np.full(n, low) for _ in range(words)]
+        for step in steps:
+            carry = np.zeros(n, np.uint64)
             for w, row in enumerate(rows):
                 hit = row & where[w, step]
                 total = row + hit + carry
                 carry = total >> np.uint64(63)
                 rows[w] = (total | (row - hit)) & low
-        left = sum((63 - np.bitwise_count(row).astype(np.int64) for row in rows), np.zeros(len(self.brands), np.int64))
-        return left
+        return sum((63 - np.bitwise_count(row).astype(np.int64) for row in rows), np.zeros(n, np.int64))
 
     def __call__(self, label: str) -> tuple[float, str]:
-        """The best ratio of 2 * common subsequence to total length, and its brand, the first in order among equals."""
+        """The best ratio of 2 * common subsequence to total length, and its brand, the first in order among equals.
+
+        Shared characters, however ordered, bound the subsequence: brands are compared in order of that bound, a few at
+        once, until it is under the best ratio found.
+        """
         if not self.brands:
             return -1.0, ""
         total = self.sizes + len(label)
-        score = np.where(total > 0, 2 * self.common(label) / np.maximum(total, 1), 1.0)
-        k = int(score.argmax())
-        return float(score[k]), self.brands[k]
+        own = np.zeros(len(self.place) + 1, np.int16)
+        for c in label:
+            own[self.place.get(c, 0)] += 1
+        shared = np.minimum(self.letters, own).sum(axis=1)
+        bound = np.where(total > 0, 2 * shared / np.maximum(total, 1), 1.0)
+        order = np.argsort(-bound, kind="stable")
+        best, at = (-1.0, len(self.brands)), 0
+        while at < len(order) and bound[order[at]] >= best[0]:
+            some = order[at : at + 16]
+            score = np.where(total[some] > 0, 2 * self.common(label, some) / np.maximum(total[some], 1), 1.0)
+            top = score.max()
+            k = int(some[score == top].min())
+            if top > best[0] or top == best[0] and k < best[1]:
+                best = float(top), k
+            at += 16
+        return best[0], self.brands[best[1]]
 
 
 def similarity(rows: DataFrame, label: str, brands: list[str]) -> DataFrame:

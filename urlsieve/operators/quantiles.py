@@ -45,6 +45,32 @@ def exact(rows: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, t
     return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], *wanted)
 
 
+def described(rows: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, tuple[float, str]]) -> DataFrame:
+    """(by, n, mean, std, least, most, names): one pass for columns of few distinct values, such as lengths and counts.
+
+    Values are counted on the map side; a group's distinct values, not its rows, meet in one task. As exact() otherwise.
+    """
+    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(own.orderBy("_x"))).withColumn("_n", F.sum("_c").over(own))
+    counts = counts.withColumn("_mean", F.sum(F.col("_x") * F.col("_c")).over(own) / F.col("_n"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto")), F.col("_x")))
+
+    out = []
+    for name, (p, kind) in wanted.items():
+        if kind == "nearest":
+            out.append(at(_rank(p, kind, 0)).alias(name))
+            continue
+        low, high, spot = at(_rank(p, kind, 0)), at(_rank(p, kind, 1)), F.lit(p) * (F.max("_n") - 1)
+        out.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
+    off = F.col("_x") - F.col("_mean")
+    std = F.sqrt(F.try_divide(F.sum(off * off * F.col("_c")), F.max("_n") - 1))
+    plain = [F.max("_n").alias("n"), F.max("_mean").alias("mean"), std.alias("std"), F.min("_x").alias("least"), F.max("_x").alias("most")]
+    return counts.groupBy(*by).agg(*plain, *out)
+
+
 def _rank(p: float, kind: str, end: int) -> Column:
     if kind == "nearest":
         return F.greatest(F.ceil(F.round(F.lit(p) * F.col("_n"), 9)) - 1, F.lit(0)).cast("long")

@@ -72,8 +72,9 @@ BRANDS = f"rk AS (SELECT any_value(label_name) AS x FROM d WHERE domain <> '' GR
 
 def ranked_brands(s, d):
     """(brand): the curated labels and those of the most frequent domains."""
-    ranking = domains(parts(urls(s, d))).where("domain != ''").groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(RANKING)
-    return brands.brand_table(s, ranking)
+    rows = domains(parts(urls(s, d))).groupBy("domain").agg(F.count("*").alias("n"), F.max("label_name").alias("label_name"), F.max("domain").alias("_domain"))
+    # a filter by the group's own column would go below the steps that make it, and work all of them out again
+    return brands.brand_table(s, rows.where("_domain != ''").orderBy(F.desc("n"), "domain").limit(RANKING))
 
 
 def closest_sql(labels: str, known: str) -> str:

@@ -112,7 +112,9 @@ def described(x, by, rows):
 
 @query("length_describe", f"WITH {PARTS} SELECT label, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS least, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.75), 6) AS p75, max(x) AS most FROM (SELECT label, length(rest)::INT AS x FROM p) GROUP BY label")
 def length_describe(s, d):
-    return described("x", "label", parts(urls(s, d)).select("label", F.length("rest").alias("x")))
+    rows = parts(urls(s, d)).select("label", F.length("rest").alias("x"))
+    found = quantiles.described(rows, ["label"], "x", linear(0.25, 0.5, 0.75))
+    return found.select("label", "n", *[F.round(x, 6).alias(x) for x in ("mean", "std")], "least", *[F.round(p, 6).alias(p) for p in ("p25", "p50", "p75")], "most")
 
 
 @query("error_describe", "SELECT count(*) AS n, round(avg(e), 6) AS mean, " + ", ".join(f"round(quantile_cont(e, {q}), 6) AS p{int(q * 100)}" for q in (0.25, 0.5, 0.75, 0.95)) + " FROM (SELECT round(abs(l_discount * 10 - (l_returnflag = 'R')::INT), 6) AS e FROM lineitem)")
