@@ -190,6 +190,23 @@ def test_reports(spark, tmp_path):
         reports.credential("KEY", "Set it.", {})
 
 
+def test_store_of_clients_seen_last(spark):
+    rng = random.Random(12)
+    events = [(i, 1_700_000_000 + rng.randrange(2000), rng.choice([None, *(f"c{rng.choice([2, 9, 40]) * rng.random():.0f}" for _ in range(3))])) for i in range(1500)]
+    frame = spark.createDataFrame(events, "event_id long, t long, user_id string").select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id")
+    for most, parts in ((5, 7), (50, 3), (1, 4), (5, 1)):
+        store, want = {}, {}
+        for i, _, name in sorted(events, key=lambda e: (e[1], e[0])):
+            want[i] = name not in store
+            store.pop(name, None)
+            store[name] = True
+            if len(store) > most:
+                del store[next(iter(store))]
+        got = {r.event_id: r.fresh for r in limiter.forgotten(frame, most, parts=parts).collect()}
+        assert got == want and 10 < sum(want.values())
+    assert limiter.forgotten(frame.limit(0), 5).count() == 0
+
+
 def test_limiter_on_a_stream_gives_the_rows_of_the_table(spark, tmp_path):
     rng = random.Random(8)
     t0 = 1_700_000_000

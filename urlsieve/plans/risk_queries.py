@@ -292,6 +292,26 @@ def token_bucket(s, d):
     return limiter.batch(table(s, d, "events", "event_id", "ts", "user_id"), capacity=2, seconds=36000.0).select("client", "event_id", "allowed", "retry_after")
 
 
+#: Clients whose buckets are kept.
+KEPT = 5
+BOUNDED = f"""WITH RECURSIVE a AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (ORDER BY ts, event_id) AS p FROM events),
+q AS (SELECT *, lag(p) OVER (PARTITION BY user_id ORDER BY p) AS q, row_number() OVER (PARTITION BY user_id ORDER BY p) AS i FROM a),
+d AS (SELECT q.p, count(DISTINCT a.user_id) AS others FROM q JOIN a ON a.p > q.q AND a.p < q.p GROUP BY q.p),
+e AS (SELECT q.*, q.q IS NULL OR coalesce(d.others, 0) >= {KEPT} AS fresh FROM q LEFT JOIN d USING (p)),
+b AS (SELECT user_id, event_id, t, i, 2.0::DOUBLE AS had FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, CASE WHEN e.fresh THEN 2.0
+    ELSE least(2.0, b.had - CASE WHEN b.had >= 1 THEN 1 ELSE 0 END + greatest(0, e.t - b.t) * (2 / 36000.0::DOUBLE)) END
+  FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)
+SELECT user_id::VARCHAR AS client, event_id, had >= 1 AS allowed, CASE WHEN had < 1 THEN ceil((1 - had) / (2 / 36000.0::DOUBLE))::INT END AS retry_after FROM b"""
+
+
+@query("token_bucket_bounded", BOUNDED)
+def token_bucket_bounded(s, d):
+    """The same with the buckets of the clients seen last alone."""
+    events = table(s, d, "events", "event_id", "ts", "user_id")
+    return limiter.batch(events, capacity=2, seconds=36000.0, most=KEPT).select("client", "event_id", "allowed", "retry_after")
+
+
 # --- files ---
 
 
