@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -110,3 +111,11 @@ def test_empty_tables_and_texts(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = repeats.remove_repeats(spark.createDataFrame([(1, None), (2, ""), (3, "z" * 60)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_bytes, r.spans, bytes(r.kept)) for r in rows) == [(1, 0, [], b""), (2, 0, [], b""), (3, 60, [], b"z" * 60)]
+
+
+def test_sql_equals_brute_force():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    docs = [d for d in documents(2) if d[0] is not None]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert sorted(con.sql(repeats.SQL).fetchall()) == sorted((d, *x) for (d, _), x in zip(docs, brute(docs), strict=True))

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -136,3 +137,11 @@ def test_rows_of_the_operator(spark):
     assert {r.cost for r in rows} == {2 + 1 + 3 + 3}
     assert structure.repair(df.limit(0)).collect() == []
     assert structure.digests(structure.repair(df.limit(0))).collect() == []
+
+
+def test_sql_equals_brute_force():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    turns = conversations(40, 60)
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    assert {r[0]: r[1:] for r in con.sql(structure.SQL).fetchall()} == brute(turns)

@@ -21,6 +21,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op12_conversation_repair": structure.SQL,
+    "op13_suffix_dedup": repeats.SQL,
     "op2_url_filters": urlfilter.SQL,
     "op4_quality_rules": quality.SQL,
     "op8_mixing": mixing.SQL,

@@ -530,3 +530,21 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return rows.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, h, unnest(range(length(h) // 2 - {WIDTH - 1})) AS p FROM t WHERE length(h) >= {2 * WIDTH}),
+v AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, {2 * WIDTH}) AS k FROM w),
+m AS (SELECT k, min(doc_id) AS least FROM v GROUP BY k HAVING count(*) > 1),
+g AS (SELECT v.r, v.p FROM v JOIN m USING (k) WHERE v.doc_id > m.least),
+n AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + {WIDTH}, true)::INT AS new FROM g),
+i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS i FROM n),
+s AS (SELECT r, min(p) AS a, max(p) + {WIDTH} AS z FROM i GROUP BY r, i),
+b AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM s),
+c AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS far, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept
+  FROM b JOIN t USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(far, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN c USING (r)
+"""

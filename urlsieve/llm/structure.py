@@ -399,3 +399,61 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = every.join(found, every["conv_id"].eqNullSafe(F.col("_conv_id")), "left")
         audit, digest = F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256")
         return keep(written(rows.select("conv_id", *empty.values(), audit, digest), "structure"))
+
+
+def _sql() -> str:
+    def more(x: str, letter: str, price: str, line: str | None) -> str:
+        text = f"{x}.t || chr(10) || {line}" if line else f"{x}.t"
+        return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {price}, 'a': {x}.a || '{letter}', 't': {text}}} END"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    # after insertions: s0 and s1 as they are, then a user turn, then an assistant turn
+    u = least("s2", *[more(x, "I", "2", "'user:'") for x in ("s0", "s1", "s3")])
+    closed = f"SELECT *, {least('s3', more('u', 'I', '2', "'assistant:'"))} AS w FROM (SELECT *, {u} AS u FROM p)"
+    gone = "coalesce(r.kind, '') IN ('blank', 'duplicate')"
+    cut = "CASE WHEN r.kind = 'truncated' THEN 1 ELSE 0 END"
+
+    def kept(x: str, to: str, name: str) -> list[str]:
+        keep = f"CASE WHEN NOT {gone} AND r.first = '{to}' THEN {more(x, 'K', cut, "r.role || ':' || r.text")} END"
+        change = f"CASE WHEN NOT {gone} THEN {more(x, 'R', '2 + ' + cut, f"'{name}:' || r.text")} END"
+        return [keep, change] if name else [keep]
+
+    steps = {
+        "s0": [more("s0", "D", "3", None)],
+        "s1": [more("s1", "D", "3", None), *kept("s0", "s", "")],
+        "s2": [more("u", "D", "3", None), *[k for x in ("s0", "s1", "w") for k in kept(x, "u", "user")]],
+        "s3": [more("w", "D", "3", None), *kept("u", "a", "assistant")],
+    }
+    stepped = ", ".join(f"{least(*options)} AS {name}" for name, options in steps.items())
+    byte = "lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    crc = f"lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], {byte})"
+    none = "NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c))::BIGINT[] AS b FROM conversations),
+f AS (SELECT *, xor(list_reduce([4294967295]::BIGINT[] || b, {crc}), 4294967295) % 20 AS fault FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE fault <> 0),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM d),
+r AS (SELECT *, left(role, 1) AS first, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS kind,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM i),
+p AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM r
+  UNION ALL SELECT r.conv_id, r.i, {stepped} FROM ({closed}) x JOIN r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.i = x.i + 1),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(kind = 'blank') AS blank,
+    count_if(kind = 'duplicate') AS duplicate, count_if(kind = 'truncated') AS truncated,
+    count_if(before IS NOT NULL AND before || first NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+e AS (SELECT x.conv_id, {least('s0', 'w')} AS best FROM ({closed}) x JOIN n ON n.conv_id IS NOT DISTINCT FROM x.conv_id AND n.n = x.i),
+o AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT o.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0)::BIGINT AS blank, coalesce(n.duplicate, 0)::BIGINT AS duplicate,
+  coalesce(n.truncated, 0)::BIGINT AS truncated, coalesce(n.illegal, 0)::BIGINT AS illegal, coalesce(e.best.c, 0)::BIGINT AS cost,
+  coalesce(e.best.a, '') AS audit, sha256(coalesce(substr(e.best.t, 2), '')) AS repaired_sha256
+FROM o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+SQL = _sql()
