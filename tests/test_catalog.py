@@ -44,9 +44,22 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == want
 
 
-#: Each of these fits models of its own; test_operators.py has their operators.
-SLOW = {"model_char_ngram", "model_trees", "model_kmeans", "model_phishing_kinds"}
-ROWS_ONLY = sorted(set(catalog.QUERIES) - set(catalog.SQL) - SLOW)
+ROWS_ONLY = sorted(set(catalog.QUERIES) - set(catalog.SQL))
+#: Models score every URL, with a probability and a decision by 0.5.
+SCORED = ("model_char_ngram", "model_linear", "model_trees", "model_minibatch", "model_density", "model_autoencoder", "model_reconstruction")
+
+
+@pytest.mark.parametrize("name", SCORED)
+def test_models_score_every_url(spark, name):
+    rows = catalog.QUERIES[name](spark, DIR).collect()
+    n = spark.read.parquet(f"{DIR}/pages.parquet").count()
+    assert len({r.id for r in rows}) == len(rows) >= n
+    assert all(0 <= r.phishing_probability <= 1 and r.is_phishing == (r.phishing_probability >= 0.5) for r in rows)
+
+
+def test_dispatch_scores_by_every_kind(spark):
+    kinds = {r.kind: r["count"] for r in catalog.QUERIES["model_dispatch"](spark, DIR).groupBy("kind").count().collect()}
+    assert kinds.keys() == {"char_ngram", "linear", "trees", "kmeans", "density", "autoencoder"} and len(set(kinds.values())) == 1
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)

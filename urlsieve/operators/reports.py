@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys of an error object, and the page paths that a deployment should hide.
+#: Keys of an error object.
 ERROR_KEYS = ("code", "details", "message", "request_id")
-DOC_PATHS = ("/docs", "/openapi.json")
 
 
 def well_formed_error(body: Column, code: str, request_id: Column, retry_after: Column) -> Column:
@@ -22,16 +21,22 @@ def well_formed_error(body: Column, code: str, request_id: Column, retry_after:
     return F.coalesce(shape & same & retry_after.rlike(r"^\p{Nd}+$") & ~retry_after.rlike("^0+$"), F.lit(False))
 
 
-def header_findings(status: Column, path: Column, origin: Column, evil: str, server: Column, allow_origin: Column, content_type: Column, options: Column) -> Column:
-    """What is wrong with a response's headers, as an array of texts in the order of the checks."""
-    quoted = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
-    found = (
-        F.when((server != "") & server.rlike(r"\p{Nd}"), F.concat(F.lit("Server header leaks a version: "), quoted(server))),
-        F.when((allow_origin == "*") | (origin == evil) & allow_origin.isNotNull(), F.concat(F.lit("CORS grants "), quoted(allow_origin), F.lit(" to "), F.coalesce(origin, F.lit("None")))),
-        F.when(content_type.startswith("application/json") & (F.lower(F.coalesce(options, F.lit(""))) != "nosniff"), F.lit("JSON response without X-Content-Type-Options: nosniff")),
-        F.when(path.isin(*DOC_PATHS) & (status == 200), F.concat(path, F.lit(" is reachable (set API_DOCS_ENABLED=false in deployment)"))),
-    )
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+def header_findings(answers: DataFrame, stranger: str, private: Sequence[str] = (), key: str = "id") -> DataFrame:
+    """(key, check, seen): what a response gives away, a row per failed check.
+
+    answers has path, status, origin (the request's) and the headers server, allow_origin, content_type and content_options.
+    docs-open: a private path is answered with 200; json-sniffable: JSON may be taken for another type; origin-open: any site,
+    or the stranger that asked, may read the answer; server-version: the server names its version. A null header is absent.
+    """
+    column = F.col
+    checks = {
+        "docs-open": (column("path").isin(*private) & (column("status") == 200), column("path")),
+        "json-sniffable": (column("content_type").startswith("application/json") & ~F.lower("content_options").eqNullSafe("nosniff"), column("content_type")),
+        "origin-open": ((column("allow_origin") == "*") | (column("origin") == stranger) & column("allow_origin").isNotNull(), column("allow_origin")),
+        "server-version": (column("server").rlike(r"\p{Nd}"), column("server")),
+    }
+    failed = F.array(*[F.when(bad, F.struct(F.lit(name).alias("check"), seen.alias("seen"))) for name, (bad, seen) in checks.items()])
+    return answers.select(key, F.inline(F.filter(failed, lambda x: x.isNotNull())))
 
 
 def markdown(rows: DataFrame, digits: Mapping[str, int] | None = None, most: int = 1000) -> str:

@@ -9,7 +9,7 @@ from urlsieve.functions import text
 from urlsieve.functions import values as V
 from urlsieve.operators import brands, explain, models, rules
 from urlsieve.plans.inputs import DOMAINS, URLS, domains, parts, sql_list, table, urls
-from urlsieve.plans.text_queries import GRAMS, NAMES_SQL, WS, _tr, names
+from urlsieve.plans.text_queries import GRAMS, NAMES_SQL, WS, _tr, names, spelled
 from urlsieve.plans.text_queries import SQL as TEXT_SQL
 from urlsieve.sources import files, folders
 from urlsieve.streaming import limiter
@@ -114,7 +114,7 @@ def brand_list(s, d):
 
 @query("fold_nfkc")
 def fold_nfkc(s, d):
-    return names(s).select("id", brands.fold(c("name")).alias("folded"))
+    return spelled(s, d).select("id", brands.fold(c("name")).alias("folded"))
 
 
 @query("defended_input")
@@ -343,18 +343,23 @@ def src_text(s, d):
     return files.read_lines(s, path).distinct()
 
 
-@query("src_tranco", f"SELECT row_number() OVER (ORDER BY x)::INT AS rank, x AS domain FROM (SELECT unnest({sql_list(V.OFFICIAL_DOMAINS)}) AS x)")
+@query("src_tranco", "SELECT p_partkey::INT AS rank, lower(p_brand) || '.test' AS domain FROM part WHERE p_brand IS NOT NULL")
 def src_tranco(s, d):
+    """A ranking without a header, written from a table and read back."""
     path = folders.fresh(s, "ranking")
-    s.createDataFrame([(i, x) for i, x in enumerate(sorted(V.OFFICIAL_DOMAINS), 1)], "rank int, domain string").write.csv(path, header=False)
+    rows = table(s, d, "part", "p_partkey", "p_brand").where("p_brand IS NOT NULL")
+    rows.select(c("p_partkey").cast("int"), F.concat(F.lower("p_brand"), F.lit(".test"))).write.csv(path, header=False)
     return files.read_ranking(s, path)
 
 
-@query("src_json", "SELECT u.suffix, u.rows::BIGINT AS rows FROM (VALUES " + ", ".join(f"('{k}', {n})" for k, (n, _) in V.RISKY_SUFFIXES.items()) + ") u(suffix, rows)")
+@query("src_json", "SELECT event_type AS suffix, count(*) AS rows FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
 def src_json(s, d):
+    """Statistics by key, written as one JSON document and read back."""
     path = folders.fresh(s, "stats")
-    stats = F.struct(F.create_map(*[x for k, (n, p) in V.RISKY_SUFFIXES.items() for x in (F.lit(k), F.struct(F.lit(n).alias("rows"), F.lit(p).alias("phishing_share")))]).alias("suffixes"))
-    s.range(1).select(stats.alias("tld")).write.json(path)
+    counts = table(s, d, "events", "event_type", "value").where("event_type IS NOT NULL").groupBy("event_type")
+    counts = counts.agg(F.count("*").alias("rows"), F.coalesce(F.avg((c("value") >= 50).cast("int")), F.lit(0.0)).alias("phishing_share"))
+    entries = F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("rows", "phishing_share"))))
+    counts.agg(F.struct(entries.alias("suffixes")).alias("tld")).write.json(path)
     return files.read_json(s, path).select(F.explode("tld.suffixes").alias("suffix", "x")).select("suffix", "x.rows")
 
 

@@ -8,6 +8,7 @@ from urlsieve.functions import suffix, text
 from urlsieve.functions import values as V
 from urlsieve.operators import brands
 from urlsieve.plans.inputs import DOMAINS, PARTS, URLS, domains, parts, sql_list, sql_string, table, urls
+from urlsieve.sources import folders
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -124,14 +125,23 @@ def names(spark):
     return spark.createDataFrame(list(NAMES), "id int, name string")
 
 
-@query("fold_homoglyph", f"WITH {NAMES_SQL} SELECT id, {_tr('name', V.HOMOGLYPHS)} AS folded FROM names")
+#: The names, and all documents' texts after them.
+SPELLED = f"{NAMES_SQL}, spelled AS (SELECT id, name FROM names UNION ALL SELECT 1000 + doc_id, text FROM documents)"
+
+
+def spelled(spark, d):
+    texts = table(spark, d, "documents", "doc_id", "text").select((c("doc_id") + 1000).alias("id"), c("text").alias("name"))
+    return names(spark).select(c("id").cast("long").alias("id"), "name").union(texts)
+
+
+@query("fold_homoglyph", f"WITH {SPELLED} SELECT id, {_tr('name', V.HOMOGLYPHS)} AS folded FROM spelled")
 def fold_homoglyph(spark, d):
-    return names(spark).select("id", text.without_homoglyphs(c("name")).alias("folded"))
+    return spelled(spark, d).select("id", text.without_homoglyphs(c("name")).alias("folded"))
 
 
-@query("fold_leet", f"WITH {NAMES_SQL} SELECT id, replace({_tr('name', V.LEETSPEAK)}, 'rn', 'm') AS folded FROM names")
+@query("fold_leet", f"WITH {SPELLED} SELECT id, replace({_tr('name', V.LEETSPEAK)}, 'rn', 'm') AS folded FROM spelled")
 def fold_leet(spark, d):
-    return names(spark).select("id", text.without_leetspeak(c("name")).alias("folded"))
+    return spelled(spark, d).select("id", text.without_leetspeak(c("name")).alias("folded"))
 
 
 simple("host_entropy", lambda: [F.round(text.entropy(c("host")), 6).alias("h")], "round(CASE WHEN host = '' THEN 0.0 ELSE -list_sum(list_transform(list_distinct(string_split(host, '')), lambda x: (len(list_filter(string_split(host, ''), lambda y: y = x))::DOUBLE / length(host)) * log2(len(list_filter(string_split(host, ''), lambda y: y = x))::DOUBLE / length(host)))) END, 6) AS h", PARTS, "p", parts)
@@ -179,6 +189,28 @@ def psl_split(spark, d):
     return suffix.split_by(parts(urls(spark, d)), suffix.rules_table(spark))
 
 
+#: Rules that the hosts themselves give: their last labels, and by length their last two, with wildcards and exceptions.
+OWN_RULES = """own AS (SELECT DISTINCT unnest([t1,
+    CASE WHEN n % 2 = 0 THEN t2 END, CASE WHEN n % 5 = 0 THEN '*.' || t1 END, CASE WHEN n % 7 = 0 THEN '!' || t2 END]) AS rule
+  FROM (SELECT length(host) AS n, regexp_extract(host, '[^.]+$') AS t1, regexp_extract(host, '[^.]+[.][^.]+$') AS t2
+    FROM p WHERE regexp_matches(host, '^[a-z0-9-]+([.][a-z0-9-]+)+$')))"""
+LISTED = DOMAINS.replace(f"rules AS (SELECT {sql_list(V.SUFFIX_RULES)} AS r)", f"{OWN_RULES}, rules AS (SELECT list(rule) AS r FROM own WHERE rule IS NOT NULL)")
+
+
+@query("psl_file", f"WITH {LISTED} SELECT DISTINCT host, suffix, label_name, subdomain, domain FROM d")
+def psl_file(spark, d):
+    """Hosts by the rules of a suffix list file, of any length, in the usual form."""
+    hosts = parts(urls(spark, d))
+    path = folders.fresh(spark, "suffixes")
+    t1, t2, n = F.regexp_extract("host", "[^.]+$", 0), F.regexp_extract("host", "[^.]+[.][^.]+$", 0), F.length("host")
+    rules = F.array(t1, F.when(n % 2 == 0, t2), F.when(n % 5 == 0, F.concat(F.lit("*."), t1)), F.when(n % 7 == 0, F.concat(F.lit("!"), t2)))
+    lines = hosts.where(c("host").rlike(r"^[a-z0-9-]+([.][a-z0-9-]+)+$")).select(F.explode(rules).alias("rule")).where("rule IS NOT NULL").distinct()
+    body = F.array_join(F.sort_array(F.collect_set("rule")), "\n")
+    marks = "// ===BEGIN ICANN DOMAINS===\n// rules\n", "\n\n// ===END ICANN DOMAINS===\n// ===BEGIN PRIVATE DOMAINS===\nexample.com\n"
+    lines.agg(F.concat(F.lit(marks[0]), body, F.lit(marks[1])).alias("value")).write.text(path)
+    return suffix.split_by(hosts, suffix.rules_table(spark, path))
+
+
 MASKED = f"""{DOMAINS}, k AS (SELECT *, regexp_extract(t, '^[^/?#]*') AS au FROM (SELECT *, lower(regexp_replace(regexp_replace(u, '^{WS}+|{WS}+$', '', 'g'), '^([a-zA-Z][a-zA-Z0-9+.\\-]*)://', '')) AS t FROM d)),
 k1 AS (SELECT *, regexp_replace(au, '(?s)^.*@', '') AS hh FROM k),
 m AS (SELECT *, CASE WHEN list_contains({sql_list(V.OFFICIAL_DOMAINS)}, domain) THEN left(t, length(au) - length(hh)) || CASE WHEN subdomain <> '' THEN subdomain || '.' ELSE '' END || '§.' || suffix || substr(hh, length(regexp_replace(hh, ':\\p{{Nd}}+$', '')) + 1) || substr(t, length(au) + 1) ELSE t END AS masked FROM k1)"""
