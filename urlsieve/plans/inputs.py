@@ -117,7 +117,7 @@ s3 AS (SELECT *, CASE WHEN h = '' OR regexp_matches(h, '^(?:\\p{{Nd}}{{1,3}}\\.)
 s4 AS (SELECT *, CASE WHEN pos IS NULL THEN '' ELSE c[pos] END AS suffix,
   CASE WHEN regexp_matches(h, '^(?:\\p{{Nd}}{{1,3}}\\.){{3}}\\p{{Nd}}{{1,3}}$') THEN h WHEN pos = 1 THEN '' ELSE l[coalesce(pos - 1, len(l))] END AS label_name,
   CASE WHEN regexp_matches(h, '^(?:\\p{{Nd}}{{1,3}}\\.){{3}}\\p{{Nd}}{{1,3}}$') THEN '' ELSE array_to_string(l[1 : greatest(coalesce(pos - 1, len(l)) - 1, 0)], '.') END AS subdomain FROM s3),
-d AS (SELECT *, CASE WHEN suffix <> '' AND label_name <> '' THEN label_name || '.' || suffix ELSE host END AS domain FROM s4)""".replace("\\\\.", "\\.")
+d AS (SELECT *, CASE WHEN suffix <> '' AND label_name <> '' THEN label_name || '.' || suffix ELSE h END AS domain FROM s4)""".replace("\\\\.", "\\.")
 SCORED = """scored AS (SELECT (l_returnflag = 'R')::INT AS label, round(l_discount * 10, 6) AS score, round(l_extendedprice % 1000 / 1000, 6) AS fine, l_linestatus AS source FROM lineitem)"""
 LABELLED = "labelled AS (SELECT d.doc_id, d.text, d.source, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
 
