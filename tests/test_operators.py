@@ -220,3 +220,28 @@ def test_limiter_on_a_stream_gives_the_rows_of_the_table(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.event_id, r.allowed, r.retry_after) for r in spark.table("limited").collect()} == want
+
+
+def test_timed_stream_goes_on_from_a_checkpoint(spark, tmp_path):
+    rng = random.Random(18)
+    t0 = 1_700_000_000
+    rows = sorted((t0 + rng.randrange(400), i, f"c{rng.randrange(4)}") for i in range(120))
+    frame = spark.createDataFrame([(i, float(t), c) for t, i, c in rows], "event_id long, t double, user_id string").select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id")
+    want = {(r.event_id, r.allowed, r.retry_after) for r in limiter.batch(frame, capacity=3, seconds=60.0).collect()}
+    (tmp_path / "in").mkdir()
+    events = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="RocksDB"):
+        limiter.timed_stream(events)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, limiter.ROCKS)
+    try:
+        for k in range(2):  # each part is read by a query of its own, the second from the first one's checkpoint
+            frame.where(f"unix_seconds(ts) >= {t0 + 200 * k} AND unix_seconds(ts) < {t0 + 200 * (k + 1)}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            out = limiter.timed_stream(events, capacity=3, seconds=60.0, delay="10 minutes")
+            q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination(120)
+    finally:
+        spark.conf.set(provider, before)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 120 and {(r.event_id, r.allowed, r.retry_after) for r in got} == want

@@ -173,3 +173,54 @@ def stream(events: DataFrame, client: str = "user_id", capacity: int = V.BUCKET_
     rows = events.select(F.col(client).cast("string").alias("client"), "event_id", ts.alias("ts")).withWatermark("ts", delay)
     rows = rows.withColumn("us", F.unix_micros("ts"))
     return rows.groupBy("client").applyInPandasWithState(run, OUT, "tokens double, at double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def timed_stream(events: DataFrame, client: str = "user_id", capacity: int = V.BUCKET_REQUESTS, seconds: float = V.BUCKET_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """The rows of stream(), with a bucket as a value state and an event-time timer that clears it once it is full again.
+
+    spark.sql.streaming.stateStore.providerClass must name a RocksDB provider. Of one client's requests in a micro-batch, those
+    of a frame are put in order, and frames follow one another; time never runs back.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    provider = events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if "RocksDB" not in provider:
+        raise ValueError(f"spark.sql.streaming.stateStore.providerClass must be such as {ROCKS}")
+    rate = capacity / seconds
+
+    class Bucket(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("bucket", "tokens double, at double")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            tokens, at = self.state.get() if self.state.exists() else (float(capacity), None)
+            for pdf in rows:
+                pdf = pdf.sort_values(["ts", "event_id"])
+                allowed, wait = [], []
+                for us in pdf.us:
+                    now = us / 1e6 if at is None else max(at, us / 1e6)
+                    tokens, ok, retry = step(tokens, now if at is None else at, now, capacity, rate)
+                    at = now
+                    allowed.append(ok)
+                    wait.append(retry)
+                yield pd.DataFrame({"client": key[0], "event_id": pdf.event_id, "ts": pdf.ts, "allowed": allowed, "retry_after": pd.array(wait, "Int32")})
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.state.update((tokens, at))
+            self.handle.registerTimer(max(int((at + seconds) * 1000) + 1, timerValues.getCurrentWatermarkInMs() + 1))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.state.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    ts = F.col("ts").cast("timestamp")
+    rows = events.select(F.col(client).cast("string").alias("client"), "event_id", ts.alias("ts")).withWatermark("ts", delay)
+    rows = rows.withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("client").transformWithStateInPandas(statefulProcessor=Bucket(), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
