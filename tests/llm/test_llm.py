@@ -601,6 +601,17 @@ def avi_frames(data):
     return frames
 
 
+def test_long_texts_are_counted_by_stretches():
+    rng = random.Random(7)
+    words = ["naïve", "it's", "  two", "12,345", "漢字", "a\n\nb", "<|endoftext|>", "e\u0301", "ΟΔΟΣ", "\u0301x", "İ", "😀"]
+    texts = [" ".join(rng.choice(words) for _ in range(3000)), "short", "", "y" * 5000]
+    library = Tokenizer.from_file(WORD_BPE)
+    # the library puts its own begin and end tokens around a text unless told not to
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    for size in (50, 700):
+        assert tokencount.by_stretches(tokencount.counter(WORD_BPE), texts, size).tolist() == want
+
+
 def test_media_digests_of_files_that_cannot_be_read(spark):
     (good,) = media.encode_payloads([b"x" * 64])
     rows = spark.createDataFrame([(1, 64, good), (2, 64, None), (3, 64, good[:40]), (4, 64, b""), (1, 64, good)], "doc_id long, n_bytes long, media binary").coalesce(1)

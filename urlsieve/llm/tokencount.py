@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from urlsieve.llm.common import cache_of_worker, slices, take_worker
+from urlsieve.llm.runs import STRETCH, stretches
 from urlsieve.llm.tokenids import SAFE, _byte_letters
 
 #: The limit above which a document is too long.
@@ -326,6 +327,16 @@ def counter(path: str) -> Counter:
     return _counters[path]
 
 
+def by_stretches(count: Counter, texts: list[str], size: int = STRETCH) -> np.ndarray:
+    """The number of tokens of each text; of a long one, stretches that end before a blank are counted in turn.
+
+    A blank between two other characters ends a word, and neither normal forms nor special tokens reach over it.
+    """
+    if max(map(len, texts), default=0) <= size:
+        return count(texts)
+    return np.array([sum(int(count([s])[0]) for s in stretches(t, size)) for t in texts], np.int64)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), a row per row, no shuffle.
 
@@ -339,7 +350,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
         for batch in batches:
             for part in slices(batch, 1, TEXTS, BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                tokens = count(texts)
+                tokens = by_stretches(count, texts)
                 size = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
