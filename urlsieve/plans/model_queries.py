@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from urlsieve.functions import text
 from urlsieve.functions import values as V
 from urlsieve.operators import boosting, brands, bundles, clusters, density, explain, minibatch, models, rules, splits
-from urlsieve.plans.inputs import URLS, domains, parts, table, urls
+from urlsieve.plans.inputs import domains, parts, table, urls
 from urlsieve.plans.risk_queries import MODEL, features
 from urlsieve.sources import folders
 
