@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlsieve.operators import quantiles
+from urlsieve.operators import quantiles, splits
 
 
 def contingency(rows: DataFrame, cluster: str = "cluster", label: str = "label") -> DataFrame:
@@ -86,7 +86,7 @@ def internal(rows: DataFrame, cluster: str = "cluster", vector: str = "embedding
 
 def silhouette(rows: DataFrame, sample: int = 10_000, seed: str = "42", id_col: str = "vec_id", cluster: str = "cluster", vector: str = "embedding") -> DataFrame:
     """Mean silhouette of a bounded sample, whose pairs are compared by blocks of matrix products; the sample is the feature's own bound."""
-    pick = rows.where(F.col(cluster) != -1).orderBy(F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))).limit(sample).select(F.col(cluster).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    pick = splits.sample(rows.where(F.col(cluster) != -1), sample, id_col, seed).select(F.col(cluster).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"))
     held = pick.toPandas()
     points, names = _matrix(held.v), held.c.to_numpy()
     groups, at = np.unique(names, return_inverse=True)
