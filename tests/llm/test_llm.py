@@ -901,7 +901,7 @@ def test_pipeline(spark, tmp_path):
     kept = {n: {r.doc_id for r in f.select("doc_id").collect()} for n, f in seen.items()}
     assert kept["quality rules"] == set(texts) | {60, 61, 62}
     assert 60 not in kept["line dedup"] and set(texts) <= kept["line dedup"]
-    assert kept["simhash near-dedup"] >= set(texts)
+    assert kept["near-duplicates"] >= set(texts)
     for name, _ in corpus_pipeline.STAGES[:-1]:
         assert seen[name].columns == [x.split()[0] for x in DOCS.split(", ")]
     mixed = {r.doc_id: r.text for r in seen["mixing sources"].collect()}
