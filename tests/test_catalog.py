@@ -69,3 +69,10 @@ def test_gives_rows(spark, name):
 
 def test_entry(spark):
     assert catalog.entry(spark, DIR).count() > 0
+
+
+def test_rows_that_models_are_fitted_on_are_spread(spark):
+    from urlsieve.plans import model_queries
+
+    for rows in (model_queries._rows(spark, DIR), model_queries._masked(spark, DIR)):
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -129,6 +129,21 @@ def test_ngram_model_learns_and_its_stored_form_scores_alike(spark, labelled_url
     assert all(r.s + best.intercept == pytest.approx(logit[r.id], abs=1e-9) for r in shares.collect())
 
 
+def test_vectors_are_made_within_their_rows(spark, labelled_urls):
+    rows = labelled_urls.union(spark.createDataFrame([(402, None, 0)], "id long, masked string, label int"))
+    counts = models.gram_counts(rows)
+    plain = rows.select("id", F.explode(F.transform(text.ngrams(F.col("masked")), lambda g: text.bucket(g["gram"]))).alias("bucket")).groupBy("id", "bucket").count()
+    assert sorted((r.id, r.bucket, r.tf) for r in counts.collect()) == sorted(tuple(r) for r in plain.collect())
+    weights = models.idf(models.gram_counts(rows.where("id % 4 > 0")), 302)
+    one = {r.id: r.features for r in models.tfidf(rows, counts, weights).collect()}
+    made = models.vectors(rows, weights)
+    two = {r.id: r.features for r in made.collect()}
+    assert one.keys() == two.keys() and two[402].numNonzeros() == 0
+    assert all(v.size == two[i].size and list(v.indices) == list(two[i].indices) and list(v.values) == pytest.approx(list(two[i].values)) for i, v in one.items())
+    scores = models.linear_scores(rows, weights.select("bucket", F.lit(0.5).alias("coef"), "idf"))
+    assert not any("Exchange" in d._jdf.queryExecution().executedPlan().toString() for d in (counts, made, scores))
+
+
 def test_pruned_brand_search_is_exact():
     rng = random.Random(9)
     names = ["".join(rng.choice("abcdefé") for _ in range(rng.randrange(1, 14))) for _ in range(300)] + [""]

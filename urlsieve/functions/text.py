@@ -177,6 +177,22 @@ def bucket(gram: Column, size: int = BUCKETS) -> Column:
     return hash_prefix(gram) % size
 
 
+def gram_buckets(x: Column) -> Column:
+    """The buckets of all n-grams, in order of the grams."""
+    return F.transform(ngrams(x), lambda g: bucket(g["gram"]))
+
+
+def bucket_counts(x: Column) -> Column:
+    """An array of (bucket, tf): how often each bucket of n-grams occurs in the text, by runs of its sorted buckets."""
+    let = lambda value, make: F.get(F.transform(F.array(value), make), F.lit(0))  # noqa: E731  evaluated once, not in each step of make
+    first = lambda b: F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: (i == 0) | (F.get(b, i) != F.get(b, i - 1)))
+
+    def runs(b: Column) -> Column:
+        return let(first(b), lambda at: F.transform(at, lambda i, k: F.struct(F.get(b, i).alias("bucket"), (F.coalesce(F.get(at, k + 1), F.size(b)) - i).cast("long").alias("tf"))))
+
+    return F.when(F.length(x) >= 3, let(F.sort_array(gram_buckets(x)), runs)).otherwise(F.array().cast("array<struct<bucket:bigint,tf:bigint>>"))
+
+
 def percent(share: Column) -> Column:
     """One decimal; two where a share below 1 would read 100.0%."""
     one = F.format_string("%.1f%%", share * 100)

@@ -114,7 +114,7 @@ def predict(bundle: dict, rows: DataFrame, *keep: str, threshold: float | None =
     """
     cut = bundle["threshold"] if threshold is None else threshold
     if bundle["kind"] == "char_ngram":
-        p = rows.join(models.linear_scores(rows, bundle["coefficients"]).select("id", F.col("probability").alias("phishing_probability")), "id")
+        p = models.linear_scores(rows, bundle["coefficients"]).withColumnRenamed("probability", "phishing_probability")
     elif bundle["kind"] == "linear":
         p = bundle["pipeline"].transform(rows).withColumn("phishing_probability", vector_to_array("probability")[1])
     elif bundle["kind"] == "trees":

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -38,9 +40,8 @@ def log_odds(rows: DataFrame, column: str = "rest", key: str = "id", label: str
 
 
 def gram_counts(rows: DataFrame, column: str = "masked", key: str = "id", keep: Sequence[str] = ("label",)) -> DataFrame:
-    """(key, keep, bucket, tf): how often each bucket of n-grams occurs in a row. Rows of under three characters have none."""
-    grams = rows.select(key, *keep, F.explode(F.transform(text.ngrams(F.col(column)), lambda g: text.bucket(g["gram"]))).alias("bucket"))
-    return grams.groupBy(key, *keep, "bucket").agg(F.count("*").alias("tf"))
+    """(key, keep, bucket, tf): how often each bucket of n-grams occurs in a row, counted within it. Rows of under three characters have none."""
+    return rows.select(key, *keep, F.inline(text.bucket_counts(F.col(column))))
 
 
 def idf(counts: DataFrame, n_rows: int) -> DataFrame:
@@ -53,6 +54,30 @@ def idf(counts: DataFrame, n_rows: int) -> DataFrame:
     return seen.union(counts.sparkSession.range(1).select(F.lit(-1).cast("long").alias("bucket"), F.lit(math.log(1.0 + n_rows) + 1).alias("idf"), F.lit(-1).alias("pos")))
 
 
+def _table(rows: DataFrame, *columns: str, rare: str) -> tuple[np.ndarray, ...]:
+    """Arrays of columns by bucket, of at most BUCKETS rows and that of bucket -1, which holds `rare` of all others; the other columns are 0 there, and pos -1."""
+    held = rows.select("bucket", *columns).toArrow()
+    at = held["bucket"].to_numpy()
+    out = []
+    for c in columns:
+        values = held[c].to_numpy()
+        whole = np.full(BUCKETS, values[at < 0].max() if c == rare else -1 if c == "pos" else 0, values.dtype)
+        whole[at[at >= 0]] = values[at >= 0]
+        out.append(whole)
+    return tuple(out)
+
+
+def _terms(buckets: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, 1 + ln tf) of the distinct buckets of each row, in this order."""
+    rows = np.repeat(np.arange(len(buckets)), pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False))
+    held, tf = np.unique(rows * BUCKETS + buckets.flatten().to_numpy(zero_copy_only=False), return_counts=True)
+    return held // BUCKETS, held % BUCKETS, 1 + np.log(tf)
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+
+
 def tfidf(rows: DataFrame, counts: DataFrame, weights: DataFrame, key: str = "id") -> DataFrame:
     """rows with features, a sparse vector by pos of (1 + ln tf) * idf over its length; weights is idf(), broadcast: at most BUCKETS rows.
 
@@ -70,6 +95,30 @@ def tfidf(rows: DataFrame, counts: DataFrame, weights: DataFrame, key: str = "id
     return both.withColumn("features", F.from_json(F.to_json(F.struct(vector.alias("features"))), kind)["features"]).drop("e", "_norm")
 
 
+def vectors(rows: DataFrame, weights: DataFrame, column: str = "masked") -> DataFrame:
+    """What tfidf() gives, from the texts: counted and weighed within each row, so that no n-gram is shuffled; weights is sent to each executor once.
+    """
+    idfs, places = _table(weights, "idf", "pos", rare="idf")
+    held = rows.sparkSession.sparkContext.broadcast((idfs, places.astype(np.int32)))
+
+    @F.arrow_udf("i array<int>, v array<double>")
+    def weighed(buckets: pa.Array) -> pa.Array:
+        idf, pos = held.value
+        row, bucket, x = _terms(buckets)
+        x = x * idf[bucket]
+        norm = np.sqrt(np.bincount(row, x * x, len(buckets)))
+        known = pos[bucket] >= 0
+        row, place, x = row[known], pos[bucket[known]], x[known]
+        sizes = np.bincount(row, minlength=len(buckets))
+        return pa.StructArray.from_arrays([_lists(sizes, place), _lists(sizes, x / norm[row])], ["i", "v"])
+
+    both = rows.withColumn("_e", weighed(text.gram_buckets(F.coalesce(column, F.lit("")))))
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(max(1, int(places.max()) + 1)).alias("size"), F.col("_e.i").alias("indices"), F.col("_e.v").alias("values"))
+    # the vector type can't be cast to, but it can be parsed
+    kind = T.StructType([T.StructField("features", VectorUDT())])
+    return both.withColumn("features", F.from_json(F.to_json(F.struct(vector.alias("features"))), kind)["features"]).drop("_e")
+
+
 def char_ngram(c: float, n_rows: int, rounds: int = 50) -> LogisticRegression:
     """Logistic regression on tfidf() of 3- to 5-grams in 2^20 buckets. The intercept isn't penalised, unlike in liblinear."""
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(1, n_rows)), maxIter=rounds, standardization=False)
@@ -82,14 +131,22 @@ def stored_coefficients(spark: SparkSession, model, weights: DataFrame) -> DataF
     return weights.join(coef, "pos").select("bucket", "coef", "idf")
 
 
-def linear_scores(rows: DataFrame, coefficients: DataFrame, key: str = "id", column: str = "masked") -> DataFrame:
-    """(key, logit, probability) of rows by stored coefficients, for texts that are preprocessed already."""
-    counts = gram_counts(rows, column, key, ())
-    rare = coefficients.where("bucket = -1").agg(F.max("idf").alias("_rare"), F.max("coef").alias("_b"))
-    x = counts.join(F.broadcast(coefficients.where("bucket >= 0")), "bucket", "left").crossJoin(F.broadcast(rare)).withColumn("x", (1 + F.ln("tf")) * F.coalesce("idf", "_rare"))
-    sums = x.groupBy(key).agg((F.sum(F.coalesce("coef", F.lit(0.0)) * F.col("x")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("_dot"))
-    out = rows.select(key).join(sums, key, "left").crossJoin(F.broadcast(rare)).withColumn("logit", F.coalesce("_dot", F.lit(0.0)) + F.col("_b"))
-    return out.select(key, "logit", (1 / (1 + F.exp(-F.col("logit")))).alias("probability"))
+def linear_scores(rows: DataFrame, coefficients: DataFrame, column: str = "masked") -> DataFrame:
+    """rows with logit and probability by stored coefficients, for texts that are preprocessed already; a null text has no n-grams. Nothing leaves its row."""
+    idfs, coefs = _table(coefficients, "idf", "coef", rare="idf")
+    shift = float(coefficients.where("bucket = -1").agg(F.max("coef")).first()[0])
+    held = rows.sparkSession.sparkContext.broadcast((idfs, coefs))
+
+    @F.arrow_udf("double")
+    def scored(buckets: pa.Array) -> pa.Array:
+        idf, coef = held.value
+        row, bucket, x = _terms(buckets)
+        x = x * idf[bucket]
+        norm = np.sqrt(np.bincount(row, x * x, len(buckets)))
+        return pa.array(shift + np.bincount(row, coef[bucket] * x, len(buckets)) / np.where(norm > 0, norm, 1))
+
+    out = rows.withColumn("logit", scored(text.gram_buckets(F.coalesce(column, F.lit("")))))
+    return out.withColumn("probability", 1 / (1 + F.exp(-F.col("logit"))))
 
 
 def log_features(rows: DataFrame, names: Sequence[str] = NUMERIC) -> DataFrame:

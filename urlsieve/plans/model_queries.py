@@ -33,6 +33,9 @@ def query(name: str, sql: str | None = None):
 
 #: Inverse strengths of the penalty that validation chooses from.
 STRENGTHS = (1.0, 3.0, 10.0, 30.0)
+#: The most partitions that the n-gram model is fitted on: in every step each sends a gradient of up to 2^20 numbers, however few its
+#: rows, and those of more than five partitions would be added up by a shuffle.
+GRADIENTS = 5
 #: By session: the stored tables and models of a folder of tables, by folder and name; a model's path goes with its seal.
 _STORED: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
 
@@ -76,22 +79,45 @@ def _of(rows, *names):
     return rows.where(c("part").isin(*names))
 
 
+#: Rows in a file of a stored table that models are fitted on; there are as many files as cores at least.
+SPREAD = 20_000
+
+
+def _spread(rows, n: int):
+    """rows dealt out by id, so that every core has its share of the fits: files as they come from joins would be few."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, n // SPREAD + 1), "id")
+
+
 def _masked(s, d):
     """(id, url, label, part, masked) of URLs."""
-    make = lambda: _parted(domains(parts(brands.mask(urls(s, d).where("url IS NOT NULL"), "url", "masked")))).select("id", "url", "label", "part", "masked")
+
+    def make():
+        rows = urls(s, d).where("url IS NOT NULL")
+        return _parted(domains(parts(brands.mask(_spread(rows, rows.count()), "url", "masked")))).select("id", "url", "label", "part", "masked")
+
     return _written(s, d, "masked", make)
 
 
-def _rows(s, d):
-    """The numeric features of each URL, with its part and one of three folds, by domain."""
+def _matched(s, d):
+    """The numeric features of each URL and its part, written, as the steps after it go over them several times."""
 
     def make():
         rows = models.log_features(features(urls(s, d)))
         rows = brands.similarity(rows, "label_name", list(V.CURATED_BRANDS)).fillna({"brand_similarity_score": 0.0, "is_exact_brand_match": 0})
-        rows = _parted(models.log_features(rows, models.BRAND))
+        return _parted(models.log_features(rows, models.BRAND))
+
+    return _written(s, d, "matched", make)
+
+
+def _rows(s, d):
+    """The numeric features of each URL, with its part and one of three folds, by domain."""
+
+    def make():
+        rows = _matched(s, d)
         kept = rows.where("part = 'fit'").groupBy("tld").agg(F.count("*").alias("m")).where("m >= 100").select("tld", F.lit(True).alias("often"))
+        n = rows.count()
         rows = rows.join(kept, "tld", "left").withColumn("tld", F.when(c("tld") == "", "(none)").when(c("often"), c("tld")).otherwise("(other)")).drop("often")
-        return splits.balanced_folds(rows, "domain", 3)
+        return _spread(splits.balanced_folds(rows, "domain", 3), n)
 
     return _written(s, d, "features", make)
 
@@ -103,7 +129,7 @@ def _ngrams(s, d) -> dict:
     n = fit.count()
     weights = _written(s, d, "idf", lambda: models.idf(models.gram_counts(fit), n))
     tried = _of(rows, "fit", "val")
-    made = models.tfidf(tried, models.gram_counts(tried), weights).select("id", "label", "part", "features").cache()
+    made = models.vectors(tried, weights).select("id", "label", "part", "features").coalesce(GRADIENTS).cache()
     best, _ = models.grid([models.char_ngram(x, n) for x in STRENGTHS], _of(made, "fit"), _of(made, "val"))
     made.unpersist()
     return {"coefficients": models.stored_coefficients(s, best, weights)}
@@ -164,8 +190,7 @@ def analyze(s, d):
     """One row per URL that passes the checks: texts, decision by the fitted n-gram model, and its signals."""
     bundle = stored(s, d, "char_ngram")
     rows = _inputs(s, d)
-    p = models.linear_scores(rows, bundle["coefficients"], column="model_input").select("id", c("probability").alias("phishing_probability"))
-    out = rows.join(p, "id").withColumn("x", text.decide(c("phishing_probability"), bundle["threshold"]))
+    out = models.linear_scores(rows, bundle["coefficients"], "model_input").withColumnRenamed("probability", "phishing_probability").withColumn("x", text.decide(c("phishing_probability"), bundle["threshold"]))
     found = _signals(s, d, bundle["coefficients"], rows).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "signal"))), lambda x: x["signal"]).alias("signals"))
     return out.join(found, "id", "left").select("id", "submitted_url", c("analysed").alias("analysed_url"), "model_input", "folded", "phishing_probability", c("x.label").alias("verdict"), c("x.confidence").alias("confidence"), c("x.trust").alias("trust_score"), F.coalesce("signals", F.array().cast("array<string>")).alias("signals"))
 
@@ -176,9 +201,7 @@ def scoring_conditions(s, d):
     coefficients = stored(s, d, "char_ngram")["coefficients"]
     rows = brands.model_inputs(urls(s, d).where("url IS NOT NULL"))
     long_ = rows.select("id", F.stack(F.lit(3), *[x for n in ("baseline", "naive_fold", "defended") for x in (F.lit(n), c(n))]).alias("condition", "input"))
-    long_ = long_.withColumn("key", F.concat_ws(":", "id", "condition"))
-    p = models.linear_scores(long_, coefficients, "key", "input")
-    return long_.join(p, "key").select("id", "condition", "input", F.round("probability", 6).alias("p"))
+    return models.linear_scores(long_, coefficients, "input").select("id", "condition", "input", F.round("probability", 6).alias("p"))
 
 
 # --- models ---
