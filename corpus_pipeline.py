@@ -42,9 +42,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id, null last; 4 bits of SimHash miss most of similarity 0.8.
+    """One document of each group of near-duplicates stays, that of the smallest id, null last.
 
-    Of repeated rows one stays. Texts without a word are one group.
+    SimHash links of op5's radius find candidates; as they miss most of similarity 0.8, bands of MinHash find others, and
+    exact sets of shingles decide on both. Of repeated rows one stays. Texts without a word are one group.
     """
     return minhash.keep_one(docs, SHINGLE, SIMILARITY)
 

@@ -458,6 +458,24 @@ def test_near_copies_go(spark):
     assert minhash.keep_one(nothing(spark)).count() == 0
 
 
+def test_simhash_finds_candidates_that_no_band_has(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words), "a"), (2, " ".join([*words, "more"]), "a"), (3, " ".join(reversed(words)), "a")]
+    monkeypatch.setattr(minhash, "BANDS", 0)
+    fp = [brute_prints(t, 5) for _, t, _ in rows]
+    assert (fp[0] ^ fp[1]).bit_count() <= 4 < (fp[0] ^ fp[2]).bit_count()
+    assert sorted(r.doc_id for r in minhash.keep_one(docs(spark, rows), 5, 0.8).collect()) == [1, 3]
+
+
+def test_unlike_texts_of_one_band_do_not_meet_in_pairs(spark):
+    shared, n = [100 * k for k in range(12)], 60
+    sets = {i: [*shared[: 6 + i % 6], *range(10_000 * (i + 1), 10_000 * (i + 1) + 8)] for i in range(n)}
+    sets[n] = [*sets[5][:-1], 7]
+    frame = spark.createDataFrame([(i, x) for i, x in sets.items()], "node long, shingles array<long>")
+    named = frame.select("node", F.col("node").alias("group"))
+    assert [tuple(r) for r in minhash._across(named, frame, 0.8).collect()] == [(n, 5)]
+
+
 # --- 6: chat ---
 
 
