@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from urlsieve.operators import boosting, metrics, models
 
@@ -109,3 +110,20 @@ def test_nothing_to_learn(spark):
         model = boosting.fit(some, made, ALL)
         assert model["trees"] == [] and boosting.scores(model, rows, "id").count() == 30
     assert boosting.scores(boosting.fit(rows, made, ALL), rows.limit(0), "id").count() == 0
+
+
+def test_models_of_a_grid_are_grown_side_by_side(spark, monkeypatch):
+    import threading
+
+    both = threading.Barrier(4, timeout=20)
+    plain = boosting.fit
+
+    def fit(rows, made, p, label, key, held=None):
+        if held:
+            both.wait()  # fails unless all are on their way
+        return plain(rows, made, p, label, key, held)
+
+    monkeypatch.setattr(boosting, "fit", fit)
+    rows = spark.range(400).select("id", (F.col("id") % 7).alias("x"), (F.col("id") % 7 > 3).cast("int").alias("label"), (F.col("id") % 2).alias("fold"))
+    model, table = boosting.tune(rows, boosting.bins(rows, ["x"]), "fold", [boosting.Params(leaves=3, rounds=3), boosting.Params(leaves=2, rounds=3)])
+    assert model["trees"] and [t["params"].leaves for t in table] == [3, 2] and table[0]["mean"] == 1.0

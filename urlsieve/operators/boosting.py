@@ -13,6 +13,7 @@ import heapq
 import json
 import math
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 from urlsieve.operators import gang, metrics
 
 BINS, GRAIN = 256, 28
+#: Rows from which more than one task grows a model, about 100 bytes each; rows whose histogram is counted at once.
+ROWS, CHUNK = 2_000_000, 1 << 16
+#: Models of a grid that are grown at the same time.
+AT_ONCE = 12
 
 
 @dataclass(frozen=True)
@@ -80,7 +85,7 @@ def best_split(hist: np.ndarray, allowed: np.ndarray, n_numeric: int, p: Params)
     total = hist[0].sum(axis=0) if len(hist) else np.zeros(3)
     best: tuple[float, int, np.ndarray] | None = None
 
-    def offer(feature: int, left: np.ndarray, sides: Callable[[int], np.ndarray], penalty: float) -> None:
+    def offer(feature: int | np.ndarray, left: np.ndarray, sides: Callable[[int], np.ndarray], penalty: float) -> None:
         nonlocal best
         right = total - left
         ok = (left[:, 2] >= p.least_rows) & (right[:, 2] >= p.least_rows) & (left[:, 1] >= p.least_weight) & (right[:, 1] >= p.least_weight)
@@ -89,11 +94,14 @@ def best_split(hist: np.ndarray, allowed: np.ndarray, n_numeric: int, p: Params)
         gain = np.where(ok, gain, -np.inf)
         k = int(gain.argmax()) if len(gain) else 0
         if len(gain) and gain[k] > 1e-9 and (best is None or gain[k] > best[0]):
-            best = float(gain[k]), feature, sides(k)
+            best = float(gain[k]), int(feature if np.ndim(feature) == 0 else feature[k // (BINS - 1)]), sides(k)
 
+    numeric = np.flatnonzero(allowed[:n_numeric])
+    if len(numeric):
+        # features one after the other, so that the first of equal gains is found as if each were searched by itself
+        offer(numeric, hist[numeric].cumsum(axis=1)[:, :-1].reshape(-1, 3), lambda k: np.arange(BINS) <= k % (BINS - 1), 0.0)
     for f in np.flatnonzero(allowed):
         if f < n_numeric:
-            offer(int(f), hist[f].cumsum(axis=0)[:-1], lambda k: np.arange(BINS) <= k, 0.0)
             continue
         used = np.flatnonzero(hist[f][:, 2] > 0)
         order = used[np.argsort(hist[f][used, 0] / (hist[f][used, 1] + p.smooth), kind="stable")]
@@ -144,7 +152,7 @@ def grow(x: np.ndarray, y: np.ndarray, held: np.ndarray, keys: np.ndarray, n_num
     """A model from a task's rows (bins, labels, whether for validation, keys); `add` sums whole numbers over tasks."""
     features = x.shape[1]
     cells = features * BINS
-    flat = x.astype(np.int32) + np.arange(features, dtype=np.int32) * BINS
+    spots = np.arange(features) * BINS
     fit = ~held
     counts = add(np.array([fit.sum(), (fit & (y > 0)).sum(), held.sum()], np.int64))
     share = min(max(counts[1] / max(counts[0], 1), 1e-6), 1 - 1e-6)
@@ -153,9 +161,13 @@ def grow(x: np.ndarray, y: np.ndarray, held: np.ndarray, keys: np.ndarray, n_num
     trees, history, gains = [], [], []
 
     def histogram(rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        at = flat[rows].ravel()
-        parts = [np.bincount(at, w, cells) for w in (np.repeat(g[rows], features), np.repeat(h[rows], features), None)]
-        return np.stack(parts, axis=1).astype(np.int64)
+        out = np.zeros((cells, 3), np.int64)
+        for k in range(0, len(rows), CHUNK):
+            some = rows[k : k + CHUNK]
+            at = (x[some] + spots).ravel()
+            for c, w in enumerate((np.repeat(g[some], features), np.repeat(h[some], features), None)):
+                out[:, c] += np.bincount(at, w, cells).astype(np.int64)
+        return out
 
     def loss() -> int:
         z = np.where(y[held] > 0, score[held], -score[held])
@@ -181,6 +193,7 @@ def grow(x: np.ndarray, y: np.ndarray, held: np.ndarray, keys: np.ndarray, n_num
         allowed[rng.permutation(features)[: max(1, round(features * p.column_share))]] = True
         nodes = [Node(0, sums[:-1].reshape(features, BINS, 3), allowed, n_numeric, p)]
         of = np.zeros(len(y), np.int32)
+        held_by = {0: np.arange(len(y), dtype=np.int32)}
         while True:
             splits, leaves, wanted = _best_first(nodes[0], p.leaves)
             if wanted is None:
@@ -193,8 +206,9 @@ def grow(x: np.ndarray, y: np.ndarray, held: np.ndarray, keys: np.ndarray, n_num
             for node in tried:
                 _, f, left = node.split
                 a, b = len(nodes) + 2 * len(smaller), len(nodes) + 2 * len(smaller) + 1
-                own = np.flatnonzero(of == node.number)
+                own = held_by.pop(node.number)
                 goes = left[x[own, f]]
+                held_by[a], held_by[b] = own[goes], own[~goes]
                 of[own] = np.where(goes, a, b)
                 small = a if 2 * node.hist[f][left][:, 2].sum() <= node.hist[f][:, 2].sum() else b
                 smaller.append((node, a, b, small))
@@ -233,7 +247,7 @@ def fit(rows: DataFrame, made: dict, p: Params = Params(), label: str = "label",
     names = _features(made)
     mark = F.col(held) if held else F.lit(False)
     rows = rows.where(F.col(label).isNotNull()).select(F.xxhash64(key).alias("_key"), F.col(label).cast("int").alias("_y"), mark.alias("_held"), *[F.col(c).cast("double") for c in made["numeric"]], *made["categories"])
-    n = tasks or min(gang.TASKS, spark.sparkContext.defaultParallelism, rows.count() // gang.ROWS + 1)
+    n = tasks or min(gang.TASKS, spark.sparkContext.defaultParallelism, rows.count() // ROWS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), binned(made, [c.to_numpy(zero_copy_only=False) if k < len(made["numeric"]) else c.to_pylist() for k, c in enumerate(b.columns[3:])])) for b in batches]
@@ -254,17 +268,23 @@ def fit(rows: DataFrame, made: dict, p: Params = Params(), label: str = "label",
 def tune(rows: DataFrame, made: dict, fold: str, grid: Sequence[Params] = GRID, label: str = "label", key: str = "id") -> tuple[dict, list[dict]]:
     """The model of the grid's best by mean average precision over folds (the first among equals), refitted on all rows with the mean number of trees.
 
+    The models of all folds and parameters are grown side by side, the largest trees first.
+
     Each fold in turn is held out: trees stop by its loss, and its scores are judged. Also what was found of each in the grid.
     """
     folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
+
+    def tried(p: Params, f: int) -> tuple[float, int]:
+        model = fit(rows.withColumn("_out", F.col(fold) == f), made, p, label, key, "_out")
+        judged = scores(model, rows.where(F.col(fold) == f), label).select(label, F.round("probability", 9).alias("score"))
+        return metrics.average_precision(metrics.tally(judged, label=label)).first()[0] or 0.0, len(model["trees"])
+
+    # the models don't depend on each other, and each keeps one task busy
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        found = [[pool.submit(tried, p, f) for f in folds] for p in reversed(grid)]
     table = []
-    for p in grid:
-        values, trees = [], []
-        for f in folds:
-            model = fit(rows.withColumn("_out", F.col(fold) == f), made, p, label, key, "_out")
-            judged = scores(model, rows.where(F.col(fold) == f), label).select(label, F.round("probability", 9).alias("score"))
-            values.append(metrics.average_precision(metrics.tally(judged, label=label)).first()[0] or 0.0)
-            trees.append(len(model["trees"]))
+    for p, runs in zip(grid, reversed(found), strict=True):
+        values, trees = zip(*(r.result() for r in runs), strict=True) if runs else ((), ())
         table.append({"params": p, "mean": float(np.mean(values)), "std": float(np.std(values)), "trees": max(1, round(float(np.mean(trees))))})
     best = max(range(len(table)), key=lambda k: (table[k]["mean"], -k))
     return fit(rows, made, replace(grid[best], rounds=table[best]["trees"]), label, key), table
