@@ -782,6 +782,15 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame).count() == len(rows) and linededup.dedup_lines(nothing(spark)).count() == 0
 
 
+def test_line_dedup_has_one_plan_for_all_sizes(spark):
+    plain = "a b\nc d\ne f"
+    frame = spark.createDataFrame([(k, plain) for k in range(3)], "doc_id long, text string")
+    found = linededup.dedup_lines(frame)
+    assert [(r.doc_id, r.text) for r in found.orderBy("doc_id").collect()] == [(0, plain), (1, ""), (2, "")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # a few gone lines would be broadcast, many not
+
+
 def test_passages_inside_lines_go(spark):
     rng = random.Random(6)
     some = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]

@@ -56,7 +56,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.drop(*names)
     one, th, lost, n = free(base, "_id", "_th", "_gone", "_n")
-    gone = covered(docs, id_col, text_col, span).select(F.col("id").alias(one), F.col("th").alias(th), F.col("gone").alias(lost))
+    # texts are shuffled once, whatever the size: a broadcast of what is gone would work only while little is
+    gone = covered(docs, id_col, text_col, span).select(F.col("id").alias(one), F.col("th").alias(th), F.col("gone").alias(lost)).hint("merge")
     text = F.col(quoted(text_col))
     both = base.join(gone, base[quoted(id_col)].eqNullSafe(F.col(one)) & (F.xxhash64(base[quoted(text_col)]) == F.col(th)), "left")
     lines = F.split(text, "\n", -1)
