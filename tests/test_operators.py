@@ -53,6 +53,18 @@ def test_quantiles_are_exact(spark, n):
     assert quantiles.exact(spark.createDataFrame([], "g string, x double"), [], "x", {"q": (0.5, "linear")}).collect() in ([], [(None,)])
 
 
+def test_quantiles_deal_out_counts_not_rows(spark):
+    rows = spark.range(1000).selectExpr("CAST(id % 2 AS STRING) AS g", "CAST(id % 7 AS DOUBLE) AS x")
+    found = quantiles.exact(rows, ["g"], "x", {"q": (0.5, "linear")})
+    assert {r.g: r.q for r in found.collect()} == {"0": 3.0, "1": 3.0}
+    lines = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert any("Range (" in x for x in lines)
+    for k, line in enumerate(lines):
+        if "Range (" in line:  # the first step above the rows' columns counts them, by group and value
+            above = next(x for x in reversed(lines[:k]) if "Project" not in x and "Filter" not in x)
+            assert "Aggregate(" in above and "_x" in above.split("functions")[0], above
+
+
 def test_even_samples(spark):
     for total, n in ((10, 4), (1000, 7), (5, 9), (131_072, 1000)):
         found = sorted(r.id for r in splits.even_sample(spark.range(total), n, "id", 4096).collect())

@@ -1,4 +1,4 @@
-"""Exact quantiles whose tasks hold no group's values: a sketch cuts each group into parts, counts name the parts that hold the ranks, and only those are ordered."""
+"""Exact quantiles whose tasks hold no group's values: a sketch cuts each group's distinct values into parts, counts name the parts that hold the ranks, and only those are ordered."""
 
 from __future__ import annotations
 
@@ -9,29 +9,34 @@ from pyspark.sql import functions as F
 
 #: Parts that a group's values are cut into, and the accuracy of the sketch that cuts them.
 PARTS, ACCURACY = 64, 2_000
+#: Tasks that a group's distinct values are dealt to where they meet its cuts.
+SHARES = 16
 
 
 def exact(rows: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, tuple[float, str]]) -> DataFrame:
     """(by, names): a row per group with a value; wanted names quantiles, each a share and "linear" or "nearest" (rank ceil(p n)).
 
-    Nulls don't count. The parts' counts and the distinct values of the parts that hold ranks are aggregated on the map
-    side; the cuts are a row per group. Groups are told apart with nulls as a group of their own.
+    Nulls don't count. Rows are only counted by value, on the map side; all else goes over distinct values, which no
+    group's size puts into one task; the cuts are SHARES rows per group. Groups are told apart with nulls as a group of their own.
     """
     keys = [f"_k{i}" for i in range(len(by))]
     rows = rows.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).alias("_x")).where("_x IS NOT NULL")
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] or [F.lit(True)]
-    cuts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [k / PARTS for k in range(1, PARTS)], ACCURACY).alias("_cuts"))
+    counts = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.array_distinct(F.percentile_approx("_x", [k / PARTS for k in range(1, PARTS)], ACCURACY)).alias("_cuts"))
+    cuts = cuts.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
     part = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
-    dealt = rows.alias("r").join(cuts.alias("c"), same("r", "c")).select("r.*", "_n", part.alias("_part"))
+    counts = counts.withColumn("_share", F.pmod(F.xxhash64("_x"), F.lit(SHARES)).cast("int"))
+    dealt = counts.alias("r").join(cuts.alias("c"), [*same("r", "c"), F.col("r._share") == F.col("c._share")]).select(*[f"r.{k}" for k in keys], "_x", "_c", "_n", part.alias("_part"))
     # how many values come before each part, and the parts that the ranks fall into
-    sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_m"), F.max("_n").alias("_n"))
+    sizes = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_m"), F.max("_n").alias("_n"))
     run = Window.partitionBy(*keys, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(run), F.lit(0)))
     spots = [(name, end, _rank(p, kind, end)) for name, (p, kind) in wanted.items() for end in (0, 1)]
     spots = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(end).alias("end"), rank.alias("rank")) for name, end, rank in spots])).alias("_s")
     held = sizes.select(*keys, "_part", "_before", "_m", "_n", spots).where("_s.rank >= _before AND _s.rank < _before + _m")
     inside = held.groupBy(*keys, "_part").agg(F.first("_before").alias("_before"), F.max("_n").alias("_n"), F.collect_list("_s").alias("_all"))
-    few = dealt.alias("r").join(inside.alias("c"), [*same("r", "c"), F.col("r._part") == F.col("c._part")], "left_semi").groupBy(*keys, "_part", "_x").agg(F.count("*").alias("_c"))
+    few = dealt.alias("r").join(inside.alias("c"), [*same("r", "c"), F.col("r._part") == F.col("c._part")], "left_semi").select(*keys, "_part", "_x", "_c")
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_x"))
     few = few.withColumn("_upto", upto)
     found = few.alias("r").join(inside.alias("c"), [*same("r", "c"), F.col("r._part") == F.col("c._part")]).select(*[f"r.{k}" for k in keys], "_n", "_x", F.explode(F.filter("_all", lambda s: (s["rank"] < F.col("_before") + F.col("_upto")) & (s["rank"] >= F.col("_before") + F.col("_upto") - F.col("_c")))).alias("_s"))
