@@ -76,3 +76,13 @@ def test_rows_that_models_are_fitted_on_are_spread(spark):
 
     for rows in (model_queries._rows(spark, DIR), model_queries._masked(spark, DIR)):
         assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_features_and_inputs_are_made_of_spread_urls(spark, monkeypatch):
+    from urlsieve.plans import model_queries
+
+    own = f"{DIR}/."  # nothing is stored for it yet
+    assert model_queries._urls(spark, own).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(model_queries, "urls", None)  # as files hold them, a task each: nothing is worked out of these
+    assert model_queries._matched(spark, own).count() == model_queries._urls(spark, own).count()
+    assert model_queries._inputs(spark, own).columns == ["id", "submitted_url", "analysed", "model_input", "folded"]

@@ -88,12 +88,22 @@ def _spread(rows, n: int):
     return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, n // SPREAD + 1), "id")
 
 
+def _urls(s, d):
+    """The URLs, written and spread before anything is worked out: Spark would move filters, and all they need, before the dealing."""
+
+    def make():
+        rows = urls(s, d)
+        return _spread(rows, rows.count())
+
+    return _written(s, d, "urls", make)
+
+
 def _masked(s, d):
     """(id, url, label, part, masked) of URLs."""
 
     def make():
-        rows = urls(s, d).where("url IS NOT NULL")
-        return _parted(domains(parts(brands.mask(_spread(rows, rows.count()), "url", "masked")))).select("id", "url", "label", "part", "masked")
+        rows = _urls(s, d).where("url IS NOT NULL")
+        return _parted(domains(parts(brands.mask(rows, "url", "masked")))).select("id", "url", "label", "part", "masked")
 
     return _written(s, d, "masked", make)
 
@@ -102,7 +112,7 @@ def _matched(s, d):
     """The numeric features of each URL and its part, written, as the steps after it go over them several times."""
 
     def make():
-        rows = models.log_features(features(urls(s, d)))
+        rows = models.log_features(features(_urls(s, d)))
         rows = brands.similarity(rows, "label_name", list(V.CURATED_BRANDS)).fillna({"brand_similarity_score": 0.0, "is_exact_brand_match": 0})
         return _parted(models.log_features(rows, models.BRAND))
 
@@ -175,9 +185,13 @@ def _signals(s, d, coefficients, rows, limit: int = 10):
 
 
 def _inputs(s, d):
-    """The texts of each URL: analysed, and what the model reads, folded where that changes it."""
-    rows = brands.model_inputs(urls(s, d).where(text.check_url(c("url")).isNull()))
-    return rows.select("id", c("url").alias("submitted_url"), text.preprocess(c("url")).alias("analysed"), c("defended").alias("model_input"), (c("defended") != c("baseline")).alias("folded"))
+    """The texts of each URL: analysed, and what the model reads, folded where that changes it; written, as signals need them several times."""
+
+    def make():
+        rows = brands.model_inputs(_urls(s, d).where(text.check_url(c("url")).isNull()))
+        return rows.select("id", c("url").alias("submitted_url"), text.preprocess(c("url")).alias("analysed"), c("defended").alias("model_input"), (c("defended") != c("baseline")).alias("folded"))
+
+    return _written(s, d, "inputs", make)
 
 
 @query("signals")
@@ -199,7 +213,7 @@ def analyze(s, d):
 def scoring_conditions(s, d):
     """One fitted scorer over three texts of each URL, a row per URL and condition."""
     coefficients = stored(s, d, "char_ngram")["coefficients"]
-    rows = brands.model_inputs(urls(s, d).where("url IS NOT NULL"))
+    rows = brands.model_inputs(_urls(s, d).where("url IS NOT NULL"))
     long_ = rows.select("id", F.stack(F.lit(3), *[x for n in ("baseline", "naive_fold", "defended") for x in (F.lit(n), c(n))]).alias("condition", "input"))
     return models.linear_scores(long_, coefficients, "input").select("id", "condition", "input", F.round("probability", 6).alias("p"))
 
