@@ -467,6 +467,14 @@ def test_simhash_finds_candidates_that_no_band_has(spark, monkeypatch):
     assert sorted(r.doc_id for r in minhash.keep_one(docs(spark, rows), 5, 0.8).collect()) == [1, 3]
 
 
+def test_a_round_of_simhash_links_is_small_beside_the_texts(spark, monkeypatch):
+    made, links = [], minhash.links
+    monkeypatch.setattr(minhash, "links", lambda fps, **k: made.append(k.get("rounds", simhash.ROUNDS)) or links(fps, **k))
+    assert minhash.keep_one(docs(spark, [(1, "a b c d e f", "a"), (2, "A b c d e f", "a"), (3, "g", "a")])).count() == 2
+    # bytes that a fingerprint's variants take in two rounds at once, where texts have about 2.5 kB
+    assert [2 * 10 * len(simhash.masks(simhash.RADIUS // 2)) / k < 5_000 for k in made] == [True]
+
+
 def test_unlike_texts_of_one_band_do_not_meet_in_pairs(spark):
     shared, n = [100 * k for k in range(12)], 60
     sets = {i: [*shared[: 6 + i % 6], *range(10_000 * (i + 1), 10_000 * (i + 1) + 8)] for i in range(n)}

@@ -21,6 +21,9 @@ BANDS, WIDTH = 20, 5
 CHUNK = 2048
 #: Texts and bytes hashed at once.
 TEXTS, BYTES = 256, 1 << 19
+#: Rounds of the SimHash links, more than op5 takes: Spark's cleaner may drop a round's shuffle files only when the next one's are
+#: there, and this stage has tables of its own, and what is left of the stage before, on disk beside them.
+ROUNDS = 10
 
 _rng = np.random.default_rng(SEED)
 _ADD = _rng.integers(0, 1 << 64, (BANDS * WIDTH, 1), np.uint64)
@@ -110,7 +113,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: float = LEAST, id_col: s
         prints = written(_prints(keyed, size), "prints")
         spot = F.struct(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
         rep = written(prints.groupBy("node").agg(F.min(spot).alias("k")).select("node", "k._id", "k._th"), "nodes")
-        near = components(links(prints.select("fp")))
+        near = components(links(prints.select("fp"), rounds=ROUNDS))
         alike = prints.select("node", "fp").join(near.select(F.col("node").alias("fp"), "component"), "fp", "left")
         alike = alike.select("node", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("band"))
         buckets = written(prints.select("node", F.explode("bands").alias("band")).union(alike).distinct(), "buckets")

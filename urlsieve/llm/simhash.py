@@ -122,6 +122,12 @@ def collisions(variants: np.ndarray, owners: np.ndarray, radius: int = RADIUS) -
     return pairs[:, 0], pairs[:, 1]
 
 
+def _forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of rounds that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS, task: int = TASK) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp), enough to join all that differ in `radius` bits or fewer.
 
@@ -178,9 +184,10 @@ def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS, task: int
             part = spread.mapInArrow(emit(k), "part int, variants binary, masks binary").repartitionById(parts, "part").mapInArrow(meet, "a long, b long")
             part = written(part.distinct(), "links")
             found = part if found is None else found.union(part)
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop this round's shuffle files
-        return keep(written(found.distinct(), "links"))
+            _forget(spark)
+        found = keep(written(found.distinct(), "links"))
+        _forget(spark)  # on a cluster the last round's files are held until another query has run
+        return found
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
