@@ -163,6 +163,13 @@ def test_ngrams_are_dealt_to_tasks_by_number_of_rows(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 11
 
 
+def test_long_rows_are_fewer_a_task(spark):
+    rows = spark.range(40).select("id", F.repeat(F.lit("example.org/a/"), 2_000).alias("rest"))
+    coefficients = spark.createDataFrame([(7, 1.0)], "bucket long, coef double")
+    assert explain.occurrences(rows, coefficients).rdd.getNumPartitions() == 40 * 3 * 28_000 // explain.GRAMS + 1
+    assert explain.occurrences(rows.limit(0), coefficients).count() == 0
+
+
 def test_pruned_brand_search_is_exact():
     rng = random.Random(9)
     names = ["".join(rng.choice("abcdefé") for _ in range(rng.randrange(1, 14))) for _ in range(300)] + [""]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from urlsieve.functions import text
 
 CANDIDATES, LEAST_SHARE, LEAST_WEIGHT = 12, 0.1, 0.1
-#: Rows whose n-grams one task holds: some hundred times as many, which short rows don't show.
-ROWS = 4_000
+#: Rows, and n-grams of them, that one task holds on average: long rows have many, and are fewer a task.
+ROWS, GRAMS = 4_000, 200_000
 
 
 def occurrences(rows: DataFrame, coefficients: DataFrame, key: str = "id", column: str = "rest", counts: str | None = None) -> DataFrame:
@@ -19,10 +19,11 @@ def occurrences(rows: DataFrame, coefficients: DataFrame, key: str = "id", colum
     occurrences that fall into it. coefficients: bucket, coef and perhaps idf, at most one row for each of text.BUCKETS
     buckets, which bounds what is broadcast; bucket -1 holds the idf of buckets that aren't there. counts names a column
     with the model's own counts (bucket: count, a map) of the row: where they differ from those found here, all its shares
-    are null. Rows are dealt out once, by key, so many to a task; all windows run within a row's n-grams. Counting runs when
-    this is called.
+    are null. Rows are dealt out once, by key, so many rows and n-grams to a task; all windows run within a row's n-grams.
+    Counting runs when this is called.
     """
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS + 1)
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(3 * F.length(column)), F.lit(0))).first()
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS + 1, total // GRAMS + 1)
     own = [F.col(counts).alias("_counts")] if counts else []
     grams = rows.select(key, F.col(column).alias("_x"), *own).repartition(parts, key).select(key, *["_counts"] * bool(counts), F.inline(text.ngrams(F.col("_x"))))
     grams = grams.withColumn("bucket", text.bucket(F.col("gram")))
