@@ -86,3 +86,29 @@ def test_features_and_inputs_are_made_of_spread_urls(spark, monkeypatch):
     monkeypatch.setattr(model_queries, "urls", None)  # as files hold them, a task each: nothing is worked out of these
     assert model_queries._matched(spark, own).count() == model_queries._urls(spark, own).count()
     assert model_queries._inputs(spark, own).columns == ["id", "submitted_url", "analysed", "model_input", "folded"]
+
+
+def test_ngram_model_is_fitted_on_few_partitions_however_many_the_urls_have(spark, monkeypatch):
+    """A step of the fit shuffles a gradient per partition, of up to 2^20 numbers."""
+    from urlsieve.operators import models
+    from urlsieve.plans import model_queries
+
+    held = []
+
+    def grid(makers, fit, val):
+        held.extend((fit.rdd.getNumPartitions(), fit.count(), val.count()))
+        return makers[0].copy().setMaxIter(1).fit(fit), []
+
+    monkeypatch.setattr(models, "grid", grid)
+    several = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1", "spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in several}
+    try:
+        for k, v in several.items():
+            spark.conf.set(k, v)
+        own = f"{DIR}/./."  # nothing is stored for it yet
+        model_queries._ngrams(spark, own)
+        masked = model_queries._masked(spark, own)
+        assert masked.rdd.getNumPartitions() > 5 >= held[0] and held[1] + held[2] == masked.where("part IN ('fit', 'val')").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

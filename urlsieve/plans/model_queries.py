@@ -33,8 +33,8 @@ def query(name: str, sql: str | None = None):
 
 #: Inverse strengths of the penalty that validation chooses from.
 STRENGTHS = (1.0, 3.0, 10.0, 30.0)
-#: The most partitions that the n-gram model is fitted on: in every step each sends a gradient of up to 2^20 numbers, however few its
-#: rows, and those of more than five partitions would be added up by a shuffle.
+#: The most partitions that the n-gram model is fitted on: in every step each shuffles a gradient of up to 2^20 numbers, however few its
+#: rows, to the task that adds them up, and those of more than five partitions would be shuffled once more before.
 GRADIENTS = 5
 #: By session: the stored tables and models of a folder of tables, by folder and name; a model's path goes with its seal.
 _STORED: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
