@@ -44,6 +44,16 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["rate_dist"])
+def test_groups_without_name_or_values_stay(spark, tmp_path, name):
+    """A null event type is a group, and so is one that has no values."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT * FROM (VALUES ('a', 1.0::DOUBLE), ('a', 2.5), (NULL, 3.0), (NULL, 4.5), (NULL, NULL), ('none', NULL)) AS e(event_type, value)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.SQL[name]})").fetchall(), key=repr)
+
+
 ROWS_ONLY = sorted(set(catalog.QUERIES) - set(catalog.SQL))
 #: Models score every URL, with a probability and a decision by 0.5.
 SCORED = ("model_char_ngram", "model_linear", "model_trees", "model_minibatch", "model_density", "model_autoencoder", "model_reconstruction")

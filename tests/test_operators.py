@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,22 @@ def test_quantiles_are_exact(spark, n):
     assert quantiles.exact(spark.createDataFrame([], "g string, x double"), [], "x", {"q": (0.5, "linear")}).collect() in ([], [(None,)])
 
 
+def test_quantiles_do_not_depend_on_the_order_of_rows(spark):
+    """As on a cluster, rows come in another order each time that the plan reads them."""
+
+    def mixed(batches):
+        yield pd.concat(batches).sample(frac=1, random_state=int.from_bytes(os.urandom(4)))
+
+    n, before = 120_000, spark.conf.get("spark.sql.shuffle.partitions")
+    wanted = {f"q{k}": (k / 20, "nearest") for k in range(1, 20)}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        rows = spark.range(n, numPartitions=1).selectExpr("CAST(id AS DOUBLE) AS x").mapInPandas(mixed, "x double")
+        assert quantiles.exact(rows, [], "x", wanted).collect() == [tuple(float(n * k // 20 - 1) for k in range(1, 20))]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_quantiles_deal_out_counts_not_rows(spark):
     rows = spark.range(1000).selectExpr("CAST(id % 2 AS STRING) AS g", "CAST(id % 7 AS DOUBLE) AS x")
     found = quantiles.exact(rows, ["g"], "x", {"q": (0.5, "linear")})

@@ -1,4 +1,4 @@
-"""Exact quantiles whose tasks hold no group's values: a sketch cuts each group's distinct values into parts, counts name the parts that hold the ranks, and only those are ordered."""
+"""Exact quantiles whose tasks hold no group's values: each group's distinct values are cut into parts, counts name the parts that hold the ranks, and only those are ordered."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that a group's values are cut into, and the accuracy of the sketch that cuts them.
-PARTS, ACCURACY = 64, 2_000
+#: Parts that a group's values are cut into, and the buckets of hash that each give a value to choose the cuts from.
+PARTS, BUCKETS = 64, 1_024
 #: Tasks that a group's distinct values are dealt to where they meet its cuts.
 SHARES = 16
 
@@ -18,28 +18,33 @@ def exact(rows: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, t
 
     Nulls don't count. Rows are only counted by value, on the map side; all else goes over distinct values, which no
     group's size puts into one task; the cuts are SHARES rows per group. Groups are told apart with nulls as a group of their own.
+    Cuts follow from the values alone, as a plan or a task run again may work them out twice (a sketch's follow from the
+    order in which rows meet); parts are found again by their least and most values.
     """
     keys = [f"_k{i}" for i in range(len(by))]
     rows = rows.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).alias("_x")).where("_x IS NOT NULL")
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] or [F.lit(True)]
     counts = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
-    cuts = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.array_distinct(F.percentile_approx("_x", [k / PARTS for k in range(1, PARTS)], ACCURACY)).alias("_cuts"))
-    cuts = cuts.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    tried = counts.groupBy(*keys, F.pmod(F.xxhash64("_x"), F.lit(BUCKETS)).alias("_bucket")).agg(F.sum("_c").alias("_n"), F.min_by("_x", F.xxhash64("_x")).alias("_x"))
+    tried = tried.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sort_array(F.collect_list("_x")).alias("_tried"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share")
+    spread = [F.get("_tried", F.floor(F.size("_tried") * k / PARTS).cast("int")) for k in range(1, PARTS)]
+    cuts = tried.select(*keys, "_n", F.array_distinct(F.array(*spread)).alias("_cuts"), every)
     part = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
-    counts = counts.withColumn("_share", F.pmod(F.xxhash64("_x"), F.lit(SHARES)).cast("int"))
+    counts = counts.withColumn("_share", F.coalesce(F.pmod(F.xxhash64("_x"), F.lit(SHARES)).cast("int"), F.lit(0)))
     dealt = counts.alias("r").join(cuts.alias("c"), [*same("r", "c"), F.col("r._share") == F.col("c._share")]).select(*[f"r.{k}" for k in keys], "_x", "_c", "_n", part.alias("_part"))
-    # how many values come before each part, and the parts that the ranks fall into
-    sizes = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_m"), F.max("_n").alias("_n"))
+    # how many values come before each part, what it lies between, and the parts that the ranks fall into
+    sizes = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_m"), F.max("_n").alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
     run = Window.partitionBy(*keys, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(run), F.lit(0)))
     spots = [(name, end, _rank(p, kind, end)) for name, (p, kind) in wanted.items() for end in (0, 1)]
-    spots = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(end).alias("end"), rank.alias("rank")) for name, end, rank in spots])).alias("_s")
-    held = sizes.select(*keys, "_part", "_before", "_m", "_n", spots).where("_s.rank >= _before AND _s.rank < _before + _m")
-    inside = held.groupBy(*keys, "_part").agg(F.first("_before").alias("_before"), F.max("_n").alias("_n"), F.collect_list("_s").alias("_all"))
-    few = dealt.alias("r").join(inside.alias("c"), [*same("r", "c"), F.col("r._part") == F.col("c._part")], "left_semi").select(*keys, "_part", "_x", "_c")
+    spots = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(end).alias("end"), rank.alias("rank")) for name, end, rank in spots])
+    inside = sizes.withColumn("_all", F.filter(spots, lambda s: (s["rank"] >= F.col("_before")) & (s["rank"] < F.col("_before") + F.col("_m")))).where(F.size("_all") > 0)
+    inside = inside.select(*keys, "_part", "_least", "_most", "_before", "_n", "_all", every)
+    few = counts.alias("r").join(inside.alias("c"), [*same("r", "c"), F.col("r._share") == F.col("c._share"), F.col("_x") >= F.col("_least"), F.col("_x") <= F.col("_most")])
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_x"))
-    few = few.withColumn("_upto", upto)
-    found = few.alias("r").join(inside.alias("c"), [*same("r", "c"), F.col("r._part") == F.col("c._part")]).select(*[f"r.{k}" for k in keys], "_n", "_x", F.explode(F.filter("_all", lambda s: (s["rank"] < F.col("_before") + F.col("_upto")) & (s["rank"] >= F.col("_before") + F.col("_upto") - F.col("_c")))).alias("_s"))
+    few = few.select(*[f"r.{k}" for k in keys], "_part", "_x", "_c", "_before", "_n", "_all").withColumn("_upto", F.col("_before") + upto)
+    found = few.select(*keys, "_n", "_x", F.explode(F.filter("_all", lambda s: (s["rank"] < F.col("_upto")) & (s["rank"] >= F.col("_upto") - F.col("_c")))).alias("_s"))
 
     def one(name: str, p: float) -> Column:
         low, high = (F.max(F.when((F.col("_s.name") == name) & (F.col("_s.end") == e), F.col("_x"))) for e in (0, 1))

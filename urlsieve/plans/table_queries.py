@@ -193,7 +193,8 @@ def rate_dist(s, d):
     rows = table(s, d, "events", "event_type", "value")
     plain = rows.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"))
     middle = quantiles.exact(rows, ["event_type"], "value", {"median": (0.5, "linear")})
-    return plain.join(middle, "event_type").select("event_type", "mean", "least", "most", F.round("median", 4).alias("median"))
+    both = plain.alias("p").join(middle.alias("m"), c("p.event_type").eqNullSafe(c("m.event_type")), "left")
+    return both.select("p.event_type", "mean", "least", "most", F.round("median", 4).alias("median"))
 
 
 @query("latency_p95", "SELECT event_type, quantile_disc(value, 0.95) AS nearest_rank, round(quantile_cont(value, 0.95), 6) AS linear FROM events GROUP BY event_type")
