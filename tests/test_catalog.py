@@ -44,7 +44,7 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["rate_dist"])
+@pytest.mark.parametrize("name", ["rate_dist", "status_stats"])
 def test_groups_without_name_or_values_stay(spark, tmp_path, name):
     """A null event type is a group, and so is one that has no values."""
     con = duckdb.connect()

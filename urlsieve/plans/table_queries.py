@@ -207,7 +207,9 @@ def latency_p95(s, d):
 def status_stats(s, d):
     rows = table(s, d, "events", c("event_type").alias("status"), "value")
     ps = quantiles.exact(rows, ["status"], "value", {"median": (0.5, "linear"), "p95": (0.95, "nearest")})
-    return rows.groupBy("status").agg(F.count("*").alias("n"), F.max("value").alias("most")).join(ps, "status").select("status", "n", F.round("median", 6).alias("median"), "p95", "most")
+    plain = rows.groupBy("status").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    both = plain.alias("p").join(ps.alias("q"), c("p.status").eqNullSafe(c("q.status")), "left")
+    return both.select("p.status", "n", F.round("median", 6).alias("median"), "p95", "most")
 
 
 @query("latency_ratio", "SELECT round(CASE WHEN b <> 0 THEN a / b END, 6) AS median_ratio FROM (SELECT median(CASE WHEN event_type = 'click' THEN value END) AS a, median(CASE WHEN event_type <> 'click' THEN value END) AS b FROM events)")
